@@ -38,4 +38,30 @@ n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY 1)
 SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
 """
 
-ORACLES: dict[str, str] = {"op7_minhash_dedup": OP7, "op8_embedding_dedup": OP8}
+OP9 = rf"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents
+), g AS (
+  SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM d WHERE len(w) >= 4
+), g2 AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i+1], w[i+2]) AS c FROM g
+), rep AS (
+  SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM g2 WHERE c > 1) GROUP BY 1
+), ln AS (
+  SELECT doc_id, source, t, trim(regexp_replace(regexp_replace(lower(x), '\s+', ' ', 'g'), '[0-9]+', '0', 'g')) AS k, len({_WORDS.format("x")}) AS n
+  FROM (SELECT doc_id, source, t, unnest(l) AS x FROM d)
+), host AS (SELECT source, count(DISTINCT t) AS docs FROM d GROUP BY 1),
+often AS (
+  SELECT ln.source, k FROM ln JOIN host ON ln.source IS NOT DISTINCT FROM host.source GROUP BY 1, 2, docs HAVING count(DISTINCT t) > 20 AND count(DISTINCT t) > 0.3 * docs
+), lost AS (
+  SELECT doc_id, sum(n) AS lost FROM ln JOIN often o ON o.source IS NOT DISTINCT FROM ln.source AND o.k = ln.k GROUP BY 1
+), m AS (
+  SELECT d.doc_id, len(w) AS n_words, coalesce(length(array_to_string(w, '')), 0) AS word_chars,
+    length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(lost, 0)::BIGINT AS n_removed_words
+  FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN lost USING (doc_id)
+), f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND n_words - n_removed_words >= 0.5 * n_words AS kept FROM f
+"""
+
+ORACLES: dict[str, str] = {"op7_minhash_dedup": OP7, "op8_embedding_dedup": OP8, "op9_quality_rules": OP9}
