@@ -16,12 +16,11 @@ document keys and ``SEED``: reruns agree whatever the partitions.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import counted_broadcast, save
+from feedloom.llm.common import counted_broadcast, let, save
 
 WEIGHTS = (1, 2, 3)
 #: No source is taken more often than this, and so no document.
@@ -51,11 +50,6 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return rows.select("source", "source_size", "n", F.least(F.col("ceiling").cast("double"), F.col("level") * F.col("weight")).alias("target"))
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _pair(a: Column, b: Column) -> Column:
     """Words ``y`` of the two after one move, as (ya, yb); z are their sizes."""
     up, down = F.least(a["z"] - a["y"], b["y"]), F.least(a["y"], b["z"] - b["y"])
@@ -81,7 +75,7 @@ def _fold(items: Column, kind: str) -> Column:
             over = F.when(done_a & done_b, F.array(a, b)).when(done_a, F.array(a)).otherwise(F.array(b))
             return F.struct(still.alias("open"), F.concat(s["done"], over).alias("done"))
 
-        return F.when(s["open"].isNull(), F.struct(x.alias("open"), s["done"].alias("done"))).otherwise(_let(_pair(s["open"], x), moved))
+        return F.when(s["open"].isNull(), F.struct(x.alias("open"), s["done"].alias("done"))).otherwise(let(_pair(s["open"], x), moved))
 
     return F.aggregate(items, F.struct(none.alias("open"), empty.alias("done")), step)
 

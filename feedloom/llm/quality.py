@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import save
+from feedloom.llm.common import let, save
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
@@ -32,28 +32,28 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, _BLANK), lambda w: w != "")
 
 
-def _windows(words: Column) -> Column:
-    """Hashes of the three-word windows; null where no two of them can be equal."""
-    return F.when(F.size(words) >= 4, F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))))
+def _repeated(words: Column) -> Column:
+    """Words that lie in a three-word window which the text has twice or more.
 
+    Equal windows are neighbours in hash order; in text order, a window adds three words less those that the one before
+    it has covered. Each step is bound once, so the optimizer cannot repeat it for each element.
+    """
 
-def _placed(windows: Column) -> Column:
-    """(hash, place) of the windows in hash order; null where no two are equal."""
-    placed = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    return F.when(F.size(F.array_distinct(windows)) < F.size(windows), placed)
+    def covered(placed: Column) -> Column:
+        n = F.size(placed) - 1
+        twins = F.zip_with(F.slice(placed, F.lit(1), n), F.slice(placed, F.lit(2), n), lambda x, y: F.when(x["h"] == y["h"], F.array(x["i"], y["i"])))
+        places = F.array_sort(F.array_distinct(F.flatten(F.filter(twins, lambda t: t.isNotNull()))))
+        return F.aggregate(places, F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")), lambda s, i: F.struct(i.alias("last"), (s["n"] + F.least(i - s["last"], F.lit(3))).alias("n")), lambda s: s["n"])
 
+    def counted(windows: Column) -> Column:
+        placed = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(let(placed, covered))
 
-def _repeated(placed: Column) -> Column:
-    """Words that lie in a three-word window which the text has twice or more.
+    def windowed(w: Column) -> Column:
+        hashes = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+        return F.when(F.size(w) < 4, F.lit(0)).otherwise(let(hashes, counted))
 
-    Equal windows are neighbours in hash order; in text order, a window adds three words less those that the one before
-    it has covered.
-    """
-    n = F.size(placed) - 1
-    twins = F.zip_with(F.slice(placed, F.lit(1), n), F.slice(placed, F.lit(2), n), lambda x, y: F.when(x["h"] == y["h"], F.array(x["i"], y["i"])))
-    places = F.array_sort(F.array_distinct(F.flatten(F.filter(twins, lambda t: t.isNotNull()))))
-    total = F.aggregate(places, F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")), lambda s, i: F.struct(i.alias("last"), (s["n"] + F.least(i - s["last"], F.lit(3))).alias("n")), lambda s: s["n"])
-    return F.when(placed.isNull(), F.lit(0)).otherwise(total)
+    return let(words, windowed)
 
 
 def normal_line(line: Column) -> Column:
@@ -71,7 +71,7 @@ def _measured(docs: DataFrame, host: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     words = _words(text)
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^ \\t-\\r]"))
-    rows = docs.select("doc_id", F.col(host).alias("host"), text.alias("text")).withColumn("words", words).withColumn("windows", _windows(F.col("words"))).withColumn("placed", _placed(F.col("windows")))
+    rows = docs.select("doc_id", F.col(host).alias("host"), text.alias("text")).withColumn("words", words)
     return rows.select(
         "doc_id",
         "host",
@@ -80,7 +80,7 @@ def _measured(docs: DataFrame, host: str) -> DataFrame:
         F.length(F.regexp_replace("text", _BLANK, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        _repeated(F.col("placed")).cast("long").alias("n_repeat_words"),
+        _repeated(F.col("words")).cast("long").alias("n_repeat_words"),
         _hashed(F.col("text")).alias("lines"),
     )
 
@@ -119,8 +119,8 @@ def filter_quality(docs: DataFrame, host: str = "source") -> DataFrame:
     often = save(frequent_lines(measured), "quality-lines")
     hashes = save(often.groupBy("host").agg(F.collect_set("hash").alias("_often")), "quality-hosts")  # at most 1 / LINE_SHARE lines a document line of each host
     text = F.coalesce("text", F.lit(""))
-    held = docs.withColumn("_words", _words(text)).withColumn("_n", F.size("_words")).withColumn("_windows", _windows(F.col("_words"))).withColumn("_placed", _placed(F.col("_windows")))
-    held = held.where((F.col("_n") >= MIN_WORDS) & (100 * _repeated(F.col("_placed")) <= REPEAT_PERCENT * F.col("_n"))).drop("_words", "_windows", "_placed")
+    held = docs.withColumn("_words", _words(text)).withColumn("_n", F.size("_words"))
+    held = held.where((F.col("_n") >= MIN_WORDS) & (100 * _repeated(F.col("_words")) <= REPEAT_PERCENT * F.col("_n"))).drop("_words")
     if hashes.isEmpty():
         return held.select(*docs.columns)
     held = held.join(hashes.withColumnRenamed("host", "_host"), F.col(host).eqNullSafe(F.col("_host")), "left")
