@@ -4,9 +4,11 @@ Two small collections of ``GROUPS`` keys each (a key joins ``WIDTH`` minhashes)
 each pair (i, j): 2 * GROUPS * WIDTH minhashes do the work of GROUPS * GROUPS * 2 * WIDTH. Two sets of similarity s meet
 in some table with probability (1 - (1 - s ** WIDTH) ** GROUPS) ** 2: 0.9973 at 0.75, 0.9994 at 0.8.
 
-Nothing is emitted for each pair of a group. Equal shingle sets fall together first; in each table key every member is
-compared with the smallest member (a star), and only members that stars have left in different components are compared
-further: all of them where a key has few, by an exact prefix-filter join over the rarest shingles where it has many.
+Nothing is emitted for each pair of a group. Equal shingle sets fall together first. In ``STARS`` rounds every member of a
+table key is compared with one leader of the key, and only keys whose members are still in different components go on. The
+members that then remain apart are compared exactly, all with all of their key, inside tasks: keys are cut into tiles of
+bounded size, the intersections of two tiles come from products of their membership matrices, and a task returns only links
+that join components. Keys with the same members are compared once.
 
 Defined results: a null or wordless text has no shingle and links with nothing; one to four words are one shingle; equal
 sets are one class whatever their doc_id; repeated rows each come back; a null doc_id is kept and never the smallest
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import connected_components, counted_broadcast, save, text_chunks
@@ -29,8 +31,11 @@ WORDS = 5
 PERCENT = 75
 GROUPS = 8
 WIDTH = 2
-#: Members in different components up to which a table key compares all of them; more go to the prefix-filter join.
-FEW = 32
+#: Rounds of comparison with a leader before members that are still apart are compared with all of their key.
+STARS = 3
+#: Members, and shingles of all members, in a tile.
+TILE, TILE_SHINGLES = 512, 1 << 20
+_COLUMNS = 8192
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -169,49 +174,81 @@ def _sets_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame
     return save(texts.mapInArrow(_sets, "node long, shingles array<long>").dropDuplicates(["node"]), "minhash-sets", "uncompressed")
 
 
-def _similar(size: Column, one: Column, two: Column) -> Column:
-    return 100 * size >= PERCENT * (one + two - size)
-
-
-def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
-    pairs = save(_sized(pairs, classes), "minhash-pairs")
-    sets = _sets_of(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    one, two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    both = pairs.join(one, "b").join(two, "a")
-    return save(both.where(_similar(F.size(F.array_intersect("sa", "sb")), F.size("sa"), F.size("sb"))).select("a", "b"), "minhash-links")
-
-
-def _sized(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs whose set sizes allow the similarity."""
-    size = classes.select("node", "n_shingles")
-    joined = pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
-    return joined.where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")).select("a", "b")
+    size = sets.select("node", F.size("shingles").alias("n"))
+    sized = pairs.distinct().join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
+    sized = save(sized.where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")), "minhash-pairs")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    both = sized.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
+    return both.where(100 * shared >= PERCENT * (F.col("na") + F.col("nb") - shared)).select("a", "b")
 
 
 def _apart(members: DataFrame, links: DataFrame) -> DataFrame:
     """Members (key, node, comp) of the keys that the links so far leave in more than one component."""
     comps = connected_components(links, "minhash-components")
     held = members.join(comps, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
-    split = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    return save(held.join(split.select("key", "n"), "key"), "minhash-apart")
-
-
-def _rare_pairs(docs: DataFrame, classes: DataFrame, large: DataFrame) -> DataFrame:
-    """Pairs of different components in ``large`` that share one of their rarest shingles: no similar pair lacks one.
-
-    Of a set of n shingles ordered by frequency, the first n - ceil(0.75 n) + 1 meet those of any similar set.
-    """
-    nodes = save(large.select("node", "comp").distinct(), "minhash-large")
-    sets = _sets_of(docs, classes, nodes.select("node"))
-    tokens = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
-    often = tokens.groupBy("shingle").agg(F.count("*").alias("f")).where("f > 1")
-    ranked = tokens.join(often, "shingle", "left").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "shingle"))).alias("ordered"))
-    first = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
-    prefix = save(ranked.select("node", "n", F.explode(F.slice("ordered", F.lit(1), first.cast("int"))).alias("t")).where("t.f > 1").select("node", "n", "t.shingle").join(nodes, "node"), "minhash-prefix")
-    left, right = prefix.toDF("a", "na", "shingle", "ca"), prefix.toDF("b", "nb", "shingle", "cb")
-    met = left.join(right, "shingle").where("a < b and ca <> cb").where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
-    return met.select("a", "b").distinct()
+    split = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    return save(held.join(split.select("key"), "key"), "minhash-apart")
+
+
+def _star(apart: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of another leader of each key and the members that are not in its component."""
+    leader = apart.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "comp")).alias("l"))
+    met = apart.join(leader, "key").where(F.col("comp") != F.col("l.comp"))
+    return met.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
+
+
+def _tile_links(table: pa.Table) -> pa.Table:
+    """Links between two tiles of a key (or within one) that join components."""
+    table = table.combine_chunks()
+    nodes, comps, sides = (table.column(c).to_numpy() for c in ("node", "comp", "side"))
+    lists = table.column("shingles").combine_chunks()
+    sizes = np.asarray(lists.value_lengths(), np.int64)
+    owner = np.repeat(np.arange(len(nodes)), sizes)
+    _, column, often = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    met = often[column] > 1
+    order = np.argsort(column[met], kind="stable")
+    column, owner = np.unique(column[met][order], return_inverse=True)[1], owner[met][order]
+    left, right = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
+    alone = not len(right)
+    right = left if alone else right
+    shared = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
+        lo, hi = np.searchsorted(column, [at, at + _COLUMNS])
+        dense = np.zeros((len(nodes), _COLUMNS), np.float32)
+        dense[owner[lo:hi], column[lo:hi] - at] = 1
+        shared += dense[left] @ dense[right].T
+    like = 100 * shared >= PERCENT * (sizes[left][:, None] + sizes[right][None, :] - shared)
+    like &= comps[left][:, None] != comps[right][None, :]
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    links = []
+    for i, j in np.argwhere(like).tolist():
+        a, b = find(int(comps[left[i]])), find(int(comps[right[j]]))
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            links.append((nodes[left[i]], nodes[right[j]]))
+    found = np.asarray(links, np.int64).reshape(-1, 2)
+    return pa.table({"a": found.min(axis=1, initial=np.iinfo(np.int64).max), "b": found.max(axis=1, initial=np.iinfo(np.int64).min)})
+
+
+def _remaining(apart: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that join components, from comparing all members of each key that is still apart."""
+    sized = apart.join(sets.select("node", F.size("shingles").alias("n")), "node")
+    keys = sized.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("total"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark"))
+    once = keys.groupBy("members", "total", "mark").agg(F.min("key").alias("key"))
+    tiles = F.greatest(F.ceil(F.col("members") / TILE), F.ceil(F.col("total") / TILE_SHINGLES)).cast("int")
+    placed = apart.join(once.select("key", tiles.alias("tiles")), "key").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    sent = placed.select("key", "node", "comp", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("t"))
+    sent = sent.select("key", "node", "comp", F.least("tile", "t").alias("i"), F.greatest("tile", "t").alias("j"), (F.col("tile") > F.col("t")).cast("int").alias("side"))
+    return sent.join(sets, "node").groupBy("key", "i", "j").applyInArrow(_tile_links, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -229,17 +266,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = keys.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
     members = save(keys.join(shared, "key"), "minhash-members")
 
-    links = _confirmed(docs, classes, members.where("node > least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
+    sets = _sets_of(docs, classes, members.select("node").distinct())
+    first = members.where("node > least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    links = save(_confirmed(first, sets), "minhash-links")
     apart = _apart(members, links)
+    for turn in range(1, STARS):
+        if not apart.isEmpty():
+            links = save(links.union(_confirmed(_star(apart, turn), sets)), "minhash-links")
+            apart = _apart(apart.select("key", "node"), links)
     if not apart.isEmpty():
-        few = apart.where(F.col("n") <= FEW)
-        left, right = few.select("key", F.col("node").alias("a"), F.col("comp").alias("ca")), few.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"))
-        more = left.join(right, "key").where("a < b and ca <> cb").select("a", "b").distinct()
-        many = apart.where(F.col("n") > FEW)
-        if not many.isEmpty():
-            more = more.union(_rare_pairs(docs, classes, many)).distinct()
-        tried = members.where("node > least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-        links = save(links.union(_confirmed(docs, classes, more.join(tried, ["a", "b"], "left_anti"))), "minhash-links")
+        links = save(links.union(_remaining(apart, sets)), "minhash-links")
 
     comps = connected_components(links, "minhash-components")
     placed = classes.join(comps, "node", "left").select("set_key", "least_id", F.coalesce("root", "node").alias("root"))
