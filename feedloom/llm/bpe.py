@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import save, text_chunks
+from feedloom.llm.common import save, small_batches, text_chunks
 
 #: Characters of an ordinary leaf, and of a stretch without split from which it is halved.
 LEAF = 1 << 15
@@ -230,7 +230,7 @@ def is_long(text: Column) -> Column:
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and ids (little-endian, 2 bytes each for up to 65,536 ids, else 4) for every row of ``docs`` (doc_id, text)."""
-    docs = docs.select("doc_id", "text")
+    docs = small_batches(docs.select("doc_id", "text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     short = docs.where(~is_long(F.col("text"))).mapInArrow(_whole(path), f"doc_id {kind}, ids binary")
     long = docs.where(is_long(F.col("text"))).withColumn("key", F.sha2("text", 256))

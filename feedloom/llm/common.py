@@ -39,6 +39,15 @@ def counted_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def small_batches(df: DataFrame, size: int = 8 << 20) -> DataFrame:
+    """``df``, after the session's Arrow batches are bounded in bytes: rows of whole texts are far wider than usual ones."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(key, None)
+    if not now or not now.isdigit() or int(now) > size:
+        conf.set(key, str(size))
+    return df
+
+
 def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` whose texts sum to about ``limit`` bytes; a longer text comes alone."""
     values = batch.column(column)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import connected_components, save
+from feedloom.llm.common import connected_components, save, small_batches
 
 THRESHOLD = 0.9
 BLOCKS = 4
@@ -137,8 +137,7 @@ def _joined(threshold: float):
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of ``vectors`` (vec_id, embedding)."""
-    spark = vectors.sparkSession
-    rows = save(vectors.select("vec_id", "embedding").withColumn("node", F.monotonically_increasing_id()), "vectors")
+    rows = save(small_batches(vectors).select("vec_id", "embedding").withColumn("node", F.monotonically_increasing_id()), "vectors")
     homes = save(rows.select("node", "embedding").mapInArrow(_placed(threshold), "node long, width int, block int, slab int, vector binary"), "vector-slabs")
 
     tiles = homes.groupBy("width", "block", "slab").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))

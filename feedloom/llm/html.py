@@ -25,7 +25,7 @@ from urllib.parse import urlsplit
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from feedloom.llm.common import text_chunks
+from feedloom.llm.common import small_batches, text_chunks
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^"'>]|"[^"]*"|'[^']*')*)>|</?[a-zA-Z!?][^>]*>""", re.S)
 _RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "select")
@@ -224,7 +224,7 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text (blocks joined by an empty line) and n_chars for every row of ``pages`` (page_id, url, html)."""
-    pages = pages.select("page_id", "url", "html")
+    pages = small_batches(pages.select("page_id", "url", "html"))
     kind = pages.schema["page_id"].dataType.simpleString()
     parsed = pages.mapInArrow(_parsed, f"page_id {kind}, url string, host string, path string, hashes array<bigint>, places array<tinyint>, words array<int>, kept binary")
     ordered = parsed.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id", "url")

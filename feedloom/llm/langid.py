@@ -23,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import text_chunks
+from feedloom.llm.common import small_batches, text_chunks
 
 #: Bound of the fit: rows for each language in expectation, and languages (the commonest labels).
 SAMPLE = 4000
 LANGUAGES = 128
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
+#: Characters that are turned into n-grams at a time.
+RUN = 1 << 18
 #: A text is ambiguous if the nearest codeword leads the next by less than this share of the losses.
 AMBIGUOUS = 0.05
 UNDETERMINED = "und"
@@ -70,18 +72,41 @@ def _grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     return out, owner, counts
 
 
+def _runs(texts: list[str | None]) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Rows, n-grams, owners (places in rows) and letters of runs of texts; a long text comes in several parts."""
+    rows, held, size = [], [], 0
+    for row, text in enumerate(texts):
+        text, at = text or "", 0
+        while True:
+            end = min(len(text), at + RUN)
+            while end < len(text) and not text[end].isspace() and end - at < 2 * RUN:
+                end += 1
+            rows.append(row)
+            held.append(text[at:end])
+            size += end - at
+            if size > RUN:
+                yield np.asarray(rows), *_grams(held)
+                rows, held, size = [], [], 0
+            at = end
+            if at >= len(text):
+                break
+    if rows:
+        yield np.asarray(rows), *_grams(held)
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, bucket, n): the n-grams of a task's rows."""
     sums: dict[str, np.ndarray] = {}
     for batch in batches:
         for part in text_chunks(batch):
             langs = np.asarray(part.column("lang").to_pylist(), dtype=object)
-            grams, owner, _ = _grams([t or "" for t in part.column("text").to_pylist()])
-            for lang in set(langs.tolist()):
-                mine = (langs == lang)[owner]
-                held = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                for g in grams:
-                    held += np.bincount(g[mine], minlength=BUCKETS)
+            for rows, grams, owner, _ in _runs(part.column("text").to_pylist()):
+                own = langs[rows]
+                for lang in set(own.tolist()):
+                    mine = (own == lang)[owner]
+                    held = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
+                    for g in grams:
+                        held += np.bincount(g[mine], minlength=BUCKETS)
     for lang, held in sums.items():
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(held[at])], names=["lang", "bucket", "n"])
@@ -113,7 +138,7 @@ class Model:
         bits = []
         for column in self.code.T:
             bits.append(np.log(share[column > 0].mean(axis=0)) - np.log(share[column < 0].mean(axis=0)))
-        self.odds = np.ascontiguousarray(np.array(bits, np.float32).reshape(len(bits), -1).T)
+        self.odds = np.ascontiguousarray(np.array(bits, np.float32).reshape(len(bits), BUCKETS).T)
         # A bit weighs by how far apart its two sides are: the mean absolute log-odds over the languages' n-grams.
         mean = share.mean(axis=0) if len(langs) else np.zeros(BUCKETS)
         weigh = (np.abs(self.odds) * mean[:, None]).sum(axis=0) if len(bits) else np.zeros(0)
@@ -122,17 +147,18 @@ class Model:
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and ambiguity of each text."""
         n = len(texts)
-        grams, owner, letters = _grams([t or "" for t in texts])
+        sums, letters = np.zeros((n, self.odds.shape[1] if self.langs else 0)), np.zeros(n, np.int64)
+        for rows, grams, owner, count in _runs(texts):
+            np.add.at(letters, rows, count)
+            filled = np.flatnonzero(count)
+            if sums.shape[1] and len(filled):
+                starts = np.searchsorted(owner, filled)
+                for g in grams:
+                    np.add.at(sums, rows[filled], np.add.reduceat(self.odds[g], starts, axis=0))
         if not self.langs:
             return [UNDETERMINED] * n, np.zeros(n), np.zeros(n, bool)
         if not self.code.shape[1]:
             return [self.langs[0] if k else UNDETERMINED for k in letters], (letters > 0).astype(float), np.zeros(n, bool)
-        sums = np.zeros((n, self.odds.shape[1]))
-        filled = np.flatnonzero(letters)
-        if len(filled):
-            starts = np.searchsorted(owner, filled)
-            for g in grams:
-                sums[filled] += np.add.reduceat(self.odds[g], starts, axis=0, dtype=np.float64)
         margin = sums / np.maximum(letters, 1)[:, None]
         loss = (self.weights[None, None, :] * np.exp(-np.clip(2 * margin[:, None, :] * self.code[None], -30, 30))).sum(axis=2)
         order = np.argsort(loss, axis=1, kind="stable")
@@ -144,7 +170,7 @@ class Model:
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -> Model:
     """A model of the rows of ``labelled`` (doc_id, text, lang) with a text and a label."""
-    rows = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
+    rows = small_batches(labelled).where("lang is not null and text is not null").select("doc_id", "text", "lang")
     sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
     if not sizes:
         return Model([], np.zeros((0, BUCKETS)))
@@ -159,7 +185,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred, score (0 to 1) and ambiguous; only ``text`` decides. Columns of these names are replaced."""
-    docs = docs.drop("lang_pred", "score", "ambiguous")
+    docs = small_batches(docs.drop("lang_pred", "score", "ambiguous"))
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

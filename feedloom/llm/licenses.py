@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import text_chunks
+from feedloom.llm.common import small_batches, text_chunks
 
 BLOCK, STRIDE = 64, 32
 CONTAINED = 0.9
@@ -145,7 +145,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str, str]] | None = None, c
         raise ValueError(f"more than {TEMPLATES} templates")
     if any(len({w for w in words_of(t) if w}) > STRIDE for _, _, t in templates):
         raise ValueError(f"a template has more than {STRIDE} distinct words: split it")
-    docs = docs.select("doc_id", "text")
+    docs = small_batches(docs.select("doc_id", "text"))
     index = Index.build(templates, _frequencies(docs, {w for _, _, t in templates for w in words_of(t) if w}), contained)
     held = docs.sparkSession.sparkContext.broadcast(index)
     place = pa.list_(pa.struct([("start", pa.int64()), ("label", pa.string())]))

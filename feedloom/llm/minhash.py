@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import connected_components, counted_broadcast, save, text_chunks
+from feedloom.llm.common import connected_components, counted_broadcast, save, small_batches, text_chunks
 
 WORDS = 5
 PERCENT = 75
@@ -34,14 +34,14 @@ WIDTH = 2
 #: Rounds of comparison with a leader before members that are still apart are compared with all of their key.
 STARS = 3
 #: Members, and shingles of all members, in a tile.
-TILE, TILE_SHINGLES = 512, 1 << 20
-_COLUMNS = 8192
+TILE, TILE_SHINGLES = 256, 1 << 19
+_COLUMNS = 2048
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_SEGMENT = 4 << 20
+_SEGMENT = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _JOIN = np.uint64(0xD6E8FEB86659FD93)
 
@@ -230,11 +230,12 @@ def _tile_links(table: pa.Table) -> pa.Table:
         return x
 
     links = []
-    for i, j in np.argwhere(like).tolist():
-        a, b = find(int(comps[left[i]])), find(int(comps[right[j]]))
-        if a != b:
-            up[max(a, b)] = min(a, b)
-            links.append((nodes[left[i]], nodes[right[j]]))
+    for i in np.flatnonzero(like.any(axis=1)).tolist():
+        for j in np.flatnonzero(like[i]).tolist():
+            a, b = find(int(comps[left[i]])), find(int(comps[right[j]]))
+            if a != b:
+                up[max(a, b)] = min(a, b)
+                links.append((nodes[left[i]], nodes[right[j]]))
     found = np.asarray(links, np.int64).reshape(-1, 2)
     return pa.table({"a": found.min(axis=1, initial=np.iinfo(np.int64).max), "b": found.max(axis=1, initial=np.iinfo(np.int64).min)})
 
@@ -256,7 +257,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     ``kept`` is doc_id = component_id; see the module for the method and for nulls, ties and empty texts.
     """
-    docs = docs.select("doc_id", "text")
+    docs = small_batches(docs.select("doc_id", "text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = save(docs.mapInArrow(_signatures, f"doc_id {kind}, n_shingles long, set_key binary, first_keys array<long>, second_keys array<long>"), "minhash-rows")
     grouped = rows.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n_shingles"), F.first("first_keys").alias("first_keys"), F.first("second_keys").alias("second_keys"))

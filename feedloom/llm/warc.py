@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import shared_dir, text_chunks
+from feedloom.llm.common import shared_dir, small_batches, text_chunks
 
 LEAST = 0
 DATE = "1970-01-01T00:00:00Z"
@@ -60,7 +60,7 @@ def _field(name: str, value: Column) -> Column:
 
 def archive(pages: DataFrame, path: str, least: int = LEAST, date: str = DATE) -> None:
     """Write the records of ``pages`` (page_id, url, html) under ``path``."""
-    pages = pages.select("page_id", "url", "html")
+    pages = small_batches(pages.select("page_id", "url", "html"))
     kind = pages.schema["page_id"].dataType.simpleString()
     run, fields = _digested(kind, True)
     stored = pages.mapInArrow(run, fields).groupBy("key").agg(F.max("page_id").alias("response_id"), F.first("size").alias("size"), F.first("payload").alias("payload"))
