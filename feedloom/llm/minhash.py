@@ -34,7 +34,7 @@ WIDTH = 2
 #: Rounds of comparison with a leader before members that are still apart are compared with all of their key.
 STARS = 3
 #: Members, and shingles of all members, in a tile.
-TILE, TILE_SHINGLES = 256, 1 << 19
+TILE, TILE_SHINGLES = 1024, 1 << 19
 _COLUMNS = 2048
 
 _LOWER = np.arange(256, dtype=np.uint8)
