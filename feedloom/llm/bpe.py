@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding by tree concatenation.
 
-Ordinary texts are encoded where they are. A text that is long, or that has a long stretch without a safe place to split,
-becomes leaves which are encoded in parallel on other executors: ordinary leaves end before a space or line feed that
+Ordinary texts are encoded where they are. A long text becomes leaves which are encoded in parallel on other executors, and
+a shorter one with few blanks becomes leaves on the spot: ordinary leaves end before a space or line feed that
 follows a visible character (no token of the vocabulary's pattern spans such a place), and a single pattern match longer
 than ``UNSPLIT`` characters is halved into chunks. Leaves are joined pairwise in a tree: plainly where the split was safe;
 within one match by encoding a growing window of tokens around the join until its first and last token are those of the two
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from feedloom.llm.common import save, small_batches, text_chunks
 
-#: Characters of an ordinary leaf, and of a stretch without split from which it is halved.
+#: Size of an ordinary leaf (texts of more bytes are split), and of a stretch without split from which it is halved.
 LEAF = 1 << 15
 UNSPLIT = 1 << 11
 #: Fixed value: the published pattern that this kind of vocabulary is split by.
@@ -72,6 +72,12 @@ class Codec:
             return self.encoding.encode(text, allowed_special="all", disallowed_special=())
         return self.encoding.encode_ordinary(text)
 
+    def encode_all(self, text: str) -> list[int]:
+        """The ids of a text, through leaves if it has few blanks for its length."""
+        if len(text) > UNSPLIT and text.count(" ") * 64 < len(text):
+            return join_tree([(k, encode_leaf(k, p, self)) for k, p in leaves(text, self)], self)
+        return self.encode(text)
+
     def piece(self, data: bytes) -> list[int]:
         """Ids of bytes that lie within one match of the pattern."""
         return self.encoding._encode_single_piece(data)
@@ -182,7 +188,7 @@ def _whole(path: str):
         c = codec(path)
         for batch in batches:
             for part in text_chunks(batch):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), _array([c.encode(t) if t else [] for t in part.column("text").to_pylist()], c)], names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), _array([c.encode_all(t) if t else [] for t in part.column("text").to_pylist()], c)], names=["doc_id", "ids"])
 
     return run
 
@@ -224,8 +230,8 @@ def _joined(path: str):
 
 
 def is_long(text: Column) -> Column:
-    """Texts that are split into leaves: long ones, and those with a long stretch of visible or of blank characters."""
-    return F.coalesce((F.length(text) > LEAF) | ((F.length(text) > UNSPLIT) & text.rlike(rf"\S{{{UNSPLIT // 2}}}|\s{{{UNSPLIT // 2}}}")), F.lit(False))
+    """Texts that are split into leaves for other tasks."""
+    return F.coalesce(F.octet_length(text) > LEAF, F.lit(False))
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
