@@ -1,0 +1,74 @@
+"""Differences between feeds and conversions between their formats."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from feedloom.functions.transforms import header_tag
+
+
+def difference(old: DataFrame, new: DataFrame) -> DataFrame:
+    """path, kind, old_value, new_value of what differs between two sets of (path, value)."""
+    a, b = old.select("path", F.col("value").alias("old_value"), F.lit(True).alias("was")), new.select("path", F.col("value").alias("new_value"), F.lit(True).alias("is"))
+    both = a.join(b, "path", "full_outer").where(F.col("was").isNull() | F.col("is").isNull() | ~F.col("old_value").eqNullSafe(F.col("new_value")))
+    size = F.col("path").endswith("/size()")
+    kind = F.when(F.col("is").isNull(), "Removed").when(F.col("was").isNull(), "Added").when(size, "Item count changed").otherwise("Value mismatch")
+    return both.select("path", kind.alias("kind"), "old_value", "new_value")
+
+
+def json_paths(spark: SparkSession, path: str, every_index: bool = False) -> DataFrame:
+    """(path, value) of the leaves of a JSON document; lists give their size and their first item (or all)."""
+    from feedloom.sources.feeds import leaves_of
+
+    kept = F.col("path").rlike(r"\[[1-9]\d*\]")
+    out = leaves_of(spark, path)
+    return out if every_index else out.where(~kept)
+
+
+def csv_rows(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+
+
+def json_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a JSON document: a list, or the first list in it, or the document; all keys of all rows."""
+    df = spark.read.option("multiLine", True).option("primitivesAsString", True).json(path)
+    lists = [f.name for f in df.schema if f.dataType.typeName() == "array" and f.dataType.elementType.typeName() == "struct"]
+    return df.select(F.explode(f"`{lists[0]}`").alias("r")).select("r.*") if lists else df
+
+
+def _text(df: DataFrame) -> DataFrame:
+    return df.select(*[F.to_json(F.col(f"`{f.name}`")).alias(f.name) if f.dataType.typeName() in ("array", "struct", "map") else F.col(f"`{f.name}`").cast("string").alias(f.name) for f in df.schema])
+
+
+def _tagged(df: DataFrame) -> DataFrame:
+    """Columns under names that are element names, and no twice the same."""
+    names = df.sparkSession.createDataFrame([(i, n) for i, n in enumerate(df.columns)], "i int, n string").select("i", header_tag(F.col("n")).alias("t")).orderBy("i").collect() if df.columns else []
+    used: dict[str, int] = {}
+    out = []
+    for r in names:
+        used[r["t"]] = used.get(r["t"], 0) + 1
+        out.append(r["t"] if used[r["t"]] == 1 else f"{r['t']}_{used[r['t']]}")
+    return df.toDF(*out)
+
+
+def convert(spark: SparkSession, path: str, given: str, out: str, wanted: str, row_tag: str | None = None) -> None:
+    """Rewrite a feed as ``wanted`` (json, csv or xml) under ``out``; the writers work in parallel on all rows."""
+    if given == "csv":
+        rows = csv_rows(spark, path)
+    elif given == "json":
+        rows = json_rows(spark, path)
+    elif given == "xml":
+        from feedloom.sources.feeds import detect_xml_element, read_xml
+
+        rows = read_xml(spark, path, row_tag or detect_xml_element(spark, path))
+    else:
+        raise ValueError(f"unknown format {given!r}")
+    if wanted == "json":
+        rows.write.option("ignoreNullFields", False).json(out)
+    elif wanted == "csv":
+        _text(rows).write.option("header", True).option("escape", '"').csv(out)
+    elif wanted == "xml":
+        _tagged(rows).write.format("xml").option("rootTag", "feed").option("rowTag", "item").option("attributePrefix", "@").option("valueTag", "#text").save(out)
+    else:
+        raise ValueError(f"unknown format {wanted!r}")

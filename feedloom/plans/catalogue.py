@@ -1,10 +1,239 @@
-"""Queries over the driver's tables, one for each operator, with the SQL that gives the same rows."""
+"""Queries over the driver's tables, one for each operator, with the DuckDB SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from feedloom.functions import transforms as T
+from feedloom.functions.compat import strip
+from feedloom.operators import dedup, stats
+from feedloom.operators.convert import difference
+from feedloom.operators.predicates import select
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def _query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _filter(name: str, table: str, key: str, field: str, operator: str, value: str, where: str) -> None:
+    @_query(name, f"SELECT {key}, {field} FROM {table} WHERE {where}")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = _table(spark, sf_dir, table)
+        return select(df, df.columns, [{"field": field, "operator": operator, "value": value}]).select(key, field)
+
+
+_NUM = "CASE WHEN {0} IS NULL THEN NULL ELSE coalesce(TRY_CAST(nullif(regexp_extract({0}, '^\\s*([+-]?(\\d+\\.?\\d*([eE][+-]?\\d+)?|\\.\\d+([eE][+-]?\\d+)?))', 1), '') AS DOUBLE), 0) END"
+_filter("filter_equals", "orders", "o_orderkey", "o_orderstatus", "Equals", "F", "o_orderstatus = 'F'")
+_filter("filter_not_equals", "orders", "o_orderkey", "o_orderstatus", "Not Equals", "F", "o_orderstatus <> 'F' OR o_orderstatus IS NULL")
+_filter("filter_contains", "documents", "doc_id", "text", "Contains", "an", "text ILIKE '%an%'")
+_filter("filter_starts_with", "part", "p_partkey", "p_name", "Starts With", "a", "p_name ILIKE 'a%'")
+_filter("filter_ends_with", "part", "p_partkey", "p_name", "Ends With", "E", "p_name ILIKE '%e'")
+_filter("filter_greater_than", "events", "event_id", "event_type", "Greater Than", "c", "event_type > 'c'")
+_filter("filter_less_than", "customer", "c_custkey", "c_name", "Less Than", "5", _NUM.format("c_name") + " < 5")
+_filter("filter_exists", "customer", "c_custkey", "c_mktsegment", "Exists", "", "c_mktsegment IS NOT NULL AND c_mktsegment <> ''")
+_filter("filter_missing", "customer", "c_custkey", "c_mktsegment", "Missing", "", "c_mktsegment IS NULL OR c_mktsegment = ''")
+_filter("filter_in_list", "orders", "o_orderkey", "o_orderpriority", "In List", "1-URGENT, 2-HIGH", "o_orderpriority IN ('1-URGENT', '2-HIGH')")
+_filter("filter_not_in_list", "orders", "o_orderkey", "o_orderpriority", "Not In List", "1-URGENT,2-HIGH", "o_orderpriority NOT IN ('1-URGENT', '2-HIGH')")
+_filter("filter_regex", "documents", "doc_id", "text", "Regex", "^The [a-z]+ ", "regexp_matches(text, '^The [a-z]+ ', 'i')")
+_filter("filter_unknown_field", "orders", "o_orderkey", "o_orderstatus", "Unknown", "x", "true")
+
+
+@_query("search_all", "SELECT p_partkey FROM part WHERE p_name ILIKE '%an%' OR p_brand ILIKE '%an%' OR p_type ILIKE '%an%'")
+def search_all(spark, sf_dir):
+    return select(_table(spark, sf_dir, "part"), ["p_name", "p_brand", "p_type"], term="an").select("p_partkey")
+
+
+@_query("filter_and_search", "SELECT p_partkey FROM part WHERE p_brand <> 'Brand#1' AND p_name ILIKE 's%'")
+def filter_and_search(spark, sf_dir):
+    return select(_table(spark, sf_dir, "part"), ["p_name", "p_brand"], [{"field": "p_brand", "operator": "Not Equals", "value": "Brand#1"}], "s", "Starts With", "p_name").select("p_partkey")
+
+
+def _stats_sql(table: str, fields: list[str]) -> str:
+    one = """SELECT {i} AS field_idx, '{f}' AS path, count(*) AS total, count(*) FILTER ({f} <> '') AS present, count(*) - count(*) FILTER ({f} <> '') AS missing,
+      count(DISTINCT nullif({f}, '')) AS unique_count, greatest(count(*) FILTER ({f} <> '') - count(DISTINCT nullif({f}, '')), 0) AS duplicate_count,
+      coalesce(min(length({f})), 0) AS min_length, coalesce(max(length({f})), 0) AS max_length, coalesce(round(avg(length({f})), 2), 0) AS avg_length,
+      coalesce(round(100.0 * count(*) FILTER ({f} <> '') / count(*), 2), 0) AS completion_rate FROM {t}"""
+    return " UNION ALL ".join(one.format(i=i, f=f, t=table) for i, f in enumerate(fields))
+
+
+@_query("field_stats", _stats_sql("documents", ["text"]))
+def field_stats(spark, sf_dir):
+    return stats.field_stats(_table(spark, sf_dir, "documents"), "text")
+
+
+@_query("all_field_stats", _stats_sql("part", ["p_name", "p_brand", "p_type"]))
+def all_field_stats(spark, sf_dir):
+    return stats.all_field_stats(_table(spark, sf_dir, "part"), ["p_name", "p_brand", "p_type"])
+
+
+@_query("completeness", "SELECT path, completion_rate, present, missing, CASE WHEN completion_rate < 50 THEN 'danger' WHEN completion_rate < 85 THEN 'warning' ELSE 'success' END AS band FROM (" + _stats_sql("(SELECT nullif(o_orderstatus, 'F') AS o_orderstatus, o_orderpriority FROM orders)", ["o_orderstatus", "o_orderpriority"]) + ")")
+def completeness(spark, sf_dir):
+    return stats.completeness(_table(spark, sf_dir, "orders").withColumn("o_orderstatus", F.expr("nullif(o_orderstatus, 'F')")), ["o_orderstatus", "o_orderpriority"])
+
+
+@_query("top_values", "SELECT p_brand AS value, count(*) AS n FROM part WHERE p_brand <> '' GROUP BY 1 ORDER BY n DESC, value LIMIT 10")
+def top_values(spark, sf_dir):
+    return stats.frequent_values(_table(spark, sf_dir, "part"), "p_brand")
+
+
+@_query("bottom_values", "SELECT p_type AS value, count(*) AS n FROM part WHERE p_type <> '' GROUP BY 1 ORDER BY n, value LIMIT 10")
+def bottom_values(spark, sf_dir):
+    return stats.frequent_values(_table(spark, sf_dir, "part"), "p_type", rarest=True)
+
+
+@_query("multi_group_by", "SELECT coalesce(nullif(o_orderstatus, 'F'), '[Missing]') AS o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2")
+def multi_group_by(spark, sf_dir):
+    df = _table(spark, sf_dir, "orders").withColumn("o_orderstatus", F.expr("nullif(o_orderstatus, 'F')"))
+    return stats.group_by(df, ["o_orderstatus", "o_orderpriority", "unknown"], df.columns)
+
+
+@_query("rollup_ext", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
+def rollup_ext(spark, sf_dir):
+    return stats.rollup(_table(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"])
+
+
+@_query("field_values", "SELECT CASE WHEN p_type = '' THEN '[Empty]' ELSE p_type END AS value, count(*) AS n FROM part WHERE p_type IS NOT NULL GROUP BY 1")
+def field_values(spark, sf_dir):
+    return stats.field_values(_table(spark, sf_dir, "part"), "p_type")
+
+
+@_query("field_value_export", "SELECT nullif(o_orderstatus, 'F') AS value, count(*) AS n FROM orders GROUP BY 1")
+def field_value_export(spark, sf_dir):
+    return stats.field_value_export(_table(spark, sf_dir, "orders").withColumn("s", F.expr("nullif(o_orderstatus, 'F')")), "s")
+
+
+@_query("duplicate_values", "SELECT text AS value, count(*) AS n FROM documents WHERE text <> '' GROUP BY 1 HAVING count(*) > 1 ORDER BY n DESC, value LIMIT 1000")
+def duplicate_values(spark, sf_dir):
+    return stats.duplicate_values(_table(spark, sf_dir, "documents"), "text")
+
+
+@_query("duplicate_total", "SELECT coalesce(sum(n - 1), 0)::BIGINT AS duplicates FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 1)")
+def duplicate_total(spark, sf_dir):
+    return stats.duplicate_total(_table(spark, sf_dir, "orders").withColumn("o_custkey", F.col("o_custkey").cast("string")), "o_custkey")
+
+
+@_query("global_summary", "SELECT count(*) AS total_jobs, 2 AS total_fields, (SELECT coalesce(sum(n - 1), 0)::BIGINT FROM (SELECT count(*) AS n FROM pages GROUP BY url HAVING count(*) > 1)) AS duplicates FROM pages")
+def global_summary(spark, sf_dir):
+    return stats.summary(_table(spark, sf_dir, "pages").select("url", "html"), ["url", "html"])
+
+
+@_query("duplicate_summary", " UNION ALL ".join(f"SELECT '{f}' AS path, count(*) AS groups, sum(n)::BIGINT AS total_rows FROM (SELECT count(*) AS n FROM part WHERE {f} <> '' GROUP BY {f} HAVING count(*) > 1) HAVING count(*) > 0" for f in ("p_name", "p_brand", "p_type")))
+def duplicate_summary(spark, sf_dir):
+    return stats.duplicate_summary(_table(spark, sf_dir, "part"), ["p_name", "p_brand", "p_type"])
+
+
+_CHART = "WITH g AS ({0}), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, {1}) AS rn FROM g) SELECT {2} AS label, n FROM r WHERE rn <= 15 UNION ALL SELECT 'Other', sum(n)::BIGINT FROM r WHERE rn > 15 HAVING sum(n) > 0"
+
+
+@_query("chart_other", _CHART.format("SELECT p_brand, count(*) AS n FROM part GROUP BY 1", "p_brand", "p_brand"))
+def chart_other(spark, sf_dir):
+    return stats.chart(stats.group_by(_table(spark, sf_dir, "part"), ["p_brand"], ["p_brand"]), ["p_brand"])
+
+
+@_query("flagship", _CHART.format("SELECT c_mktsegment, o_orderpriority, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus IN ('F', 'O') AND c_acctbal > 0 GROUP BY 1, 2", "c_mktsegment, o_orderpriority", "c_mktsegment || ' > ' || o_orderpriority"))
+def flagship(spark, sf_dir):
+    """Filter, two-level group and chart buckets over the orders of customers."""
+    orders = _table(spark, sf_dir, "orders").join(_table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    kept = select(orders.withColumn("c_acctbal", F.col("c_acctbal").cast("string")), orders.columns, [{"field": "o_orderstatus", "operator": "In List", "value": "F,O"}, {"field": "c_acctbal", "operator": "Greater Than", "value": "0"}])
+    by = ["c_mktsegment", "o_orderpriority"]
+    return stats.chart(stats.group_by(kept, by, by), by)
+
+
+def _transform(name: str, table: str, key: str, field: str, steps: list[dict], sql: str) -> None:
+    @_query(name, f"SELECT {key}, {sql} AS value FROM {table}")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = _table(spark, sf_dir, table)
+        return df.select(key, T.apply(F.col(field), steps, df.columns).alias("value"))
+
+
+def _step(name: str, *args: str) -> list[dict]:
+    return [{"function": name, "args": list(args)}]
+
+
+_transform("transform_concat", "part", "p_partkey", "p_name", _step("concat", "-", "$p_brand", "x", "$p_type", "$none"), "concat_ws('-', p_brand, 'x', p_type, '')")
+_transform("transform_substring", "part", "p_partkey", "p_name", _step("substring", "1", "5"), "p_name[2:5]")
+_transform("transform_substring_end", "part", "p_partkey", "p_name", _step("substring", "-3", "-1"), "p_name[length(p_name) - 2:length(p_name) - 1]")
+_transform("transform_tokenize", "part", "p_partkey", "p_name", _step("tokenize", " ", "1"), "split_part(p_name, ' ', 2)")
+_transform("transform_replace", "part", "p_partkey", "p_name", _step("replace", "a", "[A]"), "replace(p_name, 'a', '[A]')")
+_transform("transform_upper_lower", "part", "p_partkey", "p_type", [*_step("upper"), *_step("replace", "E", "e")], "replace(upper(p_type), 'E', 'e')")
+_transform("transform_strip", "part", "p_partkey", "p_name", [*_step("concat", "", "  ", "$p_name", "\t "), *_step("strip")], "trim(p_name)")
+_transform("transform_title_case", "part", "p_partkey", "p_name", _step("title_case"), "array_to_string(list_transform(string_split(p_name, ' '), lambda s: upper(s[1]) || lower(s[2:])), ' ')")
+_transform("transform_default", "orders", "o_orderkey", "o_orderstatus", [*_step("replace", "F", " "), *_step("default", "none")], "CASE WHEN trim(replace(o_orderstatus, 'F', ' ')) = '' THEN 'none' ELSE o_orderstatus END")
+_transform("transform_regex_replace", "part", "p_partkey", "p_name", _step("regex_replace", r"(\w+) (\w+)", r"\2_\1"), r"regexp_replace(p_name, '(\w+) (\w+)', '\2_\1', 'g')")
+_transform("transform_url_encode", "part", "p_partkey", "p_brand", _step("url_encode"), "url_encode(p_brand)")
+_transform("transform_url_decode", "part", "p_partkey", "p_brand", [*_step("url_encode"), *_step("url_decode")], "p_brand")
+_transform("transform_contains", "part", "p_partkey", "p_name", _step("contains", "an", "yes", "no"), "CASE WHEN contains(p_name, 'an') THEN 'yes' ELSE 'no' END")
+
+
+@_query("transform_date_format", "SELECT o_orderkey, strftime(o_orderdate, '%d/%m/%Y') AS value FROM orders")
+def transform_date_format(spark, sf_dir):
+    text = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return _table(spark, sf_dir, "orders").select("o_orderkey", T.date_format(text, "%Y-%m-%d", "%d/%m/%Y").alias("value"))
+
+
+@_query("content_hash", "SELECT doc_id, sha256(text) AS hash FROM documents")
+def content_hash(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
+
+
+@_query("json_field", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def json_field(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+@_query("html_title", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
+def html_title(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+
+
+@_query("merge_union", "SELECT r_name AS name, 0 AS source_idx FROM region UNION ALL SELECT n_name, 1 FROM nation")
+def merge_union(spark, sf_dir):
+    return dedup.ordered_union([_table(spark, sf_dir, "region").select(F.col("r_name").alias("name")), _table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"))]).select("name", "source_idx")
+
+
+@_query("dedup_first_wins", "SELECT min(doc_id) AS doc_id FROM documents GROUP BY lower(trim(text))")
+def dedup_first_wins(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select(F.lit(0).alias("source_idx"), F.col("doc_id").alias("rec_idx"), F.create_map(F.lit("id"), F.trim("text")).alias("fields"), "text")
+    return dedup.first_wins(docs).select(F.col("rec_idx").alias("doc_id"))
+
+
+@_query("dedup_multi_key")
+def dedup_multi_key(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders")
+    fields = F.create_map(F.lit("id"), (F.col("o_custkey") % 997).cast("string"), F.lit("url"), F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return dedup.first_wins(orders.select(F.lit(0).alias("source_idx"), F.col("o_orderkey").alias("rec_idx"), fields.alias("fields"))).select("rec_idx")
+
+
+@_query("diff_full_outer", "SELECT coalesce(a.n_name, b.n_name) AS path, CASE WHEN b.n_name IS NULL THEN 'Removed' WHEN a.n_name IS NULL THEN 'Added' ELSE 'Value mismatch' END AS kind, a.v AS old_value, b.v AS new_value FROM (SELECT n_name, n_regionkey::VARCHAR AS v FROM nation WHERE n_nationkey < 15) a FULL JOIN (SELECT n_name, (n_regionkey % 3)::VARCHAR AS v FROM nation WHERE n_nationkey >= 5) b ON a.n_name = b.n_name WHERE a.v IS DISTINCT FROM b.v")
+def diff_full_outer(spark, sf_dir):
+    nation = _table(spark, sf_dir, "nation")
+    a = nation.where("n_nationkey < 15").select(F.col("n_name").alias("path"), F.col("n_regionkey").cast("string").alias("value"))
+    b = nation.where("n_nationkey >= 5").select(F.col("n_name").alias("path"), (F.col("n_regionkey") % 3).cast("string").alias("value"))
+    return difference(a, b)
+
+
+@_query("strip_function", "SELECT p_partkey, trim(p_name) AS value FROM part")
+def strip_function(spark, sf_dir):
+    return _table(spark, sf_dir, "part").select("p_partkey", strip(F.concat(F.lit("  "), "p_name", F.lit("\n"))).alias("value"))
+
+
+@_query("validate_json", "SELECT event_id, json_valid(props) AS valid FROM events")
+def validate_json(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", F.try_parse_json("props").isNotNull().alias("valid"))
