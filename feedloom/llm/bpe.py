@@ -13,6 +13,7 @@ or empty text has no ids and decodes to an empty text; repeated rows each come b
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -261,21 +262,19 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.mapInArrow(run, f"{fields}, decoded string")
 
 
-def digests(decoded: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas) and decoded_sha256 of encoded and decoded rows."""
-    import hashlib
-
-    kind = decoded.schema["doc_id"].dataType.simpleString()
+def digests(encoded: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (decimal ids joined by commas) and decoded_sha256 of encoded rows, which it decodes."""
+    kind = encoded.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            counts, shas = [], []
+            counts, said, texts = [], [], []
             for data in batch.column("ids").to_pylist():
                 ids = np.frombuffer(data, c.kind).tolist()
                 counts.append(len(ids))
-                shas.append(hashlib.sha256(",".join(map(c.decimal.__getitem__, ids)).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), batch.column("decoded_sha256")], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                said.append(hashlib.sha256(",".join(map(c.decimal.__getitem__, ids)).encode()).hexdigest())
+                texts.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(said, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    held = decoded.select("doc_id", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
-    return held.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -51,7 +51,7 @@ def test_encode_decode_rows(spark):
 
 def test_digests(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    rows = bpe.digests(bpe.decode(bpe.encode(docs, PATH), PATH), PATH).collect()
+    rows = bpe.digests(bpe.encode(docs, PATH), PATH).collect()
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     assert len(rows) == len(texts)
     for r in rows:
