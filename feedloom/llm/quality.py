@@ -115,8 +115,7 @@ def judge(docs: DataFrame, host: str = "source") -> DataFrame:
 
 def filter_quality(docs: DataFrame, host: str = "source") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the columns they have; frequent lines leave their texts."""
-    measured = save(_measured(docs, host), "quality-measures")
-    often = save(frequent_lines(measured), "quality-lines")
+    often = save(frequent_lines(save(_measured(docs, host).select("host", "text_key", "lines"), "quality-measures")), "quality-lines")
     hashes = save(often.groupBy("host").agg(F.collect_set("hash").alias("_often")), "quality-hosts")  # at most 1 / LINE_SHARE lines a document line of each host
     text = F.coalesce("text", F.lit(""))
     held = docs.withColumn("_words", _words(text)).withColumn("_n", F.size("_words"))
