@@ -1,0 +1,247 @@
+"""Feed sources: record detection on a file head, XML and JSON records, and the flat wide table."""
+
+from __future__ import annotations
+
+import gzip
+import io
+import json
+from collections import Counter
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Element names of records, in lower case.
+RECORD_NAMES = ("job", "position", "item", "entry", "opening", "vacancy")
+HEAD = 5 << 20
+
+
+def head(spark: SparkSession, path: str, size: int = HEAD) -> bytes:
+    """The first bytes of the first file, read by Spark so that any store works."""
+    return bytes(spark.read.format("binaryFile").load(path).orderBy("path").limit(1).select(F.substring("content", 1, size)).first()[0])
+
+
+def _events(data: bytes) -> Iterator[tuple[str, ElementTree.Element]]:
+    parser = ElementTree.XMLPullParser(("start", "end"))
+    try:
+        parser.feed(data)
+        yield from parser.read_events()
+    except ElementTree.ParseError:  # what came before the fault, or before the head ends
+        yield from ()
+
+
+def _local(tag: str) -> str:
+    return tag.rpartition("}")[2]
+
+
+def detect_xml_element(spark: SparkSession, path: str) -> str:
+    """The element that most likely is the record: many with children, at a small depth; ``job`` if there is none."""
+    n, depth_of, stack = Counter(), {}, []
+    for kind, element in _events(head(spark, path)):
+        if kind == "start":
+            if stack:
+                stack[-1][1] = True
+            stack.append([_local(element.tag), False])
+        else:
+            name, has_children = stack.pop()
+            if has_children and 1 <= len(stack) <= 3:
+                n[name] += 1
+                depth_of[name] = min(depth_of.get(name, 9), len(stack))
+    return max(n, key=lambda k: (n[k] / (depth_of[k] + 0.1), k), default="job")
+
+
+def detect_json_path(spark: SparkSession, path: str) -> str:
+    """The list with most maps or lists as its items, as names joined by dots and ``item``; ``item`` if there is none."""
+    found: Counter[str] = Counter()
+
+    def walk(value, prefix: str) -> None:
+        if isinstance(value, dict):
+            for k, v in value.items():
+                walk(v, f"{prefix}.{k}" if prefix else k)
+        elif isinstance(value, list):
+            own = f"{prefix}.item" if prefix else "item"
+            for v in value:
+                if isinstance(v, dict | list):
+                    found[own] += 1
+                walk(v, own)
+
+    try:
+        walk(json.loads(head(spark, path)), "")
+    except ValueError:
+        return "item"
+    return max(found, key=lambda k: found[k], default="item")
+
+
+def read_xml(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
+    """Records of clean XML; the reader splits large files by records."""
+    options = {"rowTag": row_tag, "attributePrefix": "@", "valueTag": "#text", "inferSchema": "false", "ignoreNamespace": "true", "mode": "PERMISSIVE"}
+    return spark.read.format("xml").options(**options).load(path)
+
+
+def read_json(spark: SparkSession, path: str, record_path: str = "item") -> DataFrame:
+    """Records of a JSON document under a path such as ``positions.item``."""
+    names = [n for n in record_path.split(".") if n != "item"]
+    df = spark.read.option("multiLine", True).option("primitivesAsString", True).json(path)
+    for name in names:
+        df = df.select(F.col(f"`{name}`").alias("r"))
+        if isinstance(df.schema["r"].dataType, T.ArrayType):
+            df = df.select(F.explode("r").alias("r"))
+        df = df.select("r.*") if isinstance(df.schema["r"].dataType, T.StructType) else df.select(F.col("r").alias("value"))
+    return df
+
+
+def _flat(schema: T.StructType, c: Column | None, prefix: str, xml: bool) -> list[tuple[str, Column]]:
+    out: list[tuple[str, Column]] = []
+    for f in schema.fields:
+        own = F.col(f"`{f.name}`") if c is None else c[f.name]
+        path, kind = f"{prefix}{f.name}", f.dataType
+        if isinstance(kind, T.StructType):
+            out += _flat(kind, own, path + "/", xml)
+        elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
+            for name, inner in _flat(kind.elementType, None, "", xml):
+                out.append((f"{path}/{name}", _listed(_inside(own, name), xml)))
+        elif isinstance(kind, T.ArrayType):
+            out.append((path, _listed(own, xml)))
+        else:
+            out.append((path, own.cast("string")))
+    return out
+
+
+def _inside(items: Column, path: str) -> Column:
+    """The values at a path of the items of a list; items without it add nothing."""
+
+    def get(x: Column) -> Column:
+        for name in path.split("/"):
+            x = x[name]
+        return x
+
+    return F.filter(F.transform(items, get), lambda x: x.isNotNull())
+
+
+def _listed(values: Column, xml: bool) -> Column:
+    """A list as JSON text; in XML a single element is a plain value, in JSON a list stays one."""
+    text = F.to_json(values)
+    return F.when(F.size(values) == 1, F.get(values, F.lit(0)).cast("string")).when(F.size(values) > 1, text) if xml else F.when(values.isNotNull(), text)
+
+
+def flatten(records: DataFrame, xml: bool = False) -> DataFrame:
+    """The wide table of records: one text column for each path, names joined by a slash."""
+    return records.select(*[c.alias(p) for p, c in _flat(records.schema, None, "", xml)])
+
+
+def schema_tree(paths: list[str]) -> dict:
+    """Paths as a nested dict; a leaf is an empty one."""
+    tree: dict = {}
+    for path in sorted(paths):
+        node = tree
+        for part in path.split("/"):
+            node = node.setdefault(part, {})
+    return tree
+
+
+def _job_fields(element: ElementTree.Element) -> list[tuple[str, str]]:
+    out: dict[str, str] = {}
+    for child in element:
+        out.setdefault(_local(child.tag), "".join(child.itertext()).strip())
+    return list(out.items())
+
+
+def _json_jobs(value, in_list: bool = False) -> Iterator[list[tuple[str, str]]]:
+    def flat(v, prefix: str) -> Iterator[tuple[str, str]]:
+        if isinstance(v, dict):
+            for k, x in v.items():
+                yield from flat(x, f"{prefix}_{k}" if prefix else k)
+        elif isinstance(v, list):
+            for x in v:
+                yield from flat(x, prefix)
+        else:
+            yield prefix, "" if v is None else str(v)
+
+    if isinstance(value, dict) and in_list:
+        yield list(dict(flat(value, "")).items())
+    elif isinstance(value, dict):
+        for v in value.values():
+            yield from _json_jobs(v)
+    elif isinstance(value, list):
+        for v in value:
+            yield from _json_jobs(v, True)
+
+
+def scan_jobs(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """source_idx, rec_idx, fields, raw of the records of feeds in any mix of XML and JSON, plain or gzip.
+
+    Format is told by content. A file is parsed in one task, as one document; records before a fault are kept.
+    """
+    listed = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "source_idx int, wanted string")
+    files = spark.read.format("binaryFile").load(paths).join(F.broadcast(listed), F.col("path").endswith(F.regexp_replace("wanted", "^[a-z]+:/*(?=/)", "")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int32(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.string())
+        for batch in batches:
+            for source, data in zip(batch.column("source_idx").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+                rows: list[tuple] = []
+                if data[:500].lstrip(b"\xef\xbb\xbf \t\r\n")[:1] in (b"{", b"["):
+                    rows = [(source, i, job, json.dumps(dict(job))) for i, job in enumerate(_json_jobs(json.loads(data.decode("utf-8-sig"))))]
+                else:
+                    depth = 0
+                    try:
+                        for kind, element in ElementTree.iterparse(io.BytesIO(data), ("start", "end")):
+                            if _local(element.tag).lower() in RECORD_NAMES:
+                                depth += 1 if kind == "start" else -1
+                                if kind == "end" and not depth:  # the outermost record
+                                    element.tail = None
+                                    rows.append((source, len(rows), _job_fields(element), ElementTree.tostring(element, "unicode")))
+                                    element.clear()
+                    except ElementTree.ParseError:
+                        pass
+                for at in range(0, len(rows), 2000):
+                    columns = zip(*rows[at : at + 2000], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["source_idx", "rec_idx", "fields", "raw"])
+
+    return files.select("source_idx", "content").mapInArrow(run, "source_idx int, rec_idx long, fields map<string,string>, raw string")
+
+
+def leaves_of(spark: SparkSession, path: str) -> DataFrame:
+    """(path, value) of the leaves of JSON documents; a list adds its size under ``/size()``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def walk(v, at: str) -> Iterator[tuple[str, str | None]]:
+            if isinstance(v, dict):
+                for k, x in v.items():
+                    yield from walk(x, f"{at}/{k}" if at else k)
+            elif isinstance(v, list):
+                yield f"{at}/size()", str(len(v))
+                for i, x in enumerate(v):
+                    yield from walk(x, f"{at}[{i}]")
+            else:
+                yield at, None if v is None else str(v)
+
+        for batch in batches:
+            for data in batch.column("content").to_pylist():
+                rows = list(walk(json.loads(data), ""))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], names=["path", "value"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "path string, value string")
+
+
+def sniff(path: Column, content: Column) -> Column:
+    """json or xml by suffix, else by the first character after a byte order mark."""
+    start = F.ltrim(F.regexp_replace(F.decode(F.substring(content, 1, 4096), "UTF-8"), "^﻿?\\s*", ""))
+    by_name = F.when(path.rlike(r"(?i)\.json$"), "json").when(path.rlike(r"(?i)\.(xml|xsd|xsl|xslt|svg|xhtml)$"), "xml")
+    return F.coalesce(by_name, F.when(F.substring(start, 1, 1).isin("{", "["), "json").otherwise("xml"))
+
+
+def encoding(content: Column) -> Column:
+    """Encoding by byte order mark, then by the XML declaration, else utf-8."""
+    mark = F.hex(F.substring(content, 1, 4))
+    said = F.lower(F.regexp_extract(F.decode(F.substring(content, 1, 256), "ISO-8859-1"), r"""encoding\s*=\s*["']([A-Za-z0-9._-]+)["']""", 1))
+    marks = F.when(mark.isin("0000FEFF"), "utf-32-be").when(mark == "FFFE0000", "utf-32-le").when(mark.startswith("EFBBBF"), "utf-8-sig").when(mark.startswith("FFFE"), "utf-16-le").when(mark.startswith("FEFF"), "utf-16-be")
+    return F.coalesce(marks, F.nullif(said, F.lit("")), F.lit("utf-8"))
+
+
+def staged_name(kind: Column, key: Column, suffix: str = "") -> Column:
+    return F.concat(F.substring(F.sha2(F.concat_ws(":", kind, key), 256), 1, 16), F.lit(suffix))
