@@ -115,7 +115,12 @@ def validate(spark: SparkSession, paths: list[str] | str, context: int = 10) ->
     A file is one document and is parsed in one task. A tag mismatch inside the span of the last one kept is its consequence
     and is left out.
     """
-    files = spark.read.format("binaryFile").load(paths).withColumn("kind", sniff(F.col("path"), F.col("content")))
+    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    # The reader leaves out files without content; their names are in the listing that the driver already has.
+    bare = lambda c: F.regexp_replace(c, "^([a-z]+):/+", "$1:/")
+    named = spark.createDataFrame([(p,) for p in files.inputFiles()], "path string").withColumn("path", bare(F.col("path")))
+    empty = named.join(files.select(bare(F.col("path")).alias("path")), "path", "left_anti").withColumn("content", F.lit(b""))
+    files = files.union(empty).withColumn("kind", sniff(F.col("path"), F.col("content")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
