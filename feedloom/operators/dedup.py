@@ -67,6 +67,9 @@ def first_wins(records: DataFrame, names: tuple[str, ...] = IDENTIFIERS, known:
         seen = open_.join(known, ["field_name", "field_value"], "left_semi").select("o").distinct()
         open_ = written(open_.join(seen, "o", "left_anti"), "dedup-open")
     kept = None
+    if len(names) == 1:  # each record has one identifier, so one minimum decides
+        kept = open_.groupBy("field_name", "field_value").agg(F.min("o").alias("o")).select("o")
+        return records.join(kept.select("o.*"), ["source_idx", "rec_idx"], "left_semi")
     while not open_.isEmpty():
         least = open_.groupBy("field_name", "field_value").agg(F.min("o").alias("first"))
         now = written(open_.join(least, ["field_name", "field_value"]).withColumn("wins", F.col("o") == F.col("first")), "dedup-round")

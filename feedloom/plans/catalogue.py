@@ -211,7 +211,7 @@ def merge_union(spark, sf_dir):
 @_query("dedup_first_wins", "SELECT min(doc_id) AS doc_id FROM documents GROUP BY lower(trim(text))")
 def dedup_first_wins(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select(F.lit(0).alias("source_idx"), F.col("doc_id").alias("rec_idx"), F.create_map(F.lit("id"), F.trim("text")).alias("fields"), "text")
-    return dedup.first_wins(docs).select(F.col("rec_idx").alias("doc_id"))
+    return dedup.first_wins(docs, ("id",)).select(F.col("rec_idx").alias("doc_id"))
 
 
 @_query("dedup_multi_key")
