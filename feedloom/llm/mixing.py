@@ -6,7 +6,8 @@ two documents pair up, and words move at random from one to the other, with the
 has all or none of its words. The open one goes on to the next pair. Blocks of at most about ``BLOCK`` documents, dealt by
 hash, are folded in parallel, each leaving one open document; those are folded in turn, in a reduction tree. The words of
 a source never change on the way; only the last open document is rounded, to the nearer side, so a source ends within half
-of that one document of its target.
+of that one document of its target. The last block of a source is folded with ``TRIES`` seeds, and the one counts that ends
+nearest to the target.
 
 Defined results: a null text has size 0 and takes 0 words; a null source is a source of its own, ordered last; repeated
 rows are numbered and drawn one by one; with no words at all every target is 0. All random numbers are hashes of the
@@ -27,6 +28,7 @@ WEIGHTS = (1, 2, 3)
 MOST = 3
 BLOCK = 256
 SEED = 7
+TRIES = 16
 
 
 def n_words(text: Column) -> Column:
@@ -50,10 +52,10 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return rows.select("source", "source_size", "n", F.least(F.col("ceiling").cast("double"), F.col("level") * F.col("weight")).alias("target"))
 
 
-def _pair(a: Column, b: Column) -> Column:
+def _pair(a: Column, b: Column, seed: Column) -> Column:
     """Words ``y`` of the two after one move, as (ya, yb); z are their sizes."""
     up, down = F.least(a["z"] - a["y"], b["y"]), F.least(a["y"], b["z"] - b["y"])
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), a["h"], b["h"]), 11) * F.lit(2.0**-53)
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), seed, a["h"], b["h"]), 11) * F.lit(2.0**-53)
     rise = F.struct(F.when(a["z"] - a["y"] <= b["y"], a["z"]).otherwise(a["y"] + b["y"]).alias("a"), F.when(a["z"] - a["y"] <= b["y"], b["y"] - (a["z"] - a["y"])).otherwise(F.lit(0.0)).alias("b"))
     fall = F.struct(F.when(a["y"] <= b["z"] - b["y"], F.lit(0.0)).otherwise(a["y"] - (b["z"] - b["y"])).alias("a"), F.when(a["y"] <= b["z"] - b["y"], b["y"] + a["y"]).otherwise(b["z"]).alias("b"))
     return F.when(draw * (up + down) < down, rise).otherwise(fall)
@@ -63,7 +65,7 @@ def _with(x: Column, y: Column) -> Column:
     return F.struct(x["z"].alias("z"), x["h"].alias("h"), x["doc_id"].alias("doc_id"), x["copy"].alias("copy"), y.alias("y"))
 
 
-def _fold(items: Column, kind: str) -> Column:
+def _fold(items: Column, kind: str, seed: Column) -> Column:
     """done (all or nothing) and open (one or none) of a block, after one pass of pairs."""
     none, empty = F.lit(None).cast(kind), F.array().cast(f"array<{kind}>")
 
@@ -75,11 +77,24 @@ def _fold(items: Column, kind: str) -> Column:
             over = F.when(done_a & done_b, F.array(a, b)).when(done_a, F.array(a)).otherwise(F.array(b))
             return F.struct(still.alias("open"), F.concat(s["done"], over).alias("done"))
 
-        return F.when(s["open"].isNull(), F.struct(x.alias("open"), s["done"].alias("done"))).otherwise(let(_pair(s["open"], x), moved))
+        return F.when(s["open"].isNull(), F.struct(x.alias("open"), s["done"].alias("done"))).otherwise(let(_pair(s["open"], x, seed), moved))
 
     return F.aggregate(items, F.struct(none.alias("open"), empty.alias("done")), step)
 
 
+def _nearest(items: Column, kind: str) -> Column:
+    """The fold, of ``TRIES`` seeds, whose open document is nearest to all or nothing."""
+
+    def tried(k: Column) -> Column:
+        def rated(f: Column) -> Column:
+            miss = F.coalesce(F.least(f["open"]["y"], f["open"]["z"] - f["open"]["y"]), F.lit(0.0))
+            return F.struct(miss.alias("miss"), k.alias("k"), f.alias("f"))
+
+        return let(_fold(items, kind, k), rated)
+
+    return F.array_min(F.transform(F.sequence(F.lit(0), F.lit(TRIES - 1)), tried))["f"]
+
+
 def _rounded(rows: DataFrame, most: int, id_kind: str) -> DataFrame:
     """source, doc_id, copy, size, extra (0 or 1) for rows of source, doc_id, copy, size, share (over 0, under 1) and n."""
     kind = f"struct<z:double,h:bigint,doc_id:{id_kind},copy:int,y:double>"
@@ -90,7 +105,7 @@ def _rounded(rows: DataFrame, most: int, id_kind: str) -> DataFrame:
     while True:
         last = most <= BLOCK
         order = F.sort_array(F.collect_list(F.struct((-F.col("x.z")).alias("o"), F.col("x.h").alias("h"), F.col("x.copy").alias("c"), "x")))
-        folded = live.groupBy("source", "n", "block").agg(F.transform(order, lambda t: t["x"]).alias("items")).select("source", "n", "block", _fold(F.col("items"), kind).alias("f"))
+        folded = live.groupBy("source", "n", "block").agg(F.transform(order, lambda t: t["x"]).alias("items")).select("source", "n", "block", (_nearest(F.col("items"), kind) if last else _fold(F.col("items"), kind, F.lit(0))).alias("f"))
         whole = F.transform(F.col("f.done"), lambda x: F.struct(x.alias("x"), F.lit(True).alias("done")))
         still = F.when(F.col("f.open").isNull(), F.array().cast(f"array<struct<x:{kind},done:boolean>>")).otherwise(F.array(F.struct(F.col("f.open").alias("x"), F.lit(last).alias("done"))))
         level = save(folded.select("source", "n", "block", F.explode(F.concat(whole, still)).alias("e")).select("source", "n", "block", "e.x", "e.done"), "mix-level")
