@@ -41,7 +41,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_SEGMENT = 1 << 20
+_SEGMENT = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _JOIN = np.uint64(0xD6E8FEB86659FD93)
 
