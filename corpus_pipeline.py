@@ -39,8 +39,7 @@ def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Digests of the token ids of each document and of the text they decode to."""
     import public_tokenizers
 
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    return bpe.digests(bpe.encode(docs, path), path)
+    return bpe.encoded_digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -16,7 +16,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -180,16 +180,31 @@ def join_tree(parts: list[tuple[int, list[int]]], c: Codec) -> list[int]:
     return parts[0][1] if parts else []
 
 
-def _array(all_ids: list[list[int]], c: Codec) -> pa.Array:
-    return pa.array([np.asarray(i, c.kind).tobytes() for i in all_ids], pa.binary())
+#: Makes the output columns from the ids of some texts.
+Finish = Callable[[list[list[int]], "Codec"], list[pa.Array]]
 
 
-def _whole(path: str):
+def _packed(all_ids: list[list[int]], c: Codec) -> list[pa.Array]:
+    return [pa.array([np.asarray(i, c.kind).tobytes() for i in all_ids], pa.binary())]
+
+
+def _digested(all_ids: list[list[int]], c: Codec) -> list[pa.Array]:
+    said = [hashlib.sha256(",".join(map(c.decimal.__getitem__, ids)).encode()).hexdigest() for ids in all_ids]
+    texts = [hashlib.sha256(c.decode(ids).encode()).hexdigest() for ids in all_ids]
+    return [pa.array([len(ids) for ids in all_ids], pa.int64()), pa.array(said, pa.string()), pa.array(texts, pa.string())]
+
+
+IDS, DIGESTS = ("ids",), ("n_tokens", "ids_sha256", "decoded_sha256")
+_FIELDS = {IDS: "ids binary", DIGESTS: "n_tokens long, ids_sha256 string, decoded_sha256 string"}
+
+
+def _whole(path: str, names: tuple[str, ...], finish: Finish):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
             for part in text_chunks(batch):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), _array([c.encode_all(t) if t else [] for t in part.column("text").to_pylist()], c)], names=["doc_id", "ids"])
+                ids = [c.encode_all(t) if t else [] for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *finish(ids, c)], names=["doc_id", *names])
 
     return run
 
@@ -213,19 +228,19 @@ def _encoded(path: str):
         for batch in batches:
             for part in text_chunks(batch, "piece"):
                 ids = [encode_leaf(k, p, c) for k, p in zip(part.column("kind").to_pylist(), part.column("piece").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("part"), part.column("kind"), _array(ids, c)], names=["key", "part", "kind", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("part"), part.column("kind"), *_packed(ids, c)], names=["key", "part", "kind", "ids"])
 
     return run
 
 
-def _joined(path: str):
+def _joined(path: str, names: tuple[str, ...], finish: Finish):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
             for i in range(batch.num_rows):
                 parts = batch.column("parts")[i].as_py()
                 ids = join_tree([(p["kind"], np.frombuffer(p["ids"], c.kind).tolist()) for p in parts], c)
-                yield pa.RecordBatch.from_arrays([batch.column("key").slice(i, 1), _array([ids], c)], names=["key", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(i, 1), *finish([ids], c)], names=["key", *names])
 
     return run
 
@@ -235,17 +250,27 @@ def is_long(text: Column) -> Column:
     return F.coalesce(F.octet_length(text) > LEAF, F.lit(False))
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and ids (little-endian, 2 bytes each for up to 65,536 ids, else 4) for every row of ``docs`` (doc_id, text)."""
+def _through(docs: DataFrame, path: str, names: tuple[str, ...], finish: Finish) -> DataFrame:
+    """doc_id and the columns that ``finish`` makes, in the worker that completes the ids of a text."""
     docs = small_batches(docs.select("doc_id", "text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    short = docs.where(~is_long(F.col("text"))).mapInArrow(_whole(path), f"doc_id {kind}, ids binary")
+    kind, fields = docs.schema["doc_id"].dataType.simpleString(), _FIELDS[names]
+    short = docs.where(~is_long(F.col("text"))).mapInArrow(_whole(path, names, finish), f"doc_id {kind}, {fields}")
     long = docs.where(is_long(F.col("text"))).withColumn("key", F.sha2("text", 256))
     cut = long.select("key", "text").dropDuplicates(["key"]).mapInArrow(_split(path), "key string, part int, kind int, piece string")
     done = cut.repartition("key", "part").mapInArrow(_encoded(path), "key string, part int, kind int, ids binary")
     parts = done.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("part", "kind", "ids"))).alias("parts"))
-    whole = save(parts.mapInArrow(_joined(path), "key string, ids binary"), "bpe-long")
-    return short.union(long.select("doc_id", "key").join(whole, "key").select("doc_id", "ids"))
+    whole = save(parts.mapInArrow(_joined(path, names, finish), f"key string, {fields}"), "bpe-long")
+    return short.union(long.select("doc_id", "key").join(whole, "key").select("doc_id", *names))
+
+
+def encode(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id and ids (little-endian, 2 bytes each for up to 65,536 ids, else 4) for every row of ``docs`` (doc_id, text)."""
+    return _through(docs, path, IDS, _packed)
+
+
+def encoded_digests(docs: DataFrame, path: str) -> DataFrame:
+    """What ``digests`` of ``encode`` returns, without moving ids to a second worker; equal long texts are digested once."""
+    return _through(docs, path, DIGESTS, _digested)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -269,12 +294,8 @@ def digests(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            counts, said, texts = [], [], []
-            for data in batch.column("ids").to_pylist():
-                ids = np.frombuffer(data, c.kind).tolist()
-                counts.append(len(ids))
-                said.append(hashlib.sha256(",".join(map(c.decimal.__getitem__, ids)).encode()).hexdigest())
-                texts.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(said, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            for part in text_chunks(batch, "ids"):
+                ids = [np.frombuffer(data, c.kind).tolist() for data in part.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *_digested(ids, c)], names=["doc_id", *DIGESTS])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, {_FIELDS[DIGESTS]}")

@@ -32,9 +32,7 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _tokenizer()
-    encoded = bpe.encode(_table(spark, sf_dir, "documents"), path)
-    return bpe.digests(encoded, path)
+    return bpe.encoded_digests(_table(spark, sf_dir, "documents"), _tokenizer())
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,6 +61,14 @@ def test_digests(spark):
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
 
 
+def test_digests_in_one_worker(spark):
+    """Long, empty, null and repeated texts: the same rows as digests of the encoded texts."""
+    texts = [None, "", *hard_texts(), "long text " * 9000]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[-2:])], "doc_id long, text string")
+    assert sorted(bpe.encoded_digests(docs, PATH).collect()) == sorted(bpe.digests(bpe.encode(docs, PATH), PATH).collect())
+    assert bpe.encoded_digests(docs.limit(0), PATH).count() == 0
+
+
 def slow_best_fit(sizes, length):
     rooms, out = [], []
     for i in sorted(range(len(sizes)), key=lambda k: -sizes[k]):
