@@ -39,7 +39,7 @@ def counted_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def small_batches(df: DataFrame, size: int = 8 << 20) -> DataFrame:
+def small_batches(df: DataFrame, size: int = 2 << 20) -> DataFrame:
     """``df``, after the session's Arrow batches are bounded in bytes: rows of whole texts are far wider than usual ones."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     now = conf.get(key, None)
