@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import save, small_batches, text_chunks
+from feedloom.llm.common import save, small_batches, text_chunks, tidy
 
 #: Size of an ordinary leaf (texts of more bytes are split), and of a stretch without split from which it is halved.
 LEAF = 1 << 15
@@ -254,12 +254,12 @@ def _through(docs: DataFrame, path: str, names: tuple[str, ...], finish: Finish)
     """doc_id and the columns that ``finish`` makes, in the worker that completes the ids of a text."""
     docs = small_batches(docs.select("doc_id", "text"))
     kind, fields = docs.schema["doc_id"].dataType.simpleString(), _FIELDS[names]
-    short = docs.where(~is_long(F.col("text"))).mapInArrow(_whole(path, names, finish), f"doc_id {kind}, {fields}")
+    short = docs.where(~is_long(F.col("text"))).mapInArrow(tidy(_whole(path, names, finish)), f"doc_id {kind}, {fields}")
     long = docs.where(is_long(F.col("text"))).withColumn("key", F.sha2("text", 256))
-    cut = long.select("key", "text").dropDuplicates(["key"]).mapInArrow(_split(path), "key string, part int, kind int, piece string")
-    done = cut.repartition("key", "part").mapInArrow(_encoded(path), "key string, part int, kind int, ids binary")
+    cut = long.select("key", "text").dropDuplicates(["key"]).mapInArrow(tidy(_split(path)), "key string, part int, kind int, piece string")
+    done = cut.repartition("key", "part").mapInArrow(tidy(_encoded(path)), "key string, part int, kind int, ids binary")
     parts = done.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("part", "kind", "ids"))).alias("parts"))
-    whole = save(parts.mapInArrow(_joined(path, names, finish), f"key string, {fields}"), "bpe-long")
+    whole = save(parts.mapInArrow(tidy(_joined(path, names, finish)), f"key string, {fields}"), "bpe-long")
     return short.union(long.select("doc_id", "key").join(whole, "key").select("doc_id", *names))
 
 
@@ -284,7 +284,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(run, f"{fields}, decoded string")
+    return encoded.mapInArrow(tidy(run), f"{fields}, decoded string")
 
 
 def digests(encoded: DataFrame, path: str) -> DataFrame:
@@ -298,4 +298,4 @@ def digests(encoded: DataFrame, path: str) -> DataFrame:
                 ids = [np.frombuffer(data, c.kind).tolist() for data in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *_digested(ids, c)], names=["doc_id", *DIGESTS])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, {_FIELDS[DIGESTS]}")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), f"doc_id {kind}, {_FIELDS[DIGESTS]}")

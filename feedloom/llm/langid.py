@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import small_batches, text_chunks
+from feedloom.llm.common import small_batches, text_chunks, tidy
 
 #: Bound of the fit: rows for each language in expectation, and languages (the commonest labels).
 SAMPLE = 4000
@@ -176,7 +176,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -
         return Model([], np.zeros((0, BUCKETS)))
     share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, sample / r["count"])))])
     chosen = rows.where((F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(11)), F.lit(1 << 20)) / (1 << 20)) < F.try_element_at(share, F.col("lang")))
-    counted = chosen.select("text", "lang").mapInArrow(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counted = chosen.select("text", "lang").mapInArrow(tidy(_counts), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counted["lang"].unique().tolist())
     counts = np.zeros((len(langs), BUCKETS))
     counts[counted["lang"].map({k: i for i, k in enumerate(langs)}).to_numpy(), counted["bucket"].to_numpy()] = counted["n"].to_numpy()
@@ -195,7 +195,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(score), pa.array(unsure)], names=[*part.schema.names, "lang_pred", "score", "ambiguous"])
 
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double, ambiguous boolean")
+    return docs.mapInArrow(tidy(run), f"{fields}, lang_pred string, score double, ambiguous boolean")
 
 
 def held_out() -> Column:

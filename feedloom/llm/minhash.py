@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import connected_components, counted_broadcast, save, small_batches, text_chunks
+from feedloom.llm.common import connected_components, counted_broadcast, save, small_batches, text_chunks, tidy
 
 WORDS = 5
 PERCENT = 75
@@ -171,7 +171,7 @@ def _sets_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame
     """(node, shingles) of ``nodes``, recomputed from one text of each class."""
     wanted = save(classes.join(nodes, "node", "left_semi").select("node", F.col("least_id").alias("_id"), "set_key"), "minhash-wanted")
     texts = docs.join(counted_broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "set_key", "text")
-    return save(texts.mapInArrow(_sets, "node long, shingles array<long>").dropDuplicates(["node"]), "minhash-sets", "uncompressed")
+    return save(texts.mapInArrow(tidy(_sets), "node long, shingles array<long>").dropDuplicates(["node"]), "minhash-sets", "uncompressed")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -259,7 +259,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     docs = small_batches(docs.select("doc_id", "text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = save(docs.mapInArrow(_signatures, f"doc_id {kind}, n_shingles long, set_key binary, first_keys array<long>, second_keys array<long>"), "minhash-rows")
+    rows = save(docs.mapInArrow(tidy(_signatures), f"doc_id {kind}, n_shingles long, set_key binary, first_keys array<long>, second_keys array<long>"), "minhash-rows")
     grouped = rows.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n_shingles"), F.first("first_keys").alias("first_keys"), F.first("second_keys").alias("second_keys"))
     classes = save(grouped.withColumn("node", F.monotonically_increasing_id()), "minhash-classes")
 
