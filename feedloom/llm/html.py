@@ -4,9 +4,10 @@ Every page becomes its visible text lines (block elements), each marked by where
 headers and footers, sidebars, forms, adverts, notices, comments, scripts, by element or by class, id and role), inside the
 page's article or main element, or loose. Pages are ordered by host and URL path in range partitions, so a large host
 spreads over many tasks, and each page is paired with the page before it on its host (the first one with the next). The
-lines of a pair are aligned by their longest common subsequence, and shared lines are deleted, with two exceptions that
-keep articles whole: lines inside an article or main element, and pairs that share over half of their words, which are
-copies of one page and not pages of one template.
+lines of a pair are aligned by their longest common subsequence, and shared lines are deleted, inside an article or main
+element too. Pairs that share over half of their words (at least half, in an article) are copies of one page and not pages
+of one template: they lose nothing. The structure is a second filter: dropped parts go, and beside an article or main
+element loose lines go.
 
 Only line hashes and compressed text travel. A page at the edge of a range partition pairs with its neighbour inside it.
 Defined results: a null html or one without text gives an empty text; a null url has an empty host and path; repeated rows
@@ -181,12 +182,12 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _text(row: dict, other: dict | None) -> str:
     lines = zlib.decompress(row["kept"]).decode().split("\n") if row["kept"] else []
     lines = [x for x in lines if x]
-    if other is not None and LOOSE in row["places"]:
+    if other is not None and lines:
         shared = shared_places(row["hashes"], other["hashes"])
         both = sum(row["words"][i] for i in shared if row["places"][i] != DROPPED)
         every = sum(w for w, p in zip(row["words"], row["places"], strict=True) if p != DROPPED)
-        if 2 * both <= every:
-            gone = {i for i in shared if row["places"][i] == LOOSE}
+        if 2 * both + (MAIN in row["places"]) <= every:
+            gone = set(shared)
             order = [i for i, p in enumerate(row["places"]) if p != DROPPED]
             lines = [x for i, x in zip(order, lines, strict=True) if i not in gone]
     return "\n\n".join(lines)

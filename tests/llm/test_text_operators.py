@@ -158,5 +158,15 @@ def test_html_differencing(spark):
     assert (got[12], got[13], got[14], got[15]) == ("", "ok", "Lead\n\nSame", "Other\n\nSame") and html.extract(df.limit(0)).count() == 0
 
 
+def test_html_differencing_inside_articles(spark):
+    shell = "<body><nav>Menu</nav><article><p>Share this story</p><p>{}</p><p>All our stories are free</p></article></body>"
+    rows = [(i, f"http://h/{i}", shell.format(f"story {i} " * 9)) for i in range(4)]
+    rows += [(10 + i, f"http://c/{i}", shell.format("one long text " * 9) + f"<p>{i}</p>") for i in range(2)]  # copies stay whole
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(df.coalesce(1)).collect()}
+    assert [got[i] for i in range(4)] == [" ".join([f"story {i}"] * 9) for i in range(4)]
+    assert got[10] == got[11] == "Share this story\n\n" + " ".join(["one long text"] * 9) + "\n\nAll our stories are free"
+
+
 def test_letters_table():
     assert langid._fold()[ord("É")] == ord("é") and langid._fold()[ord("3")] == 0 and isinstance(langid._fold(), np.ndarray)
