@@ -6,8 +6,8 @@ two documents pair up, and words move at random from one to the other, with the
 has all or none of its words. The open one goes on to the next pair. Blocks of at most about ``BLOCK`` documents, dealt by
 hash, are folded in parallel, each leaving one open document; those are folded in turn, in a reduction tree. The words of
 a source never change on the way; only the last open document is rounded, to the nearer side, so a source ends within half
-of that one document of its target. The last block of a source is folded with ``TRIES`` seeds, and the one counts that ends
-nearest to the target.
+of that one document of its target. The last block of each source, at whatever level it has only one, is folded with ``TRIES``
+seeds, and the one counts that ends nearest to the target.
 
 Defined results: a null text has size 0 and takes 0 words; a null source is a source of its own, ordered last; repeated
 rows are numbered and drawn one by one; with no words at all every target is 0. All random numbers are hashes of the
@@ -103,15 +103,16 @@ def _rounded(rows: DataFrame, most: int, id_kind: str) -> DataFrame:
     live = rows.select("source", "n", F.struct(F.col("size").cast("double").alias("z"), key.alias("h"), "doc_id", "copy", (F.col("share") * F.col("size")).alias("y")).alias("x"), F.pmod(key, blocks).alias("block"))
     out = None
     while True:
-        last = most <= BLOCK
+        last = F.col("n") <= BLOCK  # the source has one block left, whatever the others have
         order = F.sort_array(F.collect_list(F.struct((-F.col("x.z")).alias("o"), F.col("x.h").alias("h"), F.col("x.copy").alias("c"), "x")))
-        folded = live.groupBy("source", "n", "block").agg(F.transform(order, lambda t: t["x"]).alias("items")).select("source", "n", "block", (_nearest(F.col("items"), kind) if last else _fold(F.col("items"), kind, F.lit(0))).alias("f"))
+        items = live.groupBy("source", "n", "block").agg(F.transform(order, lambda t: t["x"]).alias("items"))
+        folded = items.select("source", "n", "block", F.when(last, _nearest(F.col("items"), kind)).otherwise(_fold(F.col("items"), kind, F.lit(0))).alias("f"))
         whole = F.transform(F.col("f.done"), lambda x: F.struct(x.alias("x"), F.lit(True).alias("done")))
-        still = F.when(F.col("f.open").isNull(), F.array().cast(f"array<struct<x:{kind},done:boolean>>")).otherwise(F.array(F.struct(F.col("f.open").alias("x"), F.lit(last).alias("done"))))
+        still = F.when(F.col("f.open").isNull(), F.array().cast(f"array<struct<x:{kind},done:boolean>>")).otherwise(F.array(F.struct(F.col("f.open").alias("x"), last.alias("done"))))
         level = save(folded.select("source", "n", "block", F.explode(F.concat(whole, still)).alias("e")).select("source", "n", "block", "e.x", "e.done"), "mix-level")
         done = level.where("done").select("source", "x.doc_id", "x.copy", F.col("x.z").cast("long").alias("size"), (2 * F.col("x.y") >= F.col("x.z")).cast("int").alias("extra"))
         out = done if out is None else out.union(done)
-        if last:
+        if most <= BLOCK:
             return out
         most = math.ceil(most / BLOCK)
         live = level.where("not done").select("source", F.ceil(F.col("n") / BLOCK).alias("n"), "x", F.pmod("block", F.ceil(F.ceil(F.col("n") / BLOCK) / BLOCK)).alias("block"))

@@ -58,6 +58,20 @@ def test_many_blocks(spark, monkeypatch):
     check(mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect(), docs)
 
 
+def test_small_source_beside_a_large_one(spark, monkeypatch):
+    docs = [(i, " ".join(["w"] * (40 + i * 7919 % 97)), f"s{i % 4}") for i in range(200)]
+    large = [(1000 + i, " ".join(["w"] * (40 + i * 7919 % 97)), "z") for i in range(300)]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, source string")
+    tried = []
+    for tries in (16, 1):
+        monkeypatch.setattr(mixing, "TRIES", tries)
+        taken = {}
+        for r in mixing.mix(frame(docs + large)).where("source <> 'z'").collect():
+            taken[r["source"]] = (taken.get(r["source"], (0, 0))[0] + r["taken"], r["target"])
+        tried.append(sum(abs(t - want) for t, want in taken.values()))
+    assert tried[0] < tried[1] / 2, tried
+
+
 def test_expectation(spark, monkeypatch):
     docs = [(i, "w " * (1 + i % 5), "a" if i < 30 else "b") for i in range(60)]
     df, total, n = spark.createDataFrame(docs, "doc_id long, text string, source string"), {}, 24
