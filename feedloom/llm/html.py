@@ -2,14 +2,17 @@
 
 Every page becomes its visible text lines (block elements), each marked by where it stands: in dropped parts (menus, page
 headers and footers, sidebars, forms, adverts, notices, comments, scripts, by element or by class, id and role), inside the
-page's article or main element, or loose. Pages are ordered by host and URL path in range partitions, so a large host
-spreads over many tasks, and each page is paired with the page before it on its host (the first one with the next). The
-lines of a pair are aligned by their longest common subsequence, and shared lines are deleted, inside an article or main
-element too. Pairs that share over half of their words (at least half, in an article) are copies of one page and not pages
-of one template: they lose nothing. The structure is a second filter: dropped parts go, and beside an article or main
-element loose lines go.
-
-Only line hashes and compressed text travel. A page at the edge of a range partition pairs with its neighbour inside it.
+page's article or main element, or loose. Pages are ordered by host
+and URL path and cut into buckets at bounds that are taken from the keys, so a large host spreads over many tasks. The
+lines of a pair of pages are aligned by their longest common subsequence, and shared lines are deleted, inside an article or
+main element too. The structure is a second filter: dropped parts go, and beside an article or main element loose lines go.
+
+Copies of one page must not delete each other, so a page is paired with the nearest page that is no copy of it. Neighbours
+in order that are copies form a run; the pages of a run pair with the page before the run on their host, or if there is none
+or it is a copy of theirs, with the page after it. A first pass over line hashes finds what stands before and after each
+bucket (a few narrow rows a bucket, found on the driver), so texts do not depend on how the pages are dealt.
+
+Only line hashes and compressed text travel. A task holds the pages of a run back only while its partner is still to come.
 Defined results: a null html or one without text gives an empty text; a null url has an empty host and path; repeated rows
 each come back; ties in the order are broken by page_id.
 """
@@ -17,14 +20,17 @@ each come back; ties in the order are broken by page_id.
 from __future__ import annotations
 
 import html
+import pickle
 import re
 import zlib
-from bisect import bisect_left
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from feedloom.llm.common import small_batches, text_chunks
 
@@ -40,6 +46,9 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*
 _CLOSES = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "option": frozenset(["option"])}
 
 DROPPED, LOOSE, MAIN = 0, 1, 2
+#: Pages of a bucket, about; and of the sample from which each bucket's bound is taken.
+BUCKET = 4000
+SAMPLED = 30
 
 
 def _boilerplate(name: str, rest: str, inside: bool) -> bool:
@@ -158,75 +167,202 @@ def shared_places(a: list[int], b: list[int]) -> list[int]:
     return [*range(head), *out[::-1], *range(len(a) - tail, len(a))]
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _place(url: str | None) -> tuple[str, str]:
+    """Host and path."""
+    try:
+        split = urlsplit(url or "")
+        return split.hostname or "", split.path
+    except ValueError:
+        return "", url or ""
+
+
+def _key(host: str, path: str, page_id: int | None) -> tuple:
+    return host, path, page_id is not None, 0 if page_id is None else page_id
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in text_chunks(batch, "html"):
-            rows = []
-            for url, page in zip(part.column("url").to_pylist(), part.column("html").to_pylist(), strict=True):
-                lines = lines_of(page or "")
-                if any(p == MAIN for p, _ in lines):  # the article is all of the text
-                    lines = [(DROPPED if p == LOOSE else p, t) for p, t in lines]
-                try:
-                    split = urlsplit(url or "")
-                    host, path = split.hostname or "", split.path
-                except ValueError:
-                    host, path = "", url
-                hashes = [zlib.crc32(t.encode()) << 20 ^ zlib.adler32(t.encode()) for _, t in lines]
-                kept = "\n".join(t for p, t in lines if p != DROPPED)
-                rows.append((host, path, hashes, [p for p, _ in lines], [t.count(" ") + 1 for _, t in lines], zlib.compress(kept.encode(), 3)))
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            kinds = (pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int8()), pa.list_(pa.int32()), pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["page_id", "url", "host", "path", "hashes", "places", "words", "kept"])
-
-
-def _text(row: dict, other: dict | None) -> str:
+        places = [_place(u) for u in batch.column("url").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), *(pa.array([x[i] for x in places], pa.string()) for i in (0, 1))], names=["page_id", "host", "path"])
+
+
+def _parsed(bounds: list[tuple], whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Parsed pages with their bucket; ``kept``, the compressed lines, only if ``whole``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_chunks(batch, "html"):
+                rows = []
+                for page_id, url, page in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
+                    lines = lines_of(page or "")
+                    if any(p == MAIN for p, _ in lines):  # the article is all of the text
+                        lines = [(DROPPED if p == LOOSE else p, t) for p, t in lines]
+                    host, path = _place(url)
+                    hashes = [zlib.crc32(t.encode()) << 20 ^ zlib.adler32(t.encode()) for _, t in lines]
+                    kept = zlib.compress("\n".join(t for p, t in lines if p != DROPPED).encode(), 3) if whole else b""
+                    rows.append((bisect_right(bounds, _key(host, path, page_id)), host, path, hashes, [p for p, _ in lines], [t.count(" ") + 1 for _, t in lines], kept))
+                columns = list(zip(*rows, strict=True)) or [[]] * 7
+                kinds = (pa.int32(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int8()), pa.list_(pa.int32()), pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["page_id", "url", "bucket", "host", "path", "hashes", "places", "words", "kept"])
+
+    return run
+
+
+def _gone(row: dict, other: dict) -> set[int] | None:
+    """Places of the lines of ``row`` that ``other`` has too; None if the pages are copies.
+
+    Loose text is a copy if over half of the larger page is shared, so a short page does not keep the shell of a longer
+    one; an article if at least half of its own words are. What would lose every line is a copy as well.
+    """
+
+    def live(x: dict) -> int:
+        return sum(w for w, p in zip(x["words"], x["places"], strict=True) if p != DROPPED)
+
+    if row["hashes"] == other["hashes"]:
+        return None
+    gone = {i for i in shared_places(row["hashes"], other["hashes"]) if row["places"][i] != DROPPED}
+    both, every = sum(row["words"][i] for i in gone), live(row)
+    if both == every or (2 * both >= every if MAIN in row["places"] else 2 * both > max(every, live(other))):
+        return None
+    return gone
+
+
+def _breaks(last: dict, now: dict) -> bool:
+    """Whether ``now``, which follows ``last``, begins a run."""
+    return last["host"] != now["host"] or _gone(now, last) is not None
+
+
+def _narrow(row: dict | None) -> dict | None:
+    return row and {k: row[k] for k in ("host", "hashes", "places", "words")}
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each bucket of sorted rows: first and last page, the page after its first break and the one before its last."""
+    bucket = first = last = after = before = None
+
+    def out() -> pa.RecordBatch:
+        data = pickle.dumps([_narrow(x) for x in (first, last, after, before)])
+        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([data], pa.binary())], names=["bucket", "edges"])
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["bucket"] != bucket:
+                if first is not None:
+                    yield out()
+                bucket, first, last, after, before = row["bucket"], row, None, None, None
+            if last is not None and _breaks(last, row):
+                after, before = after or row, last
+            last = row
+    if first is not None:
+        yield out()
+
+
+def _around(edges: list[tuple[int, list]]) -> dict[int, tuple[dict | None, dict | None]]:
+    """The page before the run in which each bucket begins, and the page after the run in which it ends, on the same host."""
+    edges = sorted(edges, key=lambda e: e[0])
+    out: dict[int, list] = {b: [None, None] for b, _ in edges}
+    joined = [None] + [_breaks(x[1], y[0]) for (_, x), (_, y) in pairwise(edges)]
+    before = None
+    for i, (b, (first, last, _, broke)) in enumerate(edges):
+        if joined[i]:
+            before = edges[i - 1][1][1]
+        out[b][0] = before = before if before and before["host"] == first["host"] else None
+        before = broke or before
+        before = before if before and before["host"] == last["host"] else None
+    after = None
+    for i in range(len(edges) - 1, -1, -1):
+        b, (first, last, broke, _) = edges[i]
+        if i + 1 < len(edges) and joined[i + 1]:
+            after = edges[i + 1][1][0]
+        out[b][1] = after = after if after and after["host"] == last["host"] else None
+        after = broke or after
+        after = after if after and after["host"] == first["host"] else None
+    return {b: tuple(x) for b, x in out.items()}
+
+
+def _text(row: dict, gone: set[int] | None) -> str:
     lines = zlib.decompress(row["kept"]).decode().split("\n") if row["kept"] else []
     lines = [x for x in lines if x]
-    if other is not None and lines:
-        shared = shared_places(row["hashes"], other["hashes"])
-        both = sum(row["words"][i] for i in shared if row["places"][i] != DROPPED)
-        every = sum(w for w, p in zip(row["words"], row["places"], strict=True) if p != DROPPED)
-        if 2 * both + (MAIN in row["places"]) <= every:
-            gone = set(shared)
-            order = [i for i, p in enumerate(row["places"]) if p != DROPPED]
-            lines = [x for i, x in zip(order, lines, strict=True) if i not in gone]
+    if gone:
+        order = [i for i, p in enumerate(row["places"]) if p != DROPPED]
+        lines = [x for i, x in zip(order, lines, strict=True) if i not in gone]
     return "\n\n".join(lines)
 
 
-def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of the pages of a sorted partition, each against its neighbour."""
-    before = now = None
-    texts: list[tuple] = []
+def _paired(around) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Texts of the pages of sorted buckets, each against the page before or after its run."""
 
-    def out() -> pa.RecordBatch:
-        columns = list(zip(*texts, strict=True)) or [[]] * 4
-        made = pa.RecordBatch.from_arrays([pa.array(columns[0], kind), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.int64())], names=["page_id", "url", "text", "n_chars"])
-        texts.clear()
-        return made
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket = before = last = None
+        held: list[dict] = []  # of the present run, without a partner so far
+        texts: list[tuple] = []
+        kind = pa.int64()
 
-    def done(row: dict, last: dict | None, after: dict | None) -> None:
-        other = next((x for x in (last, after) if x is not None and x["host"] == row["host"]), None)
-        text = _text(row, other)
-        texts.append((row["page_id"], row["url"], text, len(text)))
+        def out() -> pa.RecordBatch:
+            columns = list(zip(*texts, strict=True)) or [[]] * 4
+            made = pa.RecordBatch.from_arrays([pa.array(columns[0], kind), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            texts.clear()
+            return made
 
-    kind = pa.int64()
-    for batch in batches:
-        kind = batch.schema.field("page_id").type
-        for part in text_chunks(batch, "kept", 1 << 20):
-            for row in part.to_pylist():
-                if now is not None:
-                    done(now, before, row)
-                before, now = now, row
+        def done(row: dict, gone: set[int] | None) -> None:
+            text = _text(row, gone)
+            texts.append((row["page_id"], row["url"], text, len(text)))
+
+        def ended(after: dict | None) -> Iterator[pa.RecordBatch]:
+            for row in held:
+                done(row, _gone(row, after) if after and after["host"] == row["host"] else None)
+                if len(texts) >= 500:
+                    yield out()
+            held.clear()
+
+        for batch in batches:
+            kind = batch.schema.field("page_id").type
+            for part in text_chunks(batch, "kept", 1 << 20):
+                for row in part.to_pylist():
+                    if row["bucket"] != bucket:
+                        if bucket is not None:
+                            yield from ended(around.value[bucket][1])
+                        bucket, last = row["bucket"], None
+                        before = around.value[bucket][0]
+                    elif _breaks(last, row):
+                        yield from ended(row)
+                        before = last if last["host"] == row["host"] else None
+                    gone = _gone(row, before) if before else None
+                    if gone is None:
+                        held.append(row)
+                    else:
+                        done(row, gone)
+                    last = row
+                yield out()
+        if bucket is not None:
+            yield from ended(around.value[bucket][1])
             yield out()
-    if now is not None:
-        done(now, before, None)
-        yield out()
+
+    return run
+
+
+def _bounds(pages: DataFrame, kind: str) -> tuple[int, list[tuple]]:
+    """Number of buckets, and the keys at which all but the first begin: quantiles of a sample."""
+    spark = pages.sparkSession
+    rows = pages.count()
+    buckets = max(-(-rows // BUCKET), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sample = pages.select("page_id", "url")
+    if rows > buckets * SAMPLED:
+        sample = sample.where(F.pmod(F.xxhash64("page_id", "url"), F.lit(rows // (buckets * SAMPLED))) == 0)
+    keys = sorted(_key(r["host"], r["path"], r["page_id"]) for r in sample.mapInArrow(_keys, f"page_id {kind}, host string, path string").collect())
+    return buckets, [keys[len(keys) * i // buckets] for i in range(1, buckets)] if keys else []
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text (blocks joined by an empty line) and n_chars for every row of ``pages`` (page_id, url, html)."""
     pages = small_batches(pages.select("page_id", "url", "html"))
     kind = pages.schema["page_id"].dataType.simpleString()
-    parsed = pages.mapInArrow(_parsed, f"page_id {kind}, url string, host string, path string, hashes array<bigint>, places array<tinyint>, words array<int>, kept binary")
-    ordered = parsed.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id", "url")
-    return ordered.mapInArrow(_paired, f"page_id {kind}, url string, text string, n_chars long")
+    buckets, bounds = _bounds(pages, kind)
+
+    def ordered(whole: bool) -> DataFrame:
+        parsed = pages.mapInArrow(_parsed(bounds, whole), f"page_id {kind}, url string, bucket int, host string, path string, hashes array<bigint>, places array<tinyint>, words array<int>, kept binary")
+        return parsed.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "host", "path", "page_id", "url", "hashes")
+
+    edges = ordered(False).mapInArrow(_edges, "bucket int, edges binary").collect()
+    around = pages.sparkSession.sparkContext.broadcast(_around([(r["bucket"], pickle.loads(r["edges"])) for r in edges]))
+    return ordered(True).mapInArrow(_paired(around), f"page_id {kind}, url string, text string, n_chars long")

@@ -168,5 +168,22 @@ def test_html_differencing_inside_articles(spark):
     assert got[10] == got[11] == "Share this story\n\n" + " ".join(["one long text"] * 9) + "\n\nAll our stories are free"
 
 
+def test_html_pairs_beyond_copies_and_borders(spark, monkeypatch):
+    shell = "<body><p>Welcome to our site</p><p>{}</p><p>All rights kept</p></body>"
+    rows = [(i, f"http://h/{i:03}", shell.format("one story " * 9) + f"<p>{i}</p>") for i in range(100, 130)]  # a group of near copies
+    rows += [(i, f"http://h/{i:03}", shell.format(f"other {i} " * 9)) for i in (130, 131)]
+    rows += [(i, f"http://h/{i:03}", shell.format("last story " * 9) + f"<p>{i}</p>") for i in range(200, 230)]
+    rows += [(300, "http://k/1", "<p>a long shell of many words that every page has</p><p>short one</p>"), (301, "http://k/2", "<p>a long shell of many words that every page has</p>" + "<p>" + "story " * 40 + "</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for size in (1, 3, 4000):
+        monkeypatch.setattr(html, "BUCKET", size, raising=False)
+        got = {r["page_id"]: r["text"] for r in html.extract(df.repartition(3)).collect()}
+        assert len(got) == len(rows)
+        assert all(got[i] == " ".join(["one story"] * 9) + f"\n\n{i}" for i in range(100, 130))
+        assert got[130] == " ".join(["other 130"] * 9) and got[131] == " ".join(["other 131"] * 9)
+        assert all(got[i] == " ".join(["last story"] * 9) + f"\n\n{i}" for i in range(200, 230))
+        assert got[300] == "short one" and got[301] == " ".join(["story"] * 40)
+
+
 def test_letters_table():
     assert langid._fold()[ord("É")] == ord("é") and langid._fold()[ord("3")] == 0 and isinstance(langid._fold(), np.ndarray)
