@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import codecs
 import gzip
 import io
 import json
+import re
 from collections import Counter
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -53,25 +55,52 @@ def detect_xml_element(spark: SparkSession, path: str) -> str:
     return max(n, key=lambda k: (n[k] / (depth_of[k] + 0.1), k), default="job")
 
 
+_TOKEN = re.compile(r"""[ \t\r\n]*+(?:("[^"\\]*+(?:\\.[^"\\]*+)*+")|([{}\[\],:])|([^\s"{}\[\],:]++))""", re.S)
+_SCALAR = re.compile(r"true|false|null|NaN|-?Infinity|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?")
+
+
+def _list_items(text: str) -> Iterator[str]:
+    """The path of each map or list that is an item of a list, up to the end of the first value, a fault or the cut."""
+    stack: list[tuple[str, bool]] = []  # path, is a list
+    want, key, at = "value", "", 0
+    while (m := _TOKEN.match(text, at)) is not None:
+        at = m.end()
+        string, mark, word = m.groups()
+        if mark in ("}", "]"):
+            if not stack or stack[-1][1] != (mark == "]") or want not in ("comma", "first item" if mark == "]" else "first key"):
+                return
+            stack.pop()
+            want = "comma"
+        elif want == "comma" and mark == ",":
+            want = "value" if stack[-1][1] else "key"
+        elif want in ("key", "first key") and string:
+            try:
+                want, key = "colon", json.loads(string, strict=False)
+            except ValueError:
+                return
+        elif want == "colon" and mark == ":":
+            want = "value"
+        elif want in ("value", "first item") and mark in ("{", "["):
+            path, in_list = stack[-1] if stack else ("", False)
+            name = "item" if in_list else key
+            own = f"{path}.{name}" if path else name
+            if in_list:
+                yield own
+            stack.append((own, mark == "["))
+            want = "first item" if mark == "[" else "first key"
+        elif want in ("value", "first item") and (string or word and _SCALAR.fullmatch(word)):
+            want = "comma"
+        else:
+            return
+        if not stack:
+            return
+
+
 def detect_json_path(spark: SparkSession, path: str) -> str:
     """The list with most maps or lists as its items, as names joined by dots and ``item``; ``item`` if there is none."""
-    found: Counter[str] = Counter()
-
-    def walk(value, prefix: str) -> None:
-        if isinstance(value, dict):
-            for k, v in value.items():
-                walk(v, f"{prefix}.{k}" if prefix else k)
-        elif isinstance(value, list):
-            own = f"{prefix}.item" if prefix else "item"
-            for v in value:
-                if isinstance(v, dict | list):
-                    found[own] += 1
-                walk(v, own)
-
-    try:
-        walk(json.loads(head(spark, path)), "")
-    except ValueError:
-        return "item"
+    data = head(spark, path)
+    text = codecs.getincrementaldecoder(json.detect_encoding(data))("replace").decode(data)  # a character that the cut halves is left out
+    found = Counter(_list_items(text))
     return max(found, key=lambda k: found[k], default="item")
 
 

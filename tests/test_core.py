@@ -1,6 +1,7 @@
 """Predicates, statistics, transforms, dedup, feeds, templates, validation and streaming on small inputs."""
 
 import gzip
+import json
 import random
 import sqlite3
 from urllib.parse import quote, unquote
@@ -191,3 +192,16 @@ def test_catalogue_equals_sql(spark, name):
     assert sorted(got.columns) == sorted(want.columns)
     cols = sorted(got.columns)
     assert sorted(map(repr, (tuple(r) for r in got.select(*[f"`{c}`" for c in cols]).collect()))) == sorted(map(repr, want.select(*[f'"{c}"' for c in cols]).fetchall()))
+
+
+def test_json_path_beyond_the_head(spark, tmp_path):
+    def detected(text):
+        path = tmp_path / "f.json"
+        path.write_text(text, encoding="utf-8")
+        return feeds.detect_json_path(spark, str(path))
+
+    row = json.dumps({"title": 'é "x" [{' * 20, "tags": ["a", {"b": []}]}, ensure_ascii=False)
+    large = '{"now": {"n": 1, "positions": [' + ",".join([row] * (feeds.HEAD // len(row) + 1000)) + "]}}"
+    assert len(large.encode()) > feeds.HEAD and detected(large) == "now.positions.item"
+    assert detected(large[:100_000]) == detected("\ufeff" + large[:100_000]) == "now.positions.item"
+    assert detected('{"a": [1, 2], "b": [[], {}], "c": [{}') == "b.item" and detected("[{}, {}]") == "item" and detected("<a/>") == "item"
