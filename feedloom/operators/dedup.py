@@ -48,8 +48,9 @@ def identifiers(fields: Column, names: tuple[str, ...] = IDENTIFIERS) -> Column:
 
 
 def _keyed(records: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """(o, key): order and hashed identifiers of every record; a record without any has the hash of its content."""
-    content = F.sha2(canonical_xml("raw"), 256) if "raw" in records.columns else F.sha2(F.to_json(F.col("fields")), 256)
+    """(o, key): order and hashed identifiers of every record; a record without any has the hash of its content, empty if all is null."""
+    listed = F.sha2(F.to_json(F.col("fields")), 256)
+    content = F.coalesce(F.sha2(canonical_xml("raw"), 256), listed, F.lit("")) if "raw" in records.columns else F.coalesce(listed, F.lit(""))
     own = identifiers(F.col("fields"), names)
     keys = F.when(F.size(own) > 0, F.transform(own, lambda x: F.struct(x["field"].alias("field_name"), x["value"].alias("field_value")))).otherwise(F.array(F.struct(F.lit("xml_hash").alias("field_name"), content.alias("field_value"))))
     return records.select(F.struct("source_idx", "rec_idx").alias("o"), F.explode(keys).alias("k")).select("o", "k.*")

@@ -205,3 +205,10 @@ def test_json_path_beyond_the_head(spark, tmp_path):
     assert len(large.encode()) > feeds.HEAD and detected(large) == "now.positions.item"
     assert detected(large[:100_000]) == detected("\ufeff" + large[:100_000]) == "now.positions.item"
     assert detected('{"a": [1, 2], "b": [[], {}], "c": [{}') == "b.item" and detected("[{}, {}]") == "item" and detected("<a/>") == "item"
+
+
+def test_first_wins_keeps_a_record_of_nulls(spark):
+    rows = [(0, 0, {"id": "1"}, "<a/>"), (0, 1, None, None), (0, 2, None, None), (0, 3, {"x": "y"}, None), (0, 4, {"x": "z"}, None)]
+    df = spark.createDataFrame(rows, "source_idx int, rec_idx long, fields map<string,string>, raw string")
+    assert {r["rec_idx"] for r in dedup.first_wins(df).collect()} == {0, 1, 3, 4}
+    assert {r["rec_idx"] for r in dedup.first_wins(df.drop("raw")).collect()} == {0, 1, 3, 4}
