@@ -64,7 +64,8 @@ def _grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     out, rolled = [], np.zeros(len(letters), np.uint64)
     for order in range(1, max(ORDERS) + 1):
         shifted = np.ones(len(letters), np.uint64)
-        shifted[order - 1 :] = letters[: len(letters) - order + 1] if order > 1 else letters
+        inside = owner[order - 1 :] == owner[: len(owner) - order + 1]  # before a text there are separators, not its neighbour
+        shifted[order - 1 :][inside] = letters[: len(letters) - order + 1][inside]
         rolled = (rolled + shifted) * np.uint64(0x9E3779B97F4A7C15)
         rolled ^= rolled >> np.uint64(29)
         if order in ORDERS:
@@ -206,4 +207,6 @@ def held_out() -> Column:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text has a letter, and so a language; undetermined ones are rejected."""
     model = fit(docs.where(~held_out()))
+    if not model.langs:  # without labels a text with a letter has a language, but no name for it
+        model = Model(["unnamed"], np.zeros((1, BUCKETS)))
     return identify(docs, model).where(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)

@@ -43,6 +43,15 @@ def test_language_odd_rows(spark):
     assert langid.keep_identified(docs).columns == docs.columns and langid.keep_identified(docs).count() == 4
 
 
+def test_language_without_labels_or_neighbours(spark):
+    docs = spark.createDataFrame([(1, "the cat", None), (2, "123 !?", None), (3, None, None), (4, "Katze", None)], "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in langid.keep_identified(docs).collect()} == {1, 4}
+    for texts in (["abc def", "x", "", "yz"], ["x", "1", "é"]):
+        together, owner, _ = langid._grams(texts)
+        for i, text in enumerate(texts):
+            assert [g[owner == i].tolist() for g in together] == [g.tolist() for g in langid._grams([text])[0]]
+
+
 def repeated(words):
     n = Counter(zip(words, words[1:], words[2:], strict=False))
     return len({i + k for i in range(len(words) - 2) for k in range(3) if n[tuple(words[i : i + 3])] > 1})
