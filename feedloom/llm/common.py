@@ -3,41 +3,19 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.plans.tables import counted_broadcast, shared_dir
+from feedloom.plans.tables import written as save
+
 #: Bytes of text that a task turns into arrays at a time; a single longer text is taken alone.
 CHUNK_BYTES = 1 << 19
-#: Rows of a narrow side that may be broadcast after they have been counted.
-BROADCAST_ROWS = 1_000_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (local tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="feedloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/") + "/feedloom"
-
-
-def save(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: it cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def counted_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` (narrow and already written) with a broadcast hint if it has at most ``rows`` rows; a shuffle join else."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def small_batches(df: DataFrame, size: int = 2 << 20) -> DataFrame:
@@ -86,23 +64,64 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+class Forest:
+    """Joins of the places 0 to n - 1, many at a time: ``up`` is the smallest place that each is joined with so far."""
+
+    def __init__(self, n: int) -> None:
+        self.up = np.arange(n)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        while True:
+            a, b = self.up[a], self.up[b]
+            apart = a != b
+            a, b = a[apart], b[apart]
+            if not len(a):
+                return
+            np.minimum.at(self.up, np.maximum(a, b), np.minimum(a, b))
+            while ((above := self.up[self.up]) != self.up).any():
+                self.up = above
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places that are not the smallest of theirs, and those smallest."""
+        low = np.flatnonzero(self.up != np.arange(len(self.up)))
+        return low, self.up[low]
+
+
+def _parents(edges: DataFrame, name: str) -> DataFrame:
+    """(u, p): for every end of ``edges`` (u, v) an end that links reach and that is not larger, where it is another one.
+
+    Each end takes the least of its neighbours, a minimum that is pre-aggregated, then twice the choice of its choice.
+    """
+    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    first = save(both.groupBy("u").agg(F.min("v").alias("p")).where("p < u"), name)
+    second = first.toDF("p", "q")
+    jumped = first.join(second, "p", "left").select("u", F.coalesce("q", "p").alias("p"))
+    return save(jumped.join(second, "p", "left").select("u", F.coalesce("q", "p").alias("p")), name)
+
+
+def moved(rows: DataFrame, column: str, parents: DataFrame) -> DataFrame:
+    """``rows`` with the nodes in ``column`` replaced by their parents; both sides are written, so a hot node can be split."""
+    found = rows.join(parents.toDF("_u", "_p"), F.col(column) == F.col("_u"), "left")
+    return found.withColumn(column, F.coalesce("_p", column)).drop("_u", "_p")
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, root) for every node in ``edges`` (columns a, b); root is the smallest node that links reach.
+    """(node, root) for every node in ``edges`` (a, b) that is not the smallest that links reach; root is that smallest one.
 
-    Alternating large-star and small-star rounds: each round shuffles the edges on one end, takes a minimum that is
-    pre-aggregated before the shuffle, and is written out. Rounds grow with the logarithm of the longest path.
+    Each round moves every end to a smaller one and contracts the edges, so what a round has joined (stars above all)
+    does not come again. A node's root is found through the moves of all rounds.
     """
     now = save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), name)
-    mark = None
-    while True:
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        now = save(small.select("e.u", "e.v").where("u > v").distinct(), name)
-        last, mark = mark, now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == last:
-            break
-    roots = now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
+    moves = []
+    while not now.isEmpty():
+        moves.append(_parents(now, name))
+        ends = moved(moved(now, "u", moves[-1]), "v", moves[-1])
+        now = save(ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), name)
+    if not moves:
+        return now.toDF("node", "root")
+    found = moves[0].toDF("node", "root")
+    for i, move in enumerate(moves[1:]):
+        fresh = move.toDF("node", "root").join(found.select("node"), "node", "left_anti")  # least of their neighbours so far
+        found = moved(found, "root", move).union(fresh)
+        found = save(found, name) if i + 2 < len(moves) else found
+    return save(found, name)

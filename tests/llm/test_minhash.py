@@ -1,6 +1,7 @@
 import random
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
 
 from feedloom.llm import minhash
@@ -66,3 +67,22 @@ def test_nulls_repeats_and_nothing(spark):
     rows = sorted(((r["doc_id"] or -1, r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(df).collect()), key=repr)
     assert rows == sorted([(3, 36, 3, True), (3, 36, 3, True), (-1, 36, 3, False), (5, 0, 5, True), (-1, 0, None, False), (2, 1, 2, True)], key=repr)
     assert minhash.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_one_row_of_each_group_stays(spark):
+    text, near = " ".join(map(str, range(40))), " ".join(map(str, range(41)))
+    rows = [(1, text), (None, near), (None, text), (1, near), (1, text), (7, None), (7, None), (8, "..."), (None, "a b c"), (None, "a b c")]
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, h string, root string")
+    kept = minhash.drop_near_duplicates(df)
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert kept.columns == df.columns and len(got) == 5
+    assert sum(t in (text, near) for _, t in got) == 1 and got.count((7, None)) == 2 and got.count((None, "a b c")) == 1
+    assert minhash.drop_near_duplicates(df.limit(0)).count() == 0
+
+
+def test_letters_do_not_cancel():
+    thue = [bin(i).count("1") % 2 for i in range(2048)]
+    words = ["".join("ab"[x ^ flip] for x in thue) for flip in (0, 1)]
+    a, b = minhash.shingle_sets(pa.array(words))
+    assert a.tolist() != b.tolist()
+    assert minhash.shingle_sets(pa.array(["A" * 300]))[0].tolist() == minhash.shingle_sets(pa.array(["a" * 300]))[0].tolist()
