@@ -45,8 +45,10 @@ def test_stages_against_brute_force(spark):
     assert Counter(r["doc_id"] for r in out.collect()) == Counter(r["doc_id"] for r in mixed.collect())
 
 
-def test_embedding_links_equal_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(embedding, "TILE", 40)
+@pytest.mark.parametrize("size,dense", [(40, 1 / 16), (7, 2), (9, -1)])
+def test_embedding_links_equal_all_pairs(spark, monkeypatch, size, dense):
+    monkeypatch.setattr(embedding, "TILE_BYTES", size * 8 * 24)
+    monkeypatch.setattr(embedding, "_DENSE", dense)
     rng = np.random.default_rng(3)
     base = rng.standard_normal((30, 24))
     rows = [(i, (base[i % 30] + rng.standard_normal(24) * (0.05 if i % 7 else 0.35)).astype(np.float32).tolist()) for i in range(240)]
@@ -80,7 +82,7 @@ def test_embedding_links_equal_all_pairs(spark, monkeypatch):
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([((i * 37) % 101, ((i + 1) * 37) % 101) for i in range(100)] + [(500, 501), (501, 500)], "a long, b long")
     roots = {r["node"]: r["root"] for r in connected_components(edges).collect()}
-    assert {roots[i] for i in range(101)} == {0} and roots[500] == roots[501] == 500
+    assert {i for i in roots if i < 500} == set(range(1, 101)) and {roots[i] for i in range(1, 101)} == {0} and roots[501] == 500 and 500 not in roots
 
 
 def test_registered_queries():
