@@ -1,20 +1,22 @@
 """Main text of web pages: nearest-URL page differencing on top of the page structure.
 
 Every page becomes its visible text lines (block elements), each marked by where it stands: in dropped parts (menus, page
-headers and footers, sidebars, forms, adverts, notices, comments, scripts, by element or by class, id and role), inside the
-page's article or main element, or loose. Pages are ordered by host
-and URL path and cut into buckets at bounds that are taken from the keys, so a large host spreads over many tasks. The
-lines of a pair of pages are aligned by their longest common subsequence, and shared lines are deleted, inside an article or
-main element too. The structure is a second filter: dropped parts go, and beside an article or main element loose lines go.
+headers and footers, sidebars, forms, adverts, notices, comments, scripts; by element, role, or a class or id that names
+such a part as a whole, never by a word within another name), inside the page's article or main element, or loose. The parse
+is written once. Pages are ordered by host and URL path and cut into buckets at bounds that are taken from the keys, so a
+large host spreads over many tasks. The lines of a pair of pages are aligned by their longest common subsequence, and shared
+lines are deleted, inside an article or main element too. The structure is a second filter: dropped parts go, and beside an
+article or main element loose lines go. Reading a page takes time in proportion to its length, whatever its tags.
 
 Copies of one page must not delete each other, so a page is paired with the nearest page that is no copy of it. Neighbours
 in order that are copies form a run; the pages of a run pair with the page before the run on their host, or if there is none
-or it is a copy of theirs, with the page after it. A first pass over line hashes finds what stands before and after each
-bucket (a few narrow rows a bucket, found on the driver), so texts do not depend on how the pages are dealt.
+or it is a copy of theirs, with the page after it. A pass over line hashes finds what stands before and after each bucket
+(the lines of four pages a bucket, found on the driver; there are as many buckets as shuffle partitions), so texts do not
+depend on how the pages are dealt.
 
 Only line hashes and compressed text travel. A task holds the pages of a run back only while its partner is still to come.
 Defined results: a null html or one without text gives an empty text; a null url has an empty host and path; repeated rows
-each come back; ties in the order are broken by page_id.
+each come back; ties in the order are broken by page_id; only page_id, url and html are read; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -32,25 +34,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import small_batches, text_chunks
+from feedloom.llm.common import save, small_batches, text_chunks, tidy
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^"'>]|"[^"]*"|'[^']*')*)>|</?[a-zA-Z!?][^>]*>""", re.S)
-_RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "select")
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>|</?[a-zA-Z!?][^>]*+>""", re.S)
+_RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "object", "select")
 _RAW_END = {n: re.compile(rf"</{n}\s*>", re.I) for n in _RAW}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
 _DROP = frozenset("nav aside footer form head button dialog menu".split())
-_DROP_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice notices notification outbrain popup promo promoted promotion related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola toolbar widget".split())
+#: Class names and ids of what is not main text, alone or between _AROUND words that a hyphen or underscore joins.
+_DROP_NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice notices outbrain popup promo promoted promotion related replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription taboola toolbar".split())
+_AROUND = frozenset("area bar block bottom box container global inner item left list main page panel primary reader right secondary section site thread top user widget wrapper".split())
+#: Names that mean the page's parts, and so nothing within an article.
+_PAGE_NAMES = frozenset("footer header masthead menu banner".split())
 _DROP_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alertdialog alert".split())
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _CLOSES = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "option": frozenset(["option"])}
 
+_CELLS = frozenset(["td", "th"])
+_BORDERS = frozenset(["td", "th", "table", "article", "main", "body"])
+
 DROPPED, LOOSE, MAIN = 0, 1, 2
-#: Pages of a bucket, about; and of the sample from which each bucket's bound is taken.
-BUCKET = 4000
+#: Keys of the sample from which each bucket's bound is taken; there is a bucket for each shuffle partition.
 SAMPLED = 30
 
 
+def _named(name: str, inside: bool) -> bool:
+    """Whether a class or id, as a whole, names what is not main text."""
+    parts = re.split("[-_]", name)
+    known = [p for p in parts if p in _DROP_NAMES and not (inside and p in _PAGE_NAMES)]
+    return bool(known) and all(p in _DROP_NAMES or p in _AROUND for p in parts)
+
+
 def _boilerplate(name: str, rest: str, inside: bool) -> bool:
     if name in _DROP or name == "header" and not inside:
         return True
@@ -62,27 +77,74 @@ def _boilerplate(name: str, rest: str, inside: bool) -> bool:
             return True
         if key == "role" and value in _DROP_ROLES:
             return True
-        if key in ("class", "id") and not _DROP_WORDS.isdisjoint(re.findall(r"[a-z]+", value)):
+        if key == "class" and any(_named(v, inside) for v in value.split()):
+            return True
+        if key == "id" and name in ("div", "section", "ul", "ol", "table", "header") and _named(value, inside):
             return True
     return False
 
 
+class _Open:
+    """Open elements; what a closing tag or a block ends is found without walking through them."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, bool, bool]] = []  # element, dropped, article or main
+        self.at: dict[str, list[int]] = {}
+        self.borders: list[int] = []
+        self.blocks: list[int] = []
+
+    def state(self) -> tuple[bool, bool]:
+        return self.stack[-1][1:] if self.stack else (False, False)
+
+    def push(self, name: str, drops: bool, main: bool) -> None:
+        k = len(self.stack)
+        self.stack.append((name, drops, main))
+        self.at.setdefault(name, []).append(k)
+        if name in _BORDERS:
+            self.borders.append(k)
+        if name in _BLOCK or name in _CELLS:
+            self.blocks.append(k)
+
+    def cut(self, k: int) -> None:
+        """Close all elements from the k-th on."""
+        for name, _, _ in self.stack[k:]:
+            self.at[name].pop()
+        del self.stack[k:]
+        for held in (self.borders, self.blocks):
+            while held and held[-1] >= k:
+                held.pop()
+
+    def closed_by(self, name: str) -> int | None:
+        """The element that a closing tag ends: inline ones do not reach out of a cell, table or article."""
+        k = (self.at.get(name) or [-1])[-1]
+        return None if k < 0 or name not in _BLOCK and self.borders and self.borders[-1] > k else k
+
+    def ended_by(self, names: frozenset[str]) -> int | None:
+        """The nearest block, if a block that opens ends it."""
+        return self.blocks[-1] if self.blocks and self.stack[self.blocks[-1]][0] in names else None
+
+
 def lines_of(page: str) -> list[tuple[int, str]]:
     """(place, line) of the visible text blocks of a page, in order; white space is one blank, references are decoded."""
     out: list[tuple[int, str]] = []
     held: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, dropped, article or main
-    at = 0
+    elements, at, last = _Open(), 0, page.rfind(">")
 
     def flush() -> None:
         if held:
             line = " ".join(html.unescape("".join(held)).split())
             held.clear()
             if line:
-                dropped, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                dropped, inside = elements.state()
                 out.append((DROPPED if dropped else MAIN if inside else LOOSE, line))
 
-    while (m := _TAG.search(page, at)) is not None:
+    def end(k: int) -> None:
+        """Close the k-th element and what it holds; the text so far belongs to the innermost."""
+        if len({e[1:] for e in elements.stack[max(k - 1, 0) :]}) > 1 or k == 0:
+            flush()
+        elements.cut(k)
+
+    while at <= last and (m := _TAG.search(page, at)) is not None:  # after the last ">" there is text, or an open comment
         held.append(page[at : m.start()])
         at = m.end()
         if m["cdata"] is not None:
@@ -94,46 +156,32 @@ def lines_of(page: str) -> list[tuple[int, str]]:
         if m["close"]:
             if name in _BLOCK:
                 flush()
-            elif name in ("td", "th"):
+            elif name in _CELLS:
                 held.append(" ")
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    if any(s[1] != stack[k][1] or s[2] != stack[k][2] for s in stack[k + 1 :]) or name in _BLOCK:
-                        flush()
-                    if k == 0 or stack[k][1:] != stack[k - 1][1:]:
-                        flush()
-                    del stack[k:]
-                    break
-                if stack[k][0] in ("td", "th", "table", "article", "main", "body") and name not in _BLOCK:
-                    break
+            if (k := elements.closed_by(name)) is not None:
+                end(k)
             continue
         if name in _RAW:
             if not m["rest"].endswith("/"):
-                end = _RAW_END[name].search(page, at)
-                at = end.end() if end else len(page)
+                after = _RAW_END[name].search(page, at)
+                at = after.end() if after else len(page)
             held.append(" ")
             continue
         if name in _BLOCK:
             flush()
-        elif name in ("br", "td", "th"):
+        elif name == "br" or name in _CELLS:
             held.append(" ")
         if name in _VOID:
             continue
-        if name in _BLOCK:
-            closed = _CLOSES.get(name, _CLOSES["p"])
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in closed:
-                    del stack[k:]
-                    break
-                if stack[k][0] in _BLOCK or stack[k][0] in ("td", "th"):
-                    break
-        dropped, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        if name in _BLOCK and (k := elements.ended_by(_CLOSES.get(name, _CLOSES["p"]))) is not None:
+            elements.cut(k)
+        dropped, inside = elements.state()
         drops = dropped or _boilerplate(name, m["rest"], inside)
         main = inside or name in ("article", "main") or 'role="main"' in m["rest"].lower()
         if (drops, main) != (dropped, inside):
             flush()
-        stack.append((name, drops, main))
-    held.append(page[at:])
+        elements.push(name, drops, main)
+    held.append(re.sub(r"<!(?:--|\[CDATA\[).*", "", page[at:], flags=re.S))
     flush()
     return out
 
@@ -180,30 +228,30 @@ def _key(host: str, path: str, page_id: int | None) -> tuple:
     return host, path, page_id is not None, 0 if page_id is None else page_id
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parsed pages: host, path, hash, place and words of each line, and the compressed lines that are not dropped."""
     for batch in batches:
-        places = [_place(u) for u in batch.column("url").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), *(pa.array([x[i] for x in places], pa.string()) for i in (0, 1))], names=["page_id", "host", "path"])
-
-
-def _parsed(bounds: list[tuple], whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Parsed pages with their bucket; ``kept``, the compressed lines, only if ``whole``."""
+        for part in text_chunks(batch, "html"):
+            rows = []
+            for url, page in zip(*(part.column(c).to_pylist() for c in ("url", "html")), strict=True):
+                lines = lines_of(page or "")
+                if any(p == MAIN for p, _ in lines):  # the article is all of the text
+                    lines = [(DROPPED if p == LOOSE else p, t) for p, t in lines]
+                hashes = [zlib.crc32(t.encode()) << 20 ^ zlib.adler32(t.encode()) for _, t in lines]
+                kept = zlib.compress("\n".join(t for p, t in lines if p != DROPPED).encode(), 3)
+                rows.append((*_place(url), hashes, [p for p, _ in lines], [t.count(" ") + 1 for _, t in lines], kept))
+            columns = list(zip(*rows, strict=True)) or [[]] * 6
+            kinds = (pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int8()), pa.list_(pa.int32()), pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["page_id", "url", "host", "path", "hashes", "places", "words", "kept"])
+
+
+def _bucketed(bounds) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows with the bucket that their host, path and page_id lie in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_chunks(batch, "html"):
-                rows = []
-                for page_id, url, page in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
-                    lines = lines_of(page or "")
-                    if any(p == MAIN for p, _ in lines):  # the article is all of the text
-                        lines = [(DROPPED if p == LOOSE else p, t) for p, t in lines]
-                    host, path = _place(url)
-                    hashes = [zlib.crc32(t.encode()) << 20 ^ zlib.adler32(t.encode()) for _, t in lines]
-                    kept = zlib.compress("\n".join(t for p, t in lines if p != DROPPED).encode(), 3) if whole else b""
-                    rows.append((bisect_right(bounds, _key(host, path, page_id)), host, path, hashes, [p for p, _ in lines], [t.count(" ") + 1 for _, t in lines], kept))
-                columns = list(zip(*rows, strict=True)) or [[]] * 7
-                kinds = (pa.int32(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int8()), pa.list_(pa.int32()), pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["page_id", "url", "bucket", "host", "path", "hashes", "places", "words", "kept"])
+            keys = zip(*(batch.column(c).to_pylist() for c in ("host", "path", "page_id")), strict=True)
+            yield batch.append_column("bucket", pa.array([bisect_right(bounds.value, _key(*k)) for k in keys], pa.int32()))
 
     return run
 
@@ -341,28 +389,27 @@ def _paired(around) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
     return run
 
 
-def _bounds(pages: DataFrame, kind: str) -> tuple[int, list[tuple]]:
-    """Number of buckets, and the keys at which all but the first begin: quantiles of a sample."""
-    spark = pages.sparkSession
-    rows = pages.count()
-    buckets = max(-(-rows // BUCKET), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sample = pages.select("page_id", "url")
+def _bounds(parsed: DataFrame, buckets: int) -> list[tuple]:
+    """The keys at which all buckets but the first begin: quantiles of a sample of SAMPLED keys a bucket."""
+    keys, rows = parsed.select("host", "path", "page_id"), parsed.count()
     if rows > buckets * SAMPLED:
-        sample = sample.where(F.pmod(F.xxhash64("page_id", "url"), F.lit(rows // (buckets * SAMPLED))) == 0)
-    keys = sorted(_key(r["host"], r["path"], r["page_id"]) for r in sample.mapInArrow(_keys, f"page_id {kind}, host string, path string").collect())
-    return buckets, [keys[len(keys) * i // buckets] for i in range(1, buckets)] if keys else []
+        keys = keys.where(F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(rows // (buckets * SAMPLED))) == 0)
+    found = sorted(_key(*r) for r in keys.collect())
+    return [found[len(found) * i // buckets] for i in range(1, buckets)] if found else []
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text (blocks joined by an empty line) and n_chars for every row of ``pages`` (page_id, url, html)."""
     pages = small_batches(pages.select("page_id", "url", "html"))
-    kind = pages.schema["page_id"].dataType.simpleString()
-    buckets, bounds = _bounds(pages, kind)
-
-    def ordered(whole: bool) -> DataFrame:
-        parsed = pages.mapInArrow(_parsed(bounds, whole), f"page_id {kind}, url string, bucket int, host string, path string, hashes array<bigint>, places array<tinyint>, words array<int>, kept binary")
-        return parsed.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "host", "path", "page_id", "url", "hashes")
-
-    edges = ordered(False).mapInArrow(_edges, "bucket int, edges binary").collect()
-    around = pages.sparkSession.sparkContext.broadcast(_around([(r["bucket"], pickle.loads(r["edges"])) for r in edges]))
-    return ordered(True).mapInArrow(_paired(around), f"page_id {kind}, url string, text string, n_chars long")
+    spark, kind = pages.sparkSession, pages.schema["page_id"].dataType.simpleString()
+    narrow = f"page_id {kind}, url string, host string, path string, hashes array<bigint>, places array<tinyint>, words array<int>"
+    parsed = save(pages.mapInArrow(tidy(_parsed), f"{narrow}, kept binary"), "html-parsed")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bounds = spark.sparkContext.broadcast(_bounds(parsed, buckets))
+
+    def ordered(rows: DataFrame, fields: str) -> DataFrame:
+        return rows.mapInArrow(_bucketed(bounds), f"{fields}, bucket int").repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "host", "path", "page_id", "url", "hashes")
+
+    edges = ordered(parsed.drop("kept"), narrow).mapInArrow(_edges, "bucket int, edges binary").collect()
+    around = spark.sparkContext.broadcast(_around([(r["bucket"], pickle.loads(r["edges"])) for r in edges]))
+    return ordered(parsed, f"{narrow}, kept binary").mapInArrow(tidy(_paired(around)), f"page_id {kind}, url string, text string, n_chars long")

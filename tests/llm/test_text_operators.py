@@ -3,6 +3,7 @@
 import gzip
 import random
 import re
+import time
 from collections import Counter
 from itertools import combinations
 
@@ -177,16 +178,18 @@ def test_html_differencing_inside_articles(spark):
     assert got[10] == got[11] == "Share this story\n\n" + " ".join(["one long text"] * 9) + "\n\nAll our stories are free"
 
 
-def test_html_pairs_beyond_copies_and_borders(spark, monkeypatch):
+def test_html_pairs_beyond_copies_and_borders(spark):
     shell = "<body><p>Welcome to our site</p><p>{}</p><p>All rights kept</p></body>"
     rows = [(i, f"http://h/{i:03}", shell.format("one story " * 9) + f"<p>{i}</p>") for i in range(100, 130)]  # a group of near copies
     rows += [(i, f"http://h/{i:03}", shell.format(f"other {i} " * 9)) for i in (130, 131)]
     rows += [(i, f"http://h/{i:03}", shell.format("last story " * 9) + f"<p>{i}</p>") for i in range(200, 230)]
     rows += [(300, "http://k/1", "<p>a long shell of many words that every page has</p><p>short one</p>"), (301, "http://k/2", "<p>a long shell of many words that every page has</p>" + "<p>" + "story " * 40 + "</p>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    for size in (1, 3, 4000):
-        monkeypatch.setattr(html, "BUCKET", size, raising=False)
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    for n in (1, 7, 60):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
         got = {r["page_id"]: r["text"] for r in html.extract(df.repartition(3)).collect()}
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
         assert len(got) == len(rows)
         assert all(got[i] == " ".join(["one story"] * 9) + f"\n\n{i}" for i in range(100, 130))
         assert got[130] == " ".join(["other 130"] * 9) and got[131] == " ".join(["other 131"] * 9)
@@ -194,5 +197,54 @@ def test_html_pairs_beyond_copies_and_borders(spark, monkeypatch):
         assert got[300] == "short one" and got[301] == " ".join(["story"] * 40)
 
 
+def test_html_equals_pages_in_one_list(spark):
+    rng = random.Random(5)
+    lines = [" ".join("".join(rng.choice("abcdef") for _ in range(4)) for _ in range(rng.randrange(1, 12))) for _ in range(40)]
+    rows = []
+    for i in range(160):
+        own = [rng.choice(lines) for _ in range(rng.randrange(0, 9))]
+        if rows and rng.random() < 0.4:  # a near copy
+            own = [x for x in rows[-1][3] if rng.random() < 0.9]
+        body = "".join(f"<p>{x}</p>" for x in own)
+        rows.append((i, f"http://h{rng.randrange(3)}/{rng.randrange(50):02}", f"<nav>x</nav><article>{body}</article>" if i % 3 else body, own))
+    pages = sorted(({"page_id": i, "host": u[7:9], "path": u[9:], "hashes": [hash(x) for x in ([] if i % 3 == 0 else ["x"]) + own], "places": ([] if i % 3 == 0 else [html.DROPPED]) + [html.MAIN if i % 3 else html.LOOSE] * len(own), "words": ([] if i % 3 == 0 else [1]) + [x.count(" ") + 1 for x in own], "lines": own} for i, u, _, own in rows), key=lambda p: (p["host"], p["path"], p["page_id"]))
+    want = {}
+    for k, page in enumerate(pages):
+        first, last = k, k
+        while first and pages[first - 1]["host"] == page["host"] and html._gone(pages[first], pages[first - 1]) is None:
+            first -= 1
+        while last + 1 < len(pages) and pages[last + 1]["host"] == page["host"] and html._gone(pages[last + 1], pages[last]) is None:
+            last += 1
+        gone = None
+        for other in (first - 1, last + 1):
+            if gone is None and 0 <= other < len(pages) and pages[other]["host"] == page["host"]:
+                gone = html._gone(page, pages[other])
+        skip = len(page["places"]) - len(page["lines"])
+        want[page["page_id"]] = "\n\n".join(x for i, x in enumerate(page["lines"]) if i + skip not in (gone or ()))
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    for n in (1, 7, 16):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        found = html.extract(spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string").repartition(n + 1))
+        got = {r["page_id"]: r["text"] for r in found.collect()}
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        assert got == want
+
+
+def test_html_names_are_whole():
+    kept = ['<div class="entry-header"><h1>T</h1></div>', '<p class="related-work">T</p>', '<p class="share-price">T</p>', '<h2 id="search">T</h2>', "<p><math><mi>T</mi></math></p>", '<div class="header">T</div>', '<section id="comment-history">T</section>']
+    gone = ['<div class="cookie-notice">T</div>', '<div id="comments">T</div>', '<div class="big ad">T</div>', '<ul class="share_bar">T</ul>', '<div role="navigation">T</div>', "<form>T</form>", '<div class="reader-comments">T</div>']
+    assert all((html.MAIN, "T") in html.lines_of(f"<article><p>a</p>{x}</article>") for x in kept)
+    assert not any((html.MAIN, "T") in html.lines_of(f"<article><p>a</p>{x}</article>") for x in gone)
+    assert html.lines_of("<p>a <!-- open") == [(html.LOOSE, "a")] and html.lines_of("<p>a <b") == [(html.LOOSE, "a <b")]
+
+
+def test_html_takes_linear_time():
+    n = 20_000
+    for page in ("<a " * n, "<b>" * n + "</i>" * n, "<b>" * n + "<p></p>" * n, "<b><td>" + "<i>" * n + "</b>" * n, '<a "' * n, "<a '>" + '<a ">' * n, "<!--" * n, "<div>" * n + "x" + "</div>" * n, "<script>" * n, "&amp" * n):
+        began = time.perf_counter()
+        html.lines_of(page)
+        assert time.perf_counter() - began < 3
+
+
 def test_letters_table():
     assert langid._fold()[ord("É")] == ord("é") and langid._fold()[ord("3")] == 0 and isinstance(langid._fold(), np.ndarray)
