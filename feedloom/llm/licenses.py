@@ -1,12 +1,13 @@
 """License scan: an exact set-similarity join of text blocks with license templates.
 
-A text's words (A-Z lower-cased) are cut into overlapping blocks of ``BLOCK`` words, each beginning ``STRIDE`` words after
-the last, so a template of up to ``STRIDE`` words lies whole in some block wherever it stands. A block meets a template if
-it holds at least ``CONTAINED`` of the template's distinct words. The template words are ordered by how many documents of
-the whole input hold them, rarest first; a block can only meet a template whose prefix (its rarest words, one more than may
-be missing) it touches, whose needed words it is long enough for, and for which the places of the first shared word in both
-orders leave enough words. What passes is counted exactly. The templates are a list of at most ``TEMPLATES`` entries, so
-their index goes to every task; their word counts are summed by Spark.
+A text's words (A-Z lower-cased) are cut into overlapping blocks. Templates go by length, in words with repeats, to a stride
+of ``STRIDE`` words, twice that, four times and so on; blocks of two strides begin at every stride, so a template lies whole
+in some block wherever it stands, and a short one is not looked for in long blocks. A block meets a template if it holds at
+least ``CONTAINED`` of the template's distinct words. The template words are ordered by how many documents of the whole
+input hold them, rarest first; a block can only meet a template whose prefix (its rarest words, one more than may be missing)
+it touches, whose needed words it is long enough for, and for which the places of the first shared word in both orders leave
+enough words. What passes is counted exactly. The templates are a list that the caller gives: their index goes to every
+task, and their word counts are summed by Spark.
 
 Of templates of one family (versions of a license), a block gets the one it holds most of. Base phrases are found by
 place: every start where a phrase's words stand in a row. Defined results: a null or wordless text has no block, no place,
@@ -26,9 +27,9 @@ from pyspark.sql import functions as F
 
 from feedloom.llm.common import small_batches, text_chunks
 
-BLOCK, STRIDE = 64, 32
+#: Words between the beginnings of two blocks, for the shortest templates.
+STRIDE = 32
 CONTAINED = 0.9
-TEMPLATES = 10_000
 
 #: Phrases whose words stand in a row, with their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -67,7 +68,7 @@ class Index:
     ordered: list[list[bytes]]
     needed: list[int]
     rank: dict[bytes, int]
-    prefixes: dict[bytes, list[int]]
+    prefixes: dict[int, dict[bytes, list[int]]]  # by stride
 
     @staticmethod
     def build(templates: list[tuple[str, str, str]], often: dict[bytes, int], contained: float) -> Index:
@@ -75,25 +76,28 @@ class Index:
         rank = {w: i for i, w in enumerate(sorted(set().union(*sets), key=lambda w: (often.get(w, 0), w)))}
         ordered = [sorted(s, key=rank.__getitem__) for s in sets]
         needed = [max(1, math.ceil(contained * len(s) - 1e-9)) for s in sets]
-        prefixes: dict[bytes, list[int]] = {}
+        prefixes: dict[int, dict[bytes, list[int]]] = {}
         for i, (words, need) in enumerate(zip(ordered, needed, strict=True)):
+            stride = STRIDE
+            while stride < sum(map(bool, words_of(templates[i][2]))):
+                stride *= 2
             for w in words[: len(words) - need + 1]:
-                prefixes.setdefault(w, []).append(i)
+                prefixes.setdefault(stride, {}).setdefault(w, []).append(i)
         return Index([t[0] for t in templates], [t[1] for t in templates], ordered, needed, rank, prefixes)
 
     def matches(self, words: list[bytes]) -> list[tuple[int, int, str, float]]:
         """(start, end, label, contained) of every block and template that meet, starts and ends in words."""
-        held = self.prefixes.keys() & set(words)
-        if not held:
-            return []
+        distinct = set(words)
+        return [m for stride, prefixes in sorted(self.prefixes.items()) if (held := prefixes.keys() & distinct) for m in self._blocks(words, stride, prefixes, held)]
+
+    def _blocks(self, words: list[bytes], stride: int, prefixes: dict[bytes, list[int]], held: set[bytes]) -> Iterator[tuple[int, int, str, float]]:
         wanted: dict[int, set[int]] = {}
         for at, w in enumerate(words):
             if w in held:
-                for block in {max(at // STRIDE - 1, 0), at // STRIDE}:
-                    wanted.setdefault(block, set()).update(self.prefixes[w])
-        out = []
+                for block in {max(at // stride - 1, 0), at // stride}:
+                    wanted.setdefault(block, set()).update(prefixes[w])
         for block in sorted(wanted):
-            span = words[block * STRIDE : block * STRIDE + BLOCK]
+            span = words[block * stride : (block + 2) * stride]
             known = sorted(set(span) & self.rank.keys(), key=self.rank.__getitem__)
             place = {w: j for j, w in enumerate(known)}
             best: dict[str, list[tuple[float, str]]] = {}
@@ -109,17 +113,20 @@ class Index:
                     best.setdefault(self.families[i], []).append((shared / len(words_i), self.labels[i]))
             for found in best.values():
                 most = max(f for f, _ in found)
-                out.extend((block * STRIDE, block * STRIDE + len(span), label, share) for share, label in sorted(set(found)) if share == most)
-        return out
+                for share, label in sorted(set(found)):
+                    if share == most:
+                        yield block * stride, block * stride + len(span), label, share
 
 
 def _places(words: list[bytes]) -> list[tuple[int, str]]:
     joined = b" " + b" ".join(words) + b" "
     out = []
     for phrase, label in PHRASES.items():
-        wanted, at = b" " + phrase.encode() + b" ", -1
+        wanted, last, n, at = b" " + phrase.encode() + b" ", 0, 0, -1
         while (at := joined.find(wanted, at + 1)) >= 0:
-            out.append((joined.count(b" ", 0, at), label))
+            n += joined.count(b" ", last, at)
+            last = at
+            out.append((n, label))
     return out
 
 
@@ -141,10 +148,6 @@ def _frequencies(docs: DataFrame, words: set[bytes]) -> dict[bytes, int]:
 def scan(docs: DataFrame, templates: list[tuple[str, str, str]] | None = None, contained: float = CONTAINED) -> DataFrame:
     """doc_id, n_words, places (start, label) and blocks (start, end, label, contained) for every row of ``docs``."""
     templates = DEFAULT_TEMPLATES if templates is None else templates
-    if len(templates) > TEMPLATES:
-        raise ValueError(f"more than {TEMPLATES} templates")
-    if any(len({w for w in words_of(t) if w}) > STRIDE for _, _, t in templates):
-        raise ValueError(f"a template has more than {STRIDE} distinct words: split it")
     docs = small_batches(docs.select("doc_id", "text"))
     index = Index.build(templates, _frequencies(docs, {w for _, _, t in templates for w in words_of(t) if w}), contained)
     held = docs.sparkSession.sparkContext.broadcast(index)

@@ -99,21 +99,46 @@ def test_license_places_and_blocks(spark):
 
 def test_license_join_is_exact():
     rng = random.Random(9)
-    vocabulary = [f"w{i}" for i in range(30)]
-    templates = [(f"t{i}", f"f{i}", " ".join(rng.sample(vocabulary, rng.randrange(3, 12)))) for i in range(20)]
+    vocabulary = [f"w{i}" for i in range(90)]
+    templates = [(f"t{i}", f"f{i}", " ".join(rng.choice(vocabulary[: 5 + 8 * (i % 9)]) for _ in range(rng.randrange(3, 150)))) for i in range(30)]
     index = licenses.Index.build(templates, {w.encode(): rng.randrange(9) for w in vocabulary}, 0.75)
-    for _ in range(200):
-        words = [rng.choice(vocabulary + ["x"] * 60).encode() for _ in range(rng.randrange(0, 200))]
+    for _ in range(100):
+        words = [rng.choice(vocabulary + ["x"] * 60).encode() for _ in range(rng.randrange(0, 400))]
         want = []
-        for start in range(0, len(words), licenses.STRIDE):
-            block = words[start : start + licenses.BLOCK]
-            for label, _, text in templates:
-                wanted = {w.encode() for w in text.split()}
+        for label, _, text in templates:
+            wanted, stride = {w.encode() for w in text.split()}, 32
+            while stride < len(text.split()):
+                stride *= 2
+            for start in range(0, len(words), stride):
+                block = words[start : start + 2 * stride]
                 if len(wanted & set(block)) >= 0.75 * len(wanted):
                     want.append((start, start + len(block), label))
         assert sorted(m[:3] for m in index.matches(words)) == sorted(want)
 
 
+def test_license_templates_are_found_at_every_offset():
+    rng = random.Random(3)
+    half = [f"w{i}" for i in range(32)]
+    templates = [("short", "a", "one two three"), ("twice", "b", " ".join(half + half[:30])), ("long", "c", " ".join(f"v{rng.randrange(300)}" for _ in range(1600)))]
+    index = licenses.Index.build(templates, {}, 0.9)
+    for label, _, text in templates:
+        for offset in [*range(0, 130), 511, 2047, 2049, 5000]:
+            words = [b"x"] * offset + text.encode().split() + [b"x"] * 40
+            assert label in {m[2] for m in index.matches(words)}
+
+
+def test_license_base_places_against_brute_force():
+    rng = random.Random(4)
+    words = "under the mit license apache version 2 cc by nc".encode().split()
+    for _ in range(300):
+        own = [rng.choice(words) for _ in range(rng.randrange(0, 60))]
+        for phrase in rng.sample(list(licenses.PHRASES), 2):
+            at = rng.randrange(len(own) + 1)
+            own[at:at] = phrase.encode().split()
+        want = [(i, k) for i in range(len(own)) for p, k in licenses.PHRASES.items() if own[i : i + len(p.split())] == p.encode().split()]
+        assert sorted(licenses._places(own)) == sorted(want)
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(1, "http://a/1", "<p>same</p>"), (4, "http://a/4", "<p>same</p>"), (2, "http://b/\r\nx", None), (3, None, ""), (5, "u", "WARC/1.1\r\n\r\nContent-Length: 9\r\n\r\n\r\n\r\né😀"), (None, "n", "<p>same</p>"), (4, "again", "<p>same</p>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("key", F.lit("clash"))
