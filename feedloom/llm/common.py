@@ -27,6 +27,13 @@ def small_batches(df: DataFrame, size: int = 2 << 20) -> DataFrame:
     return df
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, made longer until no column has it."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
 def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` whose texts sum to about ``limit`` bytes; a longer text comes alone."""
     values = batch.column(column)

@@ -5,8 +5,9 @@ the languages whose bit is one against the others) gives a margin, and loss-weig
 smallest sum of weighted exponential losses. Up to seven languages get the exhaustive code (2 ** (n - 1) - 1 bits), more
 get the seeded random code with the largest distance between codewords.
 
-Fit: counts of n-grams for each language, summed by Spark over a bounded sample of labelled rows (``SAMPLE`` rows for each
-of the ``LANGUAGES`` commonest labels, chosen by a hash of the doc_id). What the driver holds is that table of counts.
+Fit: counts of n-grams for each language, summed by Spark over a bounded sample of labelled rows (``SAMPLE`` rows of each
+label in expectation, chosen by a hash of the doc_id; every label is learned), and then, for each n-gram bucket, the share of
+the languages whose bit is one. The driver holds the labels, their codewords and that table of buckets by bits.
 Prediction: map-only, over whole texts.
 
 Defined results: a null text, or one without any letter, is ``und`` with score 0; without labelled rows every text is
@@ -23,11 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import small_batches, text_chunks, tidy
+from feedloom.llm.common import counted_broadcast, free_name, save, small_batches, text_chunks, tidy
 
-#: Bound of the fit: rows for each language in expectation, and languages (the commonest labels).
+#: Bound of the fit: rows for each language in expectation.
 SAMPLE = 4000
-LANGUAGES = 128
+#: Languages whose counts a task holds before it hands them on.
+HELD = 64
+#: Languages up to which the most distant of several random codes is taken.
+COMPARED = 2000
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
 #: Characters that are turned into n-grams at a time.
@@ -108,9 +112,16 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     held = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
                     for g in grams:
                         held += np.bincount(g[mine], minlength=BUCKETS)
+                if len(sums) > HELD:
+                    yield from _summed(sums)
+    yield from _summed(sums)
+
+
+def _summed(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
     for lang, held in sums.items():
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(held[at])], names=["lang", "bucket", "n"])
+    sums.clear()
 
 
 def codewords(n: int) -> np.ndarray:
@@ -121,29 +132,49 @@ def codewords(n: int) -> np.ndarray:
         return np.array([[1 if (c + (1 << (n - 1))) >> (n - 1 - i) & 1 else -1 for c in range((1 << (n - 1)) - 1)] for i in range(n)], float)
     rng, best, far = np.random.default_rng(n), None, -1
     width = int(np.ceil(12 * np.log2(n)))
-    for _ in range(50):
+    for _ in range(50 if n <= COMPARED else 1):
         code = rng.choice([-1.0, 1.0], size=(n, width))
         code = code[:, np.abs(code.sum(axis=0)) < n]
-        near = int(min(((code[a] != code[b]).sum() for a, b in combinations(range(n), 2)), default=0))
+        if n > COMPARED:
+            return code
+        apart = (code.shape[1] - code @ code.T) / 2
+        near = int((apart + np.eye(n) * width).min())
         if near > far:
             best, far = code, near
     return best
 
 
+def _bits(code: dict[str, np.ndarray], bits: int):
+    """(bucket, ones): for each bucket of a task, the sum of shares by bit of the languages whose bit is one, and of all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((BUCKETS, bits + 1))
+        for batch in batches:
+            ones = np.array([code[k] for k in batch.column("lang").to_pylist()], bool).reshape(batch.num_rows, bits + 1)
+            np.add.at(sums, batch.column("bucket").to_numpy(), ones * batch.column("share").to_numpy()[:, None])
+        at = np.flatnonzero(sums[:, -1])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(list(sums[at]), pa.list_(pa.float64()))], names=["bucket", "ones"])
+
+    return run
+
+
 class Model:
     """Languages in order, their codewords, and for each bucket the log-odds of each bit."""
 
-    def __init__(self, langs: list[str], counts: np.ndarray) -> None:
+    def __init__(self, langs: list[str], totals: np.ndarray | None = None, ones: np.ndarray | None = None) -> None:
+        """``totals``: n-grams of each language; ``ones``: what ``_bits`` sums, for all buckets. Counts are smoothed by a half."""
         self.langs, self.code = langs, codewords(len(langs))
-        share = (counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True) if len(langs) else counts
-        bits = []
-        for column in self.code.T:
-            bits.append(np.log(share[column > 0].mean(axis=0)) - np.log(share[column < 0].mean(axis=0)))
-        self.odds = np.ascontiguousarray(np.array(bits, np.float32).reshape(len(bits), BUCKETS).T)
-        # A bit weighs by how far apart its two sides are: the mean absolute log-odds over the languages' n-grams.
-        mean = share.mean(axis=0) if len(langs) else np.zeros(BUCKETS)
-        weigh = (np.abs(self.odds) * mean[:, None]).sum(axis=0) if len(bits) else np.zeros(0)
-        self.weights = weigh / weigh.sum() if weigh.sum() else np.full(len(bits), 1 / max(len(bits), 1))
+        bits, n = self.code.shape[1], len(langs)
+        self.odds, self.weights = np.zeros((BUCKETS, bits), np.float32), np.zeros(bits)
+        if bits:
+            rest, high = 0.5 / (totals + 0.5 * BUCKETS), self.code > 0
+            one = (ones[:, :-1] + rest @ high) / high.sum(axis=0)
+            zero = (np.maximum(ones[:, -1:] - ones[:, :-1], 0) + rest @ ~high) / (~high).sum(axis=0)
+            self.odds = (np.log(one) - np.log(zero)).astype(np.float32)
+            # A bit weighs by how far apart its two sides are: the mean absolute log-odds over the languages' n-grams.
+            mean = (ones[:, -1] + rest.sum()) / n
+            weigh = (np.abs(self.odds) * mean[:, None]).sum(axis=0)
+            self.weights = weigh / weigh.sum() if weigh.sum() else np.full(bits, 1 / bits)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and ambiguity of each text."""
@@ -161,7 +192,8 @@ class Model:
         if not self.code.shape[1]:
             return [self.langs[0] if k else UNDETERMINED for k in letters], (letters > 0).astype(float), np.zeros(n, bool)
         margin = sums / np.maximum(letters, 1)[:, None]
-        loss = (self.weights[None, None, :] * np.exp(-np.clip(2 * margin[:, None, :] * self.code[None], -30, 30))).sum(axis=2)
+        margin = np.clip(2 * margin, -30, 30)
+        loss = (self.weights * np.exp(-margin)) @ (self.code > 0).T + (self.weights * np.exp(margin)) @ (self.code < 0).T
         order = np.argsort(loss, axis=1, kind="stable")
         first, second = np.take_along_axis(loss, order[:, :1], 1)[:, 0], np.take_along_axis(loss, order[:, 1:2], 1)[:, 0]
         score = np.where(letters > 0, second / (first + second), 0.0)
@@ -169,34 +201,45 @@ class Model:
         return [self.langs[k] if c else UNDETERMINED for k, c in zip(order[:, 0], letters, strict=True)], score, unsure
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -> Model:
-    """A model of the rows of ``labelled`` (doc_id, text, lang) with a text and a label."""
+def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
+    """A model of the rows of ``labelled`` (doc_id, text, lang) with a text and a label; without any, one of no language."""
     rows = small_batches(labelled).where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
-    if not sizes:
-        return Model([], np.zeros((0, BUCKETS)))
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, sample / r["count"])))])
-    chosen = rows.where((F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(11)), F.lit(1 << 20)) / (1 << 20)) < F.try_element_at(share, F.col("lang")))
-    counted = chosen.select("text", "lang").mapInArrow(tidy(_counts), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(counted["lang"].unique().tolist())
-    counts = np.zeros((len(langs), BUCKETS))
-    counts[counted["lang"].map({k: i for i, k in enumerate(langs)}).to_numpy(), counted["bucket"].to_numpy()] = counted["n"].to_numpy()
-    return Model(langs, counts)
-
-
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred, score (0 to 1) and ambiguous; only ``text`` decides. Columns of these names are replaced."""
-    docs = small_batches(docs.drop("lang_pred", "score", "ambiguous"))
+    sizes = save(rows.groupBy("lang").agg(F.count("*").alias("rows")), "lang-sizes")
+    drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(11)), F.lit(1 << 20)) / (1 << 20)
+    chosen = rows.join(counted_broadcast(sizes), "lang").where(drawn * F.col("rows") < sample)
+    counted = save(chosen.select("text", "lang").mapInArrow(tidy(_counts), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "lang-counts")
+    totals = save(counted.groupBy("lang").agg(F.sum("n").alias("total")), "lang-totals")
+    found = dict(sorted((r["lang"], r["total"]) for r in totals.collect()))
+    if len(found) < 2:
+        return Model(list(found))
+    code = np.concatenate([codewords(len(found)) > 0, np.ones((len(found), 1), bool)], axis=1)
+    shares = counted.join(counted_broadcast(totals), "lang").select("lang", "bucket", (F.col("n") / (F.col("total") + 0.5 * BUCKETS)).alias("share"))
+    bits = code.shape[1] - 1
+    summed = shares.repartition("bucket").mapInArrow(tidy(_bits(dict(zip(found, code, strict=True)), bits)), "bucket int, ones array<double>").toArrow()
+    ones = np.zeros((BUCKETS, bits + 1))
+    ones[summed["bucket"].to_numpy()] = summed["ones"].combine_chunks().flatten().to_numpy().reshape(-1, bits + 1)
+    return Model(list(found), np.array(list(found.values()), float), ones)
+
+
+def identify(docs: DataFrame, model: Model, names: tuple[str, str, str] = ("lang_pred", "score", "ambiguous")) -> DataFrame:
+    """``docs`` with the language, score (0 to 1) and ambiguity of ``text``, which alone decides, as columns ``names``.
+
+    Columns of these names are replaced, all others come back; repeated rows each do.
+    """
+    docs = small_batches(docs.drop(*names))
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_chunks(batch):
                 langs, score, unsure = held.value.predict(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(score), pa.array(unsure)], names=[*part.schema.names, "lang_pred", "score", "ambiguous"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(score), pa.array(unsure)], names=[*part.schema.names, "language of", "score of", "ambiguity of"])
 
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(tidy(run), f"{fields}, lang_pred string, score double, ambiguous boolean")
+    # Arrow functions do not take names with dots, so columns go by number.
+    names_in = [c if c == "text" else f"column {i}" for i, c in enumerate(docs.columns)]
+    fields = ", ".join(f"`{n}` {f.dataType.simpleString()}" for n, f in zip(names_in, docs.schema, strict=True))
+    found = docs.toDF(*names_in).mapInArrow(tidy(run), f"{fields}, `language of` string, `score of` double, `ambiguity of` boolean")
+    return found.toDF(*docs.columns, *names)
 
 
 def held_out() -> Column:
@@ -205,8 +248,11 @@ def held_out() -> Column:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text has a letter, and so a language; undetermined ones are rejected."""
+    """The rows of ``docs`` whose text has a letter, and so a language; null, empty and letterless texts are rejected.
+
+    Ambiguous texts stay, repeated rows each do, and every column comes back as it was, whatever its name. Without labels a
+    text with a letter has a language, but no name for it. An empty table stays empty.
+    """
     model = fit(docs.where(~held_out()))
-    if not model.langs:  # without labels a text with a letter has a language, but no name for it
-        model = Model(["unnamed"], np.zeros((1, BUCKETS)))
-    return identify(docs, model).where(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
+    names = tuple(free_name(n, docs.columns) for n in ("lang_pred", "score", "ambiguous"))
+    return identify(docs, model if model.langs else Model(["unnamed"]), names).where(F.col(names[0]) != UNDETERMINED).select(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])

@@ -38,18 +38,24 @@ def n_words(text: Column) -> Column:
 def source_targets(sizes: DataFrame) -> DataFrame:
     """source, source_size, n, target from rows of source and size: one row a source.
 
-    Sharing by weight with a ceiling: ordered by ceiling over weight, the level that fills what is left after the sources
-    before has its largest value where the first source stays under its ceiling.
+    Sources are numbered over a range sort, by their place in a part and the rows of the parts before, so their number is
+    not bounded by a task. Sharing by weight with a ceiling: the level starts where no source is over it, and rises by what
+    those over it leave until it stays; each step is one sum over the sources.
     """
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    in_order = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.row_number().over(in_order) - 1) % len(WEIGHTS) + 1).cast("int"))
-    rows = totals.withColumn("weight", weight).withColumn("ceiling", MOST * F.col("source_size")).withColumn("all", F.sum("source_size").over(Window.partitionBy()))
-    by_ratio = Window.orderBy(F.col("ceiling") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = F.coalesce(F.sum("ceiling").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rest = F.sum("weight").over(by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    rows = rows.withColumn("level", (F.col("all") - before) / rest).withColumn("level", F.max("level").over(Window.partitionBy()))
-    return rows.select("source", "source_size", "n", F.least(F.col("ceiling").cast("double"), F.col("level") * F.col("weight")).alias("target"))
+    ordered = save(totals.orderBy(F.col("source").asc_nulls_last()).withColumn("at", F.monotonically_increasing_id()), "mix-sources")
+    ordered = ordered.withColumn("part", F.shiftrightunsigned("at", 33))
+    parts = ordered.groupBy("part").agg(F.count("*").alias("rows"))  # as many as the sort has partitions
+    before = parts.select("part", F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = (F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)) % len(WEIGHTS)
+    rows = ordered.join(F.broadcast(before), "part").withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), (place + 1).cast("int")))
+    rows = save(rows.select("source", "source_size", "n", "weight", (MOST * F.col("source_size")).alias("ceiling")), "mix-weights")
+    whole, level, last = rows.agg(F.sum("source_size")).first()[0] or 0, 0.0, -1.0
+    while level != last:
+        over = F.col("ceiling") < F.lit(level) * F.col("weight")
+        filled, weights = rows.agg(F.coalesce(F.sum(F.when(over, F.col("ceiling"))), F.lit(0)), F.sum(F.when(~over, F.col("weight")))).first()
+        last, level = level, max(level, (whole - filled) / weights) if weights else level
+    return rows.select("source", "source_size", "n", F.least(F.col("ceiling").cast("double"), F.lit(level) * F.col("weight")).alias("target"))
 
 
 def _pair(a: Column, b: Column, seed: Column) -> Column:
@@ -143,15 +149,20 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them (never, once, or more); all columns are kept."""
+    """The rows of ``docs`` as often as the mix takes them (never, once, or more); columns come back whatever their names.
+
+    Null and empty texts have no words and are never taken; a null source is a source of its own; repeated rows are drawn
+    one by one; an empty table stays empty.
+    """
     found = save(choices(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))).select("doc_id", "copy", "source", "size", "copies"), "mix-choices")
     grouped = save(found.groupBy("doc_id", "source", "size").agg(F.transform(F.sort_array(F.collect_list(F.struct("copy", "copies"))), lambda x: x["copies"]).alias("each")), "mix-copies")
-    names = [F.col(f"a.`{c}`") for c in docs.columns]
-    sized = docs.withColumn("_size", n_words(F.col("text")))
-    joined = sized.alias("a").join(counted_broadcast(grouped.toDF("_id", "_source", "_words", "_each")), F.col("a.doc_id").eqNullSafe(F.col("_id")) & F.col("a.source").eqNullSafe(F.col("_source")) & (F.col("a._size") == F.col("_words")))
-    single = joined.where(F.size("_each") == 1).select(*names, F.element_at("_each", 1).alias("_copies"))
+    held = docs.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row")).withColumn("size", n_words(F.col("row.text")))
+    named = counted_broadcast(grouped).alias("b")
+    joined = held.alias("a").join(named, F.col("a.row.doc_id").eqNullSafe(F.col("b.doc_id")) & F.col("a.row.source").eqNullSafe(F.col("b.source")) & (F.col("a.size") == F.col("b.size")))
+    joined = joined.select("row", "a.size", "each")
+    single = joined.where(F.size("each") == 1).select("row", F.element_at("each", 1).alias("copies"))
     if not grouped.where(F.size("each") > 1).isEmpty():
-        again = Window.partitionBy("_id", "_source", "_words").orderBy(F.xxhash64("a.text"))
-        several = joined.where(F.size("_each") > 1).withColumn("_row", F.row_number().over(again)).select(*names, F.element_at("_each", F.col("_row")).alias("_copies"))
+        again = Window.partitionBy("row.doc_id", "row.source", "size").orderBy(F.xxhash64("row.text"))
+        several = joined.where(F.size("each") > 1).withColumn("at", F.row_number().over(again)).select("row", F.element_at("each", F.col("at")).alias("copies"))
         single = single.union(several)
-    return single.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    return single.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

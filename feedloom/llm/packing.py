@@ -1,7 +1,7 @@
 """Packed training sequences: best-fit-decreasing with segment-tree capacity search.
 
-Texts are encoded, texts longer than a sequence are split losslessly into pieces, and the pieces are dealt by hash into
-shards of about ``SHARD_TOKENS`` tokens (their number grows with the input). Each shard is packed alone: pieces from long
+Texts are encoded, texts longer than a sequence are split losslessly into pieces, which are written and numbered row by row;
+their numbers deal them into shards of about ``SHARD_TOKENS`` tokens (as many as the tokens ask for), repeated rows too. Each shard is packed alone: pieces from long
 to short, each into the open sequence with the least room that still fits, which a segment tree over the room left finds in
 a logarithm of the sequence length. Only the last sequences of a shard stay partly empty.
 
@@ -20,12 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.llm import bpe
-from feedloom.llm.common import text_chunks
+from feedloom.llm.common import save, text_chunks, tidy
 
 LENGTH = 2048
 SHARD_TOKENS = 4_000_000
-#: Bytes of text that a token takes about; it only sets the number of shards.
-BYTES_A_TOKEN = 2
 
 
 class Rooms:
@@ -85,13 +83,14 @@ def _pieces(length: int, width: int):
         step = length * width
         for batch in batches:
             for part in text_chunks(batch, "ids"):
-                rows, numbers, pieces = [], [], []
+                rows, numbers, sizes, pieces = [], [], [], []
                 for row, ids in enumerate(part.column("ids").to_pylist()):
                     for at in range(0, len(ids or b""), step):
                         rows.append(row)
                         numbers.append(at // step)
                         pieces.append(ids[at : at + step])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), pa.array(pieces, pa.binary())], names=["doc_id", "piece", "ids"])
+                        sizes.append(len(pieces[-1]) // width)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), pa.array(sizes, pa.int32()), pa.array(pieces, pa.binary())], names=["doc_id", "piece", "n", "ids"])
 
     return run
 
@@ -139,10 +138,11 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, pad: int | None = Non
     if length > 1 << (8 * c.kind.itemsize):
         raise ValueError("positions of this length do not fit the width of the ids")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-size // (BYTES_A_TOKEN * SHARD_TOKENS)))
-    pieces = bpe.encode(docs, path).mapInArrow(_pieces(length, c.kind.itemsize), f"doc_id {kind}, piece int, ids binary")
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids"), F.lit(shards)).cast("int"))
+    pieces = bpe.encode(docs, path).mapInArrow(tidy(_pieces(length, c.kind.itemsize)), f"doc_id {kind}, piece int, n int, ids binary")
+    pieces = save(pieces.withColumn("row", F.monotonically_increasing_id()), "pack-pieces")
+    tokens = pieces.agg(F.sum("n")).first()[0] or 0
+    shard = F.pmod(F.xxhash64("row"), F.lit(max(1, -(-tokens // SHARD_TOKENS)))).cast("int").alias("shard")
+    dealt = pieces.select("doc_id", "piece", "ids", shard)
     fields = f"shard int, sequence int, n_tokens int, doc_ids array<{kind}>, pieces array<int>, cu_seqlens array<int>, ids binary, positions binary"
     return dealt.groupBy("shard").applyInArrow(_packed(length, pad, c.kind.str), fields)
 

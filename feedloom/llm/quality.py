@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import let, save
+from feedloom.llm.common import free_name, let, save
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
@@ -56,35 +56,48 @@ def _repeated(words: Column) -> Column:
     return let(words, windowed)
 
 
-def normal_line(line: Column) -> Column:
-    """What makes two lines the same line: case, white space and digits do not count."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"\s+", " "), r"[0-9]+", "0"))
+def _filled(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\x0b\f\r")) != ""
 
 
 def _hashed(text: Column) -> Column:
-    """(hash, words) of each line with a word."""
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^ \\t-\\r]"))
-    return F.transform(lines, lambda x: F.struct(F.xxhash64(normal_line(x)).alias("hash"), F.size(_words(x)).alias("words")))
+    """(hash, words) of each line: case, kinds of white space and digits do not count; blank lines are (null, 0).
+
+    The whole text is made normal before it is split, and a normal line has one blank between two words.
+    """
+    normal = F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\S\n]+", " "), "[0-9]+", "0")
+
+    def one(line: Column) -> Column:
+        words = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+        return F.when(line == "", F.struct(F.lit(None).cast("long").alias("hash"), F.lit(0).alias("words"))).otherwise(F.struct(F.xxhash64(line).alias("hash"), words.alias("words")))
+
+    return F.transform(F.split(normal, "\n"), lambda x: let(F.trim(x), one))
 
 
 def _measured(docs: DataFrame, host: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    words = _words(text)
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^ \\t-\\r]"))
-    rows = docs.select("doc_id", F.col(host).alias("host"), text.alias("text")).withColumn("words", words)
+    rows = docs.select("doc_id", F.col(host).alias("host"), text.alias("text")).withColumn("words", _words(text)).withColumn("raw", F.filter(F.split(text, "\n"), _filled))
     return rows.select(
         "doc_id",
         "host",
-        F.xxhash64("text", F.length("text")).alias("text_key"),
+        _text_key(F.col("text")).alias("text_key"),
         F.size("words").cast("long").alias("n_words"),
-        F.length(F.regexp_replace("text", _BLANK, "")).cast("long").alias("word_chars"),
+        F.length(F.translate("text", " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+        (F.size("raw") - F.size(F.array_distinct("raw"))).cast("long").alias("n_dup_lines"),
         _repeated(F.col("words")).cast("long").alias("n_repeat_words"),
-        _hashed(F.col("text")).alias("lines"),
+        _lines(F.col("text")).alias("lines"),
     )
 
 
+def _text_key(text: Column) -> Column:
+    return F.xxhash64(text, F.length(text))
+
+
+def _lines(text: Column) -> Column:
+    return F.filter(_hashed(text), lambda x: x["hash"].isNotNull())
+
+
 def frequent_lines(measured: DataFrame) -> DataFrame:
     """(host, hash) of the lines over the limits."""
     hosts = measured.groupBy("host").agg(F.countDistinct("text_key").alias("docs"))
@@ -95,10 +108,10 @@ def frequent_lines(measured: DataFrame) -> DataFrame:
 
 
 def _lost(measured: DataFrame, often: DataFrame) -> DataFrame:
-    """(host, text_key, lost): the words that the frequent lines take from each text that has any."""
+    """(host, text_key, lost, hashes): the words that the frequent lines take from each text that has any, and those lines."""
     lines = measured.select("host", "text_key", "lines").dropDuplicates(["host", "text_key"]).select("host", "text_key", F.explode("lines").alias("line"))
     met = lines.alias("a").join(often.alias("b"), F.col("a.host").eqNullSafe(F.col("b.host")) & (F.col("a.line.hash") == F.col("b.hash")))
-    return met.groupBy(F.col("a.host").alias("host"), "text_key").agg(F.sum("line.words").alias("lost"))
+    return met.groupBy(F.col("a.host").alias("host"), "text_key").agg(F.sum("line.words").alias("lost"), F.collect_set("line.hash").alias("hashes"))
 
 
 def judge(docs: DataFrame, host: str = "source") -> DataFrame:
@@ -114,18 +127,25 @@ def judge(docs: DataFrame, host: str = "source") -> DataFrame:
 
 
 def filter_quality(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with the columns they have; frequent lines leave their texts."""
-    often = save(frequent_lines(save(_measured(docs, host).select("host", "text_key", "lines"), "quality-measures")), "quality-lines")
-    hashes = save(often.groupBy("host").agg(F.collect_set("hash").alias("_often")), "quality-hosts")  # at most 1 / LINE_SHARE lines a document line of each host
-    text = F.coalesce("text", F.lit(""))
-    held = docs.withColumn("_words", _words(text)).withColumn("_n", F.size("_words"))
-    held = held.where((F.col("_n") >= MIN_WORDS) & (100 * _repeated(F.col("_words")) <= REPEAT_PERCENT * F.col("_n"))).drop("_words")
-    if hashes.isEmpty():
-        return held.select(*docs.columns)
-    held = held.join(hashes.withColumnRenamed("host", "_host"), F.col(host).eqNullSafe(F.col("_host")), "left")
-    rest = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("_often", F.xxhash64(normal_line(x)))), "\n")
-    held = held.withColumn("_rest", F.when(F.col("_often").isNull(), F.col("text")).otherwise(rest))
-    held = held.where(F.size(_words(F.col("_rest"))) >= LEFT_SHARE * F.col("_n")).withColumn("text", F.col("_rest"))
+    """The rows of ``docs`` that the rules keep, with the columns they have; frequent lines leave their texts.
+
+    Null and empty texts fail the base rules; a null host is a host of its own; repeated rows are judged alike and each come
+    back; columns come back whatever their names, ``n_chars`` with the new length; an empty table stays empty.
+    """
+    measured = save(docs.select(F.col(host).alias("host"), F.coalesce("text", F.lit("")).alias("text")).select("host", _text_key(F.col("text")).alias("text_key"), _lines(F.col("text")).alias("lines")), "quality-measures")
+    often = save(frequent_lines(measured), "quality-lines")
+    row, words, n, gone, rest = (free_name(x, docs.columns) for x in ("row", "words", "n", "gone", "rest"))
+    whole = docs.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias(row))
+    held = whole.withColumn(words, _words(F.coalesce(f"{row}.text", F.lit("")))).withColumn(n, F.size(words))
+    held = held.where((F.col(n) >= MIN_WORDS) & (100 * _repeated(F.col(words)) <= REPEAT_PERCENT * F.col(n))).drop(words)
+    if often.isEmpty():
+        return held.select(f"{row}.*")
+    lost = save(_lost(measured, often), "quality-lost").toDF("_host", "_text_key", "_lost", "_hashes")
+    met = held.join(lost, F.col(row)[host].eqNullSafe(F.col("_host")) & (_text_key(F.col(f"{row}.text")) == F.col("_text_key")), "left")
+    kept = F.filter(F.arrays_zip(F.split(f"{row}.text", "\n").alias("line"), _hashed(F.col(f"{row}.text")).alias("own")), lambda x: x["own"]["hash"].isNull() | ~F.array_contains(F.col("_hashes"), x["own"]["hash"]))
+    met = met.where(F.col("_lost").isNull() | (F.col(n) - F.col("_lost") >= LEFT_SHARE * F.col(n)))
+    met = met.withColumn(rest, F.when(F.col("_lost").isNull(), F.col(f"{row}.text")).otherwise(F.array_join(F.transform(kept, lambda x: x["line"]), "\n")))
+    out = F.col(row).withField("text", F.col(rest))
     if "n_chars" in docs.columns:
-        held = held.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return held.select(*docs.columns)
+        out = out.withField("n_chars", F.when(F.col("_lost").isNull(), F.col(f"{row}.n_chars")).otherwise(F.length(rest).cast(docs.schema["n_chars"].dataType)))
+    return met.select(out.alias(row)).select(f"{row}.*")

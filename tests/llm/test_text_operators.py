@@ -10,7 +10,7 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import functions as F
 
-from feedloom.llm import html, langid, licenses, quality, warc
+from feedloom.llm import html, langid, licenses, minhash, mixing, quality, warc
 
 SF = "/root/testdata/sf0.01"
 
@@ -273,3 +273,29 @@ def test_html_takes_linear_time():
 
 def test_letters_table():
     assert langid._fold()[ord("É")] == ord("é") and langid._fold()[ord("3")] == 0 and isinstance(langid._fold(), np.ndarray)
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    rng = random.Random(11)
+    own = lambda: " ".join("".join(rng.choice("abcdefghijkl") for _ in range(6)) for _ in range(70))
+    rows = [(i if i else None, f"Menu of this page {'w ' * 5}\n{own()}" if i < 40 else own(), "h" if i < 100 else None, "en", len("x"), "s", -1.5, 2, ["e"], "z") for i in range(120)]
+    rows += [(500, None, "h", None, 0, "s", 0.0, 0, [], "z"), (501, "", "h", "en", 0, "s", 0.0, 0, [], "z"), (502, "12 34", None, "en", 5, "s", 0.0, 0, [], "z"), rows[7]]
+    names = "doc_id long, text string, source string, lang string, n_chars int, `a.b` string, score double, _n int, each array<string>, `row` string, lang_pred string, _size int, words string"
+    docs = spark.createDataFrame([(*r, "l", 9, "w") for r in rows], names)
+    plain = [f"`{c}`" for c in docs.columns]
+    for stage in (langid.keep_identified, quality.filter_quality, mixing.mixed_documents, minhash.drop_near_duplicates):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        got = {(r[0], r[5], r[6], r[9], r[10], r[11], r[12]) for r in out.select(*plain).collect()}
+        assert got and got <= {(r[0], r[5], r[6], r[9], "l", 9, "w") for r in rows}
+        assert stage(docs.limit(0)).count() == 0
+    removed = {r["doc_id"]: r for r in quality.filter_quality(docs).collect()}
+    assert removed[3]["text"] == rows[3][1].split("\n")[1] and removed[3]["n_chars"] == len(removed[3]["text"]) and removed[50]["n_chars"] == 1
+
+
+def test_every_label_is_learned(spark):
+    words = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "lmnrst"]
+    rows = [(10 * k + i, " ".join([words[k]] * 5 + [f"{words[k]}{words[k]}"] * 4), f"lang{k}") for k in range(150) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = langid.identify(docs, langid.fit(docs))
+    assert found.where("lang = lang_pred").count() > 0.95 * len(rows)
