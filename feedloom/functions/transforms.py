@@ -14,8 +14,11 @@ from pyspark.sql.types import StringType
 
 from feedloom.functions.compat import strip
 
-#: Date directives and the patterns that mean the same.
+#: Date directives and the patterns that mean the same. Reading, a field may have fewer digits.
 _DATES = {"Y": "yyyy", "m": "MM", "d": "dd", "H": "HH", "M": "mm", "S": "ss", "B": "MMMM", "b": "MMM", "j": "DDD", "%": "%"}
+_READ = _DATES | {"m": "M", "d": "d", "H": "H", "M": "m", "S": "s", "j": "D"}
+#: Fixed value: how a place in a template is written.
+PLACE = r"\{\{\s*([a-zA-Z0-9_]+)\s*\}\}"
 
 
 def _int(text: str) -> int | None:
@@ -25,9 +28,18 @@ def _int(text: str) -> int | None:
         return None
 
 
-def concat(value: Column, columns: list[str], sep: str = "", *refs: str) -> Column:
-    """References ($name) and literals joined; the value itself does not count, unknown names are empty."""
-    parts = [F.lit(r) if not r.startswith("$") else F.coalesce(F.col(f"`{r[1:]}`").cast("string"), F.lit("")) if r[1:] in columns else F.lit("") for r in refs]
+def concat(value: Column, columns: list[str], sep: str = "", *refs: str, context: dict[str, Column] | None = None) -> Column:
+    """References ($name) and literals joined; the value itself does not count.
+
+    A name is a column of the row, else a value of ``context`` (static fields and targets so far), else empty.
+    """
+
+    def found(name: str) -> Column:
+        if name in columns:
+            return F.col("`" + name.replace("`", "``") + "`")
+        return (context or {}).get(name, F.lit(""))
+
+    parts = [F.coalesce(found(r[1:]).cast("string"), F.lit("")) if r.startswith("$") else F.lit(r) for r in refs]
     return F.concat_ws(sep, *parts) if parts else F.lit("")
 
 
@@ -49,10 +61,15 @@ def tokenize(value: Column, delimiter: str, index: str = "0") -> Column:
     return F.split_part(value, F.lit(delimiter), F.lit(i + 1)) if delimiter and i >= 0 else F.lit("")
 
 
+def _filled(value: Column, made: Column) -> Column:
+    """``made``, but an empty value stays empty."""
+    return F.when(value == "", value).otherwise(made)
+
+
 def replace(value: Column, old: str, new: str = "") -> Column:
     if old:
         return F.replace(value, F.lit(old), F.lit(new))
-    return F.concat(F.lit(new), F.array_join(F.filter(F.transform(F.split(value, ""), lambda c: F.when(c != "", F.concat(c, F.lit(new)))), lambda c: c.isNotNull()), ""))
+    return _filled(value, F.concat(F.lit(new), F.array_join(F.filter(F.transform(F.split(value, ""), lambda c: F.when(c != "", F.concat(c, F.lit(new)))), lambda c: c.isNotNull()), "")))
 
 
 def title_case(value: Column) -> Column:
@@ -65,28 +82,28 @@ def default(value: Column, fallback: str = "") -> Column:
     return F.when(strip(value) == "", F.lit(fallback)).otherwise(value)
 
 
-def _date_pattern(text: str) -> str | None:
+def _date_pattern(text: str, fields: dict[str, str] = _DATES) -> str | None:
     out, at = "", 0
     for m in re.finditer(r"%(.)", text):
-        if m[1] not in _DATES:
+        if m[1] not in fields:
             return None
-        out += re.sub(r"([A-Za-z']+)", lambda k: "'" + k[1].replace("'", "''") + "'", text[at : m.start()]) + _DATES[m[1]]
+        out += re.sub(r"([A-Za-z']+)", lambda k: "'" + k[1].replace("'", "''") + "'", text[at : m.start()]) + fields[m[1]]
         at = m.end()
     return out + re.sub(r"([A-Za-z']+)", lambda k: "'" + k[1].replace("'", "''") + "'", text[at:])
 
 
 def date_format(value: Column, given: str, wanted: str) -> Column:
-    """A date in another format; what does not parse stays."""
-    a, b = _date_pattern(given), _date_pattern(wanted)
-    if a and b:
-        return F.coalesce(F.date_format(F.try_to_timestamp(value, F.lit(a)), b), value)
+    """A date in another format, blanks around it apart; what does not parse stays as it is."""
+    a, b = _date_pattern(given, _READ), _date_pattern(wanted)
+    if a and b and not re.search("%[a-zA-Z]%[a-zA-Z]", given):  # fields that touch need fixed widths
+        return F.coalesce(F.date_format(F.try_to_timestamp(strip(value), F.lit(a)), b), value)
 
     @F.pandas_udf(StringType())
     def slow(values: pd.Series) -> pd.Series:
         def one(x: str | None) -> str | None:
             try:
-                return datetime.strptime(x, given).strftime(wanted)
-            except (TypeError, ValueError):
+                return datetime.strptime(x.strip(), given).strftime(wanted)
+            except (AttributeError, TypeError, ValueError):
                 return x
 
         return values.map(one)
@@ -99,7 +116,7 @@ def regex_replace(value: Column, pattern: str, new: str = "") -> Column:
         re.compile(pattern)
     except re.error:
         return value
-    return F.regexp_replace(value, re.sub(r"\(\?P<", "(?<", pattern), re.sub(r"\\(\d)", r"$\1", new.replace("$", "\\$")))
+    return _filled(value, F.regexp_replace(value, re.sub(r"\(\?P<", "(?<", pattern), re.sub(r"\\(\d)", r"$\1", new.replace("$", "\\$"))))
 
 
 def url_encode(value: Column) -> Column:
@@ -131,14 +148,14 @@ FUNCTIONS: dict[str, Callable[..., Column]] = {
 }
 
 
-def apply(value: Column, steps: list[dict], columns: list[str]) -> Column:
+def apply(value: Column, steps: list[dict], columns: list[str], context: dict[str, Column] | None = None) -> Column:
     """Steps ({function, args}) in order; an unknown function or wrong arguments leave the value. Null counts as empty."""
     out = F.coalesce(value.cast("string"), F.lit(""))
     for step in steps:
         name, args = step.get("function"), [str(a) for a in step.get("args", [])]
         try:
             if name == "concat":
-                out = concat(out, columns, *args)
+                out = concat(out, columns, *args, context=context)
             elif name in FUNCTIONS:
                 out = FUNCTIONS[name](out, *args)
         except TypeError:
@@ -163,7 +180,7 @@ def name_key(name: Column) -> Column:
 
 
 def placeholders(template: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(template, F.lit(r"\{\{\s*([a-zA-Z0-9_]+)\s*\}\}"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(template, F.lit(PLACE), F.lit(1)))
 
 
 def _sized(value: Column, places: int, whole_bytes: bool, top: str) -> Column:

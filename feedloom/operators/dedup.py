@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from feedloom.functions.compat import strip
 from feedloom.functions.transforms import name_key
 from feedloom.plans.tables import written
 
@@ -37,7 +38,7 @@ def canonical_xml(raw: pd.Series) -> pd.Series:
 
 def identifiers(fields: Column, names: tuple[str, ...] = IDENTIFIERS) -> Column:
     """(field, value) of the identifier fields in a map of direct children; names match without case, _ and -."""
-    entries = F.transform(F.map_entries(fields), lambda e: F.struct(name_key(e["key"]).alias("k"), F.lower(F.trim(e["value"])).alias("v")))
+    entries = F.transform(F.map_entries(fields), lambda e: F.struct(name_key(e["key"]).alias("k"), F.lower(strip(e["value"])).alias("v")))
 
     def first(name: str) -> Column:
         wanted = name.replace("_", "").replace("-", "")

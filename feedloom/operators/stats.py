@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MISSING, EMPTY, OTHER = "[Missing]", "[Empty]", "Other"
-#: Names of paths that identify a record, as lower-case leaf names.
+#: Paths that identify a record, in lower case.
 ID_NAMES = ("jobid", "id", "job_id", "guid", "url", "applyurl")
 
 
@@ -84,7 +84,8 @@ def duplicate_values(df: DataFrame, path: str, limit: int = 1000) -> DataFrame:
 
 
 def id_path(paths: list[str]) -> str | None:
-    return next((p for p in paths if p.split("/")[-1].lower() in ID_NAMES), None)
+    """The first path that is, as a whole and without case, a name that identifies records."""
+    return next((p for p in paths if p.lower() in ID_NAMES), None)
 
 
 def duplicate_total(df: DataFrame, path: str) -> DataFrame:
@@ -115,13 +116,13 @@ def duplicate_summary(df: DataFrame, paths: list[str]) -> DataFrame:
 
 
 def chart(grouped: DataFrame, by: list[str], top: int = 15) -> DataFrame:
-    """Labels and values of the largest groups, the others as one if they have any rows."""
-    label = F.concat_ws(" > ", *[F.when(F.col(_quoted(p)) == "", "Unknown").otherwise(F.col(_quoted(p))) for p in by])
+    """Labels and values of the largest groups, the others as one if they have any rows; without keys the label is Unknown."""
+    label = F.concat_ws(" > ", *[F.col(_quoted(p)) for p in by]) if by else F.lit("Unknown")
     first = grouped.orderBy(F.desc("n"), *map(_quoted, by)).limit(top).select(label.alias("label"), "n")
     total = grouped.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).union(first.agg(-F.coalesce(F.sum("n"), F.lit(0)).alias("n")))
     return first.union(total.agg(F.lit(OTHER).alias("label"), F.sum("n").alias("n")).where("n > 0"))
 
 
-def ranked(df: DataFrame, partition: list[str], order: list[Column]) -> DataFrame:
-    """Rows numbered within their group."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*partition).orderBy(*order)))
+def success_rate(runs: int, successes: int) -> str:
+    """The share of runs that went well, with one decimal; all of them if there was none."""
+    return f"{100 * successes / runs:.1f}%" if runs else "100.0%"

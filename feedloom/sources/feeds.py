@@ -16,14 +16,38 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from feedloom.plans.tables import counted_broadcast
+
 #: Element names of records, in lower case.
 RECORD_NAMES = ("job", "position", "item", "entry", "opening", "vacancy")
 HEAD = 5 << 20
 
 
+def files_of(spark: SparkSession, path: str) -> list[str]:
+    """The files that a path, folder or pattern stands for, under the names that Spark's readers give them, in order."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    out, found = [], [*(fs.globStatus(where) or [])]
+    while found:
+        status = found.pop()
+        if status.isDirectory():
+            found.extend(s for s in fs.listStatus(status.getPath()) if not s.getPath().getName().startswith((".", "_")))
+        else:
+            out.append(status.getPath().toString())
+    return sorted(out)
+
+
 def head(spark: SparkSession, path: str, size: int = HEAD) -> bytes:
-    """The first bytes of the first file, read by Spark so that any store works."""
-    return bytes(spark.read.format("binaryFile").load(path).orderBy("path").limit(1).select(F.substring("content", 1, size)).first()[0])
+    """The first bytes of the first file, and no others, through the file system that Spark has for it."""
+    files = files_of(spark, path)
+    if not files:
+        raise FileNotFoundError(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(files[0])
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
+    try:
+        return bytes(stream.readNBytes(size))
+    finally:
+        stream.close()
 
 
 def _events(data: bytes) -> Iterator[tuple[str, ElementTree.Element]]:
@@ -204,8 +228,9 @@ def scan_jobs(spark: SparkSession, paths: list[str]) -> DataFrame:
 
     Format is told by content. A file is parsed in one task, as one document; records before a fault are kept.
     """
-    listed = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "source_idx int, wanted string")
-    files = spark.read.format("binaryFile").load(paths).join(F.broadcast(listed), F.col("path").endswith(F.regexp_replace("wanted", "^[a-z]+:/*(?=/)", "")))
+    named = [(i, f) for i, p in enumerate(paths) for f in files_of(spark, p)]
+    listed = spark.createDataFrame(named, "source_idx int, path string")
+    files = spark.read.format("binaryFile").load(sorted({f for _, f in named})).join(counted_broadcast(listed), "path") if named else listed.select("source_idx", "path", F.lit(b"").alias("content"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int32(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.string())

@@ -1,20 +1,58 @@
-"""Exports and reports; data sinks are parallel writers, reports are small and made on the driver from aggregates."""
+"""Exports and reports; data sinks are parallel writers, reports are made on the driver from one row a field or fault."""
 
 from __future__ import annotations
 
 import html
+import json
+from collections.abc import Iterator
+from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-REPORT_ROWS = 10_000
+from feedloom.operators import stats
+from feedloom.operators.predicates import select
+from feedloom.plans.tables import written
+
+#: Headers of the columns that are no paths.
+HEADERS = {"id": "Record ID", "raw_content": "Raw XML/JSON Content"}
+
+
+def labelled(df: DataFrame) -> DataFrame:
+    """Columns under the headers of an export: paths as they are, every column once."""
+    return df.withColumnsRenamed(HEADERS)
+
+
+def _text(df: DataFrame) -> DataFrame:
+    return df.select(*[F.to_json(F.col(f"`{f.name}`")).alias(f.name) if f.dataType.typeName() in ("array", "struct", "map") else F.col(f"`{f.name}`") for f in df.schema])
+
+
+def _framed(before: str, lines: DataFrame, after: str, path: str) -> None:
+    """Text parts that make up one document in name order: an opening, the lines (value), a closing."""
+    frame = lambda text: lines.sparkSession.createDataFrame([(text,)], "value string")
+    frame(before).write.text(f"{path}/0-open")
+    lines.write.text(f"{path}/1-records")
+    frame(after).write.text(f"{path}/2-close")
+
+
+def json_array(values: DataFrame, path: str) -> None:
+    """The JSON texts (value) as items of one array, in the order of the rows, as parts that make it up in name order."""
+    held = written(values.select("value", F.monotonically_increasing_id().alias("n")), "json-array")
+    first = held.agg(F.min("n")).first()[0]
+    lines = held.orderBy("n").select(F.concat(F.when(F.col("n") == F.lit(first), "").otherwise(","), "value").alias("value"))
+    _framed("[", lines, "]", path)
 
 
 def export(df: DataFrame, path: str, fmt: str) -> None:
-    """All rows as csv, json (lines) or parquet."""
+    """All rows as csv (UTF-8 with a byte order mark in each part), json (one array), json-lines or parquet."""
     if fmt == "csv":
-        df.write.option("header", True).option("escape", '"').csv(path)
+        flat = _text(df)
+        flat.toDF(*["\ufeff" * (i == 0) + c for i, c in enumerate(flat.columns)]).write.option("header", True).option("escape", '"').csv(path)
     elif fmt == "json":
+        json_array(df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("value")), path)
+    elif fmt == "json-lines":
         df.write.option("ignoreNullFields", False).json(path)
     elif fmt == "parquet":
         df.write.parquet(path)
@@ -22,28 +60,114 @@ def export(df: DataFrame, path: str, fmt: str) -> None:
         raise ValueError(f"no export as {fmt!r}")
 
 
+def export_analysis(df: DataFrame, paths: list[str], what: str, fmt: str, out: str, field: str | None = None, **spec) -> None:
+    """Export ``query`` (rows that filters and a search keep), ``stats`` (one row a field) or ``duplicates`` (of ``field``).
+
+    As csv or json; stats also as html. Every other combination is an error.
+    """
+    if what == "query" and fmt in ("csv", "json"):
+        export(labelled(select(df, paths, **spec)), out, fmt)
+    elif what == "stats" and fmt in ("csv", "json"):
+        export(stats.all_field_stats(df, paths).orderBy("field_idx"), out, fmt)
+    elif what == "stats" and fmt == "html":
+        rows = stats.all_field_stats(df, paths).orderBy("field_idx")
+        df.sparkSession.createDataFrame([(html_report("Field statistics", stats.summary(df, paths).first().asDict(), rows),)], "value string").coalesce(1).write.text(out)
+    elif what == "duplicates" and fmt in ("csv", "json"):
+        if not field:
+            raise ValueError("duplicates need a field")
+        export(stats.duplicate_values(df, field), out, fmt)
+    else:
+        raise ValueError(f"no export of {what!r} as {fmt!r}")
+
+
 def merged_xml(records: DataFrame, path: str, root: str = "source") -> None:
-    """The raw records in order as text parts, one a line, between an opening and a closing part."""
-    spark = records.sparkSession
-    frame = lambda text: spark.createDataFrame([(text,)], "value string")
-    frame(f'<?xml version="1.0" encoding="utf-8"?>\n<{root}>').write.text(f"{path}/0-open")
-    records.orderBy("source_idx", "rec_idx").select(F.regexp_replace("raw", r"\s*[\r\n]+\s*", " ").alias("value")).write.text(f"{path}/1-records")
-    frame(f"</{root}>").write.text(f"{path}/2-close")
+    """The raw records in order, as they are, as text parts between an opening and a closing part."""
+    _framed(f'<?xml version="1.0" encoding="utf-8"?>\n<{root}>', records.orderBy("source_idx", "rec_idx").select(F.col("raw").alias("value")), f"</{root}>", path)
+
+
+@F.pandas_udf(StringType())
+def direct_children(raw: pd.Series) -> pd.Series:
+    """A raw record as a JSON object: of XML the direct children's text, the last of a name; JSON as it is."""
+
+    def one(text: str | None) -> str | None:
+        if not text or text.lstrip()[:1] != "<":
+            return text
+        return json.dumps({c.tag.rpartition("}")[2]: "".join(c.itertext()).strip() for c in ElementTree.fromstring(text)}, ensure_ascii=False)
+
+    return raw.map(one)
 
 
 def merged_json(records: DataFrame, path: str) -> None:
-    """The fields of each record as a JSON line."""
-    records.orderBy("source_idx", "rec_idx").select(F.to_json("fields").alias("value")).write.text(path)
+    """The direct children of each record as an object of one JSON array."""
+    json_array(records.orderBy("source_idx", "rec_idx").select(direct_children("raw").alias("value")), path)
+
+
+def writer_for(name: str):
+    """The writer of a merged feed, by the suffix of its name."""
+    return merged_json if name.lower().endswith(".json") else merged_xml
+
+
+def _cells(values, tag: str) -> str:
+    return "".join(f"<{tag}>{html.escape('' if v is None else str(v))}</{tag}>" for v in values)
 
 
 def html_report(title: str, totals: dict[str, object], rows: DataFrame) -> str:
-    """A page with totals and one line for each row of a report (at most REPORT_ROWS; reports have a row a field)."""
-    cells = lambda values, tag: "".join(f"<{tag}>{html.escape('' if v is None else str(v))}</{tag}>" for v in values)
-    body = "".join(f"<tr>{cells(r, 'td')}</tr>" for r in rows.limit(REPORT_ROWS).collect())
+    """A page with totals and one line for each row of a report, which has a row a field; rows come part by part."""
+    body = "".join(f"<tr>{_cells(r, 'td')}</tr>" for r in rows.toLocalIterator())
     head = "".join(f"<li>{html.escape(k)}: {html.escape(str(v))}</li>" for k, v in totals.items())
-    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1><ul>{head}</ul><table><tr>{cells(rows.columns, 'th')}</tr>{body}</table></body></html>"
+    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1><ul>{head}</ul><table><tr>{_cells(rows.columns, 'th')}</tr>{body}</table></body></html>"
 
 
 def error_lines(errors: DataFrame) -> DataFrame:
     """One tab-separated line for each error."""
     return errors.select(F.concat_ws("\t", "error_number", "severity", "line", "column", "category", "message").alias("value"))
+
+
+#: Columns of the list of errors, and their headers.
+ERROR_HEADERS = {"error_number": "Error#", "severity": "Severity", "line": "Line", "column": "Column", "byte_offset": "ByteOffset", "category": "Category", "message": "Message"}
+
+
+def sorted_errors(errors: DataFrame, by: str = "error_number", descending: bool = False) -> DataFrame:
+    """Errors by one of the columns of the list; messages without case, ties by number."""
+    if by not in ERROR_HEADERS:
+        raise ValueError(f"errors have no column {by!r}")
+    key: Column = F.lower(by) if by == "message" else F.col(by)
+    return errors.orderBy(key.desc() if descending else key.asc(), "path", "error_number")
+
+
+def _error_text(info: DataFrame, errors: DataFrame) -> Iterator[str]:
+    rule = "=" * 72
+    yield from (rule, "  Validation report", rule, "", "FILE INFORMATION")
+    for row in info.orderBy("path").toLocalIterator():
+        yield from (f"  {k.replace('_', ' ').capitalize():<15}: {'—' if v is None else v}" for k, v in row.asDict().items())
+        yield ""
+    yield "SUMMARY"
+    yield from (f"  {r['severity']} / {r['category']}: {r['n']}" for r in errors.groupBy("severity", "category").agg(F.count("*").alias("n")).orderBy("severity", "category").toLocalIterator())
+    yield from ("", "ERRORS")
+    for r in sorted_errors(errors, "error_number").toLocalIterator():
+        yield f"  #{r['error_number']} [{r['severity']}] {r['category']} at line {r['line']}, column {r['column']}: {r['message']}"
+        yield from (f"    {'>' if c['is_error_line'] else ' '} {c['line_number']:>6} | {c['text']}" for c in r["context_lines"] or [])
+
+
+def validation_report(info: DataFrame, errors: DataFrame, path: str, fmt: str) -> None:
+    """A report of ``file_info`` and ``validate`` rows under ``path``, as csv, json, html or txt."""
+    listed = sorted_errors(errors).select(*[F.col(c).alias(h) for c, h in ERROR_HEADERS.items()])
+    if fmt == "csv":
+        export(listed, path, "csv")
+    elif fmt == "json":
+        held = errors.groupBy("path").agg(F.sort_array(F.collect_list(F.struct(*[c for c in errors.columns if c != "path"]))).alias("errors"))
+        whole = info.join(held, "path", "left").withColumn("errors", F.coalesce("errors", F.array().cast(held.schema["errors"].dataType))).withColumn("error_count", F.size("errors"))
+        export(whole.orderBy("path"), path, "json")
+    elif fmt == "html":
+        totals = {r["severity"]: r["n"] for r in errors.groupBy("severity").agg(F.count("*").alias("n")).collect()}
+        totals = {"Files": info.count(), "Errors": sum(totals.values())} | totals
+        _framed(html_report("Validation report", totals, listed), errors.sparkSession.createDataFrame([], "value string"), "", path)
+    elif fmt == "txt":
+        errors.sparkSession.createDataFrame([("\n".join(_error_text(info, errors)),)], "value string").coalesce(1).write.text(path)
+    else:
+        raise ValueError(f"no report as {fmt!r}")
+
+
+def output_preview(path_text: DataFrame, lines: int = 100) -> list[str]:
+    """The first lines of a written feed (value), in the order of its parts."""
+    return [r["value"] for r in path_text.limit(lines).collect()]

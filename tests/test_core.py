@@ -4,6 +4,7 @@ import gzip
 import json
 import random
 import sqlite3
+from datetime import datetime
 from urllib.parse import quote, unquote
 
 import duckdb
@@ -78,10 +79,20 @@ def test_transforms_match_python(spark):
         assert got("substring", a, b) == want
     assert got("title_case") == [t.title() for t in texts] and got("upper") == [t.upper() for t in texts] and got("strip") == [t.strip() for t in texts]
     assert got("url_encode") == [quote(t) for t in texts] and got("url_decode") == [unquote(t) for t in texts]
-    assert got("replace", "A", "$") == [t.replace("A", "$") for t in texts] and got("replace", "", "-") == [t.replace("", "-") for t in texts]
+    assert got("replace", "A", "$") == [t.replace("A", "$") for t in texts] and got("replace", "", "-") == [t and t.replace("", "-") for t in texts]
     assert got("default", "z") == [t if t.strip() else "z" for t in texts] and got("tokenize", " ", "1")[1] == "" and got("tokenize", " ", "9") == [""] * len(texts)
     assert got("date_format", "%Y-%m-%d", "%d.%m.%Y")[5] == "29.02.2024" and got("date_format", "%m/%d/%Y", "%y")[6] == "23" and got("date_format", "%Y-%m-%d", "%d")[0] == ""
-    assert got("regex_replace", "(x)(A)", r"\2\1")[7] == "AxAx" and got("regex_replace", "(", "x") == texts and got("nothing") == texts and got("substring", "1", "2", "3") == texts
+    assert got("regex_replace", "(x)(A)", r"\2\1")[7] == "AxAx" and got("regex_replace", "(", "x") == texts and got("regex_replace", "^", "x")[0] == "" and got("lower") == [t.lower() for t in texts] and got("nothing") == texts and got("substring", "1", "2", "3") == texts
+    dates = ["2024-02-29", " 2024-02-29 ", "1/2/2023", "01/02/2023", "2023-2-30", "", "20240229"]
+    for given in ("%Y-%m-%d", "%m/%d/%Y", "%Y%m%d"):
+        want = []
+        for d in dates:
+            try:
+                want.append(datetime.strptime(d.strip(), given).strftime("%d.%m.%Y"))
+            except ValueError:
+                want.append(d)
+        made = spark.createDataFrame(list(enumerate(dates)), "i int, v string").orderBy("i").select(T.date_format(F.col("v"), given, "%d.%m.%Y").alias("x"))
+        assert [r["x"] for r in made.collect()] == want
     assert got("concat", "-", "$w", "lit", "$no")[0] == "b-lit-" and got("contains", "A", "y", "n")[7] == "y"
     sizes = spark.range(1).select(T.file_size(F.lit(512)), T.file_size(F.lit(-1)), T.human_size(F.lit(1536)), T.duration(F.lit(3723)), T.duration(F.lit(0.4)), T.speed(F.lit(0))).first()
     assert tuple(sizes) == ("512 B", "0 B", "1.5 KB", "1h 2m 3s", "0.4s", "0.00 MB/s")
