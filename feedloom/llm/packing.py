@@ -139,7 +139,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, pad: int | None = Non
         raise ValueError("positions of this length do not fit the width of the ids")
     kind = docs.schema["doc_id"].dataType.simpleString()
     pieces = bpe.encode(docs, path).mapInArrow(tidy(_pieces(length, c.kind.itemsize)), f"doc_id {kind}, piece int, n int, ids binary")
-    pieces = save(pieces.withColumn("row", F.monotonically_increasing_id()), "pack-pieces")
+    pieces = save(pieces.withColumn("row", F.monotonically_increasing_id()), "pack-pieces", "snappy")
     tokens = pieces.agg(F.sum("n")).first()[0] or 0
     shard = F.pmod(F.xxhash64("row"), F.lit(max(1, -(-tokens // SHARD_TOKENS)))).cast("int").alias("shard")
     dealt = pieces.select("doc_id", "piece", "ids", shard)
