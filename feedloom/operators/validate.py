@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from xml.parsers import expat
 
@@ -11,45 +13,87 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.sources.feeds import sniff
+from feedloom.sources.feeds import encoding, files_of, head, sniff
 
 _TAG = re.compile(rb"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<!DOCTYPE[^>]*>|<(/?)([A-Za-z_:][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>", re.S)
 
 
+#: The parser's wordings, as users know them from other tools.
+_WORDINGS = {
+    "no element found": "Premature end of data",
+    "unclosed token": "Premature end of data",
+    "unclosed CDATA section": "CData section not finished",
+    "XML or text declaration not at start of entity": "XML declaration allowed only at the start of the document",
+    "junk after document element": "Extra content at the end of the document",
+    "unknown encoding": "Unsupported encoding",
+    "encoding specified in XML declaration is incorrect": "Document labelled with another encoding than it has",
+}
+_RELATIVE = re.compile(rb"""\sxmlns(?::[\w.-]+)?\s*=\s*["']([^"':]+)["']""")
+
+
+def _worded(data: bytes, at: int, text: str) -> str:
+    """The message for a fault of the parser at a byte."""
+    rest = data[at : at + 256]
+    if text == "undefined entity" and (m := re.match(rb"&([^;\s]+);", rest)):
+        return f"Entity '{m[1].decode('utf-8', 'replace')}' not defined"
+    if text == "duplicate attribute" and (m := re.match(rb"([^\s=]+)", rest)):
+        return f"Attribute {m[1].decode('utf-8', 'replace')} redefined"
+    if text == "unbound prefix" and (m := re.search(rb"<([\w.-]+):", data[max(0, at - 1) : at + 256])):
+        return f"Namespace prefix {m[1].decode()} is not defined"
+    if "invalid token" in text:
+        if rest and rest[0] < 32 and rest[0] not in (9, 10, 13):
+            return f"xmlChar 0x{rest[0]:X} out of allowed range"
+        try:
+            data[at : at + 4].decode("utf-8")
+        except UnicodeDecodeError as e:
+            if e.start == 0 and e.reason != "unexpected end of data":
+                return "Input is not proper UTF-8, indicate encoding !"
+    return _WORDINGS.get(text, text)
+
+
 def xml_faults(data: bytes) -> list[tuple[int, int, str]]:
-    """(line, column, message): what the parser stops at, and every tag pair that does not match."""
+    """(line, column, message): what the parser stops at, every tag pair that does not match, and namespaces that are relative."""
     if not data.strip():
         return [(1, 1, "Document is empty")]
-    out = []
+    breaks = [m.start() for m in re.finditer(b"\n", data)]
+
+    def place(at: int) -> tuple[int, int]:
+        line = bisect_left(breaks, at)
+        return line + 1, at - (breaks[line - 1] if line else -1)
+
+    out = [(*place(m.start(1)), f"xmlns: URI {m[1].decode('utf-8', 'replace')} is not absolute") for m in _RELATIVE.finditer(data)]
     parser = expat.ParserCreate(namespace_separator=" ")
     try:
         parser.Parse(data, True)
-        return []
+        return sorted(set(out))
     except expat.ExpatError as e:
         text = expat.ErrorString(e.code)
         if "mismatched" not in text:
-            out.append((e.lineno, e.offset + 1, {"no element found": "Premature end of data", "unclosed CDATA section": "CData section not finished", "undefined entity": "Entity not defined", "duplicate attribute": "Attribute redefined", "XML or text declaration not at start of entity": "XML declaration allowed only at the start of the document"}.get(text, text)))
-    line_at = lambda at: data.count(b"\n", 0, at) + 1
+            out.append((e.lineno, e.offset + 1, _worded(data, parser.ErrorByteIndex, text)))
     stack: list[tuple[str, int]] = []
+    opened: Counter[str] = Counter()
     for m in _TAG.finditer(data):
         if not m[2] or m[4]:
             continue
         name = m[2].decode("utf-8", "replace")
+        line, column = place(m.start())
         if not m[1]:
-            stack.append((name, line_at(m.start())))
+            stack.append((name, line))
+            opened[name] += 1
         elif stack and stack[-1][0] == name:
-            stack.pop()
+            opened[stack.pop()[0]] -= 1
+        elif not stack:
+            out.append((line, column, "Extra content at the end of the document"))
         else:
-            place = line_at(m.start()), m.start() - data.rfind(b"\n", 0, m.start())
-            if stack:
-                opened, line = stack.pop() if not any(s[0] == name for s in stack[:-1]) else stack[-1]
-                out.append((*place, f"Opening and ending tag mismatch: {opened} line {line} and {name}"))
-                while stack and any(s[0] == name for s in stack):
-                    if stack.pop()[0] == name:
-                        break
-            else:
-                out.append((*place, f"Unexpected closing tag: {name}"))
-    out += [(data.count(b"\n") + 1, 1, f"Premature end of data in tag {n} line {k}") for n, k in stack[-1:] if not any("end of data" in x[2] for x in out)]
+            top, begun = stack[-1]
+            out.append((line, column, f"Opening and ending tag mismatch: {top} line {begun} and {name}"))
+            while stack:  # back to the element that it ends, or only over the one it takes the place of
+                last = stack.pop()[0]
+                opened[last] -= 1
+                if last == name or not opened[name]:
+                    break
+    if stack and not any("end of data" in x[2] for x in out):
+        out.append((len(breaks) + 1, 1, f"Premature end of data in tag {stack[-1][0]} line {stack[-1][1]}"))
     return sorted(set(out))
 
 
@@ -102,49 +146,151 @@ def category(message: Column, kind: Column) -> Column:
     has = lambda *words: F.greatest(*[low.contains(w) for w in words], F.lit(False))
     as_json = F.when(has("bracket", "brace", "structure"), "Tag Mismatch").when(has("unclosed string"), "Unexpected EOF").when(has("comma", "duplicate"), "Invalid Attribute").otherwise("Malformed XML")
     as_json = F.when(low.startswith("expected ','"), "Malformed XML").otherwise(as_json)
+    # What a message holds, in the order in which it is looked for.
+    said = lambda *words: F.greatest(*[message.contains(w) for w in words], F.lit(False))
     as_xml = (
-        F.when(has("tag mismatch", "closing tag"), "Tag Mismatch").when(has("cdata"), "Malformed CDATA").when(has("declaration"), "Duplicate Declaration").when(has("premature end", "is empty"), "Unexpected EOF")
-        .when(has("entity"), "Invalid Entity").when(has("encoding"), "Encoding Error").when(has("namespace", "prefix"), "Namespace Error").when(has("attribute"), "Invalid Attribute").when(has("invalid token"), "Invalid Character").otherwise("Malformed XML")
-    )
+        F.when(said("tag mismatch", "Opening and ending"), "Tag Mismatch")
+        .when(has("encoding") | said("UTF"), "Invalid Encoding")
+        .when(said("Entity", "entity"), "Invalid Entity")
+        .when(said("CDATA", "CData"), "Malformed CDATA")
+        .when(said("EOF", "Premature end", "Extra content at the end", "Document is empty"), "Unexpected EOF")
+        .when(said("XML declaration") & said("allowed only"), "Duplicate Declaration")
+        .when(said("Namespace", "namespace"), "Namespace Error")
+        .when(said("xmlChar") | has("invalid character", "illegal"), "Illegal Character")
+        .when(has("attribute"), "Invalid Attribute")
+        .otherwise("Malformed XML")
+    )
+    as_xml = F.when(said("does not exist", "not a regular file", "Cannot read"), "Other").otherwise(as_xml)
     return F.when(kind == "json", as_json).otherwise(as_xml)
 
 
-def validate(spark: SparkSession, paths: list[str] | str, context: int = 10) -> DataFrame:
-    """path, kind, error_number, line, column, message, category, severity, tag_name, reference_tag, reference_line, context_lines.
+#: What a message says about its tag, as patterns with the tag in a group.
+_TAGS = (
+    r"Tag\s+(\S+)\s+was not closed",
+    r"Entity\s+'([^']+)'",
+    r"(?i)undefined entity\s+&([^;]+);",
+    r"Attribute\s+(\S+)\s+redefined",
+    r"(?i)namespace prefix[:\s]+['\"]?([\w]+)['\"]?",
+    r"(?:xmlChar|Char)\s+0x([0-9A-Fa-f]+)",
+)
+_MISMATCH = r"Opening and ending tag mismatch:\s+(\S+)\s+line\s+(\d+)\s+and\s+(\S+)"
+#: Bytes at the start of a file that have no line break if it is minified, and around a fault of such a file.
+_MINIFIED, _AROUND = 2048, 500
 
-    A file is one document and is parsed in one task. A tag mismatch inside the span of the last one kept is its consequence
-    and is left out.
-    """
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    # The reader leaves out files without content; their names are in the listing that the driver already has.
-    bare = lambda c: F.regexp_replace(c, "^([a-z]+):/+", "$1:/")
-    named = spark.createDataFrame([(p,) for p in files.inputFiles()], "path string").withColumn("path", bare(F.col("path")))
-    empty = named.join(files.select(bare(F.col("path")).alias("path")), "path", "left_anti").withColumn("content", F.lit(b""))
-    files = files.union(empty).withColumn("kind", sniff(F.col("path"), F.col("content")))
 
+def tag_name(message: Column) -> Column:
+    """The tag that a message is about: of a mismatch the closing one."""
+    found = [F.nullif(F.regexp_extract(message, p, 1), F.lit("")) for p in _TAGS]
+    found[-1] = F.concat(F.lit("U+"), F.upper(found[-1]))
+    return F.coalesce(F.nullif(F.regexp_extract(message, _MISMATCH, 3), F.lit("")), *found)
+
+
+def reference_tag(message: Column) -> Column:
+    """The opening tag of a mismatch."""
+    return F.nullif(F.regexp_extract(message, _MISMATCH, 1), F.lit(""))
+
+
+def reference_line(message: Column) -> Column:
+    """The line of the opening tag of a mismatch."""
+    return F.regexp_extract(message, _MISMATCH, 2).try_cast("int")
+
+
+def severity(message: Column, kind: Column) -> Column:
+    """Fatal where the document is not well-formed, Error for namespaces, Warning for what is only doubtful."""
+    return F.when((kind == "xml") & message.contains("is not absolute"), "Warning").when((kind == "xml") & message.contains("Namespace"), "Error").otherwise("Fatal")
+
+
+def byte_offset(line: Column, size: Column, lines: Column) -> Column:
+    """Where a line begins in a file of so many bytes and lines, if all were as long."""
+    return F.when(lines > 0, F.floor((line - 1) * (size / lines))).otherwise(0).cast("long")
+
+
+def _context(data: bytes, lines: list[bytes], at: int, offset: int, context: int) -> list[dict]:
+    if len(data) >= _MINIFIED and b"\n" not in data[:_MINIFIED]:
+        start = max(0, offset - _AROUND)
+        text = data[start : start + 2 * _AROUND].decode("utf-8", "replace")
+        shown = re.sub(r"(?<=>)(?=<)|(?<=\},)", "\n", text).splitlines()
+        return [{"line_number": k + 1, "text": x, "is_error_line": k == len(shown) // 2} for k, x in enumerate(shown)]
+    return [{"line_number": k + 1, "text": lines[k].decode("utf-8", "replace").rstrip("\r"), "is_error_line": k + 1 == at} for k in range(max(0, at - 1 - context), min(len(lines), at + context))]
+
+
+def _faults(context: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, kind, data in zip(*(batch.column(c).to_pylist() for c in ("path", "kind", "content")), strict=True):
                 faults = json_faults(data) if kind == "json" else xml_faults(data)
-                lines = data.decode("utf-8", "replace").split("\n")
-                rows = [(path, kind, i, a, b, m, [{"line_number": k + 1, "text": lines[k].rstrip("\r"), "is_error_line": k + 1 == a} for k in range(max(0, a - 1 - context), min(len(lines), a + context))]) for i, (a, b, m) in enumerate(faults)]
+                lines, many = data.split(b"\n") if faults else [], max(1, data.count(b"\n"))
+                rows = [(path, kind, i, a, b, len(data), many, m, _context(data, lines, a, int((a - 1) * (len(data) / many)), context)) for i, (a, b, m) in enumerate(faults)]
                 if rows:
                     line = pa.list_(pa.struct([("line_number", pa.int32()), ("text", pa.string()), ("is_error_line", pa.bool_())]))
-                    kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), line)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["path", "kind", "n", "line", "column", "message", "context_lines"])
+                    kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), line)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["path", "kind", "n", "line", "column", "size", "lines", "message", "context_lines"])
+
+    return run
+
+
+def _contents(spark: SparkSession, files: list[str]) -> DataFrame:
+    """(path, content, kind) of files; the reader leaves out those without content."""
+    listed = spark.createDataFrame([(f,) for f in files], "path string")
+    if not files:
+        return listed.select("path", F.lit(b"").alias("content"), F.lit("xml").alias("kind"))
+    held = spark.read.format("binaryFile").load(files).select("path", "content")
+    empty = listed.join(held.select("path"), "path", "left_anti").withColumn("content", F.lit(b""))
+    return held.union(empty).withColumn("kind", sniff(F.col("path"), F.col("content")))
+
 
-    fields = "path string, kind string, n int, line int, column int, message string, context_lines array<struct<line_number:int,text:string,is_error_line:boolean>>"
-    found = files.select("path", "kind", "content").mapInArrow(run, fields)
-    mismatch = r"mismatch: (\S+) line (\d+) and (\S+)"
-    found = found.withColumn("tag_name", F.nullif(F.regexp_extract("message", mismatch, 1), F.lit(""))).withColumn("reference_line", F.regexp_extract("message", mismatch, 2).try_cast("int")).withColumn("reference_tag", F.nullif(F.regexp_extract("message", mismatch, 3), F.lit("")))
+def validate(spark: SparkSession, paths: list[str] | str, context: int = 10) -> DataFrame:
+    """path, kind, error_number, line, column, byte_offset, message, category, severity, tag_name, reference_tag, reference_line,
+    context_lines.
+
+    A file is one document and is parsed in one task. A path that stands for no file is one fatal fault of its own. A tag
+    mismatch inside the span of the last one kept is its consequence and is left out. byte_offset is an estimate from the
+    line; files whose beginning has no line break show what is around it, cut between tags.
+    """
+    wanted = [paths] if isinstance(paths, str) else list(paths)
+    found = {p: files_of(spark, p) for p in wanted}
+    missing = [(p, "xml", 0, 0, 0, 0, 1, f"File does not exist: {p}", []) for p, files in found.items() if not files]
+    fields = "path string, kind string, n int, line int, column int, size long, lines long, message string, context_lines array<struct<line_number:int,text:string,is_error_line:boolean>>"
+    rows = _contents(spark, sorted({f for files in found.values() for f in files})).select("path", "kind", "content").mapInArrow(_faults(context), fields)
+    rows = rows.union(spark.createDataFrame(missing, fields)) if missing else rows
+    message = F.col("message")
+    rows = rows.withColumn("reference_line", reference_line(message)).withColumn("byte_offset", byte_offset(F.greatest("line", F.lit(1)), F.col("size"), F.col("lines")))
     # The faults of one file in order; a mismatch that lies inside the last kept one only follows from it.
-    grouped = found.groupBy("path", "kind").agg(F.sort_array(F.collect_list(F.struct("n", "line", "column", "message", "tag_name", "reference_tag", "reference_line", "context_lines"))).alias("all"))
+    grouped = rows.groupBy("path", "kind").agg(F.sort_array(F.collect_list(F.struct("n", "line", "column", "byte_offset", "message", "reference_line", "context_lines"))).alias("all"))
     kept = F.expr("""aggregate(all, named_struct('open', cast(null as int), 'close', cast(null as int), 'out', filter(all, x -> false)),
       (s, x) -> if(x.reference_line is not null and s.open is not null and x.reference_line < s.open and x.line >= s.close, s,
         named_struct('open', coalesce(x.reference_line, s.open), 'close', if(x.reference_line is null, s.close, x.line), 'out', concat(s.out, array(x)))), s -> s.out)""")
     rows = grouped.select("path", "kind", F.posexplode(kept).alias("i", "x")).select("path", "kind", (F.col("i") + 1).alias("error_number"), "x.*").drop("n")
-    severity = F.when(F.col("message").rlike("(?i)premature|empty|unclosed structure"), "Fatal").otherwise("Error")
-    return rows.withColumn("category", category(F.col("message"), F.col("kind"))).withColumn("severity", severity)
+    return rows.withColumns({"category": category(message, F.col("kind")), "severity": severity(message, F.col("kind")), "tag_name": tag_name(message), "reference_tag": reference_tag(message)})
+
+
+def file_info(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """path, filename, file_size, encoding, xml_version, root_element, namespace_count, line_count, last_modified of each file.
+
+    Lines are counted by a reader that splits large files; the rest is read from the first 64 KB, without the files' content.
+    Namespaces are those that the root declares. A file without a line break has one line.
+    """
+    wanted = [paths] if isinstance(paths, str) else list(paths)
+    files = sorted({f for p in wanted for f in files_of(spark, p)})
+    bare = lambda c: F.regexp_replace(c, "^([a-z]+):/+", "$1:/")
+    heads = spark.createDataFrame([(f, bytearray(head(spark, f, 1 << 16))) for f in files], "path string, start binary")
+    if not files:
+        return heads.selectExpr("path", "path as filename", "cast(0 as long) as file_size", "'' as encoding", "'' as xml_version", "'' as root_element", "0 as namespace_count", "cast(1 as long) as line_count", "cast(null as timestamp) as last_modified")
+    listed = spark.read.format("binaryFile").load(files).select(bare(F.col("path")).alias("path"), "modificationTime", "length")
+    text = spark.read.option("lineSep", "\n").text(files).select(bare(F.col("_metadata.file_path")).alias("path"), (F.octet_length("value") + 1).cast("long").alias("n"))
+    counted = text.groupBy("path").agg(F.count("*").alias("rows"), F.sum("n").alias("bytes"))
+    text = F.col("start").cast("string")
+    body = F.regexp_replace(text, r"(?s)<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>]*>", "")
+    root = F.regexp_extract(body, r"<([A-Za-z_:][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", 1)
+    declared = F.regexp_extract(body, r"<[A-Za-z_:][^\s/>]*((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", 1)
+    version = F.regexp_extract(F.decode(F.substring("start", 1, 256), "ISO-8859-1"), r"""version\s*=\s*["']([^"']+)["']""", 1)
+    out = heads.withColumn("path", bare(F.col("path"))).join(listed, "path", "left").join(counted, "path", "left")
+    ends = F.col("bytes") > F.col("length")  # the last line has no line break
+    return out.select(
+        "path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.coalesce("length", F.lit(0)).cast("long").alias("file_size"), encoding(F.col("start")).alias("encoding"),
+        F.when(version == "", "1.0").otherwise(version).alias("xml_version"), F.regexp_extract(root, "([^:]*)$", 1).alias("root_element"), F.regexp_count(declared, F.lit(r"\sxmlns(:[\w.-]+)?\s*=")).cast("int").alias("namespace_count"),
+        F.greatest(F.coalesce(F.col("rows") - F.when(ends, 1).otherwise(0), F.lit(0)), F.lit(1)).cast("long").alias("line_count"), F.col("modificationTime").alias("last_modified"),
+    )
 
 
 def summary(errors: DataFrame) -> DataFrame:

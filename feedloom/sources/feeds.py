@@ -284,7 +284,7 @@ def leaves_of(spark: SparkSession, path: str) -> DataFrame:
 
 def sniff(path: Column, content: Column) -> Column:
     """json or xml by suffix, else by the first character after a byte order mark."""
-    start = F.ltrim(F.regexp_replace(F.decode(F.substring(content, 1, 4096), "UTF-8"), "^﻿?\\s*", ""))
+    start = F.ltrim(F.regexp_replace(F.substring(content, 1, 4096).cast("string"), "^﻿?\\s*", ""))
     by_name = F.when(path.rlike(r"(?i)\.json$"), "json").when(path.rlike(r"(?i)\.(xml|xsd|xsl|xslt|svg|xhtml)$"), "xml")
     return F.coalesce(by_name, F.when(F.substring(start, 1, 1).isin("{", "["), "json").otherwise("xml"))
 

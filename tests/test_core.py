@@ -16,7 +16,7 @@ from feedloom.functions.compat import loose_real, strip
 from feedloom.operators import convert, dedup, predicates, stats, template, validate
 from feedloom.plans import catalogue
 from feedloom.sources import feeds, sinks
-from feedloom.streaming.ingest import ingest
+from feedloom.streaming.ingest import earlier, ingest
 
 SF = "/root/testdata/sf0.001"
 TEXTS = [None, "", "12abc", "1,000", "-5.5kg", "1e3x", "abc", "inf", "nan", "0x10", ".5", " 7", "Engineer", "engineer II", "a%b", "a_b", r"a\b", "100", "99", "ABC", "x,y"]
@@ -181,16 +181,62 @@ def test_validation(spark, tmp_path):
         rows.setdefault(r["path"].rsplit("/", 1)[1], []).append(r)
     assert {n: rows[n][0]["category"] if n in rows else None for n in cases} == {n: c for n, (_, c) in cases.items()}
     first = rows["tags.xml"][0]
-    assert (first["line"], first["tag_name"], first["reference_tag"], first["error_number"]) == (2, "title", "author", 1) and first["context_lines"][1]["is_error_line"]
+    assert (first["line"], first["tag_name"], first["reference_tag"], first["reference_line"], first["error_number"], first["severity"]) == (2, "author", "title", 2, 1, "Fatal") and first["context_lines"][1]["is_error_line"]
     assert rows["empty.xml"][0]["severity"] == "Fatal" and validate.summary(validate.validate(spark, str(tmp_path))).count() >= 2
 
 
+def test_validation_messages(spark):
+    # Messages, with category, tag, reference tag and line.
+    rows = [
+        ("Opening and ending tag mismatch: jobs line 3 and job", "Tag Mismatch", "job", "jobs", 3), ("Input is not proper UTF-8, indicate encoding !", "Invalid Encoding", None, None, None), ("Entity 'x' not defined", "Invalid Entity", "x", None, None),
+        ("undefined entity &y;", "Invalid Entity", "y", None, None), ("CDATA not finished", "Malformed CDATA", None, None, None), ("Premature end of data in tag a", "Unexpected EOF", None, None, None), ("Extra content at the end of the document", "Unexpected EOF", None, None, None),
+        ("XML declaration allowed only at the start of the document", "Duplicate Declaration", None, None, None), ("Namespace prefix dc is not defined", "Namespace Error", "dc", None, None), ("xmlChar 0x1b out of range", "Illegal Character", "U+1B", None, None),
+        ("Attribute id redefined", "Invalid Attribute", "id", None, None), ("Tag b was not closed", "Malformed XML", "b", None, None), ("whatever", "Malformed XML", None, None, None),
+    ]
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "i int, m string").orderBy("i")
+    m = F.col("m")
+    got = df.select(m, validate.category(m, F.lit("xml")), validate.tag_name(m), validate.reference_tag(m), validate.reference_line(m)).collect()
+    assert [tuple(r) for r in got] == rows
+
+
+def test_validation_of_files(spark, tmp_path):
+    flat = "<r>" + "<x>1</x>" * 300 + "</y>"
+    files = {"a.xml": b"<?xml version='1.1'?>\n<n:r xmlns:n='http://n' xmlns='u'>\n<n:x/>\n</n:r>", "flat.xml": flat.encode(), "none.xml": b"", "bad.xml": b"<r>\xe9\xfc</r>", "low.xml": b"<r>\x02</r>", "dup.xml": b"<r a='1' a='2'/>", "pre.xml": b"<p:r/>", "q.json": b"[1,\n2]\n"}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    errors = validate.validate(spark, [str(tmp_path), str(tmp_path / "missing.xml")])
+    rows = {r["path"].rsplit("/", 1)[1]: r for r in errors.where("error_number = 1").collect()}
+    assert {n: (r["category"], r["severity"]) for n, r in rows.items()} == {
+        "a.xml": ("Malformed XML", "Warning"), "flat.xml": ("Tag Mismatch", "Fatal"), "none.xml": ("Unexpected EOF", "Fatal"), "bad.xml": ("Invalid Encoding", "Fatal"), "low.xml": ("Illegal Character", "Fatal"),
+        "dup.xml": ("Invalid Attribute", "Fatal"), "pre.xml": ("Namespace Error", "Error"), "missing.xml": ("Other", "Fatal"),
+    }
+    assert len(rows["flat.xml"]["context_lines"]) > 1 and sum(c["is_error_line"] for c in rows["flat.xml"]["context_lines"]) == 1
+    assert rows["dup.xml"]["tag_name"] == "a" and rows["missing.xml"]["line"] == 0
+    info = {r["filename"]: r for r in validate.file_info(spark, str(tmp_path)).collect()}
+    assert (info["a.xml"]["root_element"], info["a.xml"]["namespace_count"], info["a.xml"]["xml_version"], info["a.xml"]["line_count"]) == ("r", 2, "1.1", 3)
+    assert (info["none.xml"]["line_count"], info["q.json"]["line_count"], info["flat.xml"]["line_count"], info["flat.xml"]["xml_version"]) == (1, 2, 1, "1.0") and info["flat.xml"]["file_size"] == len(flat)
+    for fmt in ("csv", "json", "html", "txt"):
+        sinks.validation_report(validate.file_info(spark, str(tmp_path)), errors, str(tmp_path / f"report-{fmt}"), fmt)
+    whole = lambda fmt: "\n".join(r["value"] for r in spark.read.text([str(tmp_path / f"report-{fmt}" / d) for d in ("0-open", "1-records", "2-close")]).collect())
+    listed = json.loads("".join(r["value"] for d in ("0-open", "1-records", "2-close") for r in spark.read.text(str(tmp_path / "report-json" / d)).collect()))
+    assert {x["filename"]: x["error_count"] for x in listed}["q.json"] == 0 and next(x for x in listed if x["filename"] == "dup.xml")["errors"][0]["category"] == "Invalid Attribute"
+    assert "Tag Mismatch" in whole("html") and "&lt;" not in whole("html").split("<table>")[0]
+    part = next((tmp_path / "report-csv").glob("part*.csv")).read_bytes()
+    assert part.startswith(b"\xef\xbb\xbfError#,Severity,Line,Column,ByteOffset,Category,Message")
+    assert "not proper UTF-8" in "\n".join(r["value"] for r in spark.read.text(str(tmp_path / "report-txt")).collect())
+    with pytest.raises(ValueError, match="report"):
+        sinks.validation_report(info, errors, str(tmp_path / "x"), "pdf")
+    assert [r["message"].lower() for r in sinks.sorted_errors(errors, "message", True).collect()] == sorted((r["message"].lower() for r in errors.collect()), reverse=True)
+
+
 def test_streaming_ingest(spark, tmp_path):
     schema = "source_idx int, rec_idx long, fields map<string,string>"
     for k in range(2):
         spark.createDataFrame([(0, 10 * k + i, {"id": str(i + k)}) for i in range(4)], schema).write.mode("append").parquet(str(tmp_path / "in"))
         ingest(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "known"), str(tmp_path / "check")).awaitTermination()
     assert sorted(r["rec_idx"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 1, 2, 3, 13]
+    one, many = (earlier(spark, str(tmp_path / "known"), n)._jdf.queryExecution().optimizedPlan().toString() for n in (1, 2000))
+    assert len(many) - len(one) < 20 and earlier(spark, str(tmp_path / "known"), 1).count() == 4
 
 
 @pytest.mark.parametrize("name", [n for n in catalogue.QUERIES if n in catalogue.ORACLES])
