@@ -299,3 +299,141 @@ def encoding(content: Column) -> Column:
 
 def staged_name(kind: Column, key: Column, suffix: str = "") -> Column:
     return F.concat(F.substring(F.sha2(F.concat_ws(":", kind, key), 256), 1, 16), F.lit(suffix))
+
+
+#: Elements that the builder looks at to find its records, and how deep they lie at most.
+BUILDER_ELEMENTS, BUILDER_DEPTH = 15_000, 3
+
+
+def detect_record_path(spark: SparkSession, path: str) -> str:
+    """The full path of the element with children that is found most often, the shallower of equals; /root/item if none."""
+    found: Counter[str] = Counter()
+    stack: list[str] = []
+    parents: list[bool] = []
+    begun = 0
+    for kind, element in _events(head(spark, path)):
+        if kind == "start":
+            begun += 1
+            if begun > BUILDER_ELEMENTS:
+                break
+            if parents:
+                parents[-1] = True
+            stack.append(_local(element.tag))
+            parents.append(False)
+        else:
+            if parents.pop() and len(stack) <= BUILDER_DEPTH:
+                found["/" + "/".join(stack)] += 1
+            stack.pop()
+    order = sorted(found, key=lambda p: (-found[p], p.count("/")))
+    return next((p for p in order if found[p] > 1), order[0] if order else "/root/item")
+
+
+def builder_fields(element: ElementTree.Element) -> dict[str, str]:
+    """Leaves of a record by path, attributes as path@name, and each first one by its bare name too."""
+    out: dict[str, str] = {}
+
+    def walk(e: ElementTree.Element, prefix: str) -> None:
+        for name, value in e.attrib.items():
+            out[f"{prefix}@{_local(name)}"] = value
+            out.setdefault(_local(name), value)
+        for child in e:
+            name = _local(child.tag)
+            walk(child, f"{prefix}{name}/")
+            if not len(child):
+                out.setdefault(name, (child.text or "").strip())
+        if not len(e):
+            out[prefix.rstrip("/") or _local(e.tag)] = (e.text or "").strip()
+
+    walk(element, "")
+    return out
+
+
+def read_records(spark: SparkSession, path: str, record_path: str | None = None) -> DataFrame:
+    """rec_idx and fields of the records of XML files: elements at a full path, or (//a/b) whose path ends in these names.
+
+    Without a path it is detected. Records before a fault are kept. A file is parsed in one task.
+    """
+    record_path = record_path or detect_record_path(spark, path)
+    wanted = [n for n in record_path.split("/") if n]
+    whole = record_path.startswith("/") and not record_path.startswith("//")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("content").to_pylist():
+                rows: list[list[tuple[str, str]]] = []
+                stack: list[str] = []
+                n = 0
+
+                def out() -> pa.RecordBatch:
+                    made = pa.RecordBatch.from_arrays([pa.array(range(n - len(rows), n), pa.int64()), pa.array(rows, pa.map_(pa.string(), pa.string()))], names=["rec_idx", "fields"])
+                    rows.clear()
+                    return made
+
+                try:
+                    for kind, element in ElementTree.iterparse(io.BytesIO(data), ("start", "end")):
+                        if kind == "start":
+                            stack.append(_local(element.tag))
+                            continue
+                        if stack == wanted if whole else stack[-len(wanted) :] == wanted:
+                            rows.append(list(builder_fields(element).items()))
+                            n += 1
+                            element.clear()
+                            if len(rows) >= 1000:
+                                yield out()
+                        stack.pop()
+                except ElementTree.ParseError:
+                    pass
+                if rows:
+                    yield out()
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "rec_idx long, fields map<string,string>")
+
+
+def records_preview(records: DataFrame, limit: int = 100) -> tuple[list[str], DataFrame]:
+    """Names of all fields, simple ones first, and the first rows with a column col_0, col_1 ... for each."""
+    names = [r["k"] for r in records.select(F.explode(F.map_keys("fields")).alias("k")).distinct().collect()]
+    names.sort(key=lambda n: (n.count("/"), n.count("@"), n))
+    return names, records.orderBy("rec_idx").limit(limit).select(*[F.try_element_at("fields", F.lit(n)).alias(f"col_{i}") for i, n in enumerate(names)])
+
+
+def wide_table(spark: SparkSession, path: str, kind: str, out: str, record: str | None = None) -> list[str]:
+    """Write a feed as a table of id, raw_content and a text column for each path under ``out``; the paths come back.
+
+    The readers split large XML files by records; ids number the records in the order of the files' parts.
+    """
+    if kind == "xml":
+        record = record or detect_xml_element(spark, path)
+        records = read_xml(spark, path, record)
+        raw = F.to_xml(F.struct(*[F.col(f"`{c}`") for c in records.columns]), {"rowTag": record, "attributePrefix": "@", "valueTag": "#text"})
+    elif kind == "json":
+        records = read_json(spark, path, record or detect_json_path(spark, path))
+        raw = F.to_json(F.struct(*[F.col(f"`{c}`") for c in records.columns]), {"ignoreNullFields": "false", "pretty": "true"})
+    else:
+        raise ValueError(f"no table from {kind!r}")
+    fields = _flat(records.schema, None, "", kind == "xml")
+    records.select(F.monotonically_increasing_id().alias("id"), raw.alias("raw_content"), *[c.alias(p) for p, c in fields]).write.parquet(out)
+    return [p for p, _ in fields]
+
+
+def read_sources(spark: SparkSession, path: str) -> list[dict]:
+    """The sources that a list names: JSON objects, or lines (# comments) of addresses and paths; each source once, by its key."""
+    text = head(spark, path, 64 << 20).decode("utf-8-sig")
+    if path.lower().endswith(".json"):
+        listed = json.loads(text)
+    else:
+        lines = [x.strip() for x in text.splitlines() if x.strip() and not x.strip().startswith("#")]
+        listed = [{"type": "url", "url": x} if x.startswith(("http://", "https://")) else {"type": "file", "path": x} for x in lines]
+    found: dict[str, dict] = {}
+    for source in listed:
+        found.setdefault(source_key(source), source)
+    return list(found.values())
+
+
+def source_key(source: dict) -> str:
+    """What tells sources apart: the address, the path, or host and remote path."""
+    kind = source.get("type", "url")
+    if kind in ("url", "secure_api"):
+        return source.get("url", "")
+    if kind == "file":
+        return source.get("path", "")
+    return f"sftp://{source.get('host')}{source.get('remote_path')}" if kind == "sftp" else "unknown"

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions import transforms as T
 from feedloom.functions.compat import loose_real, strip
-from feedloom.operators import convert, dedup, predicates, stats, template, validate
+from feedloom.operators import convert, dedup, merge, predicates, stats, template, validate
 from feedloom.plans import catalogue
 from feedloom.sources import feeds, sinks
 from feedloom.streaming.ingest import earlier, ingest
@@ -168,6 +168,94 @@ def test_template(spark, tmp_path):
         template.render(df, record, {"title": "nope"})
 
 
+def whole(spark, path):
+    return "".join(r["value"] + "\n" for d in ("0-open", "1-records", "2-close") for r in spark.read.text(f"{path}/{d}").collect())
+
+
+def test_template_blocks(spark, tmp_path):
+    text = "<feed><jobs><job><t>{{ title }}</t><campaign><id>{{cid}}</id></campaign></job></jobs></feed>"
+    df = spark.createDataFrame([("A & B", 7, "x<y"), ("C", 8, None)], "col string, cid int, `my pay` string").coalesce(1)
+    column, static = (lambda v: {"source_type": "column", "value": v}), (lambda v: {"source_type": "static", "value": v})
+    template.build(
+        df, text, {"title": "col", "cid": "cid"}, str(tmp_path / "f"), static={"who": "me"}, headers={"provider": static("p&q"), "part": column("cid"), "islast": column("none")},
+        transforms={"title": [{"function": "concat", "args": ["-", "$col", "$who", "$my pay"]}]}, campaign=[{"name": " n ", **column("my pay")}, {"name": ""}],
+        salary={"enabled": True, "fields": {"min": column("cid"), "type": static("yearly")}}, awm={"enabled": False},
+    )
+    got = whole(spark, tmp_path / "f").replace("\n", "")
+    head = "<provider>p&amp;q</provider><providerurl></providerurl><isfullfeed></isfullfeed><part>7</part><islast></islast>"
+    first = "<job><t>A &amp; B-me-x&lt;y</t><campaign><id>7</id><customfields><customfield><name>n</name><value>x&lt;y</value></customfield></customfields></campaign><salary><min>7</min><max></max><type>yearly</type><currency></currency></salary></job>"
+    assert got.startswith(f"<feed>{head}<jobs>{first}<job><t>C-me-</t>") and validate.xml_faults(got.encode()) == []
+    awm = template.render(df, "<job><t>{{title}}</t></job>", {"title": "col"}, campaign=[{"name": "n", **static("v")}], awm={"enabled": True, "fields": {"email": static("a@b")}})
+    assert df.select(awm).first()[0] == "<job><t>A &amp; B</t><campaign><customfields><customfield><name>n</name><value>v</value></customfield></customfields></campaign><awm><method></method><format></format><email>a@b</email><apikey></apikey></awm></job>"
+    assert template.auto_match(["Employer", "Zip Code", "Start"], ["company", "postalcode", "title"]) == {"company": "Employer", "postalcode": "Zip Code"}
+
+
+def test_builder_records(spark, tmp_path):
+    (tmp_path / "a.xml").write_text("<feed><jobs><job id='1'><t>A</t><p><c>X</c></p></job><job id='2'><t>B</t></job></jobs><subjob><t>no</t></subjob></feed>")
+    path = str(tmp_path / "a.xml")
+    assert feeds.detect_record_path(spark, path) == "/feed/jobs/job"
+    for wanted in (None, "/feed/jobs/job", "//job", "jobs/job"):
+        rows = [r["fields"] for r in feeds.read_records(spark, path, wanted).orderBy("rec_idx").collect()]
+        assert rows == [{"@id": "1", "id": "1", "t": "A", "p/c": "X", "c": "X"}, {"@id": "2", "id": "2", "t": "B"}]
+    names, rows = feeds.records_preview(feeds.read_records(spark, path))
+    assert names == ["c", "id", "t", "@id", "p/c"] and rows.columns == ["col_0", "col_1", "col_2", "col_3", "col_4"] and [r["col_2"] for r in rows.collect()] == ["A", "B"]
+    (tmp_path / "b.xml").write_text("<a/>")
+    assert feeds.detect_record_path(spark, str(tmp_path / "b.xml")) == "/root/item"
+
+
+def test_wide_table_and_exports(spark, tmp_path):
+    (tmp_path / "a.xml").write_text(XML)
+    paths = feeds.wide_table(spark, str(tmp_path / "a.xml"), "xml", str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    assert sorted(paths) == ["@id", "location/city", "location/state", "tags", "title"] and set(table.columns) == {"id", "raw_content", *paths} and "<title>A</title>" in table.where("title = 'A'").first()["raw_content"]
+    rows, n = predicates.preview(table, paths, filters=[{"field": "title", "operator": "In List", "value": "A,B"}])
+    assert n == 2 and rows.columns == ["_row_id", "_raw_content", *paths] and [r["title"] for r in rows.collect()] == ["A", "B"]
+    for what, fmt in (("query", "csv"), ("query", "json"), ("stats", "csv"), ("stats", "json"), ("stats", "html"), ("duplicates", "json")):
+        sinks.export_analysis(table, paths, what, fmt, str(tmp_path / f"{what}-{fmt}"), field="tags")
+    listed = json.loads(whole(spark, tmp_path / "query-json"))
+    assert {r["title"] for r in listed} == {"A", "B"} and {"Record ID", "Raw XML/JSON Content"} < set(listed[0]) and json.loads(whole(spark, tmp_path / "duplicates-json")) == []
+    assert next((tmp_path / "query-csv").glob("part*.csv")).read_bytes().startswith(b"\xef\xbb\xbfRecord ID,") and len(json.loads(whole(spark, tmp_path / "stats-json"))) == len(paths)
+    with pytest.raises(ValueError, match="html"):
+        sinks.export_analysis(table, paths, "duplicates", "html", str(tmp_path / "x"))
+    assert "location/city" in spark.read.text(str(tmp_path / "stats-html")).first()[0]
+
+
+def test_merge_of_sources(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "a.xml").write_text("<s><job><id>1</id><t>two\nlines</t><t>last</t></job><job><id>2</id></job></s>")
+    (tmp_path / "d" / "a.xml").write_text("<s><item><id> 2\t</id></item><item><id>3</id></item></s>")
+    (tmp_path / "feeds.txt").write_text(f"# list\n{tmp_path}/a.xml\n\n{tmp_path}/d/a.xml\n{tmp_path}/a.xml\n{tmp_path}/gone.xml\n")
+    sources = feeds.read_sources(spark, str(tmp_path / "feeds.txt"))
+    assert [s["path"][len(str(tmp_path)) :] for s in sources] == ["/a.xml", "/d/a.xml", "/gone.xml"] and feeds.source_key({"type": "sftp", "host": "h", "remote_path": "/p"}) == "sftp://h/p"
+    figures = merge.merge(spark, sources, str(tmp_path / "out.xml"), state=str(tmp_path / "known"))
+    assert [figures[k] for k in ("total_feeds", "successful_feeds", "failed_feeds", "jobs_parsed", "jobs_written", "duplicates_removed", "well_formed")] == [3, 2, 1, 4, 3, 1, True]
+    assert "two\nlines" in whole(spark, tmp_path / "out.xml") and validate.xml_faults(whole(spark, tmp_path / "out.xml").encode()) == []
+    assert merge.merge(spark, sources, str(tmp_path / "again.xml"), state=str(tmp_path / "known"))["jobs_written"] == 0
+    figures = merge.merge(spark, sources, str(tmp_path / "out.json"))
+    assert json.loads(whole(spark, tmp_path / "out.json")) == [{"id": "1", "t": "last"}, {"id": "2"}, {"id": "3"}] and figures["well_formed"]
+    merge.write_statistics(spark, figures, str(tmp_path / "figures"))
+    assert json.loads("\n".join(r["value"] for r in spark.read.text(str(tmp_path / "figures")).collect()))["jobs_written"] == 3
+    (tmp_path / "out.xml" / "1-records" / "part-bad.txt").write_text("<job>")
+    assert not merge.well_formed(spark, str(tmp_path / "out.xml"))
+
+
+def test_documents_of_any_format(spark, tmp_path):
+    rows = [("<a x='1'>t<b>1</b><b>2</b><b/><c> </c><d>q</d></a>", {"a": {"b": ["1", "2", None], "c": "", "d": "q", "@x": "1", "#text": "t"}}), ("<a/>", {"a": None}), ("<a>", None)]
+    df = spark.createDataFrame([(x,) for x, _ in rows], "x string").coalesce(1)
+    made = [r["j"] for r in df.select(convert.xml_to_json("x").alias("j")).collect()]
+    assert [j and json.loads(j) for j in made] == [j for _, j in rows]
+    back = spark.createDataFrame([(made[0],), ('[{"k": 1}, {"k": "<"}]',), ('{"a": 1, "b": [2, 3]}',)], "j string").coalesce(1)
+    assert [r[0] for r in back.select(convert.json_to_xml("j")).collect()] == ['<a x="1">t<b>1</b><b>2</b><b /><c /><d>q</d></a>', "<root><item><k>1</k></item><item><k>&lt;</k></item></root>", "<root><a>1</a><b>2</b><b>3</b></root>"]
+    (tmp_path / "a.xml").write_text("<f><j><t>A</t></j><j><t>B</t></j></f>")
+    (tmp_path / "b").write_text("<f><j><t>" + "C" * 60 + "</t></j><n/></f>")
+    found = {(r["path"], r["kind"], r["new_value"]) for r in convert.diff_documents(spark, str(tmp_path / "a.xml"), str(tmp_path / "b")).collect()}
+    assert ("f/n", "Added", None) in found and ("f/j/t", "Added", "C" * 45 + "...") in found and ("f/j/size()", "Removed", None) in found
+    (tmp_path / "c.csv").write_text("k,v\n1,x\n2,y\n")
+    assert {tuple(r) for r in convert.document_paths(spark, str(tmp_path / "c.csv")).collect()} >= {("rows/size()", "2"), ("rows[1]/v", "y")}
+    kinds = spark.createDataFrame([("a.TXT", b"<"), ("a", b" \n<x"), ("a", b"[1"), ("a", b"k,v"), ("a.json", b"")], "p string, c binary")
+    assert [r[0] for r in kinds.coalesce(1).select(convert.sniff_format(F.col("p"), F.col("c"))).collect()] == ["csv", "xml", "json", "csv", "json"]
+
+
 def test_validation(spark, tmp_path):
     cases = {
         "ok.xml": ("<r><!-- c --></r>", None), "tags.xml": ("<c>\n<title>x</author>\n</c>", "Tag Mismatch"), "entity.xml": ("<c>&bad;</c>", "Invalid Entity"), "cdata.xml": ("<c><![CDATA[x</c>", "Malformed CDATA"), "empty.xml": ("", "Unexpected EOF"),
