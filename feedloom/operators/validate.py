@@ -214,6 +214,9 @@ def _context(data: bytes, lines: list[bytes], at: int, offset: int, context: int
     return [{"line_number": k + 1, "text": lines[k].decode("utf-8", "replace").rstrip("\r"), "is_error_line": k + 1 == at} for k in range(max(0, at - 1 - context), min(len(lines), at + context))]
 
 
+_FIELDS = "path string, kind string, n int, line int, column int, size long, lines long, message string, context_lines array<struct<line_number:int,text:string,is_error_line:boolean>>"
+
+
 def _faults(context: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,9 +253,17 @@ def validate(spark: SparkSession, paths: list[str] | str, context: int = 10) ->
     wanted = [paths] if isinstance(paths, str) else list(paths)
     found = {p: files_of(spark, p) for p in wanted}
     missing = [(p, "xml", 0, 0, 0, 0, 1, f"File does not exist: {p}", []) for p, files in found.items() if not files]
-    fields = "path string, kind string, n int, line int, column int, size long, lines long, message string, context_lines array<struct<line_number:int,text:string,is_error_line:boolean>>"
-    rows = _contents(spark, sorted({f for files in found.values() for f in files})).select("path", "kind", "content").mapInArrow(_faults(context), fields)
-    rows = rows.union(spark.createDataFrame(missing, fields)) if missing else rows
+    rows = _contents(spark, sorted({f for files in found.values() for f in files})).select("path", "kind", "content").mapInArrow(_faults(context), _FIELDS)
+    return _judged(rows.union(spark.createDataFrame(missing, _FIELDS)) if missing else rows)
+
+
+def validate_contents(documents: DataFrame, context: int = 10) -> DataFrame:
+    """What ``validate`` returns, for documents that are rows of path, kind (xml or json) and content (binary)."""
+    return _judged(documents.select("path", "kind", "content").mapInArrow(_faults(context), _FIELDS))
+
+
+def _judged(rows: DataFrame) -> DataFrame:
+    """Faults in order and numbered, without those that only follow from others, with what their messages tell."""
     message = F.col("message")
     rows = rows.withColumn("reference_line", reference_line(message)).withColumn("byte_offset", byte_offset(F.greatest("line", F.lit(1)), F.col("size"), F.col("lines")))
     # The faults of one file in order; a mismatch that lies inside the last kept one only follows from it.
