@@ -64,4 +64,43 @@ often AS (
 SELECT *, NOT base_failed AND n_words - n_removed_words >= 0.5 * n_words AS kept FROM f
 """
 
-ORACLES: dict[str, str] = {"op7_minhash_dedup": OP7, "op8_embedding_dedup": OP8, "op9_quality_rules": OP9}
+_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+OP5 = f"""
+WITH d AS (
+  SELECT page_id, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages
+), x AS (SELECT page_id, last, octet_length(encode(h)) AS payload_bytes, sha1(h) AS s FROM d)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('{_ALPHABET}', ((('0x' || substr(s, 1 + 5 * (i // 4), 5))::INTEGER >> (15 - 5 * (i % 4))::INTEGER) & 31) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
+FROM x
+"""
+
+#: Phrases and their labels.
+_PHRASES = "[{'p': ['under', 'the', 'mit', 'license'], 'k': 'mit'}, {'p': ['apache', 'license', 'version', '2'], 'k': 'apache-2'}, {'p': ['cc', 'by', 'nc'], 'k': 'cc-by-nc'}]"
+
+LICENSE_BASE = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), p AS (SELECT x.p AS words, x.k AS k FROM (SELECT unnest({_PHRASES}) AS x)), f AS (
+  SELECT doc_id, k, unnest(list_filter(range(1, len(w) - len(words) + 2), lambda i: w[i:i + len(words) - 1] = words)) - 1 AS i FROM d, p
+), g AS (SELECT doc_id, count(*) AS n, min(i) AS lo, max(i) AS hi, array_to_string(list_sort(list_distinct(list(k))), ',') AS k FROM f GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_base, lo AS first_word, hi AS last_word, coalesce(k, '') AS base_labels FROM d LEFT JOIN g USING (doc_id)
+"""
+
+MIX_BOUNDS = rf"""
+WITH d AS (SELECT doc_id, source, len({_WORDS.format("coalesce(text, '')")})::BIGINT AS size FROM documents),
+t AS (SELECT source, sum(size)::BIGINT AS s, row_number() OVER (ORDER BY source NULLS LAST) AS rn FROM d GROUP BY 1),
+w AS (SELECT source, s, 1 + (rn - 1) % 3 AS w, sum(s) OVER () AS every FROM t),
+b AS (SELECT *, coalesce(sum(3 * s) OVER (ORDER BY 3 * s / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+  sum(w) OVER (ORDER BY 3 * s / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM w),
+l AS (SELECT source, s, w, max((every - before)::DOUBLE / rest) OVER () AS level FROM b)
+SELECT doc_id, size, s AS source_size, least((3 * s)::DOUBLE, level * w) AS target, true AS whole_copies, true AS within FROM d JOIN l ON d.source IS NOT DISTINCT FROM l.source
+"""
+
+UNDETERMINED = r"SELECT doc_id, NOT regexp_matches(coalesce(text, ''), '\p{L}') AS undetermined FROM documents"
+
+ORACLES: dict[str, str] = {
+    "op5_warc_archive": OP5, "op7_minhash_dedup": OP7, "op8_embedding_dedup": OP8, "op9_quality_rules": OP9,
+    "license_base_places": LICENSE_BASE, "mixing_bounds": MIX_BOUNDS, "language_undetermined": UNDETERMINED,
+}

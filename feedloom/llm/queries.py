@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from feedloom.llm import bpe, embedding, html, langid, licenses, minhash, mixing, packing, quality, warc
 from feedloom.llm.oracles import ORACLES
@@ -64,6 +65,25 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def license_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op4 returns of the given phrases, without the method's own labels."""
+    return op4_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def mixing_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op2 returns but for the draw: sizes and targets, and that each row takes one of the two copy counts next to its share."""
+    found = op2_source_mixing(spark, sf_dir)
+    share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    whole = F.col("taken") == F.col("copies") * F.col("size")
+    within = (F.col("copies") >= F.floor(share)) & (F.col("copies") <= F.ceil(share)) & (F.col("taken") <= mixing.MOST * F.col("size"))
+    return found.select("doc_id", "size", "source_size", "target", whole.alias("whole_copies"), within.alias("within"))
+
+
+def language_undetermined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts for which op1 gives no language."""
+    return op1_language_id(spark, sf_dir).select("doc_id", (F.col("lang_pred") == langid.UNDETERMINED).alias("undetermined"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_source_mixing": op2_source_mixing,
@@ -75,6 +95,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_packing": op10_packing,
+    "license_base_places": license_base_places,
+    "mixing_bounds": mixing_bounds,
+    "language_undetermined": language_undetermined,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
