@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import free_name, let, save
+from feedloom.llm.common import counted_broadcast, free_name, let, save
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
@@ -140,7 +140,7 @@ def filter_quality(docs: DataFrame, host: str = "source") -> DataFrame:
     held = held.where((F.col(n) >= MIN_WORDS) & (100 * _repeated(F.col(words)) <= REPEAT_PERCENT * F.col(n))).drop(words)
     if often.isEmpty():
         return held.select(f"{row}.*")
-    lost = save(_lost(measured, often), "quality-lost").toDF("_host", "_text_key", "_lost", "_hashes")
+    lost = counted_broadcast(save(_lost(measured, often), "quality-lost")).toDF("_host", "_text_key", "_lost", "_hashes")
     met = held.join(lost, F.col(row)[host].eqNullSafe(F.col("_host")) & (_text_key(F.col(f"{row}.text")) == F.col("_text_key")), "left")
     kept = F.filter(F.arrays_zip(F.split(f"{row}.text", "\n").alias("line"), _hashed(F.col(f"{row}.text")).alias("own")), lambda x: x["own"]["hash"].isNull() | ~F.array_contains(F.col("_hashes"), x["own"]["hash"]))
     met = met.where(F.col("_lost").isNull() | (F.col(n) - F.col("_lost") >= LEFT_SHARE * F.col(n)))
