@@ -269,7 +269,11 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 
 def encoded_digests(docs: DataFrame, path: str) -> DataFrame:
-    """What ``digests`` of ``encode`` returns, without moving ids to a second worker; equal long texts are digested once."""
+    """What ``digests`` of ``encode`` returns, without moving ids to a second worker; equal long texts are digested once.
+
+    A null text counts as an empty one, which has no tokens; a null doc_id stays null; repeated rows each come back; columns
+    besides doc_id and text are not read; an empty table stays empty.
+    """
     return _through(docs, path, DIGESTS, _digested)
 
 

@@ -44,6 +44,13 @@ def test_stages_against_brute_force(spark):
     out = stages["bpe_encoding"](spark, mixed, "")
     assert Counter(r["doc_id"] for r in out.collect()) == Counter(r["doc_id"] for r in mixed.collect())
 
+    blank = spark.createDataFrame([(900_001, None, "en", "src1", 0), (None, "", None, None, None), (900_001, None, "en", "src1", 0)], source.schema)
+    empty = Counter({(900_001, 0): 2, (None, 0): 1})
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in stages["bpe_encoding"](spark, blank, "").collect()) == empty
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, docs.limit(0), "").count() == 0, name
+        assert name == "bpe_encoding" or stage(spark, blank, "").columns == docs.columns
+
 
 @pytest.mark.parametrize("size,dense", [(40, 1 / 16), (7, 2), (9, -1)])
 def test_embedding_links_equal_all_pairs(spark, monkeypatch, size, dense):
