@@ -50,9 +50,8 @@ WITH d AS (
 ), ln AS (
   SELECT doc_id, source, t, trim(regexp_replace(regexp_replace(lower(x), '\s+', ' ', 'g'), '[0-9]+', '0', 'g')) AS k, len({_WORDS.format("x")}) AS n
   FROM (SELECT doc_id, source, t, unnest(l) AS x FROM d)
-), host AS (SELECT source, count(DISTINCT t) AS docs FROM d GROUP BY 1),
-often AS (
-  SELECT ln.source, k FROM ln JOIN host ON ln.source IS NOT DISTINCT FROM host.source GROUP BY 1, 2, docs HAVING count(DISTINCT t) > 20 AND count(DISTINCT t) > 0.3 * docs
+), often AS (
+  SELECT source, k FROM ln GROUP BY 1, 2 HAVING count(DISTINCT t) > 20
 ), lost AS (
   SELECT doc_id, sum(n) AS lost FROM ln JOIN often o ON o.source IS NOT DISTINCT FROM ln.source AND o.k = ln.k GROUP BY 1
 ), m AS (

@@ -1,12 +1,13 @@
 """Quality rules with cross-document line frequency, in DataFrame functions only.
 
 Lines are normalised (lower case, runs of white space and of digits made one) and hashed; for each host the documents with
-different texts that hold a line are counted, so a group of exact copies counts once. A line over both limits is removed;
-a document that loses more than half of its words that way is depleted and rejected. The base rules reject short texts and
-texts whose three-word windows mostly repeat.
+different texts that hold a line are counted, so a group of exact copies counts once. A line over the limit, a number of
+documents that does not depend on the size of the host, is removed; a document that loses more than half of its words that
+way is depleted and rejected. The base rules reject short texts and texts whose three-word windows mostly repeat.
 
-Hot lines and hosts: counts are pre-aggregated before the shuffle, and the frequent lines join in a way that adaptive
-execution can split. Defined results: a null text has no words and fails the base rules; a null host is a host of its own;
+Hot lines and hosts: counts are pre-aggregated before the shuffle. The frequent lines of a host are few beside its texts, and
+go to the tasks as one hash table a host, so texts stay where they are; beyond ``LOOKUP_LINES`` lines in all, each text gets
+its own frequent lines by a join that adaptive execution can split. Defined results: a null text has no words and fails the base rules; a null host is a host of its own;
 repeated rows each come back; ties cannot arise.
 """
 
@@ -19,9 +20,10 @@ from feedloom.llm.common import counted_broadcast, free_name, let, save
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
-#: A line is too frequent if more than this many documents of its host hold it, and more than this share of them.
+#: A line is too frequent if more than this many documents of its host hold it.
 LINE_DOCS = 20
-LINE_SHARE = 0.3
+#: Frequent lines of all hosts that are looked up in broadcast tables; more of them join by text.
+LOOKUP_LINES = 1 << 18
 #: A document is depleted if less than this share of its words is left.
 LEFT_SHARE = 0.5
 
@@ -99,31 +101,55 @@ def _lines(text: Column) -> Column:
 
 
 def frequent_lines(measured: DataFrame) -> DataFrame:
-    """(host, hash) of the lines over the limits."""
-    hosts = measured.groupBy("host").agg(F.countDistinct("text_key").alias("docs"))
+    """(host, hash) of the lines over the limit."""
     lines = measured.select("host", "text_key", F.explode(F.array_distinct(F.transform("lines", lambda x: x["hash"]))).alias("hash"))
-    often = lines.distinct().groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") > LINE_DOCS)
-    joined = often.alias("a").join(hosts.alias("b"), F.col("a.host").eqNullSafe(F.col("b.host")))
-    return joined.where(F.col("n") > LINE_SHARE * F.col("docs")).select("a.host", "hash")
+    return lines.distinct().groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") > LINE_DOCS).select("host", "hash")
 
 
-def _lost(measured: DataFrame, often: DataFrame) -> DataFrame:
-    """(host, text_key, lost, hashes): the words that the frequent lines take from each text that has any, and those lines."""
-    lines = measured.select("host", "text_key", "lines").dropDuplicates(["host", "text_key"]).select("host", "text_key", F.explode("lines").alias("line"))
-    met = lines.alias("a").join(often.alias("b"), F.col("a.host").eqNullSafe(F.col("b.host")) & (F.col("a.line.hash") == F.col("b.hash")))
-    return met.groupBy(F.col("a.host").alias("host"), "text_key").agg(F.sum("line.words").alias("lost"), F.collect_set("line.hash").alias("hashes"))
+def _tables(often: DataFrame) -> DataFrame:
+    """(host, table): the frequent lines of each host as a hash table, an array of as many short lists as the host has lines."""
+    sized = often.groupBy("host").agg(F.count("*").cast("int").alias("slots"))
+    same = F.col("a.host").eqNullSafe(F.col("b.host"))
+    placed = often.alias("a").join(sized.alias("b"), same).select("a.host", "hash", F.pmod("hash", "slots").cast("int").alias("slot"))
+    held = placed.groupBy("host", "slot").agg(F.collect_list("hash").alias("hashes"))
+    every = sized.select("host", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"))
+    met = every.alias("a").join(held.alias("b"), same & (F.col("a.slot") == F.col("b.slot")), "left")
+    listed = F.sort_array(F.collect_list(F.struct("a.slot", F.coalesce("hashes", F.array().cast("array<bigint>")).alias("hashes"))))
+    return met.groupBy("a.host").agg(F.transform(listed, lambda x: x["hashes"]).alias("table"))
+
+
+def _own(measured: DataFrame, often: DataFrame) -> DataFrame:
+    """(host, text_key, table): the frequent lines of each text that has any, a table of one list."""
+    lines = measured.select("host", "text_key", F.explode(F.transform("lines", lambda x: x["hash"])).alias("hash")).distinct()
+    met = lines.alias("a").join(often.alias("b"), F.col("a.host").eqNullSafe(F.col("b.host")) & (F.col("a.hash") == F.col("b.hash")))
+    return met.groupBy("a.host", "text_key").agg(F.array(F.collect_list("a.hash")).alias("table"))
+
+
+def _with_tables(rows: DataFrame, host: Column, text_key: Column, measured: DataFrame, table: str) -> DataFrame:
+    """``rows`` with the column ``table`` that holds the frequent lines of the row's host or text; null where there are none."""
+    often = save(frequent_lines(measured), "quality-lines")
+    if often.count() <= LOOKUP_LINES:
+        found = counted_broadcast(save(_tables(often), "quality-tables")).toDF("_host", table)
+        return rows.join(found, host.eqNullSafe(F.col("_host")), "left").drop("_host")
+    found = save(_own(measured, often), "quality-own").toDF("_host", "_key", table)
+    return rows.join(found, host.eqNullSafe(F.col("_host")) & (text_key == F.col("_key")), "left").drop("_host", "_key")
+
+
+def _lost(line: Column, table: Column) -> Column:
+    """The words of a line (hash, words) if it is frequent, else 0."""
+    near = F.get(table, F.pmod(line["hash"], F.size(table)).cast("int"))
+    return F.when(F.array_contains(near, line["hash"]), line["words"]).otherwise(0)
 
 
 def judge(docs: DataFrame, host: str = "source") -> DataFrame:
     """The measures, n_removed_words, base_failed and kept of every row of ``docs`` (doc_id, text and ``host``)."""
     measured = save(_measured(docs, host), "quality-measures")
-    often = save(frequent_lines(measured), "quality-lines")
-    lost = _lost(measured, often)
-    out = measured.drop("lines").alias("a").join(lost.alias("b"), F.col("a.host").eqNullSafe(F.col("b.host")) & (F.col("a.text_key") == F.col("b.text_key")), "left")
+    out = _with_tables(measured, F.col("host"), F.col("text_key"), measured, "table")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    removed = F.coalesce("lost", F.lit(0)).cast("long")
-    left = F.col("n_words") - removed >= LEFT_SHARE * F.col("n_words")
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", removed.alias("n_removed_words"), failed.alias("base_failed"), (~failed & left).alias("kept"))
+    removed = F.when(F.col("table").isNull(), F.lit(0).cast("long")).otherwise(F.aggregate("lines", F.lit(0).cast("long"), lambda n, x: n + _lost(x, F.col("table"))))
+    out = out.withColumn("n_removed_words", removed)
+    left = F.col("n_words") - F.col("n_removed_words") >= LEFT_SHARE * F.col("n_words")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words", failed.alias("base_failed"), (~failed & left).alias("kept"))
 
 
 def filter_quality(docs: DataFrame, host: str = "source") -> DataFrame:
@@ -133,19 +159,22 @@ def filter_quality(docs: DataFrame, host: str = "source") -> DataFrame:
     back; columns come back whatever their names, ``n_chars`` with the new length; an empty table stays empty.
     """
     measured = save(docs.select(F.col(host).alias("host"), F.coalesce("text", F.lit("")).alias("text")).select("host", _text_key(F.col("text")).alias("text_key"), _lines(F.col("text")).alias("lines")), "quality-measures")
-    often = save(frequent_lines(measured), "quality-lines")
-    row, words, n, gone, rest = (free_name(x, docs.columns) for x in ("row", "words", "n", "gone", "rest"))
+    row, words, n, table = (free_name(x, docs.columns) for x in ("row", "words", "n", "table"))
     whole = docs.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias(row))
     held = whole.withColumn(words, _words(F.coalesce(f"{row}.text", F.lit("")))).withColumn(n, F.size(words))
     held = held.where((F.col(n) >= MIN_WORDS) & (100 * _repeated(F.col(words)) <= REPEAT_PERCENT * F.col(n))).drop(words)
-    if often.isEmpty():
-        return held.select(f"{row}.*")
-    lost = counted_broadcast(save(_lost(measured, often), "quality-lost")).toDF("_host", "_text_key", "_lost", "_hashes")
-    met = held.join(lost, F.col(row)[host].eqNullSafe(F.col("_host")) & (_text_key(F.col(f"{row}.text")) == F.col("_text_key")), "left")
-    kept = F.filter(F.arrays_zip(F.split(f"{row}.text", "\n").alias("line"), _hashed(F.col(f"{row}.text")).alias("own")), lambda x: x["own"]["hash"].isNull() | ~F.array_contains(F.col("_hashes"), x["own"]["hash"]))
-    met = met.where(F.col("_lost").isNull() | (F.col(n) - F.col("_lost") >= LEFT_SHARE * F.col(n)))
-    met = met.withColumn(rest, F.when(F.col("_lost").isNull(), F.col(f"{row}.text")).otherwise(F.array_join(F.transform(kept, lambda x: x["line"]), "\n")))
-    out = F.col(row).withField("text", F.col(rest))
-    if "n_chars" in docs.columns:
-        out = out.withField("n_chars", F.when(F.col("_lost").isNull(), F.col(f"{row}.n_chars")).otherwise(F.length(rest).cast(docs.schema["n_chars"].dataType)))
-    return met.select(out.alias(row)).select(f"{row}.*")
+    old, text = F.col(row), F.col(f"{row}.text")
+    met = _with_tables(held, old[host], _text_key(text), measured, table)
+
+    def without(rest: Column) -> Column:
+        out = old.withField("text", rest)
+        return out.withField("n_chars", F.length(rest).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+    def stays(lost: Column) -> Column:
+        """No row or one, from the words that each line loses."""
+        total = F.aggregate(lost, F.lit(0), lambda s, x: s + x)
+        rest = F.array_join(F.zip_with(F.split(text, "\n"), lost, lambda line, x: F.when(x == 0, line)), "\n")
+        return F.when(total == 0, F.array(old)).when(F.col(n) - total >= LEFT_SHARE * F.col(n), F.array(let(rest, without)))
+
+    found = let(_hashed(text), lambda own: F.transform(own, lambda x: _lost(x, F.col(table))))
+    return met.select(F.explode(F.when(F.col(table).isNull(), F.array(old)).otherwise(let(found, stays))).alias(row)).select(f"{row}.*")

@@ -86,6 +86,33 @@ def test_quality_lines(spark):
     assert out[200]["text"] == docs[50][1] and out[300]["text"] == docs[0][1]
 
 
+def test_quality_lines_by_table_and_by_text(spark, monkeypatch):
+    rng = random.Random(14)
+    common = [" ".join(rng.choice("abcdefgh") * 3 for _ in range(rng.randrange(1, 25))) for _ in range(60)]
+    own = lambda: " ".join("".join(rng.choice("abcdefghijkl") for _ in range(6)) for _ in range(45))
+    rows = [(i, "\n".join([own(), *rng.choices(common, k=rng.randrange(0, 9)), " ", "END "]), rng.choice(["x", "x", "x", "y", None])) for i in range(500)]
+    rows += [(1000 + i, *rows[0][1:]) for i in range(30)] + [(None, None, None)]
+    held = {}
+    for _, text, source in rows:
+        for line in {" ".join(x.split()) for x in (text or "").lower().split("\n")} - {""}:
+            held.setdefault((source, line), set()).add(text)
+    often = {k for k, texts in held.items() if len(texts) > quality.LINE_DOCS}
+    assert 20 < len(often) < len(held)
+    want, rest = {}, {}
+    for i, text, source in rows:
+        lines = (text or "").split("\n")
+        left = [x for x in lines if (source, " ".join(x.lower().split())) not in often]
+        n, gone = len((text or "").split()), len((text or "").split()) - len(" ".join(left).split())
+        want[i] = (gone, n >= 50 and 2 * repeated((text or "").split()) <= n and n - gone >= 0.5 * n)
+        rest[i] = "\n".join(left)
+    assert 100 < sum(k for _, k in want.values()) < 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for limit in (quality.LOOKUP_LINES, 0):
+        monkeypatch.setattr(quality, "LOOKUP_LINES", limit)
+        assert {r["doc_id"]: (r["n_removed_words"], r["kept"]) for r in quality.judge(docs).collect()} == want
+        assert {r["doc_id"]: r["text"] for r in quality.filter_quality(docs).collect()} == {i: rest[i] for i, (_, k) in want.items() if k}
+
+
 def test_license_places_and_blocks(spark):
     filler = "lorem ipsum dolor " * 50
     mit = next(t for k, _, t in licenses.DEFAULT_TEMPLATES if k == "mit")
