@@ -99,7 +99,25 @@ SELECT doc_id, size, s AS source_size, least((3 * s)::DOUBLE, level * w) AS targ
 
 UNDETERMINED = r"SELECT doc_id, NOT regexp_matches(coalesce(text, ''), '\p{L}') AS undetermined FROM documents"
 
+OP12 = """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM r a JOIN r b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)::INTEGER AS rank,
+  other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) <= 5
+"""
+
 ORACLES: dict[str, str] = {
-    "op5_warc_archive": OP5, "op7_minhash_dedup": OP7, "op8_embedding_dedup": OP8, "op9_quality_rules": OP9,
+    "op5_warc_archive": OP5, "op7_minhash_dedup": OP7, "op8_embedding_dedup": OP8, "op9_quality_rules": OP9, "op12_hard_negatives": OP12,
     "license_base_places": LICENSE_BASE, "mixing_bounds": MIX_BOUNDS, "language_undetermined": UNDETERMINED,
 }

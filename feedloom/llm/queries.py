@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import bpe, embedding, html, langid, licenses, minhash, mixing, packing, quality, warc
+from feedloom.llm import bpe, embedding, html, langid, licenses, minhash, mixing, negatives, packing, periodic, quality, warc
 from feedloom.llm.oracles import ORACLES
 
 
@@ -65,6 +65,15 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = periodic.plant_periods(_table(spark, sf_dir, "documents"))
+    return periodic.run_digest(periodic.periodic_runs(planted))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(negatives.relabelled(_table(spark, sf_dir, "embeddings")))
+
+
 def license_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op4 returns of the given phrases, without the method's own labels."""
     return op4_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -95,6 +104,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_packing": op10_packing,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_hard_negatives": op12_hard_negatives,
     "license_base_places": license_base_places,
     "mixing_bounds": mixing_bounds,
     "language_undetermined": language_undetermined,
