@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import bpe, embedding, html, langid, licenses, minhash, mixing, negatives, packing, periodic, quality, warc
+from feedloom.llm import bpe, embedding, html, langid, licenses, minhash, mixing, negatives, packing, periodic, quality, repeats, warc
 from feedloom.llm.oracles import ORACLES
 
 
@@ -74,6 +74,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(negatives.relabelled(_table(spark, sf_dir, "embeddings")))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_digest(repeats.without_repeats(_table(spark, sf_dir, "documents")))
+
+
 def license_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op4 returns of the given phrases, without the method's own labels."""
     return op4_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -106,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_suffix_dedup": op13_suffix_dedup,
     "license_base_places": license_base_places,
     "mixing_bounds": mixing_bounds,
     "language_undetermined": language_undetermined,
