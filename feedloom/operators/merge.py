@@ -38,7 +38,7 @@ def well_formed(spark: SparkSession, path: str) -> bool:
 def merge(spark: SparkSession, sources: list[dict], out: str, root: str = "source", names: tuple[str, ...] = IDENTIFIERS, state: str | None = None) -> dict:
     """Merge file sources in order into the feed ``out`` (JSON by its suffix, else XML) and return the run's figures.
 
-    A source that stands for no file has failed and the others go on. ``state`` is a table of identifiers of earlier runs,
+    A source that stands for no file has failed and the others go on; so has one with a fault, of which records before it count. ``state`` is a table of identifiers of earlier runs,
     to which this run's are added. The figures: feeds (all, good, failed, each one's counts), jobs parsed and written,
     duplicates, whether the written feed is well-formed, seconds, jobs a second.
     """
@@ -46,7 +46,9 @@ def merge(spark: SparkSession, sources: list[dict], out: str, root: str = "sourc
     keys = [feeds.source_key(s) for s in sources]
     there = [bool(feeds.files_of(spark, k)) if s.get("type") == "file" else False for s, k in zip(sources, keys, strict=True)]
     good = [k for k, t in zip(keys, there, strict=True) if t]
-    records = written(feeds.scan_jobs(spark, good), "merge-records")
+    scanned, faults = feeds.scan_feeds(spark, good)
+    records = written(scanned, "merge-records")
+    faulty = {good[r["source_idx"]]: r for r in faults.collect()}  # at most one for each file of the list
     known = None
     if state and feeds.files_of(spark, state):
         known = written(spark.read.parquet(state), "merge-known")
@@ -58,11 +60,14 @@ def merge(spark: SparkSession, sources: list[dict], out: str, root: str = "sourc
     each = {}
     for key, found in zip(keys, there, strict=True):
         row = counts.get(good.index(key)) if found else None
-        each[key] = {"status": "ok" if found else "failed", "parsed": row["parsed"] if row else 0, "written": row["written"] if row else 0}
+        fault = faulty.get(key)
+        each[key] = {"status": "ok" if found and not fault else "failed", "parsed": row["parsed"] if row else 0, "written": row["written"] if row else 0}
+        if fault:
+            each[key]["error"] = f"{fault['message']} at line {fault['line']}, column {fault['column']}" if fault["line"] else fault["message"]
     seconds, jobs = time.monotonic() - began, sum(x["written"] for x in each.values())
     parsed = sum(x["parsed"] for x in each.values())
     return {
-        "total_feeds": len(keys), "successful_feeds": len(good), "failed_feeds": len(keys) - len(good), "jobs_parsed": parsed, "jobs_written": jobs, "duplicates_removed": parsed - jobs,
+        "total_feeds": len(keys), "successful_feeds": len(good) - len(faulty), "failed_feeds": len(keys) - len(good) + len(faulty), "jobs_parsed": parsed, "jobs_written": jobs, "duplicates_removed": parsed - jobs,
         "feeds": each, "well_formed": well_formed(spark, out), "elapsed_seconds": seconds, "jobs_per_second": jobs / max(seconds, 0.001),
     }
 

@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 import codecs
-import gzip
-import io
 import json
 import re
+import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedloom.plans.tables import counted_broadcast
+from feedloom.plans.tables import shared_dir
+from feedloom.sources import json_scan, scan, xml_scan
 
 #: Element names of records, in lower case.
 RECORD_NAMES = ("job", "position", "item", "entry", "opening", "vacancy")
@@ -134,16 +135,36 @@ def read_xml(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
     return spark.read.format("xml").options(**options).load(path)
 
 
+def json_values(spark: SparkSession, path: str, record_path: str = "item") -> DataFrame:
+    """file, rec_idx, raw of the values at a path such as ``positions.item``, up to the first fault of each file.
+
+    A path that ends at a list stands for its items, and ``item`` for a document that is one object as well.
+    """
+    at, items = json_scan.at_path(record_path), json_scan.at_path(f"{record_path}.item")
+
+    def rule(levels: list, name: str | None, kind: str) -> bool:
+        return (at(levels, name, kind) and (kind != "[" or record_path.endswith("item"))) or items(levels, name, kind) or (record_path == "item" and not levels and kind == "{")
+
+    files = files_of(spark, path)
+    if not files:
+        raise FileNotFoundError(path)
+    found, _ = scan.records_of(spark, files, [_first_bytes(spark, f) for f in files], "json", rule, _one_line)
+    return found.join(F.broadcast(spark.createDataFrame(list(enumerate(files)), "doc int, file string")), "doc").select("file", "rec_idx", "raw")
+
+
+def _one_line(raw: bytes) -> tuple[dict[str, str], str]:
+    """A value that is an object on one line; another value as the field ``value`` of one."""
+    text = raw.decode("utf-8", "replace").strip()
+    json.loads(text)
+    text = text.replace("\r", " ").replace("\n", " ")  # no string holds a line break
+    return {}, text if text.startswith("{") else f'{{"value": {text}}}'
+
+
 def read_json(spark: SparkSession, path: str, record_path: str = "item") -> DataFrame:
-    """Records of a JSON document under a path such as ``positions.item``."""
-    names = [n for n in record_path.split(".") if n != "item"]
-    df = spark.read.option("multiLine", True).option("primitivesAsString", True).json(path)
-    for name in names:
-        df = df.select(F.col(f"`{name}`").alias("r"))
-        if isinstance(df.schema["r"].dataType, T.ArrayType):
-            df = df.select(F.explode("r").alias("r"))
-        df = df.select("r.*") if isinstance(df.schema["r"].dataType, T.StructType) else df.select(F.col("r").alias("value"))
-    return df
+    """Records of JSON documents under a path such as ``positions.item``, with the columns of all of them; large files are split."""
+    lines = f"{shared_dir(spark)}/json-lines-{uuid.uuid4().hex}"
+    json_values(spark, path, record_path).select("raw").write.text(lines)
+    return spark.read.option("primitivesAsString", True).json(lines)
 
 
 def _flat(schema: T.StructType, c: Column | None, prefix: str, xml: bool) -> list[tuple[str, Column]]:
@@ -195,68 +216,52 @@ def schema_tree(paths: list[str]) -> dict:
     return tree
 
 
-def _job_fields(element: ElementTree.Element) -> list[tuple[str, str]]:
-    out: dict[str, str] = {}
-    for child in element:
-        out.setdefault(_local(child.tag), "".join(child.itertext()).strip())
-    return list(out.items())
-
-
-def _json_jobs(value, in_list: bool = False) -> Iterator[list[tuple[str, str]]]:
-    def flat(v, prefix: str) -> Iterator[tuple[str, str]]:
-        if isinstance(v, dict):
-            for k, x in v.items():
-                yield from flat(x, f"{prefix}_{k}" if prefix else k)
-        elif isinstance(v, list):
-            for x in v:
-                yield from flat(x, prefix)
-        else:
-            yield prefix, "" if v is None else str(v)
+def _first_bytes(spark: SparkSession, path: str, size: int = 512) -> bytes:
+    """The first bytes of a file, and of one that is compressed what they hold."""
+    data = head(spark, path, 4 * size)
+    if data[:2] == b"\x1f\x8b":
+        return data[:2] + zlib.decompressobj(31).decompress(data, size)
+    return data[:size]
 
-    if isinstance(value, dict) and in_list:
-        yield list(dict(flat(value, "")).items())
-    elif isinstance(value, dict):
-        for v in value.values():
-            yield from _json_jobs(v)
-    elif isinstance(value, list):
-        for v in value:
-            yield from _json_jobs(v, True)
 
+def _is_json(start: bytes) -> bool:
+    """Whether a feed is JSON by its first character, in any of its encodings."""
+    text = start.removeprefix(b"\x1f\x8b").replace(b"\0", b"").lstrip(b"\xef\xbb\xbf\xff\xfe \t\r\n")
+    return text[:1] in (b"{", b"[")
 
-def scan_jobs(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """source_idx, rec_idx, fields, raw of the records of feeds in any mix of XML and JSON, plain or gzip.
 
-    Format is told by content. A file is parsed in one task, as one document; records before a fault are kept.
+def scan_feeds(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """source_idx, rec_idx, fields, raw of the records of feeds in any mix of XML and JSON, plain or gzip; and their faults.
+
+    Format is told by content. Files are cut into chunks that are read in parallel. XML is read on after a fault, as far as its
+    tags tell records; JSON up to the first fault, of which faults (source_idx, line, column, message) has a row.
     """
     named = [(i, f) for i, p in enumerate(paths) for f in files_of(spark, p)]
-    listed = spark.createDataFrame(named, "source_idx int, path string")
-    files = spark.read.format("binaryFile").load(sorted({f for _, f in named})).join(counted_broadcast(listed), "path") if named else listed.select("source_idx", "path", F.lit(b"").alias("content"))
+    files = sorted({f for _, f in named})
+    starts = {f: _first_bytes(spark, f) for f in files}
+    records = spark.createDataFrame([], "file string, rec_idx long, fields map<string,string>, raw string")
+    faults = spark.createDataFrame([], "file string, line long, column long, message string")
+    kinds = (("json", json_scan.in_lists, scan.json_fields), ("xml", xml_scan.named(RECORD_NAMES), scan.xml_fields))
+    for kind, rule, parse in kinds:
+        own = [f for f in files if _is_json(starts[f]) == (kind == "json")]
+        if own:
+            names = F.broadcast(spark.createDataFrame(list(enumerate(own)), "doc int, file string"))
+            found, bad = scan.records_of(spark, own, [starts[f] for f in own], kind, rule, parse)
+            records = records.unionByName(found.join(names, "doc").drop("doc"))
+            faults = faults.unionByName(bad.join(names, "doc").drop("doc"))
+    # Files of a source are numbered one after another.
+    sources = F.broadcast(spark.createDataFrame(named, "source_idx int, file string"))
+    placed = records.join(sources, "file")
+    if len(named) > len(paths):
+        counts = placed.groupBy("source_idx", "file").agg(F.count("*").alias("n"))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("source_idx").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        placed = placed.join(F.broadcast(counts.select("source_idx", "file", before.alias("before"))), ["source_idx", "file"]).withColumn("rec_idx", F.col("rec_idx") + F.col("before"))
+    return placed.select("source_idx", "rec_idx", "fields", "raw"), faults.join(sources, "file").select("source_idx", "file", "line", "column", "message")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int32(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.string())
-        for batch in batches:
-            for source, data in zip(batch.column("source_idx").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-                rows: list[tuple] = []
-                if data[:500].lstrip(b"\xef\xbb\xbf \t\r\n")[:1] in (b"{", b"["):
-                    rows = [(source, i, job, json.dumps(dict(job))) for i, job in enumerate(_json_jobs(json.loads(data.decode("utf-8-sig"))))]
-                else:
-                    depth = 0
-                    try:
-                        for kind, element in ElementTree.iterparse(io.BytesIO(data), ("start", "end")):
-                            if _local(element.tag).lower() in RECORD_NAMES:
-                                depth += 1 if kind == "start" else -1
-                                if kind == "end" and not depth:  # the outermost record
-                                    element.tail = None
-                                    rows.append((source, len(rows), _job_fields(element), ElementTree.tostring(element, "unicode")))
-                                    element.clear()
-                    except ElementTree.ParseError:
-                        pass
-                for at in range(0, len(rows), 2000):
-                    columns = zip(*rows[at : at + 2000], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["source_idx", "rec_idx", "fields", "raw"])
-
-    return files.select("source_idx", "content").mapInArrow(run, "source_idx int, rec_idx long, fields map<string,string>, raw string")
+
+def scan_jobs(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The records of ``scan_feeds``."""
+    return scan_feeds(spark, paths)[0]
 
 
 def leaves_of(spark: SparkSession, path: str) -> DataFrame:
@@ -328,65 +333,43 @@ def detect_record_path(spark: SparkSession, path: str) -> str:
     return next((p for p in order if found[p] > 1), order[0] if order else "/root/item")
 
 
-def builder_fields(element: ElementTree.Element) -> dict[str, str]:
+def builder_fields(raw: bytes) -> dict[str, str]:
     """Leaves of a record by path, attributes as path@name, and each first one by its bare name too."""
     out: dict[str, str] = {}
-
-    def walk(e: ElementTree.Element, prefix: str) -> None:
-        for name, value in e.attrib.items():
-            out[f"{prefix}@{_local(name)}"] = value
-            out.setdefault(_local(name), value)
-        for child in e:
-            name = _local(child.tag)
-            walk(child, f"{prefix}{name}/")
-            if not len(child):
-                out.setdefault(name, (child.text or "").strip())
-        if not len(e):
-            out[prefix.rstrip("/") or _local(e.tag)] = (e.text or "").strip()
-
-    walk(element, "")
+    root = xml_scan.parsed(raw)
+    stack: list[tuple[xml_scan.Node, str, bool]] = [(root, "", False)]
+    while stack:
+        node, prefix, seen = stack.pop()
+        if seen:  # after all that is in it
+            if not node.children:
+                out.setdefault(node.name, node.text[0].strip())
+            continue
+        for name, value in node.attributes.items():
+            out[f"{prefix}@{name}"] = value
+            out.setdefault(name, value)
+        if not node.children:
+            out[prefix.rstrip("/") or node.name] = node.text[0].strip()
+        for child in reversed(node.children):
+            stack += [(child, "", True), (child, f"{prefix}{child.name}/", False)]
     return out
 
 
 def read_records(spark: SparkSession, path: str, record_path: str | None = None) -> DataFrame:
     """rec_idx and fields of the records of XML files: elements at a full path, or (//a/b) whose path ends in these names.
 
-    Without a path it is detected. Records before a fault are kept. A file is parsed in one task.
+    Without a path it is detected. Files are cut into chunks that are read in parallel, and read on after faults as far as their tags
+    tell records; rec_idx goes on from file to file, in order of names.
     """
-    record_path = record_path or detect_record_path(spark, path)
-    wanted = [n for n in record_path.split("/") if n]
-    whole = record_path.startswith("/") and not record_path.startswith("//")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column("content").to_pylist():
-                rows: list[list[tuple[str, str]]] = []
-                stack: list[str] = []
-                n = 0
-
-                def out() -> pa.RecordBatch:
-                    made = pa.RecordBatch.from_arrays([pa.array(range(n - len(rows), n), pa.int64()), pa.array(rows, pa.map_(pa.string(), pa.string()))], names=["rec_idx", "fields"])
-                    rows.clear()
-                    return made
-
-                try:
-                    for kind, element in ElementTree.iterparse(io.BytesIO(data), ("start", "end")):
-                        if kind == "start":
-                            stack.append(_local(element.tag))
-                            continue
-                        if stack == wanted if whole else stack[-len(wanted) :] == wanted:
-                            rows.append(list(builder_fields(element).items()))
-                            n += 1
-                            element.clear()
-                            if len(rows) >= 1000:
-                                yield out()
-                        stack.pop()
-                except ElementTree.ParseError:
-                    pass
-                if rows:
-                    yield out()
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "rec_idx long, fields map<string,string>")
+    rule = xml_scan.at_path(record_path or detect_record_path(spark, path))
+    files = files_of(spark, path)
+    if not files:
+        raise FileNotFoundError(path)
+    found, _ = scan.records_of(spark, files, [_first_bytes(spark, f) for f in files], "xml", rule, lambda raw: (builder_fields(raw), ""))
+    if len(files) == 1:
+        return found.select("rec_idx", "fields")
+    counts = found.groupBy("doc").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("doc").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return found.join(F.broadcast(counts.select("doc", before.alias("before"))), "doc").select((F.col("rec_idx") + F.col("before")).alias("rec_idx"), "fields")
 
 
 def records_preview(records: DataFrame, limit: int = 100) -> tuple[list[str], DataFrame]:
