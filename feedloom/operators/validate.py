@@ -2,142 +2,24 @@
 
 from __future__ import annotations
 
-import json
 import re
-from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
-from xml.parsers import expat
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.sources.feeds import encoding, files_of, head, sniff
-
-_TAG = re.compile(rb"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<!DOCTYPE[^>]*>|<(/?)([A-Za-z_:][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>", re.S)
-
-
-#: The parser's wordings, as users know them from other tools.
-_WORDINGS = {
-    "no element found": "Premature end of data",
-    "unclosed token": "Premature end of data",
-    "unclosed CDATA section": "CData section not finished",
-    "XML or text declaration not at start of entity": "XML declaration allowed only at the start of the document",
-    "junk after document element": "Extra content at the end of the document",
-    "unknown encoding": "Unsupported encoding",
-    "encoding specified in XML declaration is incorrect": "Document labelled with another encoding than it has",
-}
-_RELATIVE = re.compile(rb"""\sxmlns(?::[\w.-]+)?\s*=\s*["']([^"':]+)["']""")
-
-
-def _worded(data: bytes, at: int, text: str) -> str:
-    """The message for a fault of the parser at a byte."""
-    rest = data[at : at + 256]
-    if text == "undefined entity" and (m := re.match(rb"&([^;\s]+);", rest)):
-        return f"Entity '{m[1].decode('utf-8', 'replace')}' not defined"
-    if text == "duplicate attribute" and (m := re.match(rb"([^\s=]+)", rest)):
-        return f"Attribute {m[1].decode('utf-8', 'replace')} redefined"
-    if text == "unbound prefix" and (m := re.search(rb"<([\w.-]+):", data[max(0, at - 1) : at + 256])):
-        return f"Namespace prefix {m[1].decode()} is not defined"
-    if "invalid token" in text:
-        if rest and rest[0] < 32 and rest[0] not in (9, 10, 13):
-            return f"xmlChar 0x{rest[0]:X} out of allowed range"
-        try:
-            data[at : at + 4].decode("utf-8")
-        except UnicodeDecodeError as e:
-            if e.start == 0 and e.reason != "unexpected end of data":
-                return "Input is not proper UTF-8, indicate encoding !"
-    return _WORDINGS.get(text, text)
-
-
-def xml_faults(data: bytes) -> list[tuple[int, int, str]]:
-    """(line, column, message): what the parser stops at, every tag pair that does not match, and namespaces that are relative."""
-    if not data.strip():
-        return [(1, 1, "Document is empty")]
-    breaks = [m.start() for m in re.finditer(b"\n", data)]
-
-    def place(at: int) -> tuple[int, int]:
-        line = bisect_left(breaks, at)
-        return line + 1, at - (breaks[line - 1] if line else -1)
-
-    out = [(*place(m.start(1)), f"xmlns: URI {m[1].decode('utf-8', 'replace')} is not absolute") for m in _RELATIVE.finditer(data)]
-    parser = expat.ParserCreate(namespace_separator=" ")
-    try:
-        parser.Parse(data, True)
-        return sorted(set(out))
-    except expat.ExpatError as e:
-        text = expat.ErrorString(e.code)
-        if "mismatched" not in text:
-            out.append((e.lineno, e.offset + 1, _worded(data, parser.ErrorByteIndex, text)))
-    stack: list[tuple[str, int]] = []
-    opened: Counter[str] = Counter()
-    for m in _TAG.finditer(data):
-        if not m[2] or m[4]:
-            continue
-        name = m[2].decode("utf-8", "replace")
-        line, column = place(m.start())
-        if not m[1]:
-            stack.append((name, line))
-            opened[name] += 1
-        elif stack and stack[-1][0] == name:
-            opened[stack.pop()[0]] -= 1
-        elif not stack:
-            out.append((line, column, "Extra content at the end of the document"))
-        else:
-            top, begun = stack[-1]
-            out.append((line, column, f"Opening and ending tag mismatch: {top} line {begun} and {name}"))
-            while stack:  # back to the element that it ends, or only over the one it takes the place of
-                last = stack.pop()[0]
-                opened[last] -= 1
-                if last == name or not opened[name]:
-                    break
-    if stack and not any("end of data" in x[2] for x in out):
-        out.append((len(breaks) + 1, 1, f"Premature end of data in tag {stack[-1][0]} line {stack[-1][1]}"))
-    return sorted(set(out))
-
+from feedloom.operators.xml_faults import xml_faults
+from feedloom.plans.tables import written
+from feedloom.sources import json_scan
+from feedloom.sources.feeds import encoding, files_of, head, json_by_name_or_start, sniff
+from feedloom.sources.ranges import loaded
+from feedloom.sources.scan import chunked, found_in
 
 def json_faults(data: bytes) -> list[tuple[int, int, str]]:
-    """(line, column, message) of the first fault; repeated keys are faults."""
-
-    class Repeated(ValueError):
-        pass
-
-    def once(pairs: list) -> dict:
-        seen = set()
-        for k, _ in pairs:
-            if k in seen:
-                raise Repeated(k)
-            seen.add(k)
-        return dict(pairs)
-
-    text = data.decode("utf-8-sig", "replace")
-    try:
-        json.loads(text, object_pairs_hook=once, parse_constant=lambda c: (_ for _ in ()).throw(json.JSONDecodeError(f"Invalid token '{c}'", text, text.find(c))))
-        return []
-    except Repeated as e:
-        at = [m.start() for m in re.finditer(re.escape(json.dumps(e.args[0], ensure_ascii=False)) + r"\s*:", text)][1:2] or [0]
-        message, at = f"Duplicate object key '{e.args[0]}'", at[0]
-    except json.JSONDecodeError as e:
-        at, rest = e.pos, text[e.pos :].lstrip()
-        before = text[:at].rstrip()
-        token = re.match(r"[A-Za-z]\w*", rest)
-        if rest[:1] in ("}", "]") and before.endswith(","):
-            message = f"Trailing comma inside {'object' if rest[0] == '}' else 'array'}"
-        elif "Illegal trailing comma" in e.msg:
-            closing = re.match(r",?\s*([}\]])", text[at:])
-            message = f"Trailing comma inside {'array' if closing and closing[1] == ']' else 'object'}"
-        elif not rest:
-            message = "Unclosed structure"
-        elif "Unterminated string" in e.msg:
-            message = "Unclosed string"
-        elif token and "Expecting value" in e.msg:
-            message = f"Invalid token '{token[0]}'"
-        elif "delimiter" in e.msg and "," in e.msg:
-            message = "Expected ',' or '}'"
-        else:
-            message = e.msg
-    return [(text.count("\n", 0, at) + 1, at - text.rfind("\n", 0, at), message)]
+    """(line, column, message) of the first fault of a JSON document."""
+    fault = json_scan.first_fault(data)
+    return [fault] if fault else []
 
 
 def category(message: Column, kind: Column) -> Column:
@@ -205,13 +87,26 @@ def byte_offset(line: Column, size: Column, lines: Column) -> Column:
     return F.when(lines > 0, F.floor((line - 1) * (size / lines))).otherwise(0).cast("long")
 
 
-def _context(data: bytes, lines: list[bytes], at: int, offset: int, context: int) -> list[dict]:
-    if len(data) >= _MINIFIED and b"\n" not in data[:_MINIFIED]:
+def _minified(start: bytes) -> bool:
+    return len(start) >= _MINIFIED and b"\n" not in start[:_MINIFIED]
+
+
+def _around(data: bytes) -> list[dict]:
+    """What lies around a fault in a file without line breaks, cut between tags and objects."""
+    shown = re.sub(r"(?<=>)(?=<)|(?<=\},)", "\n", data.decode("utf-8", "replace")).splitlines()
+    return [{"line_number": k + 1, "text": x, "is_error_line": k == len(shown) // 2} for k, x in enumerate(shown)]
+
+
+def _context(data: bytes, breaks: list[int], at: int, offset: int, context: int) -> list[dict]:
+    """The lines around line ``at``, by the places of line breaks."""
+    if _minified(data):
         start = max(0, offset - _AROUND)
-        text = data[start : start + 2 * _AROUND].decode("utf-8", "replace")
-        shown = re.sub(r"(?<=>)(?=<)|(?<=\},)", "\n", text).splitlines()
-        return [{"line_number": k + 1, "text": x, "is_error_line": k == len(shown) // 2} for k, x in enumerate(shown)]
-    return [{"line_number": k + 1, "text": lines[k].decode("utf-8", "replace").rstrip("\r"), "is_error_line": k + 1 == at} for k in range(max(0, at - 1 - context), min(len(lines), at + context))]
+        return _around(data[start : start + 2 * _AROUND])
+    out = []
+    for k in range(max(0, at - 1 - context), min(len(breaks) + 1, at + context)):
+        begin, end = breaks[k - 1] + 1 if k else 0, breaks[k] if k < len(breaks) else len(data)
+        out.append({"line_number": k + 1, "text": data[begin:end].decode("utf-8", "replace").rstrip("\r"), "is_error_line": k + 1 == at})
+    return out
 
 
 _FIELDS = "path string, kind string, n int, line int, column int, size long, lines long, message string, context_lines array<struct<line_number:int,text:string,is_error_line:boolean>>"
@@ -222,8 +117,9 @@ def _faults(context: int):
         for batch in batches:
             for path, kind, data in zip(*(batch.column(c).to_pylist() for c in ("path", "kind", "content")), strict=True):
                 faults = json_faults(data) if kind == "json" else xml_faults(data)
-                lines, many = data.split(b"\n") if faults else [], max(1, data.count(b"\n"))
-                rows = [(path, kind, i, a, b, len(data), many, m, _context(data, lines, a, int((a - 1) * (len(data) / many)), context)) for i, (a, b, m) in enumerate(faults)]
+                breaks = [m.start() for m in re.finditer(b"\n", data)] if faults else []
+                many = max(1, len(breaks))
+                rows = [(path, kind, i, a, b, len(data), many, m, _context(data, breaks, a, int((a - 1) * (len(data) / many)), context)) for i, (a, b, m) in enumerate(faults)]
                 if rows:
                     line = pa.list_(pa.struct([("line_number", pa.int32()), ("text", pa.string()), ("is_error_line", pa.bool_())]))
                     kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), line)
@@ -242,19 +138,89 @@ def _contents(spark: SparkSession, files: list[str]) -> DataFrame:
     return held.union(empty).withColumn("kind", sniff(F.col("path"), F.col("content")))
 
 
+def _json_files(spark: SparkSession, files: list[str], heads: list[bytes], context: int) -> DataFrame:
+    """The first fault of each JSON file, if it has one, with its context: files of any size, in chunks.
+
+    Keys of an object that spans chunks meet in a grouping by object and key; the second place of a key is the fault.
+    """
+    chunks = chunked(spark, files, heads, "json")
+    found = found_in(chunks, "json", None)
+    place = [F.col(c).alias(c) for c in ("line", "column")]
+    keys = found.where("what = 'key'").select("doc", "scope", "raw", F.struct("number", "offset", *place).alias("at"))
+    first = keys.groupBy("doc", "scope", "raw").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1")
+    name = F.concat(F.lit("Duplicate object key '"), F.col("raw").cast("string"), F.lit("'"))
+    again = keys.join(first, ["doc", "scope", "raw"]).where("at > first").select("doc", F.struct("at.number", F.lit(0).alias("k"), "at.offset", "at.line", "at.column", name.alias("message")).alias("f"))
+    said = found.where("what = 'fault'").select("doc", F.struct("number", F.lit(1).alias("k"), "offset", *place, F.col("raw").cast("string").alias("message")).alias("f"))
+    sizes = found.where("what = 'chunk'").groupBy("doc").agg(F.sum("offset").alias("size"), F.greatest(F.sum("line"), F.lit(1)).alias("lines"))
+    faults = said.union(again).groupBy("doc").agg(F.min("f").alias("f")).join(sizes, "doc").select("doc", "f.line", "f.column", "f.message", "size", "lines")
+    names = F.broadcast(spark.createDataFrame([(i, f, _minified(h)) for i, (f, h) in enumerate(zip(files, heads, strict=True))], "doc int, path string, minified boolean"))
+    faults = written(faults.join(names, "doc"), "json-faults")
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            flags = zip(*(batch.column(c).to_pylist() for c in ("line", "minified", "size", "lines")), strict=True)
+            for (doc, data, start), (line, minified, size, lines) in zip(loaded(batch, json_scan.MARK), flags, strict=True):
+                if minified:
+                    begin = max(0, int((line - 1) * (size / lines)) - _AROUND) - start.place.offset
+                    part = data[max(0, begin) : max(0, begin + 2 * _AROUND)]
+                    rows += [(doc, 0, start.number, part)] if part else []
+                    continue
+                at, number = 0, start.place.line
+                while at <= len(data) and number <= line + context:
+                    stop = data.find(b"\n", at)
+                    stop = len(data) if stop < 0 else stop
+                    if number >= line - context:
+                        rows.append((doc, number, start.number, data[at:stop]))
+                    at, number = stop + 1, number + 1
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.binary()))], names=["doc", "line_number", "number", "text"])
+
+    few = F.broadcast(faults.select("doc", "line", "minified", "size", "lines"))  # one row for each file of the caller's list
+    parts = chunks.join(few, "doc").mapInArrow(pieces, "doc int, line_number long, number int, text binary")
+    whole = parts.groupBy("doc", "line_number").agg(F.sort_array(F.collect_list(F.struct("number", "text"))).alias("p"))
+    text = F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["text"]))
+    listed = whole.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("line_number", text.alias("text")))).alias("shown"))
+
+    def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                lines = r.pop("shown") or []
+                if r.pop("minified"):
+                    r["context_lines"] = _around(lines[0]["text"]) if lines else []
+                else:
+                    r["context_lines"] = [{"line_number": x["line_number"], "text": x["text"].decode("utf-8", "replace").rstrip("\r"), "is_error_line": x["line_number"] == r["line"]} for x in lines]
+                rows.append(r | {"kind": "json", "n": 0})
+            yield pa.RecordBatch.from_pylist(rows, schema=_fields_schema())
+
+    return faults.join(listed, "doc", "left").select("path", "line", "column", "size", "lines", "message", "minified", "shown").mapInArrow(shown, _FIELDS)
+
+
+def _fields_schema() -> pa.Schema:
+    line = pa.list_(pa.struct([("line_number", pa.int32()), ("text", pa.string()), ("is_error_line", pa.bool_())]))
+    return pa.schema([("path", pa.string()), ("kind", pa.string()), ("n", pa.int32()), ("line", pa.int32()), ("column", pa.int32()), ("size", pa.int64()), ("lines", pa.int64()), ("message", pa.string()), ("context_lines", line)])
+
+
 def validate(spark: SparkSession, paths: list[str] | str, context: int = 10) -> DataFrame:
     """path, kind, error_number, line, column, byte_offset, message, category, severity, tag_name, reference_tag, reference_line,
     context_lines.
 
-    A file is one document and is parsed in one task. A path that stands for no file is one fatal fault of its own. A tag
-    mismatch inside the span of the last one kept is its consequence and is left out. byte_offset is an estimate from the
-    line; files whose beginning has no line break show what is around it, cut between tags.
+    JSON files of any size are checked in chunks and have their first fault; an XML file is walked in one task and has all of its
+    faults. A path that stands for no file is one fatal fault of its own. A tag mismatch inside the span of the last one kept is its
+    consequence and is left out. byte_offset is an estimate from the line; files whose beginning has no line break show what is around
+    it, cut between tags.
     """
     wanted = [paths] if isinstance(paths, str) else list(paths)
     found = {p: files_of(spark, p) for p in wanted}
-    missing = [(p, "xml", 0, 0, 0, 0, 1, f"File does not exist: {p}", []) for p, files in found.items() if not files]
-    rows = _contents(spark, sorted({f for files in found.values() for f in files})).select("path", "kind", "content").mapInArrow(_faults(context), _FIELDS)
-    return _judged(rows.union(spark.createDataFrame(missing, _FIELDS)) if missing else rows)
+    fixed = [(p, "xml", 0, 0, 0, 0, 1, f"File does not exist: {p}", []) for p, files in found.items() if not files]
+    files = sorted({f for files in found.values() for f in files})
+    heads = {f: head(spark, f, _MINIFIED) for f in files}
+    as_json = [f for f in files if json_by_name_or_start(f, heads[f])]
+    fixed += [(f, "json", 0, 1, 1, 0, 1, "Empty or whitespace-only JSON document", []) for f in as_json if not heads[f]]
+    rows = _contents(spark, [f for f in files if f not in set(as_json)]).select("path", "kind", "content").mapInArrow(_faults(context), _FIELDS)
+    if held := [f for f in as_json if heads[f]]:
+        rows = rows.union(_json_files(spark, held, [heads[f] for f in held], context).select(rows.columns))
+    return _judged(rows.union(spark.createDataFrame(fixed, _FIELDS)) if fixed else rows)
 
 
 def validate_contents(documents: DataFrame, context: int = 10) -> DataFrame:

@@ -241,7 +241,7 @@ def scan_feeds(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFr
     starts = {f: _first_bytes(spark, f) for f in files}
     records = spark.createDataFrame([], "file string, rec_idx long, fields map<string,string>, raw string")
     faults = spark.createDataFrame([], "file string, line long, column long, message string")
-    kinds = (("json", json_scan.in_lists, scan.json_fields), ("xml", xml_scan.named(RECORD_NAMES), scan.xml_fields))
+    kinds = (("json", json_scan.in_lists, scan.json_fields), ("xml", xml_scan.named(RECORD_NAMES), xml_scan.record_of))
     for kind, rule, parse in kinds:
         own = [f for f in files if _is_json(starts[f]) == (kind == "json")]
         if own:
@@ -294,6 +294,13 @@ def sniff(path: Column, content: Column) -> Column:
     return F.coalesce(by_name, F.when(F.substring(start, 1, 1).isin("{", "["), "json").otherwise("xml"))
 
 
+def json_by_name_or_start(path: str, start: bytes) -> bool:
+    """What ``sniff`` tells, of a path and first bytes at hand."""
+    if re.search(r"(?i)\.json$", path):
+        return True
+    return not re.search(r"(?i)\.(xml|xsd|xsl|xslt|svg|xhtml)$", path) and _is_json(start)
+
+
 def encoding(content: Column) -> Column:
     """Encoding by byte order mark, then by the XML declaration, else utf-8."""
     mark = F.hex(F.substring(content, 1, 4))

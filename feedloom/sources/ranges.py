@@ -151,8 +151,10 @@ def chunks_of(spark: SparkSession, files: list[str], mark: bytes, effect: Callab
         own = [(i, f, -1 if f.lower().endswith(".gz") else 0) for i, f in enumerate(files) if odd[i] == wide]
         if not own:
             continue
-        listed = F.broadcast(spark.createDataFrame(own, "doc int, path string, packed long"))  # bounded: the caller's list
         paths = sorted({f for _, f, _ in own})
+        if not wide:  # the text reader names files as addresses do
+            own = [(i, spark._jvm.org.apache.hadoop.fs.Path(f).toUri().toString(), packed) for i, f, packed in own]
+        listed = F.broadcast(spark.createDataFrame(own, "doc int, path string, packed long"))  # bounded: the caller's list
         if wide:
             read = spark.read.format("binaryFile").load(paths).select("path", "content").join(listed, "path").select("doc", "content")
             out = out.union(read.mapInArrow(_decoded(mark, effect, chunk), _CHUNKS))

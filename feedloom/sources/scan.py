@@ -32,6 +32,7 @@ def _walked(walk: Callable[[bytes, Any], Any], mark: bytes):
         for batch in batches:
             for doc, data, start in loaded(batch, mark):
                 i = 0
+                rows.append({"doc": doc, "number": start.number, "i": -1, "what": "chunk", "line": data.count(b"\n"), "offset": len(data)})
                 for f in walk(data, start).found():
                     rows.append({"doc": doc, "number": start.number, "i": i, "what": f.what, "raw": f.data, "owner": f.owner, "ends": f.ends, "declared": f.declared, "scope": f.scope, "line": f.place.line, "column": f.place.column, "offset": f.place.offset})
                     i += f.what == "value"
@@ -45,10 +46,15 @@ def _walked(walk: Callable[[bytes, Any], Any], mark: bytes):
     return run
 
 
-def found_in(spark: SparkSession, files: list[str], heads: list[bytes], kind: str, rule: Callable | None) -> DataFrame:
-    """What the chunks of files of one kind give, a written table; ``doc`` numbers the files."""
+def chunked(spark: SparkSession, files: list[str], heads: list[bytes], kind: str) -> DataFrame:
+    """doc, data, start: the chunks of files of one kind with the state that each begins in; ``doc`` numbers the files."""
+    scan = json_scan if kind == "json" else xml_scan
+    return started(chunks_of(spark, files, scan.MARK, scan.effect, heads), scan.BEGIN, scan.step)
+
+
+def found_in(chunks: DataFrame, kind: str, rule: Callable | None) -> DataFrame:
+    """What ``chunked`` files give, a written table; with a row for each chunk that has its bytes (offset) and line breaks (line)."""
     scan = json_scan if kind == "json" else xml_scan
-    chunks = started(chunks_of(spark, files, scan.MARK, scan.effect, heads), scan.BEGIN, scan.step)
     return written(chunks.mapInArrow(_walked(lambda data, start: scan.Walk(data, start, rule), scan.MARK), _FOUND_DDL), "found")
 
 
@@ -87,10 +93,6 @@ def json_fields(raw: bytes) -> tuple[dict[str, str], str]:
     return fields, json.dumps(fields)
 
 
-def xml_fields(raw: bytes) -> tuple[dict[str, str], str]:
-    return xml_scan.fields_of(raw), raw.decode("utf-8", "replace")
-
-
 def parsed(values: DataFrame, parse: Callable[[bytes], tuple[dict[str, str], str]]) -> DataFrame:
     """doc, number, i, fields, raw, ok of ``values``; a value that does not parse is not ok."""
     schema = pa.schema([("doc", pa.int32()), ("number", pa.int32()), ("i", pa.int32()), ("fields", pa.map_(pa.string(), pa.string())), ("raw", pa.string()), ("ok", pa.bool_())])
@@ -112,7 +114,7 @@ def parsed(values: DataFrame, parse: Callable[[bytes], tuple[dict[str, str], str
 
 def records_of(spark: SparkSession, files: list[str], heads: list[bytes], kind: str, rule: Callable, parse: Callable) -> tuple[DataFrame, DataFrame]:
     """Records (doc, rec_idx, fields, raw) before the first fault of each file, and these faults (doc, line, column, message)."""
-    found = found_in(spark, files, heads, kind, rule)
+    found = found_in(chunked(spark, files, heads, kind), kind, rule)
     records = written(parsed(raw_values(found), parse), "records")
     said = F.struct("number", "i", F.col("line").alias("line"), F.col("column").alias("column"), F.col("raw").cast("string").alias("message"))
     bad = F.struct("number", "i", F.lit(None).cast("long").alias("line"), F.lit(None).cast("long").alias("column"), F.lit("Record is not valid").alias("message"))

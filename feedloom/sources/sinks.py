@@ -5,7 +5,6 @@ from __future__ import annotations
 import html
 import json
 from collections.abc import Iterator
-from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,6 +14,7 @@ from pyspark.sql.types import StringType
 from feedloom.operators import stats
 from feedloom.operators.predicates import select
 from feedloom.plans.tables import written
+from feedloom.sources import xml_scan
 
 #: Headers of the columns that are no paths.
 HEADERS = {"id": "Record ID", "raw_content": "Raw XML/JSON Content"}
@@ -92,7 +92,7 @@ def direct_children(raw: pd.Series) -> pd.Series:
     def one(text: str | None) -> str | None:
         if not text or text.lstrip()[:1] != "<":
             return text
-        return json.dumps({c.tag.rpartition("}")[2]: "".join(c.itertext()).strip() for c in ElementTree.fromstring(text)}, ensure_ascii=False)
+        return json.dumps({c.name: c.all_text().strip() for c in xml_scan.parsed(text.encode()).children}, ensure_ascii=False)
 
     return raw.map(one)
 

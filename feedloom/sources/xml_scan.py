@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 from html import unescape
 from typing import NamedTuple
 from xml.parsers import expat
+from xml.sax.saxutils import escape, quoteattr
 
 from feedloom.sources.json_scan import Found
 from feedloom.sources.ranges import Place, Start
@@ -297,7 +298,12 @@ def _short(name: str) -> str:
 
 def parsed(raw: bytes) -> Node:
     """The tree of a record; of one with faults what its tags and text tell."""
-    root = Node("", {})
+    return tree_of(raw)[0]
+
+
+def tree_of(raw: bytes) -> tuple[Node, bool]:
+    """The tree of a record, and whether it has no faults."""
+    root, sound = Node("", {}), True
     stack = [root]
 
     def opened(name: str, attributes: dict[str, str]) -> None:
@@ -309,13 +315,13 @@ def parsed(raw: bytes) -> Node:
     def said(text: str) -> None:
         stack[-1].text[-1] += text
 
-    parser = expat.ParserCreate()
+    parser = expat.ParserCreate(namespace_separator=":")  # the local name is behind the last colon, as in the source
     parser.buffer_text = True
     parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = opened, lambda name: stack.pop(), said
     try:
         parser.Parse(raw.decode("utf-8", "replace").encode(), True)
     except expat.ExpatError:
-        root = Node("", {})
+        root, sound = Node("", {}), False
         stack[:] = [root]
         at = 0
         for m in _TOKEN.finditer(raw):
@@ -329,12 +335,37 @@ def parsed(raw: bytes) -> Node:
                     stack.pop()
             elif name and (i := next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == _short(name)), None)):
                 del stack[i:]
-    return root.children[0] if root.children else root
+    return root.children[0] if root.children else root, sound
 
 
-def fields_of(raw: bytes) -> dict[str, str]:
-    """Direct children by local name, the first of each, with all their text."""
+def _serialised(root: Node) -> str:
+    """A tree as text, by local names."""
+    out: list[str] = []
+    stack: list[tuple[Node, int]] = [(root, 0)]
+    while stack:
+        node, k = stack.pop()
+        if not k:
+            out.append(f"<{node.name}{''.join(f' {n}={quoteattr(v)}' for n, v in node.attributes.items())}>")
+        out.append(escape(_LEGAL.sub("", node.text[k])))
+        if k < len(node.children):
+            stack += [(node, k + 1), (node.children[k], 0)]
+        else:
+            out.append(f"</{node.name}>")
+    return "".join(out)
+
+
+_LEGAL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
+
+
+def record_of(raw: bytes) -> tuple[dict[str, str], str]:
+    """Direct children by local name, the first of each, with all their text; and the raw text, written anew if it has faults."""
+    root, sound = tree_of(raw)
     out: dict[str, str] = {}
-    for child in parsed(raw).children:
+    for child in root.children:
         out.setdefault(child.name, child.all_text().strip())
-    return out
+    return out, raw.decode("utf-8", "replace") if sound else _serialised(root)
+
+
+def fields_of(raw: bytes) -> dict[str, str]:
+    """Direct children by local name, the first of each, with all their text."""
+    return record_of(raw)[0]
