@@ -1,13 +1,16 @@
 """Mixing sources to target weights by pivotal dependent rounding, in DataFrame functions only.
 
 A source's target over its size is the number of copies that each of its documents should have: a whole part, and a
-fraction that is rounded for all documents of the source together. Each document starts with its fraction of its words;
-two documents pair up, and words move at random from one to the other, with the expectation of both unchanged, until one
-has all or none of its words. The open one goes on to the next pair. Blocks of at most about ``BLOCK`` documents, dealt by
-hash, are folded in parallel, each leaving one open document; those are folded in turn, in a reduction tree. The words of
-a source never change on the way; only the last open document is rounded, to the nearer side, so a source ends within half
-of that one document of its target. The last block of each source, at whatever level it has only one, is folded with ``TRIES``
-seeds, and the one counts that ends nearest to the target.
+fraction that is rounded for all documents of the source together. Each document starts with its fraction of its words. From the
+largest down, a document pairs up with the smaller ones of its block taken as one, and words move at random from one to the other,
+with the expectation of both unchanged, until one side has all or none of its words: mostly the document, as the others take or give
+together, each in proportion to what it lacks or has. So a document larger than its partners is settled first, and what stays open
+is the smallest. Blocks of about ``BLOCK`` documents, dealt by hash, are folded in parallel, each leaving one open document; those
+are folded in turn, in a reduction tree. The words of a source never change on the way; only the last open document is rounded,
+to the nearer side, so a source ends within half of one small document of its target, however many blocks it has. Where the
+others cannot take or give what a large document needs, it stays open itself; so each block keeps its smallest documents back for
+the next level, so many that the last block of a source, at whatever level it has only one, has half a block of them, and the
+last block is folded with ``TRIES`` seeds, of which the one counts that ends nearest to the target.
 
 Defined results: a null text has size 0 and takes 0 words; a null source is a source of its own, ordered last; repeated
 rows are numbered and drawn one by one; with no words at all every target is 0. All random numbers are hashes of the
@@ -16,8 +19,6 @@ document keys and ``SEED``: reruns agree whatever the partitions.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ WEIGHTS = (1, 2, 3)
 MOST = 3
 BLOCK = 256
 SEED = 7
-TRIES = 16
+TRIES = 64
 
 
 def n_words(text: Column) -> Column:
@@ -58,70 +59,94 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return rows.select("source", "source_size", "n", F.least(F.col("ceiling").cast("double"), F.lit(level) * F.col("weight")).alias("target"))
 
 
-def _pair(a: Column, b: Column, seed: Column) -> Column:
-    """Words ``y`` of the two after one move, as (ya, yb); z are their sizes."""
-    up, down = F.least(a["z"] - a["y"], b["y"]), F.least(a["y"], b["z"] - b["y"])
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), seed, a["h"], b["h"]), 11) * F.lit(2.0**-53)
-    rise = F.struct(F.when(a["z"] - a["y"] <= b["y"], a["z"]).otherwise(a["y"] + b["y"]).alias("a"), F.when(a["z"] - a["y"] <= b["y"], b["y"] - (a["z"] - a["y"])).otherwise(F.lit(0.0)).alias("b"))
-    fall = F.struct(F.when(a["y"] <= b["z"] - b["y"], F.lit(0.0)).otherwise(a["y"] - (b["z"] - b["y"])).alias("a"), F.when(a["y"] <= b["z"] - b["y"], b["y"] + a["y"]).otherwise(b["z"]).alias("b"))
-    return F.when(draw * (up + down) < down, rise).otherwise(fall)
-
-
-def _with(x: Column, y: Column) -> Column:
+def _settled(x: Column, y: Column) -> Column:
     return F.struct(x["z"].alias("z"), x["h"].alias("h"), x["doc_id"].alias("doc_id"), x["copy"].alias("copy"), y.alias("y"))
 
 
 def _fold(items: Column, kind: str, seed: Column) -> Column:
-    """done (all or nothing) and open (one or none) of a block, after one pass of pairs."""
-    none, empty = F.lit(None).cast(kind), F.array().cast(f"array<{kind}>")
+    """done (all or nothing) and open (one or none) of a block whose documents come from the largest down.
+
+    The words of those to come are a * y + b * z of what they began with (y) and their sizes (z): moves to or from all of them change
+    a and b alone.
+    """
+    none, empty, zero = F.lit(None).cast(kind), F.array().cast(f"array<{kind}>"), F.lit(0.0)
+    total = lambda name: F.aggregate(items, zero, lambda t, x: t + x[name])
 
     def step(s: Column, x: Column) -> Column:
-        def moved(y: Column) -> Column:
-            a, b = _with(s["open"], y["a"]), _with(x, y["b"])
-            done_a, done_b = (y["a"] <= 0) | (y["a"] >= s["open"]["z"]), (y["b"] <= 0) | (y["b"] >= x["z"])
-            still = F.when(done_a & done_b, none).when(done_a, b).otherwise(a)
-            over = F.when(done_a & done_b, F.array(a, b)).when(done_a, F.array(a)).otherwise(F.array(b))
-            return F.struct(still.alias("open"), F.concat(s["done"], over).alias("done"))
+        rest_z, rest_y = s["z"] - x["z"], s["y"] - x["y"]
+
+        def moved(v: Column) -> Column:
+            """``v``: words of the document, of the rest, and what may move up to the document and down from it."""
+            draw = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), seed, x["h"]), 11) * F.lit(2.0**-53)
+            rise = draw * (v["up"] + v["down"]) < v["down"]
+            own = F.when(rise, F.when(v["up"] >= x["z"] - v["own"], x["z"]).otherwise(v["own"] + v["up"])).otherwise(F.when(v["down"] >= v["own"], zero).otherwise(v["own"] - v["down"]))
+            left = F.when(rise, F.when(v["rest"] > v["up"], 1 - v["up"] / v["rest"]).otherwise(zero)).otherwise(F.when(rest_z - v["rest"] > v["down"], 1 - v["down"] / (rest_z - v["rest"])).otherwise(zero))
+
+            def kept(k: Column) -> Column:
+                whole = (k["own"] <= 0) | (k["own"] >= x["z"])
+                return F.struct(
+                    (s["a"] * k["left"]).alias("a"), (s["b"] * k["left"] + F.when(rise, zero).otherwise(1 - k["left"])).alias("b"), rest_y.alias("y"), rest_z.alias("z"),
+                    F.when(whole, s["open"]).otherwise(_settled(x, k["own"])).alias("open"), F.when(whole, F.concat(s["done"], F.array(_settled(x, k["own"])))).otherwise(s["done"]).alias("done"),
+                )
+
+            return let(F.struct(own.alias("own"), left.alias("left")), kept)
+
+        def met(v: Column) -> Column:
+            whole = (v["own"] <= 0) | (v["own"] >= x["z"])
+            same = [s["a"].alias("a"), s["b"].alias("b"), rest_y.alias("y"), rest_z.alias("z")]
+            done = F.struct(*same, s["open"].alias("open"), F.concat(s["done"], F.array(_settled(x, v["own"]))).alias("done"))
+            last = F.struct(*same, _settled(x, v["own"]).alias("open"), s["done"].alias("done"))
+            room = F.struct(v["own"].alias("own"), v["rest"].alias("rest"), F.least(x["z"] - v["own"], v["rest"]).alias("up"), F.least(v["own"], rest_z - v["rest"]).alias("down"))
+            return F.when(whole, done).when(rest_z <= 0, last).otherwise(let(room, moved))
 
-        return F.when(s["open"].isNull(), F.struct(x.alias("open"), s["done"].alias("done"))).otherwise(let(_pair(s["open"], x, seed), moved))
+        within = lambda value, most: F.greatest(zero, F.least(value, most))
+        own, rest = within(s["a"] * x["y"] + s["b"] * x["z"], x["z"]), within(s["a"] * rest_y + s["b"] * rest_z, rest_z)
+        return let(F.struct(own.alias("own"), rest.alias("rest")), met)
 
-    return F.aggregate(items, F.struct(none.alias("open"), empty.alias("done")), step)
+    begin = F.struct(F.lit(1.0).alias("a"), zero.alias("b"), total("y").alias("y"), total("z").alias("z"), none.alias("open"), empty.alias("done"))
+    return F.aggregate(items, begin, step)
 
 
-def _nearest(items: Column, kind: str) -> Column:
+def _nearest(items: Column, kind: str, level: int) -> Column:
     """The fold, of ``TRIES`` seeds, whose open document is nearest to all or nothing."""
 
     def tried(k: Column) -> Column:
         def rated(f: Column) -> Column:
             miss = F.coalesce(F.least(f["open"]["y"], f["open"]["z"] - f["open"]["y"]), F.lit(0.0))
-            return F.struct(miss.alias("miss"), k.alias("k"), f.alias("f"))
+            return F.struct(miss.alias("miss"), k.alias("k"), f["open"].alias("open"), f["done"].alias("done"))
 
         return let(_fold(items, kind, k), rated)
 
-    return F.array_min(F.transform(F.sequence(F.lit(0), F.lit(TRIES - 1)), tried))["f"]
+    return F.array_min(F.transform(F.sequence(F.lit(TRIES * level), F.lit(TRIES * level + TRIES - 1)), tried))
 
 
-def _rounded(rows: DataFrame, most: int, id_kind: str) -> DataFrame:
+def _rounded(rows: DataFrame, id_kind: str) -> DataFrame:
     """source, doc_id, copy, size, extra (0 or 1) for rows of source, doc_id, copy, size, share (over 0, under 1) and n."""
     kind = f"struct<z:double,h:bigint,doc_id:{id_kind},copy:int,y:double>"
     blocks = F.ceil(F.col("n") / BLOCK)
     key = F.xxhash64(F.lit(SEED), "doc_id", "copy", "source", "size")
     live = rows.select("source", "n", F.struct(F.col("size").cast("double").alias("z"), key.alias("h"), "doc_id", "copy", (F.col("share") * F.col("size")).alias("y")).alias("x"), F.pmod(key, blocks).alias("block"))
-    out = None
+    out, turn = None, 0
     while True:
         last = F.col("n") <= BLOCK  # the source has one block left, whatever the others have
+        many = F.ceil(F.col("n") / BLOCK)
+        back = F.ceil(F.lit(BLOCK // 2) / many).cast("int")  # documents that each block keeps back, one at least
         order = F.sort_array(F.collect_list(F.struct((-F.col("x.z")).alias("o"), F.col("x.h").alias("h"), F.col("x.copy").alias("c"), "x")))
         items = live.groupBy("source", "n", "block").agg(F.transform(order, lambda t: t["x"]).alias("items"))
-        folded = items.select("source", "n", "block", F.when(last, _nearest(F.col("items"), kind)).otherwise(_fold(F.col("items"), kind, F.lit(0))).alias("f"))
-        whole = F.transform(F.col("f.done"), lambda x: F.struct(x.alias("x"), F.lit(True).alias("done")))
-        still = F.when(F.col("f.open").isNull(), F.array().cast(f"array<struct<x:{kind},done:boolean>>")).otherwise(F.array(F.struct(F.col("f.open").alias("x"), last.alias("done"))))
-        level = save(folded.select("source", "n", "block", F.explode(F.concat(whole, still)).alias("e")).select("source", "n", "block", "e.x", "e.done"), "mix-level")
+        first = F.greatest(F.size("items") - back, F.lit(0))
+        once = _fold(F.slice("items", F.lit(1), first), kind, F.lit(TRIES * turn))
+        kept = F.when(last, F.array().cast(f"array<{kind}>")).otherwise(F.slice("items", first + 1, back))
+        folded = items.select("source", "n", "block", kept.alias("kept"), F.when(last, _nearest(F.col("items"), kind, turn)["open"]).otherwise(once["open"]).alias("open"), F.when(last, _nearest(F.col("items"), kind, turn)["done"]).otherwise(once["done"]).alias("done"))
+        whole = F.transform(F.col("done"), lambda x: F.struct(x.alias("x"), F.lit(True).alias("done")))
+        still = F.when(F.col("open").isNull(), F.array().cast(f"array<struct<x:{kind},done:boolean>>")).otherwise(F.array(F.struct(F.col("open").alias("x"), last.alias("done"))))
+        small = F.transform("kept", lambda x: F.struct(x.alias("x"), F.lit(False).alias("done")))
+        level = save(folded.select("source", "n", "block", F.explode(F.concat(whole, still, small)).alias("e")).select("source", "n", "block", "e.x", "e.done"), "mix-level")
         done = level.where("done").select("source", "x.doc_id", "x.copy", F.col("x.z").cast("long").alias("size"), (2 * F.col("x.y") >= F.col("x.z")).cast("int").alias("extra"))
         out = done if out is None else out.union(done)
-        if most <= BLOCK:
+        live = level.where("not done")
+        if live.isEmpty():
             return out
-        most = math.ceil(most / BLOCK)
-        live = level.where("not done").select("source", F.ceil(F.col("n") / BLOCK).alias("n"), "x", F.pmod("block", F.ceil(F.ceil(F.col("n") / BLOCK) / BLOCK)).alias("block"))
+        live, turn = live.select("source", (many * (1 + back)).alias("n"), "x", F.pmod("block", F.ceil(many * (1 + back) / BLOCK)).alias("block")), turn + 1
 
 
 def choices(sized: DataFrame) -> DataFrame:
@@ -133,8 +158,7 @@ def choices(sized: DataFrame) -> DataFrame:
     held = rows.alias("a").join(counted_broadcast(targets).alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.*", "source_size", "target", "n", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("each"))
     held = held.withColumn("whole", F.floor("each").cast("int")).withColumn("share", F.col("each") - F.col("whole"))
     open_rows = (F.col("share") > 0) & (F.col("size") > 0)
-    most = targets.agg(F.max("n")).first()[0] or 1
-    extra = _rounded(held.where(open_rows), most, id_kind)
+    extra = _rounded(held.where(open_rows), id_kind)
     settled = held.where(~open_rows).select("doc_id", "copy", "source", "size", F.lit(0).alias("extra"))
     drawn = extra.select("doc_id", "copy", "source", "size", "extra").union(settled)
     named = drawn.alias("a").join(counted_broadcast(targets).alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")))
