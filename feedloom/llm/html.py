@@ -21,6 +21,7 @@ each come back; ties in the order are broken by page_id; only page_id, url and h
 
 from __future__ import annotations
 
+import bz2
 import html
 import pickle
 import re
@@ -238,7 +239,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if any(p == MAIN for p, _ in lines):  # the article is all of the text
                     lines = [(DROPPED if p == LOOSE else p, t) for p, t in lines]
                 hashes = [zlib.crc32(t.encode()) << 20 ^ zlib.adler32(t.encode()) for _, t in lines]
-                kept = zlib.compress("\n".join(t for p, t in lines if p != DROPPED).encode(), 3)
+                kept = bz2.compress("\n".join(t for p, t in lines if p != DROPPED).encode())
                 rows.append((*_place(url), hashes, [p for p, _ in lines], [t.count(" ") + 1 for _, t in lines], kept))
             columns = list(zip(*rows, strict=True)) or [[]] * 6
             kinds = (pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int8()), pa.list_(pa.int32()), pa.binary())
@@ -329,7 +330,7 @@ def _around(edges: list[tuple[int, list]]) -> dict[int, tuple[dict | None, dict
 
 
 def _text(row: dict, gone: set[int] | None) -> str:
-    lines = zlib.decompress(row["kept"]).decode().split("\n") if row["kept"] else []
+    lines = bz2.decompress(row["kept"]).decode().split("\n") if row["kept"] else []
     lines = [x for x in lines if x]
     if gone:
         order = [i for i, p in enumerate(row["places"]) if p != DROPPED]
