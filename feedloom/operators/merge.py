@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.operators.dedup import IDENTIFIERS, first_wins, merge_counters, registered
-from feedloom.operators.validate import json_faults, xml_faults
+from feedloom.operators.validate import json_faults, validate, xml_faults
 from feedloom.plans.tables import written
 from feedloom.sources import feeds, sinks
 
@@ -17,8 +17,11 @@ from feedloom.sources import feeds, sinks
 def well_formed(spark: SparkSession, path: str) -> bool:
     """Whether the parts of a written feed make up one document that parses. Records are checked in parallel, the frame apart.
 
-    A record that parses alone cannot break the others, so only the opening and the closing are read together.
+    A record that parses alone cannot break the others, so only the opening and the closing are read together. A feed in one file is
+    validated as a file.
     """
+    if feeds.files_of(spark, path) and not feeds.files_of(spark, f"{path}/1-records"):
+        return validate(spark, path).isEmpty()
     rows = spark.read.text(f"{path}/1-records", wholetext=True).select("value")
     frame = ["".join(r["value"] for r in spark.read.text(f"{path}/{d}", wholetext=True).collect()) for d in ("0-open", "2-close")]
     as_json = frame[0].lstrip()[:1] == "["
@@ -35,11 +38,11 @@ def well_formed(spark: SparkSession, path: str) -> bool:
     return not faults and not (json_faults(whole) if as_json else xml_faults(whole))
 
 
-def merge(spark: SparkSession, sources: list[dict], out: str, root: str = "source", names: tuple[str, ...] = IDENTIFIERS, state: str | None = None) -> dict:
+def merge(spark: SparkSession, sources: list[dict], out: str, root: str = "source", names: tuple[str, ...] = IDENTIFIERS, state: str | None = None, as_file: bool = False) -> dict:
     """Merge file sources in order into the feed ``out`` (JSON by its suffix, else XML) and return the run's figures.
 
     A source that stands for no file has failed and the others go on; so has one with a fault, of which records before it count. ``state`` is a table of identifiers of earlier runs,
-    to which this run's are added. The figures: feeds (all, good, failed, each one's counts), jobs parsed and written,
+    to which this run's are added. With ``as_file`` the feed is one file, else parts in a folder. The figures: feeds (all, good, failed, each one's counts), jobs parsed and written,
     duplicates, whether the written feed is well-formed, seconds, jobs a second.
     """
     began = time.monotonic()
@@ -53,7 +56,7 @@ def merge(spark: SparkSession, sources: list[dict], out: str, root: str = "sourc
     if state and feeds.files_of(spark, state):
         known = written(spark.read.parquet(state), "merge-known")
     kept = written(first_wins(records, names, known), "merge-kept")
-    sinks.writer_for(out)(kept, out, *([] if out.lower().endswith(".json") else [root]))
+    sinks.writer_for(out)(kept, out, *([] if out.lower().endswith(".json") else [root]), as_file=as_file)
     if state:
         registered(kept, names).write.mode("append").parquet(state)
     counts = {r["source_idx"]: r for r in merge_counters(records, kept).collect()}

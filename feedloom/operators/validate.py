@@ -103,7 +103,8 @@ def _context(data: bytes, breaks: list[int], at: int, offset: int, context: int)
         start = max(0, offset - _AROUND)
         return _around(data[start : start + 2 * _AROUND])
     out = []
-    for k in range(max(0, at - 1 - context), min(len(breaks) + 1, at + context)):
+    many = len(breaks) + (not data.endswith(b"\n"))
+    for k in range(max(0, at - 1 - context), min(many, at + context)):
         begin, end = breaks[k - 1] + 1 if k else 0, breaks[k] if k < len(breaks) else len(data)
         out.append({"line_number": k + 1, "text": data[begin:end].decode("utf-8", "replace").rstrip("\r"), "is_error_line": k + 1 == at})
     return out
@@ -167,7 +168,7 @@ def _json_files(spark: SparkSession, files: list[str], heads: list[bytes], conte
                     rows += [(doc, 0, start.number, part)] if part else []
                     continue
                 at, number = 0, start.place.line
-                while at <= len(data) and number <= line + context:
+                while at <= len(data) - start.last and number <= line + context:  # nothing comes after the last line break
                     stop = data.find(b"\n", at)
                     stop = len(data) if stop < 0 else stop
                     if number >= line - context:

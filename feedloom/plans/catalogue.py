@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from feedloom.functions.compat import strip
 from feedloom.operators import convert, dedup, predicates, stats, template, validate
 from feedloom.operators.convert import difference
 from feedloom.operators.predicates import select
+from feedloom.plans.tables import shared_dir
 from feedloom.sources import feeds, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -403,6 +405,69 @@ def html_title(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
 
 
+def _feed(spark: SparkSession, name: str) -> str:
+    """A new name for a feed in the shared folder."""
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}-{name}"
+
+
+@_query(
+    "json_feed_records",
+    """SELECT 0 AS source_idx, row_number() OVER (ORDER BY o_orderkey) - 1 AS rec_idx, o_orderkey::VARCHAR AS id, concat('a,"', o_orderstatus, '" [', o_custkey, ']') AS title, o_orderdate::DATE::VARCHAR AS day FROM orders""",
+)
+def json_feed_records(spark, sf_dir):
+    """Orders as one JSON file, read back in chunks."""
+    path, order = _feed(spark, "orders.json"), F.col("o_orderkey")
+    title = F.concat(F.lit('a,"'), "o_orderstatus", F.lit('" ['), "o_custkey", F.lit("]"))
+    rows = _table(spark, sf_dir, "orders").orderBy(order).select(order.alias("id"), title.alias("title"), F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).alias("on"))
+    sinks.export(rows, path, "json", as_file=True)
+    field = lambda name: F.try_element_at("fields", F.lit(name))
+    return feeds.scan_jobs(spark, [path]).select("source_idx", "rec_idx", field("id").alias("id"), field("title").alias("title"), field("on_day").alias("day"))
+
+
+@_query(
+    "xml_feed_records",
+    "SELECT 0 AS source_idx, row_number() OVER (ORDER BY p_partkey) - 1 AS rec_idx, p_partkey::VARCHAR AS id, concat(p_name, ' > & ', p_brand) AS title, concat('<job>', p_size, ' ]]') AS note FROM part",
+)
+def xml_feed_records(spark, sf_dir):
+    """Parts as one XML file with comments, CDATA and attributes that hold >, read back in chunks."""
+    path = _feed(spark, "parts.xml")
+    note = F.concat(F.lit("<![CDATA[<job>"), "p_size", F.lit(" ]]]]><![CDATA[]]>"))
+    raw = F.concat(F.lit("<job a='>'><!-- </job> --><id>"), "p_partkey", F.lit("</id><t>"), T.xml_escape(F.concat("p_name", F.lit(" > & "), "p_brand")), F.lit("</t><n>"), note, F.lit("</n></job>"))
+    sinks.merged_xml(_table(spark, sf_dir, "part").select(F.lit(0).alias("source_idx"), F.col("p_partkey").alias("rec_idx"), raw.alias("raw")), path, as_file=True)
+    field = lambda name: F.try_element_at("fields", F.lit(name))
+    return feeds.scan_jobs(spark, [path]).select("source_idx", "rec_idx", field("id").alias("id"), field("t").alias("title"), field("n").alias("note"))
+
+
+@_query("xml_records_at_path", "SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS rec_idx, c_custkey::VARCHAR AS key, c_name AS name, c_mktsegment AS segment FROM customer")
+def xml_records_at_path(spark, sf_dir):
+    """Customers below another element, found by the end of their path, with leaves by path and attributes."""
+    path = _feed(spark, "customers.xml")
+    raw = F.concat(F.lit("<c><cust key='"), "c_custkey", F.lit("'><n><a>"), T.xml_escape(F.col("c_name")), F.lit("</a></n><s>"), "c_mktsegment", F.lit("</s></cust></c><other><cust2/></other>"))
+    sinks.merged_xml(_table(spark, sf_dir, "customer").select(F.lit(0).alias("source_idx"), F.col("c_custkey").alias("rec_idx"), raw.alias("raw")), path, "all", as_file=True)
+    field = lambda name: F.try_element_at("fields", F.lit(name))
+    return feeds.read_records(spark, path, "//c/cust").select("rec_idx", field("@key").alias("key"), field("n/a").alias("name"), field("s").alias("segment"))
+
+
+@_query("json_table_at_path", 'SELECT s_suppkey::VARCHAR AS id, s_name AS name, s_nationkey::VARCHAR AS "at/nation", CASE WHEN s_acctbal < 0 THEN floor(s_acctbal)::BIGINT::VARCHAR END AS owed FROM supplier')
+def json_table_at_path(spark, sf_dir):
+    """Suppliers below two names of a JSON file, as a flat table with the columns of all of them."""
+    path = _feed(spark, "suppliers.json")
+    owed = F.when(F.col("s_acctbal") < 0, F.floor("s_acctbal"))
+    rows = _table(spark, sf_dir, "supplier").select(F.to_json(F.struct(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.struct(F.col("s_nationkey").alias("nation")).alias("at"), owed.alias("owed"))).alias("value"))
+    sinks.one_file(['{"count, all": [1, {"x": "]"}], "now": {"list": [', rows.withColumn("value", F.concat("value", F.lit(","))), '{"owed": null}]}}'], path)
+    return feeds.flatten(feeds.read_json(spark, path, "now.list.item")).where("id is not null").select("id", "name", "`at/nation`", "owed")
+
+
+@_query("json_file_faults", """SELECT 1 AS error_number, count(*) + 3 AS line, 19 AS "column", concat('Duplicate object key ', chr(39), 'b', chr(39)) AS message, 'Invalid Attribute' AS category, 'Fatal' AS severity, 4 AS context FROM events""")
+def json_file_faults(spark, sf_dir):
+    """Events as one file with a key that is repeated in its last line."""
+    path = _feed(spark, "events.json")
+    rows = _table(spark, sf_dir, "events").orderBy("event_id").select(F.concat("props", F.lit(",")).alias("value"))
+    sinks.one_file(['{"a": [', rows, "0],", ' "b": 1, "c": {}, "b": 2}'], path)
+    found = validate.validate(spark, path, 3)
+    return found.select("error_number", F.col("line").cast("long").alias("line"), "column", "message", "category", "severity", F.size("context_lines").alias("context"))
+
+
 @_query("merge_union", "SELECT r_name AS name, 0 AS source_idx FROM region UNION ALL SELECT n_name, 1 FROM nation")
 def merge_union(spark, sf_dir):
     return dedup.ordered_union([_table(spark, sf_dir, "region").select(F.col("r_name").alias("name")), _table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"))]).select("name", "source_idx")

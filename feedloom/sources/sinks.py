@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import html
 import json
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -29,29 +31,66 @@ def _text(df: DataFrame) -> DataFrame:
     return df.select(*[F.to_json(F.col(f"`{f.name}`")).alias(f.name) if f.dataType.typeName() in ("array", "struct", "map") else F.col(f"`{f.name}`") for f in df.schema])
 
 
-def _framed(before: str, lines: DataFrame, after: str, path: str) -> None:
-    """Text parts that make up one document in name order: an opening, the lines (value), a closing."""
+def one_file(parts: list[DataFrame | str], path: str) -> None:
+    """Texts and the rows (value) of DataFrames, one after another and each on lines of its own, as the one file ``path``.
+
+    All work before is distributed; one task sorts the rows by their numbers, on disk where they are many, and writes them one by one under
+    another name. The file appears under its own when it is whole: after a failure there is none. An existing file is an error.
+    """
+    spark = next(p for p in parts if isinstance(p, DataFrame)).sparkSession
+    frames = [(spark.createDataFrame([(p,)], "value string") if isinstance(p, str) else p.select("value")).select(F.lit(i).alias("i"), F.monotonically_increasing_id().alias("n"), "value") for i, p in enumerate(parts)]
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    where, staged = hadoop.Path(path), hadoop.Path(f"{path}.{uuid.uuid4().hex}.part")
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(where):
+        raise FileExistsError(path)
+    try:
+        reduce(DataFrame.union, frames).repartition(1).sortWithinPartitions("i", "n").select("value").write.text(staged.toString())
+        part = next(s.getPath() for s in fs.listStatus(staged) if s.getPath().getName().startswith("part-"))
+        if not fs.rename(part, where):
+            raise OSError(f"cannot name {path}")
+    finally:
+        fs.delete(staged, True)
+
+
+def _framed(before: str, lines: DataFrame, after: str, path: str, as_file: bool = False) -> None:
+    """Text parts that make up one document in name order: an opening, the lines (value), a closing; or all in one file."""
+    if as_file:
+        one_file([before, lines, after], path)
+        return
     frame = lambda text: lines.sparkSession.createDataFrame([(text,)], "value string")
     frame(before).write.text(f"{path}/0-open")
     lines.write.text(f"{path}/1-records")
     frame(after).write.text(f"{path}/2-close")
 
 
-def json_array(values: DataFrame, path: str) -> None:
-    """The JSON texts (value) as items of one array, in the order of the rows, as parts that make it up in name order."""
+def json_array(values: DataFrame, path: str, as_file: bool = False) -> None:
+    """The JSON texts (value) as items of one array, in the order of the rows, as parts that make it up in name order or one file."""
     held = written(values.select("value", F.monotonically_increasing_id().alias("n")), "json-array")
     first = held.agg(F.min("n")).first()[0]
     lines = held.orderBy("n").select(F.concat(F.when(F.col("n") == F.lit(first), "").otherwise(","), "value").alias("value"))
-    _framed("[", lines, "]", path)
+    _framed("[", lines, "]", path, as_file)
 
 
-def export(df: DataFrame, path: str, fmt: str) -> None:
-    """All rows as csv (UTF-8 with a byte order mark in each part), json (one array), json-lines or parquet."""
-    if fmt == "csv":
+def export(df: DataFrame, path: str, fmt: str, as_file: bool = False) -> None:
+    """All rows as csv (UTF-8 with a byte order mark in each part), json (one array), json-lines or parquet.
+
+    csv and json can be one file, which has one byte order mark and header, or is one document.
+    """
+    if as_file and fmt not in ("csv", "json"):
+        raise ValueError(f"no single file as {fmt!r}")
+    if fmt == "csv" and as_file:
+        flat = _text(df)
+        quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+        cell = lambda c: F.coalesce(F.when(c.rlike('[,"\\r\\n]|^$|^\\s|\\s$'), quoted(c)).otherwise(c), F.lit(""))
+        line = F.concat_ws(",", *[cell(F.col(f"`{c}`").cast("string")) for c in flat.columns])
+        head = "\ufeff" + ",".join('"' + c.replace('"', '""') + '"' if any(x in c for x in ',"\r\n') else c for c in flat.columns)
+        one_file([head, flat.select(line.alias("value"))], path)
+    elif fmt == "csv":
         flat = _text(df)
         flat.toDF(*["\ufeff" * (i == 0) + c for i, c in enumerate(flat.columns)]).write.option("header", True).option("escape", '"').csv(path)
     elif fmt == "json":
-        json_array(df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("value")), path)
+        json_array(df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("value")), path, as_file)
     elif fmt == "json-lines":
         df.write.option("ignoreNullFields", False).json(path)
     elif fmt == "parquet":
@@ -80,9 +119,9 @@ def export_analysis(df: DataFrame, paths: list[str], what: str, fmt: str, out: s
         raise ValueError(f"no export of {what!r} as {fmt!r}")
 
 
-def merged_xml(records: DataFrame, path: str, root: str = "source") -> None:
-    """The raw records in order, as they are, as text parts between an opening and a closing part."""
-    _framed(f'<?xml version="1.0" encoding="utf-8"?>\n<{root}>', records.orderBy("source_idx", "rec_idx").select(F.col("raw").alias("value")), f"</{root}>", path)
+def merged_xml(records: DataFrame, path: str, root: str = "source", as_file: bool = False) -> None:
+    """The raw records in order, as they are, as text parts between an opening and a closing part, or in one file."""
+    _framed(f'<?xml version="1.0" encoding="utf-8"?>\n<{root}>', records.orderBy("source_idx", "rec_idx").select(F.col("raw").alias("value")), f"</{root}>", path, as_file)
 
 
 @F.pandas_udf(StringType())
@@ -97,9 +136,9 @@ def direct_children(raw: pd.Series) -> pd.Series:
     return raw.map(one)
 
 
-def merged_json(records: DataFrame, path: str) -> None:
+def merged_json(records: DataFrame, path: str, as_file: bool = False) -> None:
     """The direct children of each record as an object of one JSON array."""
-    json_array(records.orderBy("source_idx", "rec_idx").select(direct_children("raw").alias("value")), path)
+    json_array(records.orderBy("source_idx", "rec_idx").select(direct_children("raw").alias("value")), path, as_file)
 
 
 def writer_for(name: str):
