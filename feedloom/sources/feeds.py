@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedloom.plans.tables import shared_dir
+from feedloom.plans.tables import shared_dir, written
 from feedloom.sources import json_scan, scan, xml_scan
 
 #: Element names of records, in lower case.
@@ -135,20 +135,24 @@ def read_xml(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
     return spark.read.format("xml").options(**options).load(path)
 
 
-def json_values(spark: SparkSession, path: str, record_path: str = "item") -> DataFrame:
-    """file, rec_idx, raw of the values at a path such as ``positions.item``, up to the first fault of each file.
-
-    A path that ends at a list stands for its items, and ``item`` for a document that is one object as well.
-    """
+def _json_rule(record_path: str) -> json_scan.Rule:
     at, items = json_scan.at_path(record_path), json_scan.at_path(f"{record_path}.item")
 
     def rule(levels: list, name: str | None, kind: str) -> bool:
         return (at(levels, name, kind) and (kind != "[" or record_path.endswith("item"))) or items(levels, name, kind) or (record_path == "item" and not levels and kind == "{")
 
+    return rule
+
+
+def json_values(spark: SparkSession, path: str, record_path: str = "item") -> DataFrame:
+    """file, rec_idx, raw of the values at a path such as ``positions.item``, up to the first fault of each file.
+
+    A path that ends at a list stands for its items, and ``item`` for a document that is one object as well.
+    """
     files = files_of(spark, path)
     if not files:
         raise FileNotFoundError(path)
-    found, _ = scan.records_of(spark, files, [_first_bytes(spark, f) for f in files], "json", rule, _one_line)
+    found, _ = scan.records_of(spark, files, [_first_bytes(spark, f) for f in files], "json", _json_rule(record_path), _one_line)
     return found.join(F.broadcast(spark.createDataFrame(list(enumerate(files)), "doc int, file string")), "doc").select("file", "rec_idx", "raw")
 
 
@@ -386,23 +390,48 @@ def records_preview(records: DataFrame, limit: int = 100) -> tuple[list[str], Da
     return names, records.orderBy("rec_idx").limit(limit).select(*[F.try_element_at("fields", F.lit(n)).alias(f"col_{i}") for i, n in enumerate(names)])
 
 
+def read_wide(spark: SparkSession, out: str) -> DataFrame:
+    """A wide table with the columns of all feeds that were added to it; null where a feed did not have one."""
+    return spark.read.option("mergeSchema", True).parquet(out)
+
+
 def wide_table(spark: SparkSession, path: str, kind: str, out: str, record: str | None = None) -> list[str]:
-    """Write a feed as a table of id, raw_content and a text column for each path under ``out``; the paths come back.
+    """Add a feed to the table of id, raw_content and a text column for each path under ``out``; the feed's paths come back.
 
-    The readers split large XML files by records; ids number the records in the order of the files' parts.
+    Each record is read and parsed once; paths are found by an aggregate over what was parsed. The table may have other feeds, whose
+    columns stay as they are, and ids go on from theirs: ``read_wide`` reads all. Ids number records in order, file by file. A path that
+    differs from an earlier one by case alone, or is id or raw_content, has a column with a trailing _.
     """
+    files = files_of(spark, path)
     if kind == "xml":
-        record = record or detect_xml_element(spark, path)
-        records = read_xml(spark, path, record)
-        raw = F.to_xml(F.struct(*[F.col(f"`{c}`") for c in records.columns]), {"rowTag": record, "attributePrefix": "@", "valueTag": "#text"})
+        rule, parse = xml_scan.named(((record or detect_xml_element(spark, path)).lower(),)), scan.xml_by_path
     elif kind == "json":
-        records = read_json(spark, path, record or detect_json_path(spark, path))
-        raw = F.to_json(F.struct(*[F.col(f"`{c}`") for c in records.columns]), {"ignoreNullFields": "false", "pretty": "true"})
+        rule, parse = _json_rule(record or detect_json_path(spark, path)), scan.json_by_path
     else:
         raise ValueError(f"no table from {kind!r}")
-    fields = _flat(records.schema, None, "", kind == "xml")
-    records.select(F.monotonically_increasing_id().alias("id"), raw.alias("raw_content"), *[c.alias(p) for p, c in fields]).write.parquet(out)
-    return [p for p, _ in fields]
+    if not files:
+        raise FileNotFoundError(path)
+    found, _ = scan.records_of(spark, files, [_first_bytes(spark, f) for f in files], kind, rule, parse)
+    held = written(found, "wide-records")
+    counts = held.groupBy("doc").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("doc").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    old = read_wide(spark, out) if files_of(spark, out) else None
+    top = old.agg(F.max("id")).first()[0] if old is not None else None
+    begin = -1 if top is None else top
+    number = (F.lit(begin + 1) + F.col("before") + F.col("rec_idx")).alias("id")
+    paths = sorted(r["k"] for r in held.select(F.explode(F.map_keys("fields")).alias("k")).distinct().collect())
+    there = old.columns if old is not None else ["id", "raw_content"]
+    columns, taken, used = [], {c.lower() for c in there}, {"id", "raw_content"}
+    for p in sorted(paths, key=lambda p: p not in there):
+        name = p
+        while name in used or (name.lower() in taken and name not in there):
+            name += "_"
+        taken.add(name.lower())
+        used.add(name)
+        columns.append(F.try_element_at("fields", F.lit(p)).alias(name))
+    placed = held.join(F.broadcast(counts.select("doc", before.alias("before"))), "doc")
+    placed.select(number, F.col("raw").alias("raw_content"), *columns).write.mode("append").parquet(out)
+    return paths
 
 
 def read_sources(spark: SparkSession, path: str) -> list[dict]:

@@ -93,6 +93,71 @@ def json_fields(raw: bytes) -> tuple[dict[str, str], str]:
     return fields, json.dumps(fields)
 
 
+def _dict_of(node: xml_scan.Node) -> Any:
+    """An element as text, or where it has attributes or children as a dict of these, repeated ones as a list, and its text."""
+    out: dict[str, Any] = {f"@{k}": v for k, v in node.attributes.items()}
+    several: set[str] = set()
+    for child in node.children:
+        value = _dict_of(child)
+        if child.name not in out:
+            out[child.name] = value
+        elif child.name in several:
+            out[child.name].append(value)
+        else:
+            out[child.name] = [out[child.name], value]
+            several.add(child.name)
+    text = node.text[0].strip()
+    if not out:
+        return text
+    return out | {"#text": text} if text else out
+
+
+def _by_path(value: dict, prefix: str = "") -> dict[str, Any]:
+    """Leaves by path, names joined by a slash; of a list with dicts the values of each path as a list."""
+    out: dict[str, Any] = {}
+    for name, v in value.items():
+        path = f"{prefix}{name}"
+        if isinstance(v, dict):
+            out |= _by_path(v, path + "/")
+        elif isinstance(v, list) and any(isinstance(x, dict) for x in v):
+            lists: dict[str, list] = {}
+            for x in v:
+                for k, y in (_by_path(x, path + "/") if isinstance(x, dict) else {path: x}).items():
+                    lists.setdefault(k, []).append(y)
+            out |= lists
+        else:
+            out[path] = v
+    return out
+
+
+def _leaf(value: Any) -> str | None:
+    if value is None or isinstance(value, _Written):
+        return value
+    return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+
+
+class _Written(str):
+    """A number as it is written."""
+
+
+def json_by_path(raw: bytes) -> tuple[dict[str, str | None], str]:
+    """A JSON record by path, numbers as they are written, lists as JSON; a value that is no object is the field ``value``."""
+    text = raw.decode("utf-8", "replace")
+    value = json.loads(text, parse_float=_Written, parse_int=_Written)
+    fields = {k: _leaf(v) for k, v in _by_path(value if isinstance(value, dict) else {"value": value}).items()}
+    if any(v and v.startswith("[") for v in fields.values()):  # in lists numbers stay numbers
+        plain = _by_path(json.loads(text) if isinstance(value, dict) else {"value": json.loads(text)})
+        fields |= {k: _leaf(v) for k, v in plain.items() if isinstance(v, list)}
+    return fields, text
+
+
+def xml_by_path(raw: bytes) -> tuple[dict[str, str | None], str]:
+    """An XML record by path; attributes are @name, text beside them #text."""
+    root, _ = xml_scan.tree_of(raw)
+    value = _dict_of(root)
+    return {k: _leaf(v) for k, v in _by_path(value if isinstance(value, dict) else {"#text": value} if value else {}).items()}, raw.decode("utf-8", "replace")
+
+
 def parsed(values: DataFrame, parse: Callable[[bytes], tuple[dict[str, str], str]]) -> DataFrame:
     """doc, number, i, fields, raw, ok of ``values``; a value that does not parse is not ok."""
     schema = pa.schema([("doc", pa.int32()), ("number", pa.int32()), ("i", pa.int32()), ("fields", pa.map_(pa.string(), pa.string())), ("raw", pa.string()), ("ok", pa.bool_())])

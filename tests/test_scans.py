@@ -284,3 +284,19 @@ def test_validation_ends_no_task(spark):
     df = spark.createDataFrame([(str(i), "xml" if t[0] == "<" else "json", bytearray(t.encode())) for i, t in enumerate(texts)], "path string, kind string, content binary")
     found = validate.validate_contents(df).groupBy("path").agg(F.count("*").alias("n"), F.min("column").alias("c")).orderBy("path").collect()
     assert [(r["path"], r["n"], r["c"]) for r in found] == [("0", 1, 2), ("1", 1, 20_001), ("2", 1, 1), ("3", 1, 25), ("4", 3, 4)]
+
+
+def test_a_table_grows_by_feeds(spark, tmp_path):
+    """Two feeds with different paths in one table; each record is parsed once, columns come from what was parsed."""
+    (tmp_path / "a.xml").write_text("<r><job id='1'><t>A</t><loc><city>X</city></loc><tag>p</tag><tag k='v'>q</tag></job><job><t x='y'>B</t>mixed<e/></job></r>")
+    (tmp_path / "b.json").write_text('{"jobs": [{"t": "C", "n": 1.50, "ok": true, "no": null, "l": [1, "x"], "o": [{"p": 1}, {"p": [2], "q": "z"}, 3]}, {"T": "D", "loc": {"city": "Y"}}, 7]}')
+    out = str(tmp_path / "t")
+    assert feeds.wide_table(spark, str(tmp_path / "a.xml"), "xml", out, "job") == sorted(["@id", "t", "loc/city", "tag", "tag/#text", "tag/@k", "t/#text", "t/@x", "e"])
+    assert feeds.wide_table(spark, str(tmp_path / "b.json"), "json", out, "jobs.item") == sorted(["t", "n", "ok", "no", "l", "o", "o/p", "o/q", "T", "loc/city", "value"])
+    rows = {r["id"]: {k: v for k, v in r.asDict().items() if v is not None and k not in ("id", "raw_content")} for r in feeds.read_wide(spark, out).collect()}
+    assert rows == {
+        0: {"@id": "1", "t": "A", "loc/city": "X", "tag": '["p"]', "tag/#text": '["q"]', "tag/@k": '["v"]'}, 1: {"t/@x": "y", "t/#text": "B", "e": ""},
+        2: {"t": "C", "n": "1.50", "ok": "true", "l": '[1, "x"]', "o": "[3]", "o/p": "[1, [2]]", "o/q": '["z"]'}, 3: {"T_": "D", "loc/city": "Y"}, 4: {"value": "7"},
+    }
+    raw = {r["id"]: r["raw_content"] for r in feeds.read_wide(spark, out).select("id", "raw_content").collect()}
+    assert raw[1] == "<job><t x='y'>B</t>mixed<e/></job>" and raw[4] == "7" and len(raw) == 5
