@@ -330,7 +330,7 @@ def test_streaming_ingest(spark, tmp_path):
 @pytest.mark.parametrize("name", [n for n in catalogue.QUERIES if n in catalogue.ORACLES])
 def test_catalogue_equals_sql(spark, name):
     db = duckdb.connect()
-    for t in ("region", "nation", "customer", "part", "orders", "events", "documents", "pages"):
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "events", "documents", "pages"):
         db.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got = catalogue.QUERIES[name](spark, SF)
     want = db.sql(catalogue.ORACLES[name])
@@ -357,3 +357,28 @@ def test_first_wins_keeps_a_record_of_nulls(spark):
     df = spark.createDataFrame(rows, "source_idx int, rec_idx long, fields map<string,string>, raw string")
     assert {r["rec_idx"] for r in dedup.first_wins(df).collect()} == {0, 1, 3, 4}
     assert {r["rec_idx"] for r in dedup.first_wins(df.drop("raw")).collect()} == {0, 1, 3, 4}
+
+
+@pytest.mark.parametrize("size", [20_000, 80_000])
+def test_strip_takes_linear_time(spark, size):
+    text = "a" + " " * size + "b"
+    df = spark.createDataFrame([(f"　\x1f {text}  \t\x85",), (None,), (" \xa0",)], "x string").coalesce(1)
+    assert [r[0] for r in df.select(strip(F.col("x"))).collect()] == [text, None, ""]
+
+
+def test_files_written_whole(spark, tmp_path):
+    rows = spark.range(0, 2000, 1, 7).select(F.col("id"), F.concat(F.lit('q "'), "id", F.lit(", é")).alias("t, x"), F.when(F.col("id") % 3 == 0, F.lit("")).alias("e"))
+    sinks.export(rows, str(tmp_path / "a.csv"), "csv", as_file=True)
+    data = (tmp_path / "a.csv").read_bytes()
+    assert data.count(b"\xef\xbb\xbf") == 1 and data.startswith(b"\xef\xbb\xbfid,") and data.count(b"\n") == 2001
+    back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "a.csv"))
+    assert [(r[0], r[1]) for r in back.collect()] == [(str(i), f'q "{i}, é') for i in range(2000)]
+    sinks.export(rows.orderBy(F.desc("id")), str(tmp_path / "a.json"), "json", as_file=True)
+    assert [r["id"] for r in json.loads((tmp_path / "a.json").read_text())] == list(range(1999, -1, -1))
+    with pytest.raises(FileExistsError):
+        sinks.export(rows, str(tmp_path / "a.json"), "json", as_file=True)
+    with pytest.raises(Exception, match="(?i)divi"):
+        sinks.one_file(["[", rows.select((F.lit(1) / (F.col("id") - 1500)).cast("string").alias("value")), "]"], str(tmp_path / "b.json"))
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["a.csv", "a.json"]
+    errors = spark.createDataFrame([(1, "Fatal", 2, 3, "Tag Mismatch", "m")], "error_number int, severity string, line int, column int, category string, message string")
+    assert [r[0] for r in sinks.error_lines(errors).collect()] == ["1\tFatal\t2\t3\tTag Mismatch\tm"] and sinks.output_preview(spark.read.text(str(tmp_path / "a.csv")).limit(2)) and len(sinks.output_preview(spark.range(500).select(F.col("id").cast("string").alias("value")), 100)) == 100
