@@ -5,7 +5,6 @@ from __future__ import annotations
 import html
 import json
 import uuid
-from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
@@ -150,11 +149,29 @@ def _cells(values, tag: str) -> str:
     return "".join(f"<{tag}>{html.escape('' if v is None else str(v))}</{tag}>" for v in values)
 
 
-def html_report(title: str, totals: dict[str, object], rows: DataFrame) -> str:
-    """A page with totals and one line for each row of a report, which has a row a field; rows come part by part."""
-    body = "".join(f"<tr>{_cells(r, 'td')}</tr>" for r in rows.toLocalIterator())
+def _html_frame(title: str, totals: dict[str, object], columns: list[str]) -> tuple[str, str]:
+    """What comes before and after the lines of a page with totals and a table."""
     head = "".join(f"<li>{html.escape(k)}: {html.escape(str(v))}</li>" for k, v in totals.items())
-    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1><ul>{head}</ul><table><tr>{_cells(rows.columns, 'th')}</tr>{body}</table></body></html>"
+    before = f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1><ul>{head}</ul><table><tr>{_cells(columns, 'th')}</tr>"
+    return before, "</table></body></html>"
+
+
+def html_lines(rows: DataFrame) -> DataFrame:
+    """A line (value) of a table for each row, in their order."""
+
+    def cell(name: str) -> Column:
+        text = F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
+        for char, name_ in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+            text = F.replace(text, F.lit(char), F.lit(name_))
+        return F.concat(F.lit("<td>"), text, F.lit("</td>"))
+
+    return rows.select(F.concat(F.lit("<tr>"), *[cell(c) for c in rows.columns], F.lit("</tr>")).alias("value"))
+
+
+def html_report(title: str, totals: dict[str, object], rows: DataFrame) -> str:
+    """A page with totals and one line for each row of a report that has a row a field."""
+    before, after = _html_frame(title, totals, rows.columns)
+    return before + "".join(r["value"] for r in html_lines(rows).toLocalIterator()) + after
 
 
 def error_lines(errors: DataFrame) -> DataFrame:
@@ -174,18 +191,20 @@ def sorted_errors(errors: DataFrame, by: str = "error_number", descending: bool
     return errors.orderBy(key.desc() if descending else key.asc(), "path", "error_number")
 
 
-def _error_text(info: DataFrame, errors: DataFrame) -> Iterator[str]:
+def _text_report(info: DataFrame, errors: DataFrame) -> DataFrame:
+    """The lines (value) of a report in order: files and a summary, which are few, then the errors with their context."""
     rule = "=" * 72
-    yield from (rule, "  Validation report", rule, "", "FILE INFORMATION")
+    head = [rule, "  Validation report", rule, "", "FILE INFORMATION"]
     for row in info.orderBy("path").toLocalIterator():
-        yield from (f"  {k.replace('_', ' ').capitalize():<15}: {'—' if v is None else v}" for k, v in row.asDict().items())
-        yield ""
-    yield "SUMMARY"
-    yield from (f"  {r['severity']} / {r['category']}: {r['n']}" for r in errors.groupBy("severity", "category").agg(F.count("*").alias("n")).orderBy("severity", "category").toLocalIterator())
-    yield from ("", "ERRORS")
-    for r in sorted_errors(errors, "error_number").toLocalIterator():
-        yield f"  #{r['error_number']} [{r['severity']}] {r['category']} at line {r['line']}, column {r['column']}: {r['message']}"
-        yield from (f"    {'>' if c['is_error_line'] else ' '} {c['line_number']:>6} | {c['text']}" for c in r["context_lines"] or [])
+        head += [*(f"  {k.replace('_', ' ').capitalize():<15}: {'—' if v is None else v}" for k, v in row.asDict().items()), ""]
+    head.append("SUMMARY")
+    head += [f"  {r['severity']} / {r['category']}: {r['n']}" for r in errors.groupBy("severity", "category").agg(F.count("*").alias("n")).orderBy("severity", "category").collect()]
+    head += ["", "ERRORS"]
+    first = errors.sparkSession.createDataFrame([(0, i, 0, x) for i, x in enumerate(head)], "k int, n long, i int, value string")
+    said = F.format_string("  #%d [%s] %s at line %d, column %d: %s", "error_number", "severity", "category", "line", "column", "message")
+    shown = F.transform(F.coalesce("context_lines", F.array().cast(errors.schema["context_lines"].dataType)), lambda c: F.format_string("    %s %6d | %s", F.when(c["is_error_line"], ">").otherwise(" "), c["line_number"], c["text"]))
+    lines = sorted_errors(errors).select(F.monotonically_increasing_id().alias("n"), F.posexplode(F.concat(F.array(said), shown)).alias("i", "value"))
+    return first.union(lines.select(F.lit(1).alias("k"), "n", "i", "value")).orderBy("k", "n", "i").select("value")
 
 
 def validation_report(info: DataFrame, errors: DataFrame, path: str, fmt: str) -> None:
@@ -200,9 +219,10 @@ def validation_report(info: DataFrame, errors: DataFrame, path: str, fmt: str) -
     elif fmt == "html":
         totals = {r["severity"]: r["n"] for r in errors.groupBy("severity").agg(F.count("*").alias("n")).collect()}
         totals = {"Files": info.count(), "Errors": sum(totals.values())} | totals
-        _framed(html_report("Validation report", totals, listed), errors.sparkSession.createDataFrame([], "value string"), "", path)
+        before, after = _html_frame("Validation report", totals, listed.columns)
+        _framed(before, html_lines(listed), after, path)
     elif fmt == "txt":
-        errors.sparkSession.createDataFrame([("\n".join(_error_text(info, errors)),)], "value string").coalesce(1).write.text(path)
+        _text_report(info, errors).write.text(path)
     else:
         raise ValueError(f"no report as {fmt!r}")
 
