@@ -265,7 +265,7 @@ def file_info(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     out = heads.withColumn("path", bare(F.col("path"))).join(listed, "path", "left").join(counted, "path", "left")
     ends = F.col("bytes") > F.col("length")  # the last line has no line break
     return out.select(
-        "path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.coalesce("length", F.lit(0)).cast("long").alias("file_size"), encoding(F.col("start")).alias("encoding"),
+        "path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.coalesce("length", F.lit(0)).cast("long").alias("file_size"), encoding(F.col("start"), guess=True).alias("encoding"),
         F.when(version == "", "1.0").otherwise(version).alias("xml_version"), F.regexp_extract(root, "([^:]*)$", 1).alias("root_element"), F.regexp_count(declared, F.lit(r"\sxmlns(:[\w.-]+)?\s*=")).cast("int").alias("namespace_count"),
         F.greatest(F.coalesce(F.col("rows") - F.when(ends, 1).otherwise(0), F.lit(0)), F.lit(1)).cast("long").alias("line_count"), F.col("modificationTime").alias("last_modified"),
     )

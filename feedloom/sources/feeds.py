@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from feedloom.plans.tables import shared_dir, written
 from feedloom.sources import json_scan, scan, xml_scan
+from feedloom.sources.encodings import SAMPLE, guessed_encoding
 
 #: Element names of records, in lower case.
 RECORD_NAMES = ("job", "position", "item", "entry", "opening", "vacancy")
@@ -305,12 +306,13 @@ def json_by_name_or_start(path: str, start: bytes) -> bool:
     return not re.search(r"(?i)\.(xml|xsd|xsl|xslt|svg|xhtml)$", path) and _is_json(start)
 
 
-def encoding(content: Column) -> Column:
-    """Encoding by byte order mark, then by the XML declaration, else utf-8."""
+def encoding(content: Column, guess: bool = False) -> Column:
+    """Encoding by byte order mark, then by the XML declaration, then with ``guess`` by what the first bytes look like, else utf-8."""
     mark = F.hex(F.substring(content, 1, 4))
     said = F.lower(F.regexp_extract(F.decode(F.substring(content, 1, 256), "ISO-8859-1"), r"""encoding\s*=\s*["']([A-Za-z0-9._-]+)["']""", 1))
     marks = F.when(mark.isin("0000FEFF"), "utf-32-be").when(mark == "FFFE0000", "utf-32-le").when(mark.startswith("EFBBBF"), "utf-8-sig").when(mark.startswith("FFFE"), "utf-16-le").when(mark.startswith("FEFF"), "utf-16-be")
-    return F.coalesce(marks, F.nullif(said, F.lit("")), F.lit("utf-8"))
+    told = F.coalesce(marks, F.nullif(said, F.lit("")))
+    return F.coalesce(told, guessed_encoding(F.when(told.isNull(), F.substring(content, 1, SAMPLE))) if guess else F.lit(None), F.lit("utf-8"))
 
 
 def staged_name(kind: Column, key: Column, suffix: str = "") -> Column:

@@ -300,3 +300,16 @@ def test_a_table_grows_by_feeds(spark, tmp_path):
     }
     raw = {r["id"]: r["raw_content"] for r in feeds.read_wide(spark, out).select("id", "raw_content").collect()}
     assert raw[1] == "<job><t x='y'>B</t>mixed<e/></job>" and raw[4] == "7" and len(raw) == 5
+
+
+def test_encodings_are_told_apart(spark):
+    texts = {
+        "cp1252": "Développeur d’études à Genève, où l’été fût très agréable: coûts élevés, ça va", "cp1251": "Инженер по качеству в Москве, опыт работы от трёх лет, «гибкий график»", "koi8_r": "Инженер по качеству в Москве, опыт работы от трёх лет и гибкий график",
+        "cp1250": "Inżynier w Łodzi, źródło energii, świetne miejsce pracy, ćwiczenia", "shift_jis": "東京でソフトウェア開発者を募集しています。経験者歓迎です", "euc_jp": "東京でソフトウェア開発者を募集しています。経験者歓迎です", "gb18030": "我们正在北京招聘软件工程师，欢迎有经验的人员申请",
+        "big5": "我們正在臺北招聘軟體工程師，歡迎有經驗的人員申請", "euc_kr": "서울에서 소프트웨어 개발자를 모집합니다", "cp1253": "Μηχανικός λογισμικού στην Αθήνα με εμπειρία", "cp1255": "מהנדס תוכנה בתל אביב עם ניסיון", "cp1256": "مهندس برمجيات في القاهرة مع خبرة",
+        "utf-8": "Développeur", "utf-16-le": "é", "utf-16-be": "é", "utf-32-le": "é", "utf-32-be": "é",
+    }
+    rows = [(k, bytearray(f"<job><title>{v}</title><t>engineer</t></job>".encode(k))) for k, v in texts.items()]
+    rows += [("null", None), ("utf-8", bytearray(b"")), ("utf-8", bytearray("é".encode() * 40_000)), ("utf-8-sig", bytearray(b"\xef\xbb\xbf\xff")), ("x-own", bytearray(b"<?xml version='1.0' encoding='x-own'?>"))]
+    found = spark.createDataFrame(rows, "name string, content binary").coalesce(1).select("name", feeds.encoding(F.col("content"), guess=True).alias("e")).collect()
+    assert [(r["name"], r["e"]) for r in found] == [(k, "utf-8" if c is None else k) for k, c in rows]
