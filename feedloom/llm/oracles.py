@@ -97,6 +97,8 @@ l AS (SELECT source, s, w, max((every - before)::DOUBLE / rest) OVER () AS level
 SELECT doc_id, size, s AS source_size, least((3 * s)::DOUBLE, level * w) AS target, true AS whole_copies, true AS within FROM d JOIN l ON d.source IS NOT DISTINCT FROM l.source
 """
 
+MIX_TOTALS = f"SELECT DISTINCT source, source_size, target, true AS near FROM ({MIX_BOUNDS}) JOIN documents USING (doc_id)"
+
 UNDETERMINED = r"SELECT doc_id, NOT regexp_matches(coalesce(text, ''), '\p{L}') AS undetermined FROM documents"
 
 OP12 = """
@@ -119,5 +121,5 @@ QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DE
 
 ORACLES: dict[str, str] = {
     "op5_warc_archive": OP5, "op7_minhash_dedup": OP7, "op8_embedding_dedup": OP8, "op9_quality_rules": OP9, "op12_hard_negatives": OP12,
-    "license_base_places": LICENSE_BASE, "mixing_bounds": MIX_BOUNDS, "language_undetermined": UNDETERMINED,
+    "license_base_places": LICENSE_BASE, "mixing_bounds": MIX_BOUNDS, "mixing_totals": MIX_TOTALS, "language_undetermined": UNDETERMINED,
 }

@@ -92,6 +92,12 @@ def mixing_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", whole.alias("whole_copies"), within.alias("within"))
 
 
+def mixing_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op2 takes of each source together: within one per cent of its target."""
+    taken = op2_source_mixing(spark, sf_dir).groupBy("source", "source_size", "target").agg(F.sum("taken").alias("taken"))
+    return taken.select("source", "source_size", "target", (F.abs(F.col("taken") - F.col("target")) <= 0.01 * F.col("target")).alias("near"))
+
+
 def language_undetermined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts for which op1 gives no language."""
     return op1_language_id(spark, sf_dir).select("doc_id", (F.col("lang_pred") == langid.UNDETERMINED).alias("undetermined"))
@@ -113,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_suffix_dedup": op13_suffix_dedup,
     "license_base_places": license_base_places,
     "mixing_bounds": mixing_bounds,
+    "mixing_totals": mixing_totals,
     "language_undetermined": language_undetermined,
 }
 

@@ -3,6 +3,7 @@ import math
 from pyspark.sql import functions as F
 
 from feedloom.llm import mixing
+from feedloom.llm.queries import QUERIES
 
 
 def targets(sizes):
@@ -88,3 +89,12 @@ def test_nothing(spark):
     assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
     blank = spark.createDataFrame([(1, None, None), (2, " ", "a")], "doc_id long, text string, source string")
     assert [(r["taken"], r["target"]) for r in mixing.mix(blank).collect()] == [(0, 0.0), (0, 0.0)]
+
+
+def test_sources_end_near_their_targets(spark):
+    """Blocks of any number, a document larger than all others together of its block: a source is off by a few words only."""
+    for sf in ("sf0.001", "sf0.01"):
+        assert all(r["near"] for r in QUERIES["mixing_totals"](spark, f"/root/testdata/{sf}").collect())
+    docs = [(i, " ".join(["w"] * (3 + i * 7919 % 23)), f"s{i % 3}") for i in range(2100)] + [(5000 + i, " ".join(["w"] * 2500), f"s{i}") for i in range(3)]
+    rows = mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string")).groupBy("source", "target").agg(F.sum("taken").alias("taken")).collect()
+    assert len(rows) == 3 and all(abs(r["taken"] - r["target"]) <= 3 for r in rows)
