@@ -5,14 +5,17 @@ headers and footers, sidebars, forms, adverts, notices, comments, scripts; by el
 such a part as a whole, never by a word within another name), inside the page's article or main element, or loose. The parse
 is written once. Pages are ordered by host and URL path and cut into buckets at bounds that are taken from the keys, so a
 large host spreads over many tasks. The lines of a pair of pages are aligned by their longest common subsequence, and shared
-lines are deleted, inside an article or main element too. The structure is a second filter: dropped parts go, and beside an
-article or main element loose lines go. Reading a page takes time in proportion to its length, whatever its tags.
+lines are deleted. Inside an article or main element that needs a second witness: at least two, and over half, of the host's
+pairs of neighbours that are no copies share the line, so a sentence that two articles have by chance or as a quotation
+stays. The structure is a second filter: dropped parts go, and beside an article or main element loose lines go. Reading a
+page takes time in proportion to its length, whatever its tags.
 
 Copies of one page must not delete each other, so a page is paired with the nearest page that is no copy of it. Neighbours
 in order that are copies form a run; the pages of a run pair with the page before the run on their host, or if there is none
 or it is a copy of theirs, with the page after it. A pass over line hashes finds what stands before and after each bucket
 (the lines of four pages a bucket, found on the driver; there are as many buckets as shuffle partitions), so texts do not
-depend on how the pages are dealt.
+depend on how the pages are dealt. The same pass counts the witnesses; the lines that may go from the articles of a host (fewer
+than twice what an average pair shares) come as a row before its pages.
 
 Only line hashes and compressed text travel. A task holds the pages of a run back only while its partner is still to come.
 Defined results: a null html or one without text gives an empty text; a null url has an empty host and path; repeated rows
@@ -29,6 +32,7 @@ import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from itertools import pairwise
+from math import isqrt
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -58,6 +62,8 @@ _BORDERS = frozenset(["td", "th", "table", "article", "main", "body"])
 DROPPED, LOOSE, MAIN = 0, 1, 2
 #: Keys of the sample from which each bucket's bound is taken; there is a bucket for each shuffle partition.
 SAMPLED = 30
+#: Counts of shared lines that a task holds before it hands them on.
+HELD = 100_000
 
 
 def _named(name: str, inside: bool) -> bool:
@@ -188,32 +194,35 @@ def lines_of(page: str) -> list[tuple[int, str]]:
 
 
 def shared_places(a: list[int], b: list[int]) -> list[int]:
-    """Places in ``a`` of a longest common subsequence with ``b``."""
-    head = 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    where: dict[int, list[int]] = {}
-    for j in range(len(b) - tail - 1, head - 1, -1):
-        where.setdefault(b[j], []).append(j)
-    ends: list[int] = []
-    chains: list[tuple] = []
-    for i in range(head, len(a) - tail):
-        for j in where.get(a[i], ()):  # from right to left, so a line matches once
-            k = bisect_left(ends, j)
-            chain = (i, chains[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                chains.append(chain)
-            elif j < ends[k]:
-                ends[k], chains[k] = j, chain
-    out, chain = [], chains[-1] if chains else None
-    while chain:
-        out.append(chain[0])
-        chain = chain[1]
-    return [*range(head), *out[::-1], *range(len(a) - tail, len(a))]
+    """Places in ``a`` of a longest common subsequence with ``b``; of several the one that leaves out the last of ``a``.
+
+    Rows of the table of lengths are whole numbers, in which a zero bit marks where the length grows; every so many are kept
+    and the others made again on the way back. Time is the product of the lines over the bits of a machine word.
+    """
+    both = set(a).intersection(b)
+    at = [i for i, x in enumerate(a) if x in both]
+    b = [x for x in b if x in both]
+    where: dict[int, int] = {}
+    for j, x in enumerate(b):
+        where[x] = where.get(x, 0) | 1 << j
+    full, step = (1 << len(b)) - 1, isqrt(len(at)) + 1
+
+    def rows(row: int, first: int, end: int) -> Iterator[int]:
+        for i in at[first:end]:
+            met = row & where[a[i]]
+            row = (row + met | row - met) & full
+            yield row
+
+    kept = [full, *(r for i, r in enumerate(rows(full, 0, len(at)), 1) if i % step == 0)]
+    out, below = [], full  # the columns of ``b`` that are left
+    for k in range(len(kept) - 1, -1, -1):
+        held = [kept[k], *rows(kept[k], k * step, (k + 1) * step)]
+        for i in range(len(held) - 1, 0, -1):
+            grown = ~held[i] & below
+            if grown.bit_count() > (~held[i - 1] & below).bit_count():
+                out.append(at[k * step + i - 1])
+                below = (1 << grown.bit_length() - 1) - 1
+    return out[::-1]
 
 
 def _place(url: str | None) -> tuple[str, str]:
@@ -285,25 +294,63 @@ def _narrow(row: dict | None) -> dict | None:
     return row and {k: row[k] for k in ("host", "hashes", "places", "words")}
 
 
+def _shared(last: dict, now: dict) -> list[int] | None:
+    """Hashes of the lines that a page has in common with the one before it; None if they are copies or of two hosts."""
+    gone = _gone(now, last) if last["host"] == now["host"] else None
+    return None if gone is None else sorted({now["hashes"][i] for i in gone})
+
+
+class _Witnesses:
+    """Counts of the pairs of neighbours on each host, and of those that share a line, handed on in parts."""
+
+    def __init__(self) -> None:
+        self.counts: dict[tuple[str, int | None], int] = {}
+
+    def add(self, host: str, shared: list[int] | None) -> None:
+        for line in () if shared is None else (None, *shared):
+            self.counts[host, line] = self.counts.get((host, line), 0) + 1
+
+    def rows(self) -> list[tuple]:
+        found = [(None, None, host, line, n) for (host, line), n in self.counts.items()]
+        self.counts.clear()
+        return found
+
+
+_EDGES = {"bucket": pa.int32(), "edges": pa.binary(), "host": pa.string(), "line": pa.int64(), "n": pa.int64()}
+
+
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each bucket of sorted rows: first and last page, the page after its first break and the one before its last."""
+    """For each bucket of sorted rows: first and last page, the page after its first break and the one before its last.
+
+    With them, as rows without a bucket, the counts of its ``_Witnesses``.
+    """
     bucket = first = last = after = before = None
+    seen = _Witnesses()
 
-    def out() -> pa.RecordBatch:
-        data = pickle.dumps([_narrow(x) for x in (first, last, after, before)])
-        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([data], pa.binary())], names=["bucket", "edges"])
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _EDGES.values(), strict=True)], names=list(_EDGES))
+
+    def ended() -> pa.RecordBatch:
+        return out([(bucket, pickle.dumps([_narrow(x) for x in (first, last, after, before)]), None, None, None)])
 
     for batch in batches:
         for row in batch.to_pylist():
             if row["bucket"] != bucket:
                 if first is not None:
-                    yield out()
+                    yield ended()
                 bucket, first, last, after, before = row["bucket"], row, None, None, None
-            if last is not None and _breaks(last, row):
-                after, before = after or row, last
+            if last is not None:
+                shared = _shared(last, row)
+                seen.add(row["host"], shared)
+                if shared is not None or last["host"] != row["host"]:
+                    after, before = after or row, last
             last = row
+        if len(seen.counts) > HELD:
+            yield out(seen.rows())
     if first is not None:
-        yield out()
+        yield ended()
+    if rows := seen.rows():
+        yield out(rows)
 
 
 def _around(edges: list[tuple[int, list]]) -> dict[int, tuple[dict | None, dict | None]]:
@@ -339,10 +386,14 @@ def _text(row: dict, gone: set[int] | None) -> str:
 
 
 def _paired(around) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Texts of the pages of sorted buckets, each against the page before or after its run."""
+    """Texts of the pages of sorted buckets, each against the page before or after its run.
+
+    Before the pages of a host comes a row without a path, if the host has lines that may go from articles.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket = before = last = None
+        known: tuple[str | None, frozenset[int]] = (None, frozenset())
         held: list[dict] = []  # of the present run, without a partner so far
         texts: list[tuple] = []
         kind = pa.int64()
@@ -354,7 +405,8 @@ def _paired(around) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
             return made
 
         def done(row: dict, gone: set[int] | None) -> None:
-            text = _text(row, gone)
+            known_here = known[1] if known[0] == row["host"] else ()
+            text = _text(row, {i for i in gone or () if row["places"][i] == LOOSE or row["hashes"][i] in known_here})
             texts.append((row["page_id"], row["url"], text, len(text)))
 
         def ended(after: dict | None) -> Iterator[pa.RecordBatch]:
@@ -368,6 +420,11 @@ def _paired(around) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
             kind = batch.schema.field("page_id").type
             for part in text_chunks(batch, "kept", 1 << 20):
                 for row in part.to_pylist():
+                    if row["path"] is None:
+                        if bucket is not None:
+                            yield from ended(around.value[bucket][1])
+                        known = row["host"], frozenset(row["hashes"])
+                        continue
                     if row["bucket"] != bucket:
                         if bucket is not None:
                             yield from ended(around.value[bucket][1])
@@ -390,6 +447,19 @@ def _paired(around) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
     return run
 
 
+def _spread(bounds) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of a host, one for each bucket that may have a page of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hosts = batch.column("host").to_pylist()
+            ends = [(bisect_left(bounds.value, (h,)), bisect_left(bounds.value, (h + "\0",)) + 1) for h in hosts]
+            rows = batch.take(pa.array([i for i, (x, y) in enumerate(ends) for _ in range(x, y)], pa.int64()))
+            yield rows.append_column("bucket", pa.array([k for x, y in ends for k in range(x, y)], pa.int32()))
+
+    return run
+
+
 def _bounds(parsed: DataFrame, buckets: int) -> list[tuple]:
     """The keys at which all buckets but the first begin: quantiles of a sample of SAMPLED keys a bucket."""
     keys, rows = parsed.select("host", "path", "page_id"), parsed.count()
@@ -408,9 +478,23 @@ def extract(pages: DataFrame) -> DataFrame:
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = spark.sparkContext.broadcast(_bounds(parsed, buckets))
 
-    def ordered(rows: DataFrame, fields: str) -> DataFrame:
-        return rows.mapInArrow(_bucketed(bounds), f"{fields}, bucket int").repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "host", "path", "page_id", "url", "hashes")
-
-    edges = ordered(parsed.drop("kept"), narrow).mapInArrow(_edges, "bucket int, edges binary").collect()
-    around = spark.sparkContext.broadcast(_around([(r["bucket"], pickle.loads(r["edges"])) for r in edges]))
-    return ordered(parsed, f"{narrow}, kept binary").mapInArrow(tidy(_paired(around)), f"page_id {kind}, url string, text string, n_chars long")
+    def ordered(rows: DataFrame) -> DataFrame:
+        return rows.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "host", "path", "page_id", "url", "hashes")
+
+    fields = f"{narrow}, kept binary, bucket int"
+    found = save(ordered(parsed.drop("kept").mapInArrow(_bucketed(bounds), f"{narrow}, bucket int")).mapInArrow(_edges, "bucket int, edges binary, host string, line bigint, n bigint"), "html-edges")
+    edges = sorted(((r["bucket"], pickle.loads(r["edges"])) for r in found.where("edges is not null").select("bucket", "edges").collect()), key=lambda e: e[0])
+    around, seen = spark.sparkContext.broadcast(_around(edges)), _Witnesses()
+    for (_, x), (_, y) in pairwise(edges):
+        seen.add(y[0]["host"], _shared(x[1], y[0]))
+    counts = found.where("edges is null").select("host", "line", "n")
+    if rows := [r[2:] for r in seen.rows()]:
+        counts = counts.unionByName(spark.createDataFrame(rows, counts.schema))
+    counts = counts.groupBy("host", "line").agg(F.sum("n").alias("n"))
+    pairs = counts.where("line is null").select("host", F.col("n").alias("pairs"))
+    frequent = counts.where("line is not null and n >= 2").join(pairs, "host").where("2 * n > pairs").groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("hashes"))
+    empty = {"page_id": kind, "url": "string", "path": "string", "places": "array<tinyint>", "words": "array<int>", "kept": "binary"}
+    spread = frequent.mapInArrow(_spread(bounds), "host string, hashes array<bigint>, bucket int")
+    heads = spread.select("*", *[F.lit(None).cast(t).alias(c) for c, t in empty.items()])
+    rows = ordered(parsed.mapInArrow(_bucketed(bounds), fields).unionByName(heads))
+    return rows.mapInArrow(tidy(_paired(around)), f"page_id {kind}, url string, text string, n_chars long")
