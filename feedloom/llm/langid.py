@@ -8,8 +8,13 @@ get the seeded random code with the largest distance between codewords.
 Fit: counts of n-grams for each language, summed by Spark over a bounded sample of labelled rows (``SAMPLE`` rows of each
 label in expectation, chosen by a hash of the doc_id; every label is learned), and then, for each n-gram bucket, the share of
 the languages whose bit is one. The driver holds the labels, their codewords and that table of buckets by bits.
+Beyond ``COMPARED`` languages one seeded random code is taken, without a search for the largest distance.
 Prediction: map-only, over whole texts.
 
+Ambiguity: the bits in which the nearest two codewords differ have a lead, their weighted mean log-odds a letter towards the
+nearest. A text is ambiguous if its lead is under the share ``SURE`` of the median lead of the sample rows of its language
+(texts of two languages, whose bits cancel, are), or if its letters times its lead make less than ``EVIDENCE``.
+
 Defined results: a null text, or one without any letter, is ``und`` with score 0; without labelled rows every text is
 ``und``; with one language every text with a letter is that language with score 1. Ties go to the first language in order.
 """
@@ -36,8 +41,12 @@ ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
 #: Characters that are turned into n-grams at a time.
 RUN = 1 << 18
-#: A text is ambiguous if the nearest codeword leads the next by less than this share of the losses.
-AMBIGUOUS = 0.05
+#: A text is ambiguous below this share of the median lead of its language,
+SURE = 0.6
+#: or with less log-odds in all: odds of a thousand to one, where each letter counts in three n-grams.
+EVIDENCE = 3 * float(np.log(1000))
+#: Letters without evidence that every text is taken to have, so that a few letters give no certain score.
+BLANK = 8
 UNDETERMINED = "und"
 
 _FOLD: list[np.ndarray] = []
@@ -163,7 +172,7 @@ class Model:
 
     def __init__(self, langs: list[str], totals: np.ndarray | None = None, ones: np.ndarray | None = None) -> None:
         """``totals``: n-grams of each language; ``ones``: what ``_bits`` sums, for all buckets. Counts are smoothed by a half."""
-        self.langs, self.code = langs, codewords(len(langs))
+        self.langs, self.code, self.floors = langs, codewords(len(langs)), np.zeros(len(langs))
         bits, n = self.code.shape[1], len(langs)
         self.odds, self.weights = np.zeros((BUCKETS, bits), np.float32), np.zeros(bits)
         if bits:
@@ -176,29 +185,50 @@ class Model:
             weigh = (np.abs(self.odds) * mean[:, None]).sum(axis=0)
             self.weights = weigh / weigh.sum() if weigh.sum() else np.full(bits, 1 / bits)
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, score and ambiguity of each text."""
+    def decode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Place of the nearest codeword, score, lead and letters of each text; of two languages at least."""
         n = len(texts)
-        sums, letters = np.zeros((n, self.odds.shape[1] if self.langs else 0)), np.zeros(n, np.int64)
+        sums, letters = np.zeros((n, self.odds.shape[1])), np.zeros(n, np.int64)
         for rows, grams, owner, count in _runs(texts):
             np.add.at(letters, rows, count)
             filled = np.flatnonzero(count)
-            if sums.shape[1] and len(filled):
+            if len(filled):
                 starts = np.searchsorted(owner, filled)
                 for g in grams:
                     np.add.at(sums, rows[filled], np.add.reduceat(self.odds[g], starts, axis=0))
-        if not self.langs:
-            return [UNDETERMINED] * n, np.zeros(n), np.zeros(n, bool)
-        if not self.code.shape[1]:
-            return [self.langs[0] if k else UNDETERMINED for k in letters], (letters > 0).astype(float), np.zeros(n, bool)
-        margin = sums / np.maximum(letters, 1)[:, None]
-        margin = np.clip(2 * margin, -30, 30)
+        margin = np.clip(2 * sums / (letters + BLANK)[:, None], -30, 30)
         loss = (self.weights * np.exp(-margin)) @ (self.code > 0).T + (self.weights * np.exp(margin)) @ (self.code < 0).T
         order = np.argsort(loss, axis=1, kind="stable")
         first, second = np.take_along_axis(loss, order[:, :1], 1)[:, 0], np.take_along_axis(loss, order[:, 1:2], 1)[:, 0]
-        score = np.where(letters > 0, second / (first + second), 0.0)
-        unsure = (letters > 0) & (second - first < AMBIGUOUS * (first + second))
-        return [self.langs[k] if c else UNDETERMINED for k, c in zip(order[:, 0], letters, strict=True)], score, unsure
+        near = self.code[order[:, 0]]
+        apart = self.weights * (near != self.code[order[:, 1]])
+        lead = (apart * near * sums).sum(axis=1) / np.maximum(apart.sum(axis=1), 1e-12) / np.maximum(letters, 1)
+        return order[:, 0], np.where(letters > 0, second / (first + second), 0.0), lead, letters
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score and ambiguity of each text."""
+        n = len(texts)
+        if not self.langs:
+            return [UNDETERMINED] * n, np.zeros(n), np.zeros(n, bool)
+        if len(self.langs) == 1:
+            letters = np.array([any(c.isalpha() for c in t or "") for t in texts], bool)
+            return [self.langs[0] if k else UNDETERMINED for k in letters], letters.astype(float), np.zeros(n, bool)
+        near, score, lead, letters = self.decode(texts)
+        unsure = (letters > 0) & ((lead < self.floors[near]) | (lead * letters < EVIDENCE))
+        return [self.langs[k] if c else UNDETERMINED for k, c in zip(near, letters, strict=True)], score, unsure
+
+
+def _leads(held):
+    """(lang, lead) of labelled rows whose text has a letter, by the model that ``held`` broadcasts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_chunks(batch):
+                _, _, lead, letters = held.value.decode(part.column("text").to_pylist())
+                found = pa.RecordBatch.from_arrays([part.column("lang"), pa.array(lead)], names=["lang", "lead"])
+                yield found.filter(pa.array(letters > 0))
+
+    return run
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
@@ -206,8 +236,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     rows = small_batches(labelled).where("lang is not null and text is not null").select("doc_id", "text", "lang")
     sizes = save(rows.groupBy("lang").agg(F.count("*").alias("rows")), "lang-sizes")
     drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(11)), F.lit(1 << 20)) / (1 << 20)
-    chosen = rows.join(counted_broadcast(sizes), "lang").where(drawn * F.col("rows") < sample)
-    counted = save(chosen.select("text", "lang").mapInArrow(tidy(_counts), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "lang-counts")
+    chosen = save(rows.join(counted_broadcast(sizes), "lang").where(drawn * F.col("rows") < sample).select("text", "lang"), "lang-sample")
+    counted = save(chosen.mapInArrow(tidy(_counts), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "lang-counts")
     totals = save(counted.groupBy("lang").agg(F.sum("n").alias("total")), "lang-totals")
     found = dict(sorted((r["lang"], r["total"]) for r in totals.collect()))
     if len(found) < 2:
@@ -218,7 +248,11 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     summed = shares.repartition("bucket").mapInArrow(tidy(_bits(dict(zip(found, code, strict=True)), bits)), "bucket int, ones array<double>").toArrow()
     ones = np.zeros((BUCKETS, bits + 1))
     ones[summed["bucket"].to_numpy()] = summed["ones"].combine_chunks().flatten().to_numpy().reshape(-1, bits + 1)
-    return Model(list(found), np.array(list(found.values()), float), ones)
+    model = Model(list(found), np.array(list(found.values()), float), ones)
+    leads = chosen.mapInArrow(tidy(_leads(chosen.sparkSession.sparkContext.broadcast(model))), "lang string, lead double")
+    medians = dict(leads.groupBy("lang").agg(F.median("lead")).collect())
+    model.floors = np.array([SURE * medians.get(lang, 0.0) for lang in model.langs])
+    return model
 
 
 def identify(docs: DataFrame, model: Model, names: tuple[str, str, str] = ("lang_pred", "score", "ambiguous")) -> DataFrame:

@@ -30,6 +30,23 @@ def test_language_held_out(spark):
     assert n > 200 and right > 0.97
 
 
+def test_language_flags_mixed_texts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("lang is not null and text is not null")
+    model = langid.fit(docs.where(~langid.held_out()))
+    rng, by = random.Random(9), {}
+    for r in docs.where(langid.held_out()).collect():
+        if len(r["text"].split()) >= 60:
+            by.setdefault(r["lang"], []).append(r["text"].split())
+    mixed = []
+    for _ in range(200):
+        x, y = rng.sample(sorted(by), 2)
+        mixed.append(" ".join(rng.choice(by[x])[:60] + rng.choice(by[y])[:60]))
+    clean = [" ".join(words) for texts in by.values() for words in texts]
+    assert model.predict(mixed)[2].mean() > 0.9 and model.predict(clean)[2].mean() < 0.02
+    langs, score, unsure = model.predict(["a", "", None, "1 2"])
+    assert unsure.tolist() == [True, False, False, False] and score[0] < 0.95 and langs[1:] == ["und"] * 3
+
+
 def test_language_odd_rows(spark):
     rows = [(1, "the cat and the dog", "en"), (2, "der Hund und die Katze", "de"), (3, None, "en"), (4, "", None), (None, "123 !?", "de"), (6, "the the the " * 60_000, None), (6, "the", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
