@@ -35,11 +35,11 @@ def free_name(name: str, taken: list[str]) -> str:
 
 
 def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of ``batch`` whose texts sum to about ``limit`` bytes; a longer text comes alone."""
+    """Slices of ``batch`` whose texts, or sizes, sum to about ``limit`` bytes; a longer text comes alone."""
     values = batch.column(column)
     if not len(values):
         return
-    sizes = np.asarray(pc.binary_length(values).fill_null(0), dtype=np.int64)
+    sizes = np.asarray((values if pa.types.is_integer(values.type) else pc.binary_length(values)).fill_null(0), dtype=np.int64)
     start, total = 0, 0
     for i, size in enumerate(sizes.tolist()):
         if i > start and total + size > limit:

@@ -83,11 +83,11 @@ def archive(pages: DataFrame, path: str, least: int = LEAST, date: str = DATE) -
 
 def restore(spark: SparkSession, path: str) -> DataFrame:
     """record (bytes of the whole WARC record) and payload (of the record, or of the one it revisits) of every header."""
-    headers, payloads = spark.read.parquet(f"{path}/headers"), spark.read.parquet(f"{path}/payloads").select("key", "payload")
+    headers, payloads = spark.read.parquet(f"{path}/headers"), spark.read.parquet(f"{path}/payloads").select("key", "size", "payload")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_chunks(batch, "payload", 1 << 20):
+            for part in text_chunks(batch, "size", 4 << 20):  # of the expanded payloads
                 records, whole = [], []
                 for key, header, revisit, data in zip(*(part.column(c).to_pylist() for c in ("key", "header", "revisit", "payload")), strict=True):
                     payload = gzip.decompress(data)
@@ -97,7 +97,7 @@ def restore(spark: SparkSession, path: str) -> DataFrame:
                     whole.append(payload)
                 yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary()), pa.array(whole, pa.binary())], names=["record", "payload"])
 
-    return headers.join(payloads, "key").select("key", "header", "revisit", "payload").mapInArrow(run, "record binary, payload binary")
+    return headers.join(payloads, "key").select("key", "header", "revisit", "size", "payload").mapInArrow(run, "record binary, payload binary")
 
 
 def parse(record: bytes) -> tuple[dict[str, str], bytes]:

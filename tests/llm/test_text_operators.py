@@ -8,9 +8,10 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from feedloom.llm import html, langid, licenses, minhash, mixing, quality, warc
+from feedloom.llm import common, html, langid, licenses, minhash, mixing, quality, warc
 
 SF = "/root/testdata/sf0.01"
 
@@ -183,6 +184,15 @@ def test_license_base_places_against_brute_force():
         assert sorted(licenses._places(own)) == sorted(want)
 
 
+def test_warc_restores_pages_that_expand(spark):
+    rows = [(i, "http://a/", str(i % 4) + " " * 3_000_000) for i in range(24)]  # a payload of 3 MB is stored in 3 kB
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    got = {r["page_id"]: (r["payload_bytes"], r["refers_to"]) for r in warc.round_trip(pages).collect()}
+    assert got == {i: (3_000_001, None if i >= 20 else 20 + i % 4) for i in range(24)}
+    batch = pa.RecordBatch.from_pydict({"size": [3, 3, None, 9, 1, 2]})
+    assert [c.column("size").to_pylist() for c in common.text_chunks(batch, "size", 6)] == [[3, 3, None], [9], [1, 2]]
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(1, "http://a/1", "<p>same</p>"), (4, "http://a/4", "<p>same</p>"), (2, "http://b/\r\nx", None), (3, None, ""), (5, "u", "WARC/1.1\r\n\r\nContent-Length: 9\r\n\r\n\r\n\r\né😀"), (None, "n", "<p>same</p>"), (4, "again", "<p>same</p>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("key", F.lit("clash"))
