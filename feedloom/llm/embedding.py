@@ -22,6 +22,7 @@ vectors of their own; a null vec_id never names a component unless all of its ve
 from __future__ import annotations
 
 import hashlib
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +47,7 @@ _DENSE = 1 / 16
 _SLACK = 1e-5
 
 
+@functools.cache
 def rotation(width: int) -> np.ndarray:
     """A seeded random orthogonal matrix."""
     q, r = np.linalg.qr(np.random.default_rng(width).standard_normal((width, width)))
@@ -243,9 +245,10 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     wanted = min(PIVOTS, -(-n // tile_rows(max(1, size // np.dtype(kind).itemsize))))
     pivots = classes.orderBy(F.xxhash64("key"), "key").limit(max(1, wanted)).select("vector").collect()
     cells = Cells([bytes(r["vector"]) for r in pivots], kind, threshold)
-    for r in bare.mapInArrow(_homes(cells), "width int, cell int, n long, radii array<double>").groupBy("width", "cell").agg(F.sum("n").alias("n"), F.collect_list("radii").alias("radii")).collect():
-        radii = cells.radii.setdefault(r["width"], np.zeros((len(cells.pivots.get(r["width"], [0])), len(r["radii"][0]))))
-        radii[r["cell"]] = np.max(r["radii"], axis=0)
+    widest = F.array_compact(F.array(*[F.max(F.get("radii", F.lit(i))) for i in range(BLOCKS + 1)]))
+    for r in bare.mapInArrow(_homes(cells), "width int, cell int, n long, radii array<double>").groupBy("width", "cell").agg(F.sum("n").alias("n"), widest.alias("radii")).collect():
+        radii = cells.radii.setdefault(r["width"], np.zeros((len(cells.pivots.get(r["width"], [0])), len(r["radii"]))))
+        radii[r["cell"]] = r["radii"]
         cells.home[r["width"], r["cell"]] = r["n"]
     held = spark.sparkContext.broadcast(cells)
     for r in bare.mapInArrow(_visitors(held), "width int, cell int, n long").groupBy("width", "cell").agg(F.sum("n").alias("n")).collect():
