@@ -14,7 +14,7 @@ from feedloom.operators import convert, dedup, predicates, stats, template, vali
 from feedloom.operators.convert import difference
 from feedloom.operators.predicates import select
 from feedloom.plans.tables import shared_dir
-from feedloom.sources import feeds, sinks
+from feedloom.sources import feeds, sheets, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -541,3 +541,20 @@ def strip_function(spark, sf_dir):
 @_query("validate_json", "SELECT event_id, json_valid(props) AS valid FROM events")
 def validate_json(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", F.try_parse_json("props").isNotNull().alias("valid"))
+
+
+@_query("sheet_round_trip", "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_idx, o_orderkey::VARCHAR AS \"Record ID\", o_totalprice AS price, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS day, o_orderpriority AS priority FROM orders")
+def sheet_round_trip(spark, sf_dir):
+    """Orders exported as a workbook and read back."""
+    path = f"{shared_dir(spark)}/orders-{uuid.uuid4().hex}.xlsx"
+    orders = _table(spark, sf_dir, "orders").orderBy("o_orderkey")
+    sinks.export(sinks.labelled(orders.select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"), F.col("o_orderdate").alias("day"), F.col("o_orderpriority").alias("priority"))), path, "xlsx")
+    return sheets.read_sheet(spark, path).withColumn("price", F.col("price").cast("double"))
+
+
+@_query("sheet_preview", "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS row_idx, p_partkey::VARCHAR AS col_0, p_name AS col_1 FROM part ORDER BY p_partkey LIMIT 100")
+def sheet_preview(spark, sf_dir):
+    """The first 100 rows of a workbook of parts."""
+    path = f"{shared_dir(spark)}/parts-{uuid.uuid4().hex}.xlsx"
+    sheets.export_sheet(_table(spark, sf_dir, "part").select("p_partkey", "p_name").orderBy("p_partkey"), path)
+    return sheets.sheet_preview(spark, path)[1]

@@ -15,7 +15,7 @@ from pyspark.sql.types import StringType
 from feedloom.operators import stats
 from feedloom.operators.predicates import select
 from feedloom.plans.tables import written
-from feedloom.sources import xml_scan
+from feedloom.sources import sheets, xml_scan
 
 #: Headers of the columns that are no paths.
 HEADERS = {"id": "Record ID", "raw_content": "Raw XML/JSON Content"}
@@ -72,10 +72,13 @@ def json_array(values: DataFrame, path: str, as_file: bool = False) -> None:
 
 
 def export(df: DataFrame, path: str, fmt: str, as_file: bool = False) -> None:
-    """All rows as csv (UTF-8 with a byte order mark in each part), json (one array), json-lines or parquet.
+    """All rows as csv (UTF-8 with a byte order mark in each part), json (one array), json-lines, parquet or xlsx (one file).
 
     csv and json can be one file, which has one byte order mark and header, or is one document.
     """
+    if fmt == "xlsx":
+        sheets.export_sheet(df, path)
+        return
     if as_file and fmt not in ("csv", "json"):
         raise ValueError(f"no single file as {fmt!r}")
     if fmt == "csv" and as_file:
@@ -101,11 +104,11 @@ def export(df: DataFrame, path: str, fmt: str, as_file: bool = False) -> None:
 def export_analysis(df: DataFrame, paths: list[str], what: str, fmt: str, out: str, field: str | None = None, **spec) -> None:
     """Export ``query`` (rows that filters and a search keep), ``stats`` (one row a field) or ``duplicates`` (of ``field``).
 
-    As csv or json; stats also as html. Every other combination is an error.
+    As csv, json or xlsx; stats also as html. Every other combination is an error.
     """
-    if what == "query" and fmt in ("csv", "json"):
+    if what == "query" and fmt in ("csv", "json", "xlsx"):
         export(labelled(select(df, paths, **spec)), out, fmt)
-    elif what == "stats" and fmt in ("csv", "json"):
+    elif what == "stats" and fmt in ("csv", "json", "xlsx"):
         export(stats.all_field_stats(df, paths).orderBy("field_idx"), out, fmt)
     elif what == "stats" and fmt == "html":
         rows = stats.all_field_stats(df, paths).orderBy("field_idx")
