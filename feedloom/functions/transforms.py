@@ -183,12 +183,20 @@ def placeholders(template: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(template, F.lit(PLACE), F.lit(1)))
 
 
+def _fixed(value: Column, places: int) -> Column:
+    """A number with so many places, rounded by all of its digits and where these are a tie to the even one.
+
+    ``format_string`` rounds the shortest text of a double, which can be a tie that the double itself is not.
+    """
+    return F.call_function("format_number", value.cast("double"), F.lit("0." + "0" * places))
+
+
 def _sized(value: Column, places: int, whole_bytes: bool, top: str) -> Column:
     units = ["B", "KB", "MB", "GB", "TB", "PB"]
     units = units[: units.index(top) + 1]
     out = None
     for i, unit in reversed(list(enumerate(units))):
-        text = F.format_string("%d " + unit, value.cast("long")) if whole_bytes and not i else F.format_string(f"%.{places}f {unit}", value.cast("double") / F.lit(float(1024**i)))
+        text = F.format_string("%d " + unit, value.cast("long")) if whole_bytes and not i else F.concat(_fixed(value.cast("double") / F.lit(float(1024**i)), places), F.lit(f" {unit}"))
         out = text if out is None else F.when(value < 1024 ** (i + 1), text).otherwise(out)
     return out
 
@@ -208,8 +216,8 @@ def file_size(value: Column) -> Column:
 def duration(seconds: Column) -> Column:
     whole = seconds.cast("long")
     h, m, s = F.floor(whole / 3600), F.floor(whole % 3600 / 60), whole % 60
-    return F.when(seconds < 1, F.format_string("%.1fs", seconds.cast("double"))).when(h > 0, F.format_string("%dh %dm %ds", h, m, s)).when(m > 0, F.format_string("%dm %ds", m, s)).otherwise(F.format_string("%ds", s))
+    return F.when(seconds < 1, F.concat(_fixed(seconds, 1), F.lit("s"))).when(h > 0, F.format_string("%dh %dm %ds", h, m, s)).when(m > 0, F.format_string("%dm %ds", m, s)).otherwise(F.format_string("%ds", s))
 
 
 def speed(bytes_a_second: Column) -> Column:
-    return F.when(bytes_a_second <= 0, "0.00 MB/s").otherwise(F.format_string("%.2f MB/s", bytes_a_second.cast("double") / 1048576.0))
+    return F.when(bytes_a_second <= 0, "0.00 MB/s").otherwise(F.concat(_fixed(bytes_a_second.cast("double") / 1048576.0, 2), F.lit(" MB/s")))

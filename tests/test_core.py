@@ -99,6 +99,16 @@ def test_transforms_match_python(spark):
     assert spark.range(1).select(strip(F.lit(None).cast("string"))).first()[0] is None
 
 
+def test_sizes_round_by_all_digits(spark):
+    """The shortest text of a double can be a tie where the double is none; true ties go to the even digit."""
+    rng = random.Random(2)
+    near = [4551113121562623, 1310720, 3932160, *(int((rng.randrange(10**10) + 0.005) * 1048576) + rng.randrange(2) for _ in range(2000))]
+    got = spark.createDataFrame([(b,) for b in near], "b long").coalesce(1).select("b", T.speed(F.col("b")).alias("speed"), T.human_size(F.col("b")).alias("size")).collect()
+    assert [r["speed"] for r in got] == [f"{b / 1048576:.2f} MB/s" for b in near]
+    assert [r["size"] for r in got[1:3]] == ["1.2 MB", "3.8 MB"]
+    assert spark.range(1).select(T.duration(F.lit(0.25))).first()[0] == "0.2s"
+
+
 def greedy(rows):
     seen, kept = set(), []
     for i, keys in rows:
