@@ -545,11 +545,11 @@ def validate_json(spark, sf_dir):
 
 @_query("sheet_round_trip", "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_idx, o_orderkey::VARCHAR AS \"Record ID\", o_totalprice AS price, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS day, o_orderpriority AS priority FROM orders")
 def sheet_round_trip(spark, sf_dir):
-    """Orders exported as a workbook and read back."""
+    """Orders exported as a workbook and read back from all of its sheets."""
     path = f"{shared_dir(spark)}/orders-{uuid.uuid4().hex}.xlsx"
     orders = _table(spark, sf_dir, "orders").orderBy("o_orderkey")
     sinks.export(sinks.labelled(orders.select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"), F.col("o_orderdate").alias("day"), F.col("o_orderpriority").alias("priority"))), path, "xlsx")
-    return sheets.read_sheet(spark, path).withColumn("price", F.col("price").cast("double"))
+    return sheets.read_sheets(spark, path).withColumn("price", F.col("price").cast("double"))
 
 
 @_query("sheet_preview", "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS row_idx, p_partkey::VARCHAR AS col_0, p_name AS col_1 FROM part ORDER BY p_partkey LIMIT 100")

@@ -42,6 +42,26 @@ def test_full_sheets_go_on_in_the_next(spark, tmp_path):
     assert columns == [{"headerName": "id", "field": "col_0"}] and [tuple(r) for r in shown.collect()] == [(0, "0"), (1, "1"), (2, "2")]
 
 
+def test_all_sheets_are_read_as_one_table(spark, tmp_path):
+    path = f"{tmp_path}/many.xlsx"
+    sheets.export_sheet(spark.range(0, 2500, 1, 7).selectExpr("id", "id * 2 AS twice"), path, most=1202)
+    assert [tuple(r) for r in sheets.read_sheets(spark, path).orderBy("row_idx").collect()] == [(i, str(i), str(2 * i)) for i in range(2500)]
+    later = sheets.read_sheets(spark, path, ["Sheet1 2", "Sheet1 3"]).orderBy("row_idx").collect()
+    assert [(r["row_idx"], r["id"]) for r in later] == [(i, str(i + 1201)) for i in range(1299)]
+    with zipfile.ZipFile(path) as book, zipfile.ZipFile(f"{tmp_path}/other.xlsx", "w") as other:
+        for name in book.namelist():
+            other.writestr(name, book.read(name).replace(b">twice<", b">thrice<") if name.endswith("sheet3.xml") else book.read(name))
+    with pytest.raises(Exception, match="other columns"):
+        sheets.read_sheets(spark, f"{tmp_path}/other.xlsx").collect()
+
+
+def test_round_trip_of_more_rows_than_a_sheet_has(spark, monkeypatch):
+    """The query on more orders than fit one sheet."""
+    monkeypatch.setattr(sheets.export_sheet, "__defaults__", ("Sheet1", 401))
+    found = catalogue.QUERIES["sheet_round_trip"](spark, SF)
+    assert found.agg({"row_idx": "max"}).first()[0] == spark.read.parquet(f"{SF}/orders.parquet").count() - 1 > 800
+
+
 def test_shared_strings_gaps_and_dates(spark, tmp_path):
     """What other programs write: shared and formatted strings, cells and rows left out, own date formats, the later first day."""
     main, links = sheets._MAIN, sheets._LINKS
