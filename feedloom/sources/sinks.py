@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import html
 import json
-import uuid
-from functools import reduce
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -16,6 +17,7 @@ from feedloom.operators import stats
 from feedloom.operators.predicates import select
 from feedloom.plans.tables import written
 from feedloom.sources import sheets, xml_scan
+from feedloom.sources.files import Part, whole_file
 
 #: Headers of the columns that are no paths.
 HEADERS = {"id": "Record ID", "raw_content": "Raw XML/JSON Content"}
@@ -30,26 +32,25 @@ def _text(df: DataFrame) -> DataFrame:
     return df.select(*[F.to_json(F.col(f"`{f.name}`")).alias(f.name) if f.dataType.typeName() in ("array", "struct", "map") else F.col(f"`{f.name}`") for f in df.schema])
 
 
+def _lines(parts: Iterator[Part], file: pa.NativeFile) -> None:
+    """Texts and the rows (value) of batches, each on lines of its own; null is an empty one."""
+    for part in parts:
+        if isinstance(part, str):
+            file.write(f"{part}\n".encode())
+        else:
+            values = pc.fill_null(part.column("value"), "")
+            file.write(pc.binary_join(pa.LargeListArray.from_arrays([0, len(values)], values), "\n")[0].as_buffer())
+            file.write(b"\n")
+
+
 def one_file(parts: list[DataFrame | str], path: str) -> None:
     """Texts and the rows (value) of DataFrames, one after another and each on lines of its own, as the one file ``path``.
 
-    All work before is distributed; one task sorts the rows by their numbers, on disk where they are many, and writes them one by one under
-    another name. The file appears under its own when it is whole: after a failure there is none. An existing file is an error.
+    All work before is distributed; one task writes the rows in their order, a batch at a time and without a sort, under another name.
+    The file appears under its own when it is whole: after a failure there is none. An existing file is an error.
     """
     spark = next(p for p in parts if isinstance(p, DataFrame)).sparkSession
-    frames = [(spark.createDataFrame([(p,)], "value string") if isinstance(p, str) else p.select("value")).select(F.lit(i).alias("i"), F.monotonically_increasing_id().alias("n"), "value") for i, p in enumerate(parts)]
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    where, staged = hadoop.Path(path), hadoop.Path(f"{path}.{uuid.uuid4().hex}.part")
-    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(where):
-        raise FileExistsError(path)
-    try:
-        reduce(DataFrame.union, frames).repartition(1).sortWithinPartitions("i", "n").select("value").write.text(staged.toString())
-        part = next(s.getPath() for s in fs.listStatus(staged) if s.getPath().getName().startswith("part-"))
-        if not fs.rename(part, where):
-            raise OSError(f"cannot name {path}")
-    finally:
-        fs.delete(staged, True)
+    whole_file(spark, path, [p if isinstance(p, str) else p.select("value") for p in parts], _lines)
 
 
 def _framed(before: str, lines: DataFrame, after: str, path: str, as_file: bool = False) -> None:

@@ -376,6 +376,20 @@ def test_strip_takes_linear_time(spark, size):
     assert [r[0] for r in df.select(strip(F.col("x"))).collect()] == [text, None, ""]
 
 
+def test_one_file_is_joined_without_a_sort(spark, tmp_path, monkeypatch):
+    """The task that writes a file takes the rows as they come; before, it sorted all of them."""
+    rows = spark.range(0, 3000, 1, 23).select(F.when(F.col("id") % 5 > 0, F.concat(F.lit("é "), "id")).alias("value"))
+
+    def refused(*_):
+        raise AssertionError("a sort in one task")
+
+    monkeypatch.setattr(type(rows), "sortWithinPartitions", refused)
+    sinks.one_file(["[", rows.where("value is null or value <> ''"), "", rows.limit(0), "]"], f"file:{tmp_path}/new dir/a b.txt")
+    lines = [f"é {i}" if i % 5 else "" for i in range(3000)]
+    assert (tmp_path / "new dir/a b.txt").read_text() == "\n".join(["[", *lines, "", "]", ""])
+    assert [p.name for p in (tmp_path / "new dir").iterdir() if not p.name.startswith(".")] == ["a b.txt"]
+
+
 def test_files_written_whole(spark, tmp_path):
     rows = spark.range(0, 2000, 1, 7).select(F.col("id"), F.concat(F.lit('q "'), "id", F.lit(", é")).alias("t, x"), F.when(F.col("id") % 3 == 0, F.lit("")).alias("e"))
     sinks.export(rows, str(tmp_path / "a.csv"), "csv", as_file=True)
