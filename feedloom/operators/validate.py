@@ -113,22 +113,53 @@ def _context(data: bytes, breaks: list[int], at: int, offset: int, context: int)
 _FIELDS = "path string, kind string, n int, line int, column int, size long, lines long, message string, context_lines array<struct<line_number:int,text:string,is_error_line:boolean>>"
 
 
+#: Faults that a task returns at a time, and bytes of their context after which it does so earlier.
+_ROWS, _BYTES = 2000, 4 << 20
+_MISMATCHED = re.compile(_MISMATCH, re.ASCII)
+
+
+def _kept(faults: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The faults of a document without the mismatches that lie inside the last kept one, from which they only follow."""
+    begun = ended = None
+    out = []
+    for line, column, message in faults:
+        m = _MISMATCHED.search(message)
+        if m:
+            if begun is not None and int(m[2]) < begun and line >= ended:
+                continue
+            begun, ended = int(m[2]), line
+        out.append((line, column, message))
+    return out
+
+
 def _faults(context: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
         for batch in batches:
             for path, kind, data in zip(*(batch.column(c).to_pylist() for c in ("path", "kind", "content")), strict=True):
-                faults = json_faults(data) if kind == "json" else xml_faults(data)
-                breaks = [m.start() for m in re.finditer(b"\n", data)] if faults else []
+                faults = json_faults(data) if kind == "json" else _kept(xml_faults(data))
+                if not faults:
+                    continue
+                breaks = [m.start() for m in re.finditer(b"\n", data)]
                 many = max(1, len(breaks))
-                rows = [(path, kind, i, a, b, len(data), many, m, _context(data, breaks, a, int((a - 1) * (len(data) / many)), context)) for i, (a, b, m) in enumerate(faults)]
-                if rows:
-                    line = pa.list_(pa.struct([("line_number", pa.int32()), ("text", pa.string()), ("is_error_line", pa.bool_())]))
-                    kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), line)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["path", "kind", "n", "line", "column", "size", "lines", "message", "context_lines"])
+                for i, (a, b, m) in enumerate(faults):
+                    shown = _context(data, breaks, a, int((a - 1) * (len(data) / many)), context)
+                    rows.append((path, kind, i, a, b, len(data), many, m, shown))
+                    size += sum(len(x["text"]) for x in shown)
+                    if len(rows) >= _ROWS or size >= _BYTES:
+                        yield _batch(rows)
+                        rows, size = [], 0
+        if rows:
+            yield _batch(rows)
 
     return run
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    schema = _fields_schema()
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
 def _contents(spark: SparkSession, files: list[str]) -> DataFrame:
     """(path, content, kind) of files; the reader leaves out those without content."""
     listed = spark.createDataFrame([(f,) for f in files], "path string")
@@ -225,20 +256,19 @@ def validate(spark: SparkSession, paths: list[str] | str, context: int = 10) ->
 
 
 def validate_contents(documents: DataFrame, context: int = 10) -> DataFrame:
-    """What ``validate`` returns, for documents that are rows of path, kind (xml or json) and content (binary)."""
-    return _judged(documents.select("path", "kind", "content").mapInArrow(_faults(context), _FIELDS))
+    """What ``validate`` returns, for documents that are rows of path, kind (xml or json) and content (binary), each row one of its own.
+
+    The rows are dealt by path first: a table of many small documents may lie in a few parts of a file.
+    """
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _judged(documents.select("path", "kind", "content").repartition(parts, "path").mapInArrow(_faults(context), _FIELDS))
 
 
 def _judged(rows: DataFrame) -> DataFrame:
-    """Faults in order and numbered, without those that only follow from others, with what their messages tell."""
+    """Faults (numbered from 0 in their document) with what their messages and lines tell."""
     message = F.col("message")
-    rows = rows.withColumn("reference_line", reference_line(message)).withColumn("byte_offset", byte_offset(F.greatest("line", F.lit(1)), F.col("size"), F.col("lines")))
-    # The faults of one file in order; a mismatch that lies inside the last kept one only follows from it.
-    grouped = rows.groupBy("path", "kind").agg(F.sort_array(F.collect_list(F.struct("n", "line", "column", "byte_offset", "message", "reference_line", "context_lines"))).alias("all"))
-    kept = F.expr("""aggregate(all, named_struct('open', cast(null as int), 'close', cast(null as int), 'out', filter(all, x -> false)),
-      (s, x) -> if(x.reference_line is not null and s.open is not null and x.reference_line < s.open and x.line >= s.close, s,
-        named_struct('open', coalesce(x.reference_line, s.open), 'close', if(x.reference_line is null, s.close, x.line), 'out', concat(s.out, array(x)))), s -> s.out)""")
-    rows = grouped.select("path", "kind", F.posexplode(kept).alias("i", "x")).select("path", "kind", (F.col("i") + 1).alias("error_number"), "x.*").drop("n")
+    place = byte_offset(F.greatest("line", F.lit(1)), F.col("size"), F.col("lines")).alias("byte_offset")
+    rows = rows.select("path", "kind", (F.col("n") + 1).alias("error_number"), "line", "column", place, "message", reference_line(message).alias("reference_line"), "context_lines")
     return rows.withColumns({"category": category(message, F.col("kind")), "severity": severity(message, F.col("kind")), "tag_name": tag_name(message), "reference_tag": reference_tag(message)})
 
 

@@ -286,6 +286,26 @@ def test_validation_ends_no_task(spark):
     assert [(r["path"], r["n"], r["c"]) for r in found] == [("0", 1, 2), ("1", 1, 20_001), ("2", 1, 1), ("3", 1, 25), ("4", 3, 4)]
 
 
+def test_short_documents_are_validated_in_batches(spark):
+    """Faults leave a task many at a time, are numbered in it without a shuffle of them, and the rows are spread before."""
+    rows = spark.range(0, 3000, 1, 1).selectExpr("cast(id AS string) AS path", "'xml' AS kind", "cast('<r>\n<a><b>\n</c></a>\n</r>&' AS binary) AS content")
+    found = validate.validate_contents(rows)
+    assert sum(x.count("Exchange hashpartitioning(path") for x in [found._jdf.queryExecution().executedPlan().toString()]) == 1
+    sizes = [b.num_rows for b in validate._faults(2)(iter(rows.toArrow().to_batches()))]
+    assert max(sizes) == validate._ROWS and len(sizes) < 10
+    said = found.where("path = '7'").orderBy("error_number").select("error_number", "line", "category", "tag_name", "reference_tag").collect()
+    assert [r["error_number"] for r in said] == list(range(1, len(said) + 1)) and tuple(said[0]) == (1, 3, "Tag Mismatch", "c", "b") and len(said) > 1
+
+
+def test_short_chunks_match_brackets_as_long_ones_do():
+    rng = random.Random(5)
+    for _ in range(4000):
+        data = "".join(rng.choice('{}[]",:\\a1 ') for _ in range(rng.randrange(1, 40))).encode()
+        for in_string in (False, True):
+            index, matched = json_scan.Index(data, in_string), json_scan._matched(data, in_string)
+            assert all(index.closing(x) == matched.get(x) for x in index.depth[0].tolist() if data[x : x + 1] in b"{[")
+
+
 def test_a_table_grows_by_feeds(spark, tmp_path):
     """Two feeds with different paths in one table; each record is parsed once, columns come from what was parsed."""
     (tmp_path / "a.xml").write_text("<r><job id='1'><t>A</t><loc><city>X</city></loc><tag>p</tag><tag k='v'>q</tag></job><job><t x='y'>B</t>mixed<e/></job></r>")
