@@ -13,7 +13,7 @@ from feedloom.functions.compat import strip
 from feedloom.operators import convert, dedup, predicates, stats, template, validate
 from feedloom.operators.convert import difference
 from feedloom.operators.predicates import select
-from feedloom.plans.tables import shared_dir
+from feedloom.plans.tables import in_order, shared_dir
 from feedloom.sources import feeds, sheets, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -418,7 +418,7 @@ def json_feed_records(spark, sf_dir):
     """Orders as one JSON file, read back in chunks."""
     path, order = _feed(spark, "orders.json"), F.col("o_orderkey")
     title = F.concat(F.lit('a,"'), "o_orderstatus", F.lit('" ['), "o_custkey", F.lit("]"))
-    rows = _table(spark, sf_dir, "orders").orderBy(order).select(order.alias("id"), title.alias("title"), F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).alias("on"))
+    rows = in_order(_table(spark, sf_dir, "orders"), "o_orderkey").select(order.alias("id"), title.alias("title"), F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).alias("on"))
     sinks.export(rows, path, "json", as_file=True)
     field = lambda name: F.try_element_at("fields", F.lit(name))
     return feeds.scan_jobs(spark, [path]).select("source_idx", "rec_idx", field("id").alias("id"), field("title").alias("title"), field("on_day").alias("day"))
@@ -462,7 +462,7 @@ def json_table_at_path(spark, sf_dir):
 def json_file_faults(spark, sf_dir):
     """Events as one file with a key that is repeated in its last line."""
     path = _feed(spark, "events.json")
-    rows = _table(spark, sf_dir, "events").orderBy("event_id").select(F.concat("props", F.lit(",")).alias("value"))
+    rows = in_order(_table(spark, sf_dir, "events"), "event_id").select(F.concat("props", F.lit(",")).alias("value"))
     sinks.one_file(['{"a": [', rows, "0],", ' "b": 1, "c": {}, "b": 2}'], path)
     found = validate.validate(spark, path, 3)
     return found.select("error_number", F.col("line").cast("long").alias("line"), "column", "message", "category", "severity", F.size("context_lines").alias("context"))
@@ -547,7 +547,7 @@ def validate_json(spark, sf_dir):
 def sheet_round_trip(spark, sf_dir):
     """Orders exported as a workbook and read back from all of its sheets."""
     path = f"{shared_dir(spark)}/orders-{uuid.uuid4().hex}.xlsx"
-    orders = _table(spark, sf_dir, "orders").orderBy("o_orderkey")
+    orders = in_order(_table(spark, sf_dir, "orders"), "o_orderkey")
     sinks.export(sinks.labelled(orders.select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"), F.col("o_orderdate").alias("day"), F.col("o_orderpriority").alias("priority"))), path, "xlsx")
     return sheets.read_sheets(spark, path).withColumn("price", F.col("price").cast("double"))
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of a side that may be broadcast after they have been summed.
 BROADCAST_BYTES = 8 << 20
+#: Rows that a task sorts, about.
+SORT_ROWS = 1 << 18
 
 
 @cache
@@ -41,3 +43,8 @@ def counted_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     wide = [F.octet_length(f.name) if f.dataType.typeName() in ("string", "binary") else F.octet_length(F.to_json(f.name)) if f.dataType.typeName() in ("array", "map", "struct") else F.lit(8) for f in df.schema]
     size = sum((F.coalesce(w, F.lit(0)) for w in wide), F.lit(16))
     return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= limit else df
+
+
+def in_order(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` by ``keys`` in ranges of about SORT_ROWS rows, a task for each, whatever the number of shuffle partitions. It is counted first."""
+    return df.repartitionByRange(max(1, -(-df.count() // SORT_ROWS)), *keys).sortWithinPartitions(*keys)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from feedloom.plans.tables import written
+from feedloom.plans.tables import counted_broadcast, written
 from feedloom.sources import json_scan, xml_scan
 from feedloom.sources.ranges import chunks_of, loaded, started
 
@@ -69,10 +69,11 @@ def raw_values(found: DataFrame) -> DataFrame:
 
 
 def _numbered(values: DataFrame) -> DataFrame:
-    """``values`` with rec_idx, their place among those of their document. One row for each chunk meets in a window."""
+    """``values`` with rec_idx, their place among those of their document. One row for each chunk meets in a window; values stay where they are."""
     counts = values.groupBy("doc", "number").agg((F.max("i") + 1).cast("long").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("doc").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return values.join(counts.select("doc", "number", before.alias("before")), ["doc", "number"]).withColumn("rec_idx", F.col("before") + F.col("i"))
+    places = written(counts.select("doc", "number", before.alias("before")), "chunk-places")
+    return values.join(counted_broadcast(places), ["doc", "number"]).withColumn("rec_idx", F.col("before") + F.col("i"))
 
 
 def _flat(value: Any, prefix: str) -> Iterator[tuple[str, str]]:

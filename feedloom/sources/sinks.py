@@ -15,7 +15,7 @@ from pyspark.sql.types import StringType
 
 from feedloom.operators import stats
 from feedloom.operators.predicates import select
-from feedloom.plans.tables import written
+from feedloom.plans.tables import in_order, written
 from feedloom.sources import sheets, xml_scan
 from feedloom.sources.files import Part, whole_file
 
@@ -64,12 +64,25 @@ def _framed(before: str, lines: DataFrame, after: str, path: str, as_file: bool
     frame(after).write.text(f"{path}/2-close")
 
 
+def _items(parts: Iterator[Part]) -> Iterator[Part]:
+    """Parts whose rows begin with a comma, the first row that is not null without it."""
+    first = True
+    for part in parts:
+        if first and not isinstance(part, str) and (values := part.column("value")).null_count < len(values):
+            first, i = False, pc.index(values.is_valid(), True).as_py()
+            part = pa.RecordBatch.from_arrays([pa.concat_arrays([values[:i], pa.array([values[i].as_py()[1:]], values.type), values[i + 1 :]])], names=["value"])
+        yield part
+
+
 def json_array(values: DataFrame, path: str, as_file: bool = False) -> None:
     """The JSON texts (value) as items of one array, in the order of the rows, as parts that make it up in name order or one file."""
+    if as_file:  # the task that joins the rows knows the first one
+        whole_file(values.sparkSession, path, ["[", values.select(F.concat(F.lit(","), "value").alias("value")), "]"], lambda parts, file: _lines(_items(parts), file))
+        return
     held = written(values.select("value", F.monotonically_increasing_id().alias("n")), "json-array")
     first = held.agg(F.min("n")).first()[0]
     lines = held.orderBy("n").select(F.concat(F.when(F.col("n") == F.lit(first), "").otherwise(","), "value").alias("value"))
-    _framed("[", lines, "]", path, as_file)
+    _framed("[", lines, "]", path)
 
 
 def export(df: DataFrame, path: str, fmt: str, as_file: bool = False) -> None:
@@ -124,7 +137,8 @@ def export_analysis(df: DataFrame, paths: list[str], what: str, fmt: str, out: s
 
 def merged_xml(records: DataFrame, path: str, root: str = "source", as_file: bool = False) -> None:
     """The raw records in order, as they are, as text parts between an opening and a closing part, or in one file."""
-    _framed(f'<?xml version="1.0" encoding="utf-8"?>\n<{root}>', records.orderBy("source_idx", "rec_idx").select(F.col("raw").alias("value")), f"</{root}>", path, as_file)
+    rows = in_order(records, "source_idx", "rec_idx") if as_file else records.orderBy("source_idx", "rec_idx")
+    _framed(f'<?xml version="1.0" encoding="utf-8"?>\n<{root}>', rows.select(F.col("raw").alias("value")), f"</{root}>", path, as_file)
 
 
 @F.pandas_udf(StringType())
@@ -141,7 +155,8 @@ def direct_children(raw: pd.Series) -> pd.Series:
 
 def merged_json(records: DataFrame, path: str, as_file: bool = False) -> None:
     """The direct children of each record as an object of one JSON array."""
-    json_array(records.orderBy("source_idx", "rec_idx").select(direct_children("raw").alias("value")), path, as_file)
+    rows = in_order(records, "source_idx", "rec_idx") if as_file else records.orderBy("source_idx", "rec_idx")
+    json_array(rows.select(direct_children("raw").alias("value")), path, as_file)
 
 
 def writer_for(name: str):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from feedloom.functions import transforms as T
 from feedloom.functions.compat import loose_real, strip
 from feedloom.operators import convert, dedup, merge, predicates, stats, template, validate
-from feedloom.plans import catalogue
+from feedloom.plans import catalogue, tables
 from feedloom.sources import feeds, sinks
 from feedloom.streaming.ingest import earlier, ingest
 
@@ -390,6 +390,33 @@ def test_one_file_is_joined_without_a_sort(spark, tmp_path, monkeypatch):
     assert [p.name for p in (tmp_path / "new dir").iterdir() if not p.name.startswith(".")] == ["a b.txt"]
 
 
+def test_json_file_rows_are_not_sorted_again(spark, tmp_path, monkeypatch):
+    """The items of an array in one file come as the rows lie; before, they were written and sorted by their place."""
+    plans, whole_file = [], sinks.whole_file
+
+    def seen(session, path, parts, write):
+        plans.extend(p._jdf.queryExecution().executedPlan().toString() for p in parts if not isinstance(p, str))
+        whole_file(session, path, parts, write)
+
+    monkeypatch.setattr(sinks, "whole_file", seen)
+    rows = spark.range(0, 3000, 1, 23).select(F.when(F.col("id") > 300, F.format_string('{"é,": %d}', "id")).alias("value"))
+    for name, kept in (("some", rows.where("value is not null")), ("nulls", rows), ("none", rows.limit(0))):
+        sinks.json_array(kept, f"{tmp_path}/{name}.json", as_file=True)
+    items = "\n,".join(f'{{"é,": {i}}}' for i in range(301, 3000))
+    assert (tmp_path / "some.json").read_text() == f"[\n{items}\n]\n" and (tmp_path / "none.json").read_text() == "[\n]\n"
+    assert json.loads((tmp_path / "nulls.json").read_text()) == [{"é,": i} for i in range(301, 3000)]
+    assert len(plans) == 3 and not any(x in plan for plan in plans[:2] for x in ("Sort", "Exchange"))
+
+
+def test_ranges_of_a_sort_are_bounded(spark, monkeypatch):
+    """A task sorts a bounded number of rows, however adaptive execution would merge the ranges."""
+    monkeypatch.setattr(tables, "SORT_ROWS", 1000)
+    rows = spark.range(20_000).select(((F.col("id") * 7919) % 20_000).alias("id"))
+    for df in (rows, rows.where("id < 1"), rows.limit(0)):
+        ranges = [[r["id"] for r in part] for part in tables.in_order(df, "id").rdd.glom().collect()]
+        assert [i for part in ranges for i in part] == sorted(r["id"] for r in df.collect()) and max(map(len, ranges), default=0) < 4000
+
+
 def test_files_written_whole(spark, tmp_path):
     rows = spark.range(0, 2000, 1, 7).select(F.col("id"), F.concat(F.lit('q "'), "id", F.lit(", é")).alias("t, x"), F.when(F.col("id") % 3 == 0, F.lit("")).alias("e"))
     sinks.export(rows, str(tmp_path / "a.csv"), "csv", as_file=True)

@@ -210,6 +210,26 @@ def test_files_in_many_chunks(spark, tmp_path, monkeypatch):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_records_are_numbered_where_they_are(spark, tmp_path, monkeypatch):
+    """The places of chunks go to the records; before, the records were shuffled and sorted by chunk unless adaptive execution saw to it."""
+    monkeypatch.setattr(ranges, "CHUNK", 900)
+    (tmp_path / "a.json").write_text(json.dumps([{"id": i, "t": "x" * (i % 70)} for i in range(400)]))
+    (tmp_path / "b.json").write_text(json.dumps([{"id": -i, "t": "y"} for i in range(50)]) + "]")
+    off = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in off}
+    try:
+        for k, v in off.items():
+            spark.conf.set(k, v)
+        records = feeds.scan_jobs(spark, [str(tmp_path / "a.json"), str(tmp_path / "b.json")])
+        plan = records._jdf.queryExecution().executedPlan().toString()
+        rows = sorted((r["source_idx"], r["rec_idx"], r["fields"]["id"]) for r in records.collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert rows == [(0, i, str(i)) for i in range(400)] + [(1, i, str(-i)) for i in range(50)]
+    assert not any(x in plan for x in ("SortMergeJoin", "Sort ", "hashpartitioning"))
+
+
 def test_a_failed_feed_stays_alone(spark, tmp_path):
     jobs = [{"id": i, "t": "x"} for i in range(5)]
     (tmp_path / "cut.json").write_text(json.dumps(jobs)[:-20])
